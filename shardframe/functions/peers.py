@@ -14,8 +14,7 @@ _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 def ipv4_to_long(address) -> Column:
     """IPv4 text as an unsigned 32-bit value in a bigint; null for anything else."""
     address = as_col(address)
-    octets = F.split(address, r"\.")
-    value = sum((octets[i].cast("bigint") * (1 << (24 - 8 * i)) for i in range(1, 4)), octets[0].cast("bigint") * (1 << 24))
+    value = F.aggregate(F.split(address, r"\."), F.lit(0).cast("bigint"), lambda v, octet: v * 256 + octet.cast("bigint"))
     return F.when(address.rlike(_IPV4), value)
 
 

@@ -15,7 +15,9 @@ TI = 1024 * GI
 
 
 def _scaled(n: Column, fmt: str, unit: int) -> Column:
-    return F.format_string(fmt, n.cast("double") / F.lit(float(unit)))
+    # %.1f rounds ties up on the JVM; the published formats round them to even.
+    digits = int(fmt[fmt.index(".") + 1])
+    return F.format_string(fmt, F.bround(n.cast("double") / F.lit(float(unit)), digits))
 
 
 def show_size(n) -> Column:

@@ -120,3 +120,46 @@ def run_lengths(df: DataFrame, groups: Sequence[str], order: Sequence[str], valu
     return ends.select(
         *groups, "run", value, (F.coalesce("_next", "_n") - F.col("_pos")).alias("count")
     )
+
+
+def following(
+    points: DataFrame,
+    series: DataFrame,
+    groups: Sequence[str],
+    key: str,
+    columns: Sequence[str],
+    strict: bool = False,
+    parts: int | None = None,
+) -> DataFrame:
+    """For each point the first row of ``series`` in its group with ``key`` at or after the point's.
+
+    ``strict`` asks for a later key. Adds ``next_<key>`` and ``next_<column>``, null where nothing follows.
+    Both tables are sorted together over range partitions; what a partition cannot answer itself comes
+    from the first series row of a later one, so a hot group is no single task.
+    """
+    wanted = [key, *columns]
+    series_rows = series.select(
+        *groups, key, F.struct(*wanted).alias("_hit"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_point")
+    )
+    point_rows = points.select(
+        *groups, key, F.lit(None).cast(series_rows.schema["_hit"].dataType).alias("_hit"), F.struct(*points.columns).alias("_point")
+    )
+    both = point_rows.unionByName(series_rows)
+    # At an equal key a point sorts before the series rows it may take, or after them when strict.
+    side = F.col("_point").isNull() if not strict else F.col("_hit").isNull()
+    keys = [*groups, key, "_side"]
+    ranged = both.withColumn("_side", side).repartitionByRange(*([parts] if parts else []), *keys)
+    placed = cut_lineage(
+        ranged.sortWithinPartitions(*keys).withColumn("_slot", F.monotonically_increasing_id())
+    ).withColumn("_cell", F.struct(F.shiftright("_slot", 33).alias("p"), *groups))
+    firsts = placed.groupBy("_cell").agg(F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("_slot"))).alias("_lead"))
+    later = (
+        Window.partitionBy(F.struct(F.lit(0), *[F.col(f"_cell.{g}") for g in groups]))
+        .orderBy(F.col("_cell.p").desc())
+        .rowsBetween(*_BEFORE)
+    )
+    carried = firsts.select("_cell", F.last("_lead", ignorenulls=True).over(later).alias("_carry"))
+    inside = Window.partitionBy("_cell").orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("_own", F.last("_hit", ignorenulls=True).over(inside)).filter(F.col("_point").isNotNull())
+    hit = F.coalesce("_own", "_carry")
+    return found.join(carried, "_cell").select("_point.*", *[hit[c].alias(f"next_{c}") for c in wanted])

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from shardframe.plans.registry import QUERIES, Query
 
-MODULES = ["index", "sharding"]
+MODULES = ["function", "index", "sharding", "placement", "catalogue", "allocation", "run"]
 
 for _name in MODULES:
     import_module(f"shardframe.plans.{_name}_queries")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardframe.operators import index, sharding
+from shardframe.operators import index
 from shardframe.operators.ordinal import running
 from shardframe.plans.registry import query, table
 
@@ -53,8 +53,7 @@ def i1(spark, sf):
 @query(
     "i2_select_ranges",
     IDX
-    + """, total AS (SELECT count(*) AS n FROM documents),
-    ids AS (SELECT event_id AS position, user_id AS sample_id FROM events)
+    + """, ids AS (SELECT event_id AS position, user_id AS sample_id FROM events)
     SELECT position, sample_id, path, "begin", "end" FROM ids JOIN named USING (sample_id)""",
 )
 def i2(spark, sf):

@@ -231,7 +231,7 @@ WITH pts AS (
   FROM orders),
 nxt AS (SELECT *, row_number() OVER w - 1 AS stage, coalesce(lead(step) OVER w, 100000000) AS end_step FROM pts
         WINDOW w AS (PARTITION BY job ORDER BY step)),
-conf AS (SELECT c_custkey AS job, s AS size, 2 AS mp, s // 4 AS dp, CASE WHEN s = 8 AND c_custkey % 5 = 0 THEN 3 ELSE 2 END AS pp
+conf AS (SELECT c_custkey AS job, s::BIGINT AS size, 2 AS mp, s::BIGINT // 4 AS dp, CASE WHEN s = 8 AND c_custkey % 5 = 0 THEN 3 ELSE 2 END AS pp
          FROM customer, (VALUES (4), (8), (16)) v(s))
 """
 
