@@ -15,6 +15,7 @@ from shardframe.functions.numbers import as_col, ceil_div, floor_div
 from shardframe.operators import structure as st
 from shardframe.operators.skew import spread_join
 from shardframe.operators.tensors import cut_chunks, item_size, pad_tensors
+from shardframe.session import cut_lineage
 
 # Names in the checkpoints.
 FIRST_STAGE_KEYS = ("embedding",)
@@ -74,16 +75,21 @@ def with_layer(parts: Column, layer: Column) -> Column:
     )
 
 
+def _layer_source(parts: Column, change: Change) -> Column:
+    """Struct ``(pp, parts)`` for a key inside a layer."""
+    place = layer_place(layer_of(parts), "pp", change.n_layers, change.source_pp, change.target_pp)
+    return F.struct(place["source_pp"].alias("pp"), with_layer(parts, place["source_layer"]).alias("parts"))
+
+
+def names_layers(parts: Column) -> Column:
+    """True when a key part names layers."""
+    return F.exists(parts, lambda p: p.contains("layers."))
+
+
 def map_layers(df: DataFrame, change: Change) -> DataFrame:
     """Rows whose key names a layer, with ``source_pp`` and ``source_parts`` (null when left over)."""
-    layered = df.withColumn("_layer", layer_of(F.col("parts"))).filter(F.col("_layer").isNotNull())
-    placed = layered.withColumn(
-        "_place", layer_place("_layer", "pp", change.n_layers, change.source_pp, change.target_pp)
-    )
-    return placed.select(
-        *df.columns, F.col("_place.source_pp").alias("source_pp"),
-        with_layer(F.col("parts"), F.col("_place.source_layer")).alias("source_parts"),
-    )
+    layered = df.filter(names_layers(F.col("parts"))).withColumn("_s", _layer_source(F.col("parts"), change))
+    return layered.select(*df.columns, F.col("_s.pp").alias("source_pp"), F.col("_s.parts").alias("source_parts"))
 
 
 def _has_any(parts: Column, names: tuple[str, ...]) -> Column:
@@ -97,10 +103,8 @@ def stage_of_key(parts: Column, source_pp: int) -> Column:
     )
 
 
-def map_stage_keys(df: DataFrame, change: Change) -> DataFrame:
-    """Rows outside the layers, with ``source_pp`` and ``source_parts``; the tied head reads the embedding."""
-    parts = F.col("parts")
-    outside = df.filter(~F.exists("parts", lambda p: p.contains("layers.")))
+def _stage_source(parts: Column, change: Change) -> Column:
+    """Struct ``(pp, parts)`` for a model key outside the layers; the tied head reads the embedding."""
     head = F.array_position(parts, TIED_HEAD).cast("int")
     tied = F.concat(
         F.slice(parts, F.lit(1), F.greatest(head - 1, F.lit(0))),
@@ -108,17 +112,25 @@ def map_stage_keys(df: DataFrame, change: Change) -> DataFrame:
         F.slice(parts, head + 1, F.size(parts)),
     )
     is_tied = F.array_contains(parts, TIED_HEAD)
-    return outside.select(
-        *df.columns,
-        F.when(is_tied, F.lit(0).cast("bigint")).otherwise(stage_of_key(parts, change.source_pp)).alias("source_pp"),
-        F.when(is_tied, tied).otherwise(parts).alias("source_parts"),
-    )
+    stage = F.when(is_tied, F.lit(0).cast("bigint")).otherwise(stage_of_key(parts, change.source_pp))
+    return F.struct(stage.alias("pp"), F.when(is_tied, tied).otherwise(parts).alias("parts"))
 
 
-def stage_bases(sizes: DataFrame) -> DataFrame:
-    """Running sums of group sizes over stages: adds ``base``; a row per stage and group."""
-    before = Window.partitionBy("group").orderBy("pp").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("pp", "group", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+def map_stage_keys(df: DataFrame, change: Change) -> DataFrame:
+    """Rows outside the layers, with ``source_pp`` and ``source_parts``."""
+    outside = df.filter(~names_layers(F.col("parts"))).withColumn("_s", _stage_source(F.col("parts"), change))
+    return outside.select(*df.columns, F.col("_s.pp").alias("source_pp"), F.col("_s.parts").alias("source_parts"))
+
+
+def stage_bases(sizes: DataFrame, prefix: str) -> DataFrame:
+    """Per stage the size of group 0 and, per group, the sizes of all earlier stages.
+
+    One row per pipeline stage, so the window over all rows is as small as the pipeline is deep.
+    """
+    stages = sizes.groupBy("pp").agg(*[F.sum(F.when(F.col("group") == g, F.col("size"))).alias(f"s{g}") for g in (0, 1)])
+    before = Window.partitionBy(F.lit(0)).orderBy("pp").rowsBetween(Window.unboundedPreceding, -1)
+    bases = [F.coalesce(F.sum(f"s{g}").over(before), F.lit(0)).alias(f"{prefix}base{g}") for g in (0, 1)]
+    return stages.select("pp", F.col("s0").alias(f"{prefix}g0"), *bases)
 
 
 def map_optimizer_keys(
@@ -145,12 +157,11 @@ def map_optimizer_keys(
             "_told": F.when(~is_state, F.try_element_at("parts", n - 1).try_cast("bigint")),
         }
     )
-    decay = target_sizes.filter("`group` = 0").select("pp", F.col("size").alias("_g0"))
-    in_group = keyed.join(decay, "pp", "left").withColumn(
-        "_group", F.when(F.col("_state"), (F.col("_x") >= F.col("_g0")).cast("bigint")).otherwise(F.col("_told"))
+    in_group = keyed.join(stage_bases(target_sizes, "_t"), "pp", "left").withColumn(
+        "_group", F.when(F.col("_state"), (F.col("_x") >= F.col("_tg0")).cast("bigint")).otherwise(F.col("_told"))
     )
     in_group = in_group.withColumn(
-        "_i", F.when(F.col("_state") & (F.col("_group") == 1), F.col("_x") - F.col("_g0")).otherwise(F.col("_x"))
+        "_i", F.when(F.col("_state") & (F.col("_group") == 1), F.col("_x") - F.col("_tg0")).otherwise(F.col("_x"))
     )
     names = target_groups.select(
         "pp", "mp", F.col("group").alias("_group"), F.col("index").alias("_i"), F.col("parts").alias("_name")
@@ -161,28 +172,25 @@ def map_optimizer_keys(
     staged = named.withColumn("_tied", F.coalesce(tied, F.lit(False))).withColumn(
         "source_pp",
         F.when(F.col("_tied"), F.lit(0).cast("bigint"))
-        .when(F.exists("_name", lambda p: p.contains("layers.")), place["source_pp"])
+        .when(names_layers(F.col("_name")), place["source_pp"])
         .otherwise(stage_of_key(F.col("_name"), change.source_pp)),
     )
-    target_base = stage_bases(target_sizes).select("pp", F.col("group").alias("_group"), F.col("base").alias("_tbase"))
-    source_base = stage_bases(source_sizes).select(
-        F.col("pp").alias("source_pp"), F.col("group").alias("_group"), F.col("base").alias("_sbase")
-    )
-    source_decay = source_sizes.filter("`group` = 0").select(F.col("pp").alias("source_pp"), F.col("size").alias("_s0"))
-    sub_path = "/".join(TIED_SOURCE)
-    embedding = (
-        source_groups.filter((F.col("pp") == 0) & (F.col("mp") == 0) & (F.col("group") == 0))
-        .filter(F.concat(F.lit("/"), F.array_join("parts", "/"), F.lit("/")).contains(f"/{sub_path}/"))
-        .agg(F.min("index"))
-        .scalar()
-    )
-    based = (
-        staged.join(target_base, ["pp", "_group"], "left")
-        .join(source_base, ["source_pp", "_group"], "left")
-        .join(source_decay, "source_pp", "left")
-    )
-    local = F.col("_i") + F.col("_tbase") - F.col("_sbase")
-    shift = F.when(F.col("_state") & (F.col("_group") == 1), F.col("_s0")).otherwise(F.lit(0))
+    embedding = F.lit(None).cast("bigint")
+    if change.source_pp == 1:
+        sub_path = "/".join(TIED_SOURCE)
+        embedding = (
+            source_groups.filter((F.col("pp") == 0) & (F.col("mp") == 0) & (F.col("group") == 0))
+            .filter(F.concat(F.lit("/"), F.array_join("parts", "/"), F.lit("/")).contains(f"/{sub_path}/"))
+            .agg(F.min("index"))
+            .scalar()
+        )
+    based = staged.join(stage_bases(source_sizes, "_s").withColumnRenamed("pp", "source_pp"), "source_pp", "left")
+
+    def of_group(prefix: str) -> Column:
+        return F.when(F.col("_group") == 0, F.col(f"{prefix}base0")).when(F.col("_group") == 1, F.col(f"{prefix}base1"))
+
+    local = F.col("_i") + of_group("_t") - of_group("_s")
+    shift = F.when(F.col("_state") & (F.col("_group") == 1), F.col("_sg0")).otherwise(F.lit(0))
     index = F.when(F.col("_tied"), embedding).when(local >= 0, local + shift)
     told = F.col("_x").cast("string")
     new = F.col("_new").cast("string")
@@ -210,49 +218,56 @@ def source_keys(
         .otherwise("none")
     )
     tagged = target.withColumn("_kind", kind)
-    fixed = tagged.filter("_kind = 'same'").select(
-        *target.columns, F.lit(0).cast("bigint").alias("source_pp"), F.col("parts").alias("source_parts")
-    )
-    model = tagged.filter("_kind = 'model'").drop("_kind")
+    parts = F.col("parts")
+    nowhere = F.struct(F.lit(None).cast("bigint").alias("pp"), F.lit(None).cast("array<string>").alias("parts"))
+    by_key = (
+        F.when(F.col("_kind") == "same", F.struct(F.lit(0).cast("bigint").alias("pp"), parts.alias("parts")))
+        .when((F.col("_kind") == "model") & names_layers(parts), _layer_source(parts, change))
+        .when(F.col("_kind") == "model", _stage_source(parts, change))
+        .otherwise(nowhere)
+    )
+    direct = tagged.filter("_kind <> 'optimizer'").withColumn("_s", by_key)
     optimizer = tagged.filter("_kind = 'optimizer'").drop("_kind")
-    unknown = tagged.filter("_kind = 'none'").select(
-        *target.columns, F.lit(None).cast("bigint").alias("source_pp"), F.lit(None).cast("array<string>").alias("source_parts")
-    )
-    # A part that names layers without a number belongs to neither mapping.
-    odd = model.filter(F.exists("parts", lambda p: p.contains("layers.")) & layer_of(F.col("parts")).isNull())
-    odd = odd.withColumn("source_pp", F.lit(None).cast("bigint")).withColumn("source_parts", F.lit(None).cast("array<string>"))
-    mapped = (
-        fixed.unionByName(map_layers(model, change))
-        .unionByName(map_stage_keys(model, change))
-        .unionByName(map_optimizer_keys(optimizer, change, target_groups, target_sizes, source_groups, source_sizes))
-        .unionByName(unknown)
-        .unionByName(odd)
-    )
+    mapped = direct.select(
+        *target.columns, F.col("_s.pp").alias("source_pp"), F.col("_s.parts").alias("source_parts")
+    ).unionByName(map_optimizer_keys(optimizer, change, target_groups, target_sizes, source_groups, source_sizes))
+    # Both results below read it, and so may many consumers.
+    mapped = cut_lineage(mapped)
     known = F.col("source_pp").isNotNull() & F.col("source_parts").isNotNull()
     found = mapped.filter(known).withColumn("source_path", F.array_join("source_parts", "/"))
     return found, mapped.filter(~known).drop("source_pp", "source_parts").withColumn("reason", F.lit("no source key"))
 
 
+def overlap_parts(a: Column, b: Column, src_mp: Column, q: Column) -> Column:
+    """Source parts that target part ``q`` of length ``b`` overlaps: structs ``(source_mp, lo, hi, dst_lo)``."""
+    first = floor_div(q * b, a)
+    last = F.least(floor_div((q + 1) * b - 1, a), src_mp - 1)
+    ranks = F.when((b > 0) & (a > 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    def one(r: Column) -> Column:
+        start, stop = F.greatest(q * b, r * a), F.least((q + 1) * b, (r + 1) * a)
+        return F.struct(
+            r.alias("source_mp"), (start - r * a).alias("lo"), (stop - r * a).alias("hi"), (start - q * b).alias("dst_lo")
+        )
+
+    return F.transform(ranks, one)
+
+
+def missing_rows(a: Column, b: Column, src_mp: Column, q: Column) -> Column:
+    """Rows of the target part that lie beyond all source parts."""
+    return b - F.greatest(F.lit(0).cast("bigint"), F.least((q + 1) * b, src_mp * a) - q * b)
+
+
 def overlap_ranges(df: DataFrame, src_dim: str, dst_dim: str, src_mp, dst_rank: str) -> DataFrame:
     """Explode each target part into the overlapping source parts: ``(…, source_mp, lo, hi, dst_lo, pad)``.
 
-    ``pad`` is the number of target rows that no source part holds; such rows without any part keep one
-    row with null ranges.
+    ``pad`` is the number of target rows that no source part holds; a target part without any source part
+    keeps one row with null ranges.
     """
-    a, b, q = F.col(src_dim), F.col(dst_dim), F.col(dst_rank)
-    src_mp = as_col(src_mp).cast("bigint")
-    first = floor_div(q * b, a)
-    last = F.least(floor_div((q + 1) * b - 1, a), src_mp - 1)
-    ranks = F.when((b > 0) & (a > 0) & (first <= last), F.sequence(first, last))
-    found = F.greatest(F.lit(0).cast("bigint"), F.least((q + 1) * b, src_mp * a) - q * b)
-    parts = df.withColumn("pad", b - found).withColumn("source_mp", F.explode_outer(ranks))
-    start = F.greatest(q * b, F.col("source_mp") * a)
-    stop = F.least((q + 1) * b, (F.col("source_mp") + 1) * a)
-    return (
-        parts.withColumn("lo", start - F.col("source_mp") * a)
-        .withColumn("hi", stop - F.col("source_mp") * a)
-        .withColumn("dst_lo", start - q * b)
-    )
+    box = [F.col(src_dim), F.col(dst_dim), as_col(src_mp).cast("bigint"), F.col(dst_rank)]
+    return df.select(
+        *df.columns, missing_rows(*box).alias("pad"), F.explode_outer(overlap_parts(*box)).alias("_o")
+    ).select(*df.columns, "_o.source_mp", "_o.lo", "_o.hi", "_o.dst_lo", "pad")
 
 
 def transfer_plan(target: DataFrame, source_shapes: DataFrame, change: Change) -> tuple[DataFrame, DataFrame]:
@@ -266,39 +281,46 @@ def transfer_plan(target: DataFrame, source_shapes: DataFrame, change: Change) -
         F.col("pp").alias("source_pp"), F.col("path").alias("source_path"), F.col("shape").alias("source_shape")
     )
     joined = target.join(shapes, ["source_pp", "source_path"], "left")
-    differ = F.expr("filter(transform(shape, (s, i) -> if(s <> source_shape[i], i, -1)), i -> i >= 0)")
     equal = F.col("shape") == F.col("source_shape")
     same_rank = F.size("shape") == F.size("source_shape")
-    marked = joined.withColumn("_dims", F.when(same_rank & ~equal, differ))
+    differ = F.expr("filter(transform(shape, (s, i) -> if(s <> source_shape[i], i, -1)), i -> i >= 0)")
+    sized = joined.withColumn("_dims", F.when(same_rank & ~equal, differ)).withColumn(
+        "dim", F.coalesce(F.try_element_at("_dims", F.lit(1)), F.lit(0)).cast("bigint")
+    )
+    sized = sized.withColumn("_a", F.expr("get(source_shape, int(dim))")).withColumn("_b", F.expr("get(shape, int(dim))"))
+    box = [F.col("_a"), F.col("_b"), F.lit(change.source_mp).cast("bigint"), F.col("mp")]
+    sized = sized.withColumn("_pad", F.when(same_rank & ~equal, missing_rows(*box)))
     reason = (
         F.when(F.col("source_shape").isNull(), "no source tensor")
         .when(~same_rank, "rank mismatch")
         .when(F.size("_dims") > 1, "several unequal dimensions")
+        .when((F.col("_pad") > 0) & (F.col("dim") > 0), "only the leading dimension can grow")
     )
-    marked = marked.withColumn("reason", reason)
-    base = ["rank", "pp", "mp", "dp", "path", "shape", "source_pp", "source_path", "source_shape"]
-    sound = marked.filter(F.col("reason").isNull())
-    zero = F.lit(0).cast("bigint")
-    source_mp = F.col("mp") if change.source_mp == change.target_mp else zero
-    copies = sound.filter(equal).select(
-        *base, F.lit("replicate").alias("action"), source_mp.cast("bigint").alias("source_mp"),
-        zero.alias("dim"), zero.alias("lo"), F.coalesce(F.try_element_at("shape", F.lit(1)), F.lit(1)).alias("hi"), zero.alias("dst_lo"),
-    )
-    cut = sound.filter(~equal).withColumn("dim", F.col("_dims")[0].cast("bigint"))
-    cut = cut.withColumn("_a", F.expr("source_shape[int(dim)]")).withColumn("_b", F.expr("shape[int(dim)]"))
-    parts = overlap_ranges(cut, "_a", "_b", change.source_mp, "mp")
-    unpadded = (F.col("pad") == 0) | (F.col("dim") == 0)
-    moves = parts.filter(unpadded & F.col("source_mp").isNotNull()).select(
-        *base, F.lit("repartition").alias("action"), "source_mp", "dim", "lo", "hi", "dst_lo"
-    )
-    pads = parts.filter(unpadded & (F.col("pad") > 0) & (F.col("source_mp").isNull() | (F.col("dst_lo") == 0))).select(
-        *base, F.lit("pad").alias("action"), F.lit(None).cast("bigint").alias("source_mp"), "dim", zero.alias("lo"),
-        F.col("pad").alias("hi"), (F.col("_b") - F.col("pad")).alias("dst_lo"),
-    )
-    bad = marked.filter(F.col("reason").isNotNull()).select("rank", "path", "source_path", "reason")
-    grown = parts.filter(~unpadded).select("rank", "path", "source_path").distinct()
-    plan = copies.unionByName(moves).unionByName(pads)
-    return plan, bad.unionByName(grown.withColumn("reason", F.lit("only the leading dimension can grow")))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+
+    def action(name: str, source_mp: Column, lo: Column, hi: Column, dst_lo: Column) -> Column:
+        fields = {"source_mp": source_mp, "lo": lo, "hi": hi, "dst_lo": dst_lo}
+        return F.struct(F.lit(name).alias("action"), *[c.cast("bigint").alias(n) for n, c in fields.items()])
+
+    whole = F.coalesce(F.try_element_at("shape", F.lit(1)), F.lit(1))
+    copy = action("replicate", F.col("mp") if change.source_mp == change.target_mp else zero, zero, whole, zero)
+    moves = F.transform(
+        overlap_parts(*box), lambda o: action("repartition", o["source_mp"], o["lo"], o["hi"], o["dst_lo"])
+    )
+    pad = action("pad", none, zero, F.col("_pad"), F.col("_b") - F.col("_pad"))
+    steps = (
+        F.when(F.col("reason").isNotNull(), F.array(action("error", none, none, none, none)))
+        .when(equal, F.array(copy))
+        .when(F.col("_pad") > 0, F.concat(moves, F.array(pad)))
+        .otherwise(moves)
+    )
+    planned = sized.withColumn("reason", reason).withColumn("_step", F.explode(steps)).select(
+        "rank", "pp", "mp", "dp", "path", "shape", "source_pp", "source_path", "source_shape",
+        "_step.action", "_step.source_mp", "dim", "_step.lo", "_step.hi", "_step.dst_lo", "reason",
+    )
+    planned = cut_lineage(planned)
+    bad = planned.filter("action = 'error'").select("rank", "path", "source_path", "reason")
+    return planned.filter("action <> 'error'").drop("reason"), bad
 
 
 def apply_plan(tensors: DataFrame, plan: DataFrame) -> DataFrame:

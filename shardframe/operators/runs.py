@@ -53,7 +53,7 @@ def step_times(logs: DataFrame) -> DataFrame:
 
     The first file of a run (by name) that is not an error decides. One iteration alone gives null.
     """
-    ms = capture("text", STEP_MS).cast("double")
+    ms = capture("text", STEP_MS).try_cast("double")
     files = logs.groupBy("run_id", "file").agg(
         F.bool_or(F.col("text").contains(OOM_MARKER)).alias("oom"),
         F.count(ms).alias("n"),
@@ -77,7 +77,7 @@ def throughput(logs: DataFrame) -> DataFrame:
         failed = failed | F.col("text").contains(marker)
     kv = kv_map("text")
     rate = F.when(
-        F.col("text").contains(STEP_LINE), kv[BATCH_KEY].cast("double") / kv[STEP_MS_KEY].cast("double") * 1000
+        F.col("text").contains(STEP_LINE), kv[BATCH_KEY].try_cast("double") / F.nullif(kv[STEP_MS_KEY].try_cast("double"), F.lit(0.0)) * 1000
     )
     runs = logs.groupBy("run_id").agg(F.bool_or(failed).alias("failed"), F.avg(rate).alias("rate"))
     return runs.select("run_id", F.when(F.col("failed"), F.lit(0.0)).otherwise(F.col("rate")).alias("throughput"))
@@ -87,13 +87,13 @@ def parse_run_id(df: DataFrame, column: str = "run_id") -> DataFrame:
     """Degrees and experiment settings from a run name, null where the name has none."""
 
     def number(pattern: str, group: int) -> Column:
-        return capture(column, pattern, group).cast("bigint")
+        return capture(column, pattern, group).try_cast("bigint")
 
     cluster, pp, mp = number(RUN_NAME, 4), number(RUN_NAME, 5), number(RUN_NAME, 6)
     return df.select(
         "*",
         F.coalesce(number(RUN_DEGREES, 1), mp).alias("mp"),
-        F.coalesce(number(RUN_DEGREES, 2), F.floor(cluster / (pp * mp)).cast("bigint")).alias("dp"),
+        F.coalesce(number(RUN_DEGREES, 2), F.floor(cluster / F.nullif(pp * mp, F.lit(0))).cast("bigint")).alias("dp"),
         F.coalesce(number(RUN_DEGREES, 3), pp).alias("pp"),
         capture(column, RUN_NAME, 1).alias("model"),
         capture(column, RUN_NAME, 2).alias("model_size"),
@@ -205,7 +205,7 @@ def smooth(df: DataFrame, window: int, order: int, value: str = "value", along:
 def marker_latency(logs: DataFrame, begin: str, end: str, by: str = "file") -> DataFrame:
     """Time from the first ``begin`` capture to the first ``end`` capture on a later line; null when missing."""
     lines = logs.select(
-        by, "line_no", capture("text", begin).cast("double").alias("a"), capture("text", end).cast("double").alias("b")
+        by, "line_no", capture("text", begin).try_cast("double").alias("a"), capture("text", end).try_cast("double").alias("b")
     )
     firsts = lines.groupBy(by).agg(
         F.min_by("a", F.when(F.col("a").isNotNull(), F.col("line_no"))).alias("begin_time"),
@@ -222,7 +222,7 @@ def marker_latency(logs: DataFrame, begin: str, end: str, by: str = "file") -> D
 def marker_gaps(logs: DataFrame, begin: str, end: str, by: str = "file") -> DataFrame:
     """Every ``begin`` capture with the next later ``end`` capture of the same file or run."""
     lines = logs.select(
-        by, "line_no", capture("text", begin).cast("double").alias("a"), capture("text", end).cast("double").alias("b")
+        by, "line_no", capture("text", begin).try_cast("double").alias("a"), capture("text", end).try_cast("double").alias("b")
     )
     starts = lines.filter(F.col("a").isNotNull()).select(by, "line_no", F.col("a").alias("begin_time"))
     ends = lines.filter(F.col("b").isNotNull()).select(by, "line_no", F.col("b").alias("time"))
@@ -234,7 +234,7 @@ def marker_gaps(logs: DataFrame, begin: str, end: str, by: str = "file") -> Data
 
 def extract_first(logs: DataFrame, pattern: str, by: str = "file") -> DataFrame:
     """First captured number per log, null when it never occurs."""
-    number = capture("text", pattern).cast("double")
+    number = capture("text", pattern).try_cast("double")
     return logs.groupBy(by).agg(F.min_by(number, F.when(number.isNotNull(), F.col("line_no"))).alias("value"))
 
 
@@ -283,8 +283,8 @@ def parse_losses(logs: DataFrame) -> DataFrame:
         "run_id",
         "file",
         "line_no",
-        F.regexp_extract("text", LOSS_LINE, 1).cast("bigint").alias("step"),
-        F.regexp_extract("text", LOSS_LINE, 2).cast("double").alias("loss"),
+        F.regexp_extract("text", LOSS_LINE, 1).try_cast("bigint").alias("step"),
+        F.regexp_extract("text", LOSS_LINE, 2).try_cast("double").alias("loss"),
     )
 
 

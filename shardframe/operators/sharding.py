@@ -91,8 +91,8 @@ def parse_runs(df: DataFrame, column: str) -> DataFrame:
     return lines.select(
         *[c for c in df.columns if c != column],
         F.col("_run").cast("bigint").alias("run"),
-        F.split("_line", " ")[0].cast("bigint").alias("batch_size"),
-        F.split("_line", " ")[1].cast("bigint").alias("count"),
+        F.split("_line", " ")[0].try_cast("bigint").alias("batch_size"),
+        F.try_element_at(F.split("_line", " "), F.lit(2)).try_cast("bigint").alias("count"),
     )
 
 

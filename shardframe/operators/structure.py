@@ -140,8 +140,8 @@ def layer_map(files: DataFrame) -> DataFrame:
     """Per ``(config_id, rank)`` of ``files(config_id, rank, path)``: tensor-parallel rank and layer numbers."""
     named = files.filter(F.col("path").rlike(LAYER_FILE)).select(
         "config_id", "rank",
-        F.regexp_extract("path", LAYER_FILE, 1).cast("bigint").alias("layer"),
-        F.regexp_extract("path", LAYER_FILE, 2).cast("bigint").alias("mp"),
+        F.regexp_extract("path", LAYER_FILE, 1).try_cast("bigint").alias("layer"),
+        F.regexp_extract("path", LAYER_FILE, 2).try_cast("bigint").alias("mp"),
     )
     # A list holds the layers of one rank, so it is as short as the model is deep.
     return named.groupBy("config_id", "rank").agg(F.max("mp").alias("mp"), F.array_sort(F.collect_set("layer")).alias("layers"))
@@ -162,7 +162,7 @@ def group_sizes(structure: DataFrame, rank_map: DataFrame, precision: str) -> Da
     lists = state_lists(structure).filter(F.col("path").rlike(pattern))
     first = rank_map.filter("mp = 0 AND dp = 0").select("config_id", "rank", "pp")
     return lists.join(first, ["config_id", "rank"]).select(
-        "config_id", "pp", F.regexp_extract("path", pattern, 1).cast("bigint").alias("group"), F.col("length").alias("size")
+        "config_id", "pp", F.regexp_extract("path", pattern, 1).try_cast("bigint").alias("group"), F.col("length").alias("size")
     )
 
 
