@@ -6,7 +6,7 @@ from importlib import import_module
 
 from shardframe.plans.registry import QUERIES, Query
 
-MODULES = ["function", "index", "sharding", "placement", "catalogue", "allocation", "run", "tensor", "structure", "reshard"]
+MODULES = ["function", "index", "sharding", "placement", "catalogue", "allocation", "run", "tensor", "structure", "reshard", "file", "stream"]
 
 for _name in MODULES:
     import_module(f"shardframe.plans.{_name}_queries")

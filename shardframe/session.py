@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, unique across drivers."""
-    token = spark.range(1).selectExpr("uuid() AS u").first()["u"]
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{token}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
