@@ -359,11 +359,11 @@ def apply_plan(tensors: DataFrame, plan: DataFrame) -> DataFrame:
     return moved.unionByName(zeros.select(*moved.columns))
 
 
-def carry_values(target_values: DataFrame, source_values: DataFrame) -> tuple[DataFrame, DataFrame]:
+def carry_values(target_values: DataFrame, source_values: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Values for ``target_values(rank, path)`` from ``source_values(pp, mp, dp, path, dtype, value)``.
 
-    The value of rank (0, 0, 0) is taken, or of the first rank that has the path. Returns the values and
-    the paths on which source ranks differ.
+    The value of rank (0, 0, 0) is taken, or of the first rank that has the path. Returns the values, the
+    paths on which source ranks differ, and the target rows that no source rank has.
     """
     first = source_values.groupBy("path").agg(
         F.min_by(F.struct("dtype", "value"), F.struct("pp", "mp", "dp")).alias("v"),
@@ -374,7 +374,13 @@ def carry_values(target_values: DataFrame, source_values: DataFrame) -> tuple[Da
     differs = first.filter(~F.col("a").eqNullSafe(F.col("b"))).select(
         "path", F.col("a.value").alias("least"), F.col("b.value").alias("greatest")
     )
-    return carried, differs
+    return carried, differs, target_values.join(first.select("path"), "path", "left_anti")
+
+
+def param_pattern(precision: str) -> str:
+    """Paths of parameter indices: groups (group, position)."""
+    root = "optimizer/optimizer" if precision == "fp16" else "optimizer"
+    return rf"^{root}/param_groups/(\d+)/params/(\d+)$"
 
 
 def renumber_params(values: DataFrame, decay_sizes: DataFrame, precision: str) -> DataFrame:
@@ -382,8 +388,7 @@ def renumber_params(values: DataFrame, decay_sizes: DataFrame, precision: str) -
 
     ``values(rank, pp, path, …, value)``, ``decay_sizes(pp, size)``: group-0 size per target stage.
     """
-    root = "optimizer/optimizer" if precision == "fp16" else "optimizer"
-    pattern = rf"^{root}/param_groups/(\d+)/params/(\d+)$"
+    pattern = param_pattern(precision)
     group = F.regexp_extract("path", pattern, 1).try_cast("bigint")
     index = F.regexp_extract("path", pattern, 2).try_cast("bigint")
     joined = values.join(decay_sizes.select("pp", F.col("size").alias("_size")), "pp", "left")
@@ -531,13 +536,20 @@ def migrate_state(source: State, target: State, change: Change, step: int) -> di
     wanted = everywhere(st.state_leaves(target.structure)[1]).select("rank", "pp", "path")
     # The numpy random state is a tensor in the source and moves with the tensors.
     wanted = wanted.filter(~F.col("path").contains("np_rng_state/1"))
-    carried, differs = carry_values(wanted, source.values.join(places, "rank"))
-    values = renumber_params(carried, sizes.select("pp", "size"), change.precision)
-    params = F.col("path").contains("/params/")
-    differing = differs.filter(~params).select(
-        F.lit(None).cast("bigint").alias("rank"), "path", F.lit(None).cast("string").alias("source_path"),
-        F.lit("source ranks differ").alias("reason"),
+    # Parameter indices are made anew, whatever the source lists hold; all other values are carried.
+    is_param = F.col("path").rlike(param_pattern(change.precision))
+    params = renumber_params(
+        wanted.filter(is_param).select("*", F.lit("int").alias("dtype"), F.lit("0").alias("value")), sizes.select("pp", "size"), change.precision
+    )
+    carried, differs, missing = carry_values(
+        wanted.filter(~is_param), source.values.filter(~is_param).join(places, "rank")
+    )
+    values = carried.unionByName(params)
+    no_path = F.lit(None).cast("string").alias("source_path")
+    differing = differs.select(
+        F.lit(None).cast("bigint").alias("rank"), "path", no_path, F.lit("source ranks differ").alias("reason")
     )
+    absent = missing.select("rank", "path", no_path, F.lit("no source value").alias("reason"))
     lists = everywhere(st.state_lists(target.structure)).select("rank", "path", "length")
     return {
         "tensors": apply_plan(stored, plan),
@@ -545,5 +557,5 @@ def migrate_state(source: State, target: State, change: Change, step: int) -> di
         "lists": lists,
         "step": ranks.select("rank", F.lit(step).cast("bigint").alias("step")),
         "plan": plan,
-        "violations": violations.unionByName(differing),
+        "violations": violations.unionByName(differing).unionByName(absent),
     }
