@@ -18,6 +18,21 @@ _BEFORE = (Window.unboundedPreceding, -1)
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+# Cell tables up to this many rows are broadcast, larger ones joined by shuffle.
+BROADCAST_CELLS = 100_000
+
+
+def _small(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Hint a table of one row per (range partition, group) by its counted size.
+
+    Without groups it has a row per partition and needs no count.
+    """
+    if not groups:
+        return F.broadcast(cells)
+    stored = cut_lineage(cells)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_CELLS else stored
+
+
 def running(
     df: DataFrame,
     order: Sequence[str],
@@ -57,7 +72,7 @@ def running(
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums],
         *([F.sum("_rows").over(in_group.rowsBetween(*_ALL)).alias(total)] if total else []),
     )
-    joined = placed.join(bases, "_cell")
+    joined = placed.join(_small(bases, groups), "_cell")
     inside = Window.partitionBy("_cell").orderBy("_slot").rowsBetween(*_BEFORE)
     return joined.select(
         *df.columns,
@@ -162,4 +177,4 @@ def following(
     inside = Window.partitionBy("_cell").orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
     found = placed.withColumn("_own", F.last("_hit", ignorenulls=True).over(inside)).filter(F.col("_point").isNotNull())
     hit = F.coalesce("_own", "_carry")
-    return found.join(carried, "_cell").select("_point.*", *[hit[c].alias(f"next_{c}") for c in wanted])
+    return found.join(_small(carried, groups), "_cell").select("_point.*", *[hit[c].alias(f"next_{c}") for c in wanted])

@@ -55,15 +55,16 @@ def failure_impact(items: DataFrame, copies: DataFrame, failed: DataFrame) -> Da
 
 
 def placement_diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("host", "port", "item")) -> DataFrame:
-    """Rows of both snapshots tagged ``only_left``, ``only_right`` or ``common`` (rows of the left)."""
+    """Distinct rows of both snapshots tagged ``only_left``, ``only_right`` or ``common``, with their counts.
+
+    Equal rows are counted before they meet, so a placement that repeats often is one row in the join.
+    """
     keys = list(keys)
-    a, b = left.select(*keys), right.select(*keys)
-    tagged = [
-        a.join(b.distinct(), keys, "left_anti").withColumn("side", F.lit("only_left")),
-        b.join(a.distinct(), keys, "left_anti").withColumn("side", F.lit("only_right")),
-        a.join(b.distinct(), keys, "left_semi").withColumn("side", F.lit("common")),
-    ]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = left.select(*keys, one.alias("l"), zero.alias("r")).unionByName(right.select(*keys, zero.alias("l"), one.alias("r")))
+    counts = both.groupBy(*keys).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    side = F.when(F.col("n_right") == 0, "only_left").when(F.col("n_left") == 0, "only_right").otherwise("common")
+    return counts.withColumn("side", side)
 
 
 def placement_relation(left: DataFrame, right: DataFrame, order: str, keys: Sequence[str] = ("host", "port", "item")) -> DataFrame:
@@ -74,7 +75,7 @@ def placement_relation(left: DataFrame, right: DataFrame, order: str, keys: Sequ
     equal = a.join(b, "_at", "full_outer").agg(
         F.coalesce(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))), F.lit(True)).alias("equal")
     )
-    common = left.select(*keys).join(right.select(*keys).distinct(), keys, "left_semi").agg(F.count(F.lit(1))).scalar()
+    common = placement_diff(left, right, keys).filter("side = 'common'").agg(F.count(F.lit(1))).scalar()
     return equal.withColumn("disjoint", common == 0)
 
 

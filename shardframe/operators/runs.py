@@ -43,6 +43,11 @@ def kv_map(text) -> Column:
     return F.map_from_entries(last)
 
 
+def kv_value(text, key: str) -> Column:
+    """One key's value of such a line without building the map; null where it is absent."""
+    return capture(text, rf"^(?:.*\|)?\s*\Q{key}\E\s*:\s*([^|:]*?)\s*(?:\|.*)?$")
+
+
 def parse_kv_lines(logs: DataFrame) -> DataFrame:
     """Add the ``kv`` map to every line."""
     return logs.withColumn("kv", kv_map("text"))
@@ -75,10 +80,8 @@ def throughput(logs: DataFrame) -> DataFrame:
     failed = F.lit(False)
     for marker in ERROR_MARKERS:
         failed = failed | F.col("text").contains(marker)
-    kv = kv_map("text")
-    rate = F.when(
-        F.col("text").contains(STEP_LINE), kv[BATCH_KEY].try_cast("double") / F.nullif(kv[STEP_MS_KEY].try_cast("double"), F.lit(0.0)) * 1000
-    )
+    batch, ms = (kv_value("text", key).try_cast("double") for key in (BATCH_KEY, STEP_MS_KEY))
+    rate = F.when(F.col("text").contains(STEP_LINE), batch / F.nullif(ms, F.lit(0.0)) * 1000)
     runs = logs.groupBy("run_id").agg(F.bool_or(failed).alias("failed"), F.avg(rate).alias("rate"))
     return runs.select("run_id", F.when(F.col("failed"), F.lit(0.0)).otherwise(F.col("rate")).alias("throughput"))
 
@@ -114,7 +117,8 @@ def merge_series(*series: DataFrame) -> DataFrame:
     merged = series[0]
     for other in series[1:]:
         merged = merged.unionByName(other)
-    return running(merged, ["wall_time", "step", "value"], position="point")
+    ties = [c for c in merged.columns if c not in ("wall_time", "step")]
+    return running(merged, ["wall_time", "step", *ties], position="point")
 
 
 def zero_time(df: DataFrame, scope: str = "run") -> DataFrame:

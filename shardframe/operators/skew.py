@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_COPY = 500_000
+# Most keys that are salted, and so the size of what is broadcast.
+MAX_HOT_KEYS = 10_000
 
 
 def spread_join(
@@ -20,17 +22,21 @@ def spread_join(
 ) -> DataFrame:
     """Join ``big`` (many rows per key) to ``small`` (few rows per key).
 
-    Keys with more than ``rows_per_copy`` rows are salted: the big side by a hash of ``spread_by``, the
-    small side by copying its rows once per salt. All other keys keep salt 0. The list of hot keys has
-    at most ``count(big) / rows_per_copy`` rows; no hint is given, so AQE broadcasts it by its real size.
+    The hottest keys above ``rows_per_copy`` rows, at most MAX_HOT_KEYS, are salted: the big side by a hash
+    of ``spread_by``, the small side by copying its rows once per salt. All other keys keep salt 0. The
+    list of hot keys is broadcast, so the wide rows are shuffled once, by key and salt.
     """
     keys = list(keys)
+    # The order is total, so both uses below see the same keys.
     hot = (
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows_per_copy)
+        .orderBy(F.col("_rows").desc(), *keys)
+        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_rows") / rows_per_copy).cast("int").alias("_copies"))
     )
+    hot = F.broadcast(hot)
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     salted = big.join(hot, keys, "left").select(
         *big.columns, F.pmod(F.xxhash64(*spread_by), copies).cast("int").alias("_salt")

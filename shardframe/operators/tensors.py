@@ -285,13 +285,12 @@ def decode_array(dtype: str, data: Column | str = "data") -> Column:
 def decode_elements(df: DataFrame, dtype: str) -> DataFrame:
     """Element rows ``(…, at, value)`` of the tensors of one type; ``at`` is the global index per dimension."""
     keep = other_columns(df)
+    # Strides are made once per chunk, so an element costs one division per dimension.
+    strides = F.expr("transform(chunk_shape, (s, d) -> aggregate(slice(chunk_shape, d + 2, size(chunk_shape)), 1L, (a, x) -> a * x))")
     cells = df.filter(F.col("dtype") == dtype).select(
-        *keep, "chunk_offset", "chunk_shape", F.posexplode(decode_array(dtype)).alias("_i", "value")
-    )
-    at = F.expr(
-        """transform(chunk_shape, (s, d) -> chunk_offset[d]
-             + (_i div aggregate(slice(chunk_shape, d + 2, size(chunk_shape)), 1L, (a, x) -> a * x)) % s)"""
+        *keep, "chunk_offset", "chunk_shape", strides.alias("_strides"), F.posexplode(decode_array(dtype)).alias("_i", "value")
     )
+    at = F.expr("transform(chunk_offset, (o, d) -> o + (_i div _strides[d]) % chunk_shape[d])")
     return cells.select(*keep, at.alias("at"), "value")
 
 

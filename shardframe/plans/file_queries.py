@@ -300,8 +300,8 @@ LOG_LINES = """WITH t AS (SELECT *, CASE event_type WHEN 'signup' THEN printf('F
       row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line_no, text FROM t""",
 )
 def s14(spark, sf):
-    # Small blocks, so that lines cross them.
-    return logs.read_logs(spark, f"{log_files(spark, sf)}/*/*.log", block=1000)
+    # Blocks of a few pages, so that large logs span several.
+    return logs.read_logs(spark, f"{log_files(spark, sf)}/*/*.log", block=1 << 14)
 
 
 @query(

@@ -79,9 +79,10 @@ def snapshots(spark, sf):
 @query(
     "p5_placement_diff",
     SNAPSHOTS
-    + """SELECT host, port, item, 'only_left' AS side FROM l WHERE (host, port, item) NOT IN (SELECT (host, port, item) FROM r)
-    UNION ALL SELECT host, port, item, 'only_right' FROM r WHERE (host, port, item) NOT IN (SELECT (host, port, item) FROM l)
-    UNION ALL SELECT host, port, item, 'common' FROM l WHERE (host, port, item) IN (SELECT (host, port, item) FROM r)""",
+    + """SELECT host, port, item, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right,
+      CASE WHEN b.n IS NULL THEN 'only_left' WHEN a.n IS NULL THEN 'only_right' ELSE 'common' END AS side
+    FROM (SELECT host, port, item, count(*) AS n FROM l GROUP BY ALL) a
+    FULL OUTER JOIN (SELECT host, port, item, count(*) AS n FROM r GROUP BY ALL) b USING (host, port, item)""",
 )
 def p5(spark, sf):
     return placement.placement_diff(*snapshots(spark, sf))

@@ -208,7 +208,16 @@ def r8(spark, sf):
     plan, _ = reshard.plan_migration(source, target, ck.change_of(spark, sf))
     stored = source.tensors.join(source.rank_map.filter("dp = 0").select("rank", "pp", "mp"), "rank")
     moved = reshard.apply_plan(stored, plan)
-    rows = tensors.decode_elements(moved, "f32").groupBy("rank", "path", F.col("at")[0].alias("line"))
+    # Rows are summed inside their chunk; only column pieces of a row meet in the aggregate.
+    decoded = moved.select("rank", "path", "chunk_offset", "chunk_shape", tensors.decode_array("f32").alias("_v"))
+    stride = "aggregate(slice(chunk_shape, 2, size(chunk_shape)), 1L, (a, x) -> a * x)"
+    sums = F.expr(
+        "transform(sequence(0L, chunk_shape[0] - 1), r -> aggregate(slice(_v, int(r * _w) + 1, int(_w)), 0D, (a, x) -> a + x))"
+    )
+    lines = decoded.withColumn("_w", F.expr(stride)).select(
+        "rank", "path", F.col("chunk_offset")[0].alias("_at"), F.posexplode(sums).alias("_r", "value")
+    )
+    rows = lines.groupBy("rank", "path", (F.col("_at") + F.col("_r")).alias("line"))
     # Adding 0 turns a rounded -0.0 into 0.0.
     return rows.agg((F.round(F.sum("value"), 5) + F.lit(0.0)).alias("total"))
 
@@ -279,7 +288,8 @@ def r12(spark, sf):
     source, target = both(spark, sf, data=True)
     out = reshard.migrate_state(source, target, ck.change_of(spark, sf), 50)
     one = F.count(F.lit(1))
-    moved = tensors.decode_elements(out["tensors"], "f32").groupBy("rank").agg(
+    chunk_sum = F.aggregate(tensors.decode_array("f32"), F.lit(0.0), lambda a, x: a + x)
+    moved = out["tensors"].select("rank", "path", chunk_sum.alias("value")).groupBy("rank").agg(
         F.countDistinct("path").alias("n"), F.round(F.sum("value"), 4).alias("total")
     )
     values = out["values"].groupBy("rank").agg(one.alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))

@@ -147,7 +147,7 @@ def metrics(spark, sf):
 @query(
     "l5_merge_series",
     SERIES
-    + """SELECT run_id, step, round(wall_time, 3) AS wall_time, value, row_number() OVER (ORDER BY wall_time, step, value) - 1 AS point
+    + """SELECT run_id, step, round(wall_time, 3) AS wall_time, value, row_number() OVER (ORDER BY wall_time, step) - 1 AS point
     FROM m WHERE run_id <> 'view'""",
 )
 def l5(spark, sf):

@@ -227,7 +227,7 @@ def d13(spark, sf):
 JOBS = """
 WITH pts AS (
   SELECT o_custkey AS job, o_orderkey AS step,
-         (CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 4 WHEN '3' THEN 8 WHEN '4' THEN 12 ELSE 16 END) AS size
+         (CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 4 WHEN '3' THEN 8 WHEN '4' THEN 12 ELSE 16 END)::BIGINT AS size
   FROM orders),
 nxt AS (SELECT *, row_number() OVER w - 1 AS stage, coalesce(lead(step) OVER w, 100000000) AS end_step FROM pts
         WINDOW w AS (PARTITION BY job ORDER BY step)),

@@ -11,7 +11,8 @@ from shardframe.plans.registry import query, table
 def documents(spark, sf):
     """``(config_id, rank, json)``: a structure per order with keys that do not sort."""
     c = F.col
-    return table(spark, sf, "orders").select(
+    # Reading a document costs far more than moving it, and one table file is one scan task.
+    return table(spark, sf, "orders").repartition("o_orderkey").select(
         c("o_orderstatus").alias("config_id"),
         c("o_orderkey").alias("rank"),
         F.format_string(

@@ -24,6 +24,7 @@ from shardframe.sources.files import filesystem, list_files, open_file, spread_b
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = 12, 4
+CHECK_BYTES = 4 << 20
 
 _LANE = 64
 
@@ -55,42 +56,84 @@ def _advance_table(zeros: int) -> np.ndarray:
     return _advance(_advance(inputs, zeros // 2), zeros // 2)
 
 
-def crc32c(data: bytes) -> int:
-    """CRC-32C; the bytes are cut into lanes that numpy runs side by side and then folds."""
+def crc32c_many(texts: list[bytes]) -> list[int]:
+    """CRC-32C of each text.
+
+    Texts are cut into lanes of 64 bytes, numpy runs the lanes of all texts side by side, and the lanes of a
+    text are folded pairwise. Leading zeros do not change a register that starts at 0, so lanes are filled
+    up in front; the usual start value is the same as flipping the first four bytes.
+    """
     table = _table()
-    n = len(data)
-    if n < 8 * _LANE:
-        crc = 0xFFFFFFFF
-        lookup = table.tolist()
-        for byte in data:
-            crc = lookup[(crc ^ byte) & 255] ^ (crc >> 8)
-        return crc ^ 0xFFFFFFFF
-    # Leading zeros do not change a register that starts at 0, so lanes are filled up in front.
-    lanes = 1 << (-(-n // _LANE) - 1).bit_length()
-    filled = np.zeros(lanes * _LANE, np.uint8)
-    filled[-n:] = np.frombuffer(data, np.uint8)
-    filled[-n : len(filled) - n + 4] ^= 0xFF
-    columns = np.ascontiguousarray(filled.reshape(lanes, _LANE).T).astype(np.uint32)
-    crc = np.zeros(lanes, np.uint32)
-    for column in columns:
-        crc = table[(crc ^ column) & 255] ^ (crc >> 8)
-    width = _LANE
-    while len(crc) > 1:
-        crc = _advance(crc[0::2], width) ^ crc[1::2]
-        width *= 2
-    return int(crc[0]) ^ 0xFFFFFFFF
+    sums = [0] * len(texts)
+    by_lanes: dict[int, list[int]] = {}
+    for i, data in enumerate(texts):
+        if len(data) < 4:
+            crc = 0xFFFFFFFF
+            for byte in data:
+                crc = int(table[(crc ^ byte) & 255]) ^ (crc >> 8)
+            sums[i] = crc ^ 0xFFFFFFFF
+        else:
+            by_lanes.setdefault(1 << (-(-len(data) // _LANE) - 1).bit_length(), []).append(i)
+    for lanes, members in by_lanes.items():
+        width = lanes * _LANE
+        filled = np.zeros((len(members), width), np.uint8)
+        for row, i in enumerate(members):
+            first = width - len(texts[i])
+            filled[row, first:] = np.frombuffer(texts[i], np.uint8)
+            filled[row, first : first + 4] ^= 0xFF
+        columns = np.ascontiguousarray(filled.reshape(-1, _LANE).T)
+        crc = np.zeros(columns.shape[1], np.uint32)
+        for column in columns:
+            crc = table[(crc ^ column) & 255] ^ (crc >> 8)
+        crc = crc.reshape(len(members), lanes)
+        step = _LANE
+        while crc.shape[1] > 1:
+            crc = _advance(crc[:, 0::2], step) ^ crc[:, 1::2]
+            step *= 2
+        for row, i in enumerate(members):
+            sums[i] = int(crc[row, 0]) ^ 0xFFFFFFFF
+    return sums
 
 
-def masked_crc(data: bytes) -> int:
-    """The checksum as it is stored."""
-    crc = crc32c(data)
+def crc32c(data: bytes) -> int:
+    """CRC-32C of one text."""
+    return crc32c_many([data])[0]
+
+
+def masked(crc: int) -> int:
+    """A checksum as it is stored."""
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def encode_record(payload: bytes) -> bytes:
-    """One record."""
-    head = struct.pack("<q", len(payload))
-    return head + struct.pack("<I", masked_crc(head)) + payload + struct.pack("<I", masked_crc(payload))
+def masked_crc(data: bytes) -> int:
+    """Stored checksum of one text."""
+    return masked(crc32c(data))
+
+
+@lru_cache(maxsize=65536)
+def _head_crc(head: bytes) -> int:
+    """Stored checksum of a length; lengths repeat."""
+    return masked_crc(head)
+
+
+def encode_records(payloads: list[bytes]) -> Iterator[bytes]:
+    """Records of some payloads."""
+    for payload, crc in zip(payloads, crc32c_many(payloads)):
+        head = struct.pack("<q", len(payload))
+        yield b"".join((head, struct.pack("<I", _head_crc(head)), payload, struct.pack("<I", masked(crc))))
+
+
+def batches_of(items: Iterator[bytes], limit: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Lists of items of about ``limit`` bytes."""
+    held, size = [], 0
+    for item in items:
+        held.append(item)
+        size += len(item)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def scan_headers(path: str, size: int) -> Iterator[tuple]:
@@ -105,7 +148,7 @@ def scan_headers(path: str, size: int) -> Iterator[tuple]:
             if length < 0 or end > size:
                 yield path, number, at, size, "truncated"
                 return
-            good = struct.unpack("<I", head[8:])[0] == masked_crc(head[:8])
+            good = struct.unpack("<I", head[8:])[0] == _head_crc(head[:8])
             yield path, number, at, end, "ok" if good else "bad length checksum"
             at, number = end, number + 1
 
@@ -144,18 +187,30 @@ def build_record_index(
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, handle = None, None
         for batch in batches:
-            statuses = []
-            for path, begin, end, status in zip(*(batch[c].to_pylist() for c in ("path", "begin", "end", "status"))):
-                if status == "ok":
-                    if path != current:
-                        if handle is not None:
-                            handle.close()
-                        current, handle = path, open_file(path)
-                    handle.seek(begin + HEAD)
-                    body = handle.read(end - begin - HEAD)
-                    if struct.unpack("<I", body[-TAIL:])[0] != masked_crc(body[:-TAIL]):
-                        status = "bad payload checksum"
-                statuses.append(status)
+            statuses, held, rows, size = batch["status"].to_pylist(), [], [], 0
+
+            def settle():
+                for row, body, crc in zip(rows, held, crc32c_many([b[:-TAIL] for b in held])):
+                    if struct.unpack("<I", body[-TAIL:])[0] != masked(crc):
+                        statuses[row] = "bad payload checksum"
+                held.clear()
+                rows.clear()
+
+            for row, (path, begin, end) in enumerate(zip(*(batch[c].to_pylist() for c in ("path", "begin", "end")))):
+                if statuses[row] != "ok":
+                    continue
+                if path != current:
+                    if handle is not None:
+                        handle.close()
+                    current, handle = path, open_file(path)
+                handle.seek(begin + HEAD)
+                held.append(handle.read(end - begin - HEAD))
+                rows.append(row)
+                size += end - begin
+                if size >= CHECK_BYTES:
+                    settle()
+                    size = 0
+            settle()
             keep = [batch[c] for c in ("path", "range_ord", "begin", "end")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(statuses, pa.string())], names=["path", "range_ord", "begin", "end", "status"])
         if handle is not None:
@@ -200,8 +255,9 @@ class _RecordWriter(DataSourceWriter):
         # Attempts write under their own names; only the committed one is moved.
         part = f"{inner}/.part-{uuid.uuid4().hex}"
         with system.open_output_stream(part) as out:
-            for row in iterator:
-                out.write(encode_record(bytes(row[0])))
+            for payloads in batches_of(bytes(row[0]) for row in iterator):
+                for record in encode_records(payloads):
+                    out.write(record)
         return WrittenFile(part, f"{inner}/part-{context.partitionId():05d}.rec")
 
     def commit(self, messages) -> None:
