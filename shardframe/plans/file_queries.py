@@ -36,7 +36,7 @@ def write_texts(df):
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
 
     rows = df.select("path", "ord", F.col("data").cast("binary").alias("data"))
-    placed = rows.repartition("path").sortWithinPartitions("path", "ord")
+    placed = rows.repartition(files.io_parts(df.sparkSession), "path").sortWithinPartitions("path", "ord")
     return placed.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]
 
 
@@ -301,7 +301,7 @@ LOG_LINES = """WITH t AS (SELECT *, CASE event_type WHEN 'signup' THEN printf('F
 )
 def s14(spark, sf):
     # Blocks of a few pages, so that large logs span several.
-    return logs.read_logs(spark, f"{log_files(spark, sf)}/*/*.log", block=1 << 14)
+    return logs.read_logs(spark, log_files(spark, sf), block=1 << 14)
 
 
 @query(
@@ -325,7 +325,7 @@ def s15(spark, sf):
 )
 def i10(spark, sf):
     name = F.regexp_extract("path", r"([^/]+)\.log$", 1)
-    manifest = cut_lineage(checksums.md5_manifest(spark, f"{log_files(spark, sf)}/*/*.log", cell_bytes=3000).withColumn("path", name))
+    manifest = cut_lineage(checksums.md5_manifest(spark, log_files(spark, sf), cell_bytes=3000).withColumn("path", name))
     user = F.substring("path", 2, 20).cast("bigint")
     expected = manifest.filter(user % 7 != 0).withColumn("md5", F.when(user % 7 == 1, F.md5(F.lit("x"))).otherwise(F.col("md5")))
     absent = table(spark, sf, "customer").filter("c_custkey % 50 = 0").select(

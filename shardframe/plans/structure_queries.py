@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from shardframe.operators import structure
 from shardframe.plans.registry import query, table
+from shardframe.sources.files import io_parts
 
 
 def documents(spark, sf):
     """``(config_id, rank, json)``: a structure per order with keys that do not sort."""
     c = F.col
     # Reading a document costs far more than moving it, and one table file is one scan task.
-    return table(spark, sf, "orders").repartition("o_orderkey").select(
+    return table(spark, sf, "orders").repartition(io_parts(spark), "o_orderkey").select(
         c("o_orderstatus").alias("config_id"),
         c("o_orderkey").alias("rank"),
         F.format_string(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardframe.sources.files import list_files, open_file
+from shardframe.sources.files import io_parts, list_files, open_file
 
 # Files up to this size fit a cell and are hashed by the JVM.
 CELL_BYTES = 256 << 20
@@ -31,5 +31,5 @@ def md5_manifest(spark: SparkSession, paths: str | list[str], cell_bytes: int =
                 sums.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array(sums, pa.string())], names=["path", "md5"])
 
-    large = list_files(spark, paths).filter(F.col("size") > cell_bytes).select("path").repartition("path")
+    large = list_files(spark, paths).filter(F.col("size") > cell_bytes).select("path").repartition(io_parts(spark), "path")
     return small.unionByName(large.mapInArrow(stream, "path string, md5 string"))

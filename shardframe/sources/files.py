@@ -12,6 +12,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 READ_BLOCK = 64 << 20
 FLUSH_BYTES = 16 << 20
+BATCH_LINES = 50_000
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -49,6 +50,15 @@ def write_file(path: str, chunks: Iterator[bytes]) -> int:
     return size
 
 
+def io_parts(spark: SparkSession) -> int:
+    """Partitions for rows that only name bytes to read.
+
+    The rows are tiny, so adaptive execution would join them into one task by their size; an explicit
+    number keeps every core reading.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(path, size)`` of files, folders (recursively) or globs; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
@@ -58,7 +68,7 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def spread_blocks(df: DataFrame, begin: str = "begin", block: int = READ_BLOCK) -> DataFrame:
     """Put ranges of one file region into one task in offset order; a large file spans many tasks."""
     keyed = df.withColumn("_block", F.expr(f"{begin} div {block}L"))
-    return keyed.repartition("path", "_block").sortWithinPartitions("path", begin).drop("_block")
+    return keyed.repartition(io_parts(df.sparkSession), "path", "_block").sortWithinPartitions("path", begin).drop("_block")
 
 
 def read_ranges(ranges: DataFrame, block: int = READ_BLOCK) -> DataFrame:
@@ -102,10 +112,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], block: int = READ_BL
     Files are cut at fixed offsets, so a large file is read by many tasks: one pass counts the line ends
     per block, the next reads the lines that begin in each block.
     """
+    parts = io_parts(spark)
     files = list_files(spark, paths).filter("size > 0")
     blocks = files.select(
         "path", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {block}L)")).alias("block")
-    ).repartition("path", "block")
+    ).repartition(parts, "path", "block")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,21 +133,29 @@ def read_lines(spark: SparkSession, paths: str | list[str], block: int = READ_BL
     based = counted.select("path", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, numbers, texts = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())]
+            for held in (paths, numbers, texts):
+                held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["path", "line_no", "text"])
+
         for batch in batches:
             for path, number, base in zip(*(batch[c].to_pylist() for c in ("path", "block", "base"))):
-                texts, first = _lines_of(path, number * block, block, base)
-                for start in range(0, len(texts), 100_000):
-                    part = texts[start : start + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([path] * len(part), pa.string()),
-                            pa.array(range(first + start, first + start + len(part)), pa.int64()),
-                            pa.array(part, pa.string()),
-                        ],
-                        names=["path", "line_no", "text"],
-                    )
-
-    return based.repartition("path", "block").mapInArrow(split, "path string, line_no bigint, text string")
+                lines, first = _lines_of(path, number * block, block, base)
+                # Small files share a batch, large blocks fill several.
+                for start in range(0, len(lines), BATCH_LINES):
+                    part = lines[start : start + BATCH_LINES]
+                    paths.extend([path] * len(part))
+                    numbers.extend(range(first + start, first + start + len(part)))
+                    texts.extend(part)
+                    if len(texts) >= BATCH_LINES:
+                        yield flush()
+        if texts:
+            yield flush()
+
+    return based.repartition(parts, "path", "block").mapInArrow(split, "path string, line_no bigint, text string")
 
 
 def _lines_of(path: str, start: int, size: int, base: int) -> tuple[list[str], int]:

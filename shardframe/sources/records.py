@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from shardframe.sources.files import filesystem, list_files, open_file, spread_blocks
+from shardframe.sources.files import filesystem, io_parts, list_files, open_file, spread_blocks
 
 # The reversed Castagnoli polynomial and the mask constant.
 POLYNOMIAL = 0x82F63B78
@@ -168,7 +168,7 @@ def _headers(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return files.repartition("path").mapInArrow(scan, "path string, range_ord bigint, begin bigint, end bigint, status string")
+    return files.repartition(io_parts(files.sparkSession), "path").mapInArrow(scan, "path string, range_ord bigint, begin bigint, end bigint, status string")
 
 
 def build_record_index(
