@@ -10,7 +10,6 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +28,18 @@ CHECK_BYTES = 4 << 20
 _LANE = 64
 
 
-@lru_cache(maxsize=1)
+# Tables made once per worker. A plain dict, because cached functions do not travel to executors by value.
+_MADE: dict = {}
+
+
 def _table() -> np.ndarray:
     """CRC of each single byte."""
+    if "bytes" not in _MADE:
+        _MADE["bytes"] = _byte_table()
+    return _MADE["bytes"]
+
+
+def _byte_table() -> np.ndarray:
     crc = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         crc = np.where(crc & 1, (crc >> 1) ^ np.uint32(POLYNOMIAL), crc >> 1)
@@ -44,9 +52,14 @@ def _advance(crc: np.ndarray, zeros: int) -> np.ndarray:
     return parts[0][crc & 255] ^ parts[1][(crc >> 8) & 255] ^ parts[2][(crc >> 16) & 255] ^ parts[3][crc >> 24]
 
 
-@lru_cache(maxsize=64)
 def _advance_table(zeros: int) -> np.ndarray:
     """The linear map of ``zeros`` zero bytes, tabled per register byte."""
+    if zeros not in _MADE:
+        _MADE[zeros] = _make_advance_table(zeros)
+    return _MADE[zeros]
+
+
+def _make_advance_table(zeros: int) -> np.ndarray:
     inputs = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * i) for i in range(4)])
     if zeros == _LANE:
         table = _table()
@@ -110,10 +123,12 @@ def masked_crc(data: bytes) -> int:
     return masked(crc32c(data))
 
 
-@lru_cache(maxsize=65536)
 def _head_crc(head: bytes) -> int:
-    """Stored checksum of a length; lengths repeat."""
-    return masked_crc(head)
+    """Stored checksum of the eight bytes of a length."""
+    table, crc = _table(), 0xFFFFFFFF
+    for byte in head:
+        crc = int(table[(crc ^ byte) & 255]) ^ (crc >> 8)
+    return masked(crc ^ 0xFFFFFFFF)
 
 
 def encode_records(payloads: list[bytes]) -> Iterator[bytes]:

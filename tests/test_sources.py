@@ -143,3 +143,21 @@ def test_logs_metrics_md5(spark, tmp_path, rows):
         assert [r.md5 for r in got.collect()] == ["dd8c6a395b5dd36c56d23275028f526c"]
     (tmp_path / "man").write_text("dd8c6a395b5dd36c56d23275028f526c  /a b\nno\n")
     assert rows(logs.read_manifest(spark, str(tmp_path / "man"))) == [("/a b", "dd8c6a395b5dd36c56d23275028f526c")]
+
+
+def test_task_code_needs_no_package_on_executors():
+    """Record code that travels to workers must load where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    path = os.path.join(os.path.dirname(__file__), "pickled.tmp")
+    code = f"import pickle; f = pickle.load(open({path!r}, 'rb')); print(f([b'123456789'])[0] == 0xE3069283)"
+    try:
+        with open(path, "wb") as f:
+            f.write(cloudpickle.dumps(records.crc32c_many))
+        done = subprocess.run([sys.executable, "-I", "-c", code], capture_output=True, text=True, cwd="/", timeout=60)
+    finally:
+        os.remove(path)
+    assert done.stdout.strip() == "True", done.stderr
