@@ -21,11 +21,13 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from shardframe.llm import textbytes
 from shardframe.llm.shared import text_of
@@ -33,6 +35,8 @@ from shardframe.llm.shared import text_of
 #: Words that a task remembers, and the longest that it remembers. Only speed depends on them.
 CACHE_WORDS = 300_000
 CACHE_LENGTH = 64
+#: Code points that one byte of Latin-1 can hold; lower case, and composing, stay among them.
+LATIN = 256
 NONE = np.iinfo(np.int32).max
 
 # The white space of Unicode, as the tokenizer's patterns mean it.
@@ -52,10 +56,19 @@ class Tables:
     ranks: np.ndarray
     merged: np.ndarray
     pattern: str
+    latin_pattern: str
+    library_pattern: str
     added: dict[str, int]
     stamp: str
 
 
+def default_path() -> str:
+    """The file of the public tokenizer that the named query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,9 +78,23 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
-def category(letter: str) -> str:
-    """The characters of a general category of Unicode, as ranges for a pattern's brackets."""
-    has = np.array([unicodedata.category(chr(c))[0] == letter for c in range(sys.maxunicode + 1)])
+def category(letter: str, below: int) -> str:
+    """The characters below a code point in a general category of Unicode, as ranges for a pattern's brackets."""
+    return _ranges(np.array([unicodedata.category(chr(c))[0] == letter for c in range(below)]))
+
+
+def spelled(pattern: str, below: int) -> str:
+    """The splitting pattern with its classes spelled out, right for texts of characters below a code point."""
+    return pattern.replace(r"\s", SPACE).replace(r"\p{L}", category("L", below)).replace(r"\p{N}", category("N", below))
+
+
+@lru_cache
+def unassigned() -> str:
+    """The characters that Python's Unicode tables don't name, as ranges for a pattern's brackets."""
+    return _ranges(np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]))
+
+
+def _ranges(has: np.ndarray) -> str:
     edges = np.flatnonzero(np.diff(np.r_[False, has, False].astype(np.int8)))
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2]))
 
@@ -90,7 +117,7 @@ def load(path: str) -> Tables:
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     for token, k in added.items():
         tokens[k] = token
-    symbols = byte_symbols()
+    symbols, pattern = byte_symbols(), split[0]["pattern"]["Regex"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
     order = np.argsort(keys)
@@ -101,7 +128,9 @@ def load(path: str) -> Tables:
         keys[order],
         order.astype(np.int32),
         np.array([vocab[a + b] for a, b in pairs], np.int64),
-        split[0]["pattern"]["Regex"].replace(r"\s", SPACE).replace(r"\p{L}", category("L")).replace(r"\p{N}", category("N")),
+        spelled(pattern, sys.maxunicode + 1),
+        spelled(pattern, LATIN),
+        pattern,
         added,
         hashlib.sha256(raw).hexdigest(),
     )
@@ -172,8 +201,11 @@ class Codec:
 
     def __init__(self, t: Tables) -> None:
         self.t = t
-        self.split = re.compile(t.pattern)
+        self.split, self.split_latin = re.compile(t.pattern), re.compile(t.latin_pattern)
         self.marks = re.compile("(" + "|".join(map(re.escape, t.added)) + ")") if t.added else None
+        self.newer = re.compile(f"[{unassigned()}]")
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.splitter = pre_tokenizers.Split(Regex(t.library_pattern), "removed", invert=True)
         self.ids: dict[str, str] = {}
         self.shown: dict[str, str] = {}
 
@@ -184,10 +216,19 @@ class Codec:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.newer.search(text):
+                return self._by_library(text)
             # Lower case is taken of each character alone, so a final sigma is like any other.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.split.findall(text.lower())
+            return self.split.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+        return self.split_latin.findall(text.lower())
+
+    def _by_library(self, text: str) -> list[str]:
+        """The words of a text with characters that Python's Unicode tables don't have yet, by the library's splitter."""
+        made = self.normalizer.normalize_str(text)
+        return [made[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(made)]
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not known yet."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import exact_dedup
+from shardframe.llm import bpe, exact_dedup
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 
@@ -24,3 +24,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winner and group of every document."""
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests."""
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_path())
