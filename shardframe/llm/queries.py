@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup
+from shardframe.llm import bpe, exact_dedup, toxicity
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 
@@ -30,3 +30,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_path())
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and offending spans of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
