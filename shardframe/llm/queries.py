@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup, toxicity
+from shardframe.llm import bpe, exact_dedup, license_scan, quality_rules, toxicity
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 
@@ -36,3 +36,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and offending spans of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base signals and verdict of every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("text_chars")
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
