@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup, license_scan, quality_rules, toxicity
+from shardframe.llm import bpe, exact_dedup, jaccard_join, license_scan, quality_rules, toxicity
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 
@@ -48,3 +48,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard similarity."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
