@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardframe.llm.shared import text_of, written
+from shardframe.llm.shared import semi, text_of, written
 
 DIGEST_BYTES = 32
 #: Digests of a shard, on average; a shard is built and probed in one task's memory (about 50 bytes each).
@@ -236,8 +236,3 @@ def keep_first(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     wins = verdicts.filter("kept").select(F.col("doc_id").alias("_win"), F.col("text_sha256").alias("_win_sha")).distinct()
     some = again.join(wins, F.col("_id").eqNullSafe(F.col("_win")) & (F.col("_sha") == F.col("_win_sha")), "left_semi")
     return whole.unionByName(some.dropDuplicates(["_id", "_sha"]).select("_doc.*"))
-
-
-def semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id, null included, is in the column ``_id`` of ``ids``."""
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]), "left_semi")

@@ -38,10 +38,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardframe.llm import textbytes
 from shardframe.llm.graph import components
-from shardframe.llm.shared import text_of, written
+from shardframe.llm.shared import semi, text_of, written
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -405,7 +406,7 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, uid, first`` for every row; ``first`` marks one row of each component."""
+    """``doc_id, n_shingles, component_id, uid, digest, first`` for every row; ``first`` marks one row of each component."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")
     )
@@ -418,10 +419,39 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     roots = components(found)
     named = sets.select("uid", "doc_id", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "uid"))
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = written(named.select("uid", "doc_id", "n", F.coalesce("root", "rep").alias("root")), "classes")
+    named = written(named.select("uid", "doc_id", "n", "digest", F.coalesce("root", "rep").alias("root")), "classes")
     ids = named.groupBy("root").agg(
         F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("w")
     )
     return named.join(ids, "root").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "uid", (F.col("uid") == F.col("w.uid")).alias("first")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "uid", "digest", (F.col("uid") == F.col("w.uid")).alias("first")
     )
+
+
+@F.arrow_udf(T.BinaryType())
+def set_digest(texts: pa.Array) -> pa.Array:
+    """Digest of the text's set; null without words."""
+    _, _, sizes, digests = shingle_sets(texts)
+    return pa.array([d if n else None for d, n in zip(digests, sizes)], pa.binary())
+
+
+def keep_first(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, with the columns of ``docs``.
+
+    Where all rows of an id stay, which is the rule, the id decides. Only where an id is repeated and some of its
+    rows go, the text is read again to tell them apart.
+    """
+    by_id = written(
+        verdicts.groupBy("doc_id").agg(F.sum(F.col("first").cast("long")).alias("stay"), F.count(F.lit(1)).alias("n")), "first"
+    ).filter("stay > 0")
+    whole = semi(docs, by_id.filter("stay = n").select(F.col("doc_id").alias("_id")))
+    mixed = by_id.filter("stay < n").select(F.col("doc_id").alias("_id"))
+    if mixed.isEmpty():
+        return whole
+    again = semi(docs, mixed).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"), set_digest(text_of()).alias("_set")
+    )
+    wins = verdicts.filter("first").select(F.col("doc_id").alias("_win"), F.col("digest").alias("_win_set")).distinct()
+    some = again.join(wins, F.col("_id").eqNullSafe(F.col("_win")) & F.col("_set").eqNullSafe(F.col("_win_set")), "left_semi")
+    one = some.filter("_set IS NOT NULL").dropDuplicates(["_id", "_set"]).select("_doc.*")
+    return whole.unionByName(one).unionByName(some.filter("_set IS NULL").select("_doc.*"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup, jaccard_join, license_scan, quality_rules, toxicity
+from shardframe.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, toxicity
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 
@@ -54,3 +54,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of Jaccard similarity."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for a mix of 98 % of the largest entropy, of as many words as the table has."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -413,13 +412,11 @@ def score_of(docs: DataFrame, model: Model) -> Column:
     """The score as a column, so that a filter keeps every other column as it is."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        out = []
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, pa.large_string())], names=["text"])
-        for part in textbytes.slices(batch):
-            out.append(_score_texts(shared.value, part.column("text"))[1])
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        out = [_score_texts(shared.value, part.column("text"))[1] for part in textbytes.slices(batch)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return scored(text_of())
 
