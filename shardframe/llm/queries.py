@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, toxicity
+from shardframe.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, toxicity
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 
@@ -60,3 +60,9 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn for a mix of 98 % of the largest entropy, of as many words as the table has."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a string of an earlier one."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")

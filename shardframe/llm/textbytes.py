@@ -102,6 +102,14 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mixed(values + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def grams(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of the ``width`` bytes at every place that has so many."""
+    n = len(data) - width + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * _power("base", _BASE, len(data)), out=sums[1:])
+    return mixed((sums[width:] - sums[:-width]) * _power("inverse", _INVERSE, n))
+
+
 def windows(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``width`` values inside a text: the values' index of its start, and the hash."""
     n = len(values) - width + 1
