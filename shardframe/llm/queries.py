@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, toxicity
+from shardframe.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, toxicity
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
+from shardframe.llm.url_queries import op7_url_filter
 
-__all__ = ["QUERIES"]
+__all__ = ["QUERIES", "op7_url_filter"]
 
 OP9_SQL = r"""
 WITH n AS (
@@ -66,3 +67,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat a string of an earlier one."""
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
