@@ -32,7 +32,7 @@ from shardframe.llm import textbytes
 from shardframe.llm.shared import text_of
 
 #: Labelled documents of each class that the model is fitted on, at most.
-PER_CLASS = 2000
+PER_CLASS = 1500
 #: Features of the model, at most (those of the most toxic documents).
 FEATURES = 5000
 #: A feature follows so many different words in the toxic sample at least, plus this share of the number of toxic documents.
@@ -43,7 +43,7 @@ LEAST_RATIO = 25.0
 #: Lengths in bytes of the word beginnings; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6, 7, 8)
 #: Words of a training sequence.
-SEQUENCE = 64
+SEQUENCE = 32
 THRESHOLD = 0.3
 FLOOR = 1e-9
 
@@ -81,20 +81,17 @@ def _first_eight(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def _feature_keys(data, starts, ends) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature: the words that have one, and its key."""
-    head, sizes = _first_eight(data, starts, ends), ends - starts
+    head = _first_eight(data, starts, ends)
     for length in PREFIXES:
-        if length:
-            which = np.flatnonzero(sizes >= length)
-            kept = head[which] >> np.uint64(64 - 8 * length)
-            yield which, textbytes.mixed(kept * np.uint64(16) + np.uint64(length))
-        else:
-            yield np.arange(len(starts)), textbytes.hashes(data, starts, ends)
+        yield _keys_of_kind(length, data, starts, ends, head)
 
 
-def _table(size_bits: int, heads: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << size_bits, bool)
-    table[(heads >> np.uint64(64 - size_bits)).astype(np.int64)] = True
-    return table
+def _keys_of_kind(length: int, data, starts, ends, head) -> tuple[np.ndarray, np.ndarray]:
+    if not length:
+        return np.arange(len(starts)), textbytes.hashes(data, starts, ends)
+    which = np.flatnonzero(ends - starts >= length)
+    kept = head[which] >> np.uint64(64 - 8 * length)
+    return which, textbytes.mixed(kept * np.uint64(16) + np.uint64(length))
 
 
 class Tokens:
@@ -202,40 +199,54 @@ def _score_texts(model: Model, texts: pa.Array):
 def choose_features(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the features, and the roots (first two bytes) of the words that have them."""
 
-    def counts(texts: list[str], among: np.ndarray | None):
-        """Per feature, how many different words stand before it (so copies of a text count once), and its root."""
+    def runs(texts: list[str]) -> list[Tokens]:
+        return [Tokens(pa.array(texts[at : at + 200], pa.large_string())) for at in range(0, len(texts), 200)]
+
+    def contexts(tokens: list[Tokens], length: int, among: np.ndarray):
+        """Of some features, after how many different words they stand (so copies of a text count once), and their roots."""
         found = []
-        for at in range(0, len(texts), 200):
-            tokens = Tokens(pa.array(texts[at : at + 200], pa.large_string()))
-            n = len(tokens.starts)
-            if not n:
+        for t in tokens:
+            if not len(t.starts):
                 continue
-            before = np.r_[np.uint64(0), textbytes.hashes(tokens.data, tokens.starts, tokens.ends)[:-1]]
-            before[tokens.bounds[:-1][tokens.bounds[:-1] < n]] = 0
-            roots = _first_eight(tokens.data, tokens.starts, tokens.ends) >> np.uint64(48)
-            for which, keys in _feature_keys(tokens.data, tokens.starts, tokens.ends):
-                if among is not None:
-                    known = among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
-                    which, keys = which[known], keys[known]
-                found.append(np.stack([keys, before[which], roots[which]], axis=1))
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rows = np.concatenate(found)
+            head = _first_eight(t.data, t.starts, t.ends)
+            which, keys = _keys_of_kind(length, t.data, t.starts, t.ends, head)
+            known = among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
+            which, keys = which[known], keys[known]
+            before = np.zeros(len(which), np.uint64)
+            inner = np.flatnonzero(~np.isin(which, t.bounds))
+            before[inner] = textbytes.hashes(t.data, t.starts[which[inner] - 1], t.ends[which[inner] - 1])
+            found.append(np.stack([keys, before, head[which] >> np.uint64(48)], axis=1))
+        rows = np.concatenate(found) if found else np.zeros((0, 3), np.uint64)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
+        if len(rows):
+            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
         keys, first, n = np.unique(rows[:, 0], return_index=True, return_counts=True)
         return keys, n, rows[first, 2].astype(np.int64)
 
-    keys, n, roots = counts(toxic, None)
-    often = n >= LEAST_CONTEXTS + LEAST_SHARE * len(toxic)
-    keys, n, roots = keys[often], n[often], roots[often]
-    if not len(keys):
-        return keys, roots
-    other, n_other, _ = counts(clean, keys)
-    against = np.zeros(len(keys))
-    if len(other):
-        at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
-        against = np.where(other[at] == keys, n_other[at], 0)
+    least = LEAST_CONTEXTS + LEAST_SHARE * len(toxic)
+    bad, good_texts = runs(toxic), runs(clean)
+    parts = []
+    for length in PREFIXES:
+        # Features that occur often at all come first: few are left whose contexts are worth looking at.
+        sent = [_keys_of_kind(length, t.data, t.starts, t.ends, _first_eight(t.data, t.starts, t.ends))[1] for t in bad]
+        keys, n = np.unique(np.concatenate(sent), return_counts=True)
+        keys = keys[n >= least]
+        if not len(keys):
+            continue
+        keys, n, roots = contexts(bad, length, keys)
+        often = n >= least
+        keys, n, roots = keys[often], n[often], roots[often]
+        if not len(keys):
+            continue
+        other, n_other, _ = contexts(good_texts, length, keys)
+        against = np.zeros(len(keys))
+        against[np.searchsorted(keys, other)] = n_other
+        parts.append((keys, n, roots, against))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, n, roots, against = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys, n, roots, against = keys[order], n[order], roots[order], against[order]
     ratio = (n + 0.5) / (len(toxic) + 1) / ((against + 0.5) / (len(clean) + 1))
     good = np.flatnonzero(ratio >= LEAST_RATIO)
     good = np.sort(good[np.argsort(-n[good], kind="stable")[:FEATURES]])
@@ -260,18 +271,22 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.3
     keys, roots = choose_features([t for t, y in zip(texts, toxic) if y], [t for t, y in zip(texts, toxic) if not y])
     if not len(keys):
         return none
-    tokens = Tokens(pa.array(texts, pa.large_string()))
-    n = len(tokens.starts)
-    pairs = _sequences(tokens, keys)
-    doc = np.searchsorted(tokens.bounds, np.arange(n), "right") - 1
-    label = np.zeros(n, np.int64)
+    pairs, per_text, n = [], [], 0
+    for at in range(0, len(texts), 200):
+        tokens = Tokens(pa.array(texts[at : at + 200], pa.large_string()))
+        pairs.append(_sequences(tokens, keys) + [n, 0])
+        per_text.append(np.diff(tokens.bounds))
+        n += len(tokens.starts)
+    pairs, per_text = np.concatenate(pairs), np.concatenate(per_text)
+    bounds = np.r_[0, np.cumsum(per_text)]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), per_text)
+    label = np.zeros(n, np.int8)
     label[pairs[:, 0]] = 1
-    label &= toxic[doc].astype(np.int64)
+    label &= toxic[doc].astype(np.int8)
     # Sequences of up to SEQUENCE words; those without any feature differ in length only and get a weight.
-    inside = np.arange(n) - tokens.bounds[doc]
-    opens = np.flatnonzero((inside % SEQUENCE == 0))
+    opens = np.concatenate([np.arange(a, b, SEQUENCE) for a, b in zip(bounds, bounds[1:])])
     sizes = np.diff(np.r_[opens, n])
-    sequence = np.repeat(np.arange(len(opens)), sizes)
+    sequence = np.repeat(np.arange(len(opens), dtype=np.int32), sizes)
     has = np.zeros(len(opens), bool)
     has[sequence[pairs[:, 0]]] = True
     plain_sizes, plain_weights = np.unique(sizes[~has], return_counts=True)
@@ -279,48 +294,48 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, rate: float = 0.3
     shape = (int(has.sum()) + len(plain_sizes), SEQUENCE)
     size = np.r_[sizes[has], plain_sizes]
     share = np.r_[np.ones(int(has.sum())), plain_weights]
-    y = np.zeros(shape, np.int64)
-    mine = has[sequence]
-    y[rows[sequence[mine]], (np.arange(n) - opens[sequence])[mine]] = label[mine]
+    y = np.zeros(shape, np.int8)
+    at = np.flatnonzero(label)
+    y[rows[sequence[at]], at - opens[sequence[at]]] = 1
     row, column, feature = rows[sequence[pairs[:, 0]]], (pairs[:, 0] - opens[sequence[pairs[:, 0]]]), pairs[:, 1]
     live = np.arange(SEQUENCE) < size[:, None]
 
-    weights, bias, start, moves = np.zeros(len(keys)), -4.0, np.array([0.0, -2.0]), np.array([[0.0, -2.0], [0.0, 0.0]])
-    flat = np.concatenate([weights, [bias], start, moves.ravel()])
-    square, w = np.zeros_like(flat), len(keys)
-    total = float((share * size).sum())
-    pair_live = live[:, 1:]
+    w = len(keys)
+    flat = np.concatenate([np.zeros(w), [-4.0], [0.0, -2.0], [0.0, -2.0, 0.0, 0.0]])
+    square = np.zeros_like(flat)
+    seen = np.zeros((2, 2))
+    for t in range(1, SEQUENCE):
+        np.add.at(seen, (y[:, t - 1], y[:, t]), live[:, t] * share)
     for _ in range(rounds):
         weights, bias, start, moves = flat[:w], flat[w], flat[w + 1 : w + 3], flat[w + 3 :].reshape(2, 2)
         energy = np.full(shape, bias)
         np.add.at(energy, (row, column), weights[feature])
-        e = np.stack([np.ones(shape), np.exp(np.clip(energy, -50, 50))], axis=2)
-        a, move = np.zeros((*shape, 2)), np.exp(moves)
-        v = np.exp(start) * e[:, 0]
-        a[:, 0] = v / v.sum(axis=1, keepdims=True)
+        toxic_e, move = np.exp(np.clip(energy, -50, 50)), np.exp(moves)
+        e = lambda t: np.stack([np.ones(shape[0]), toxic_e[:, t]], axis=1)  # noqa: E731, B023
+        ahead = np.zeros((SEQUENCE, shape[0], 2))
+        v = np.exp(start) * e(0)
+        ahead[0] = v / v.sum(axis=1, keepdims=True)
         for t in range(1, SEQUENCE):
-            v = (a[:, t - 1] @ move) * e[:, t]
-            v = v / v.sum(axis=1, keepdims=True)
-            a[:, t] = np.where(live[:, t, None], v, a[:, t - 1])
-        b = np.ones((*shape, 2))
-        for t in range(SEQUENCE - 2, -1, -1):
-            v = (e[:, t + 1] * b[:, t + 1]) @ move.T
-            v = v / v.sum(axis=1, keepdims=True)
-            b[:, t] = np.where(live[:, t + 1, None], v, 1.0)
-        p = a * b
-        p = p / p.sum(axis=2, keepdims=True)
-        edge = a[:, :-1, :, None] * move * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        edge = edge / edge.sum(axis=(2, 3), keepdims=True)
-        miss = (y - p[:, :, 1]) * live * share[:, None]
-        seen = np.zeros((*shape[:1], SEQUENCE - 1, 2, 2))
-        i, j = np.indices((shape[0], SEQUENCE - 1))
-        seen[i, j, y[:, :-1], y[:, 1:]] = 1
+            v = (ahead[t - 1] @ move) * e(t)
+            ahead[t] = np.where(live[:, t, None], v / v.sum(axis=1, keepdims=True), ahead[t - 1])
+        back, p, edges = np.ones((shape[0], 2)), np.zeros(shape), np.zeros((2, 2))
+        for t in range(SEQUENCE - 1, -1, -1):
+            both = ahead[t] * back
+            p[:, t] = both[:, 1] / both.sum(axis=1)
+            if t:
+                to = e(t) * back
+                edge = ahead[t - 1][:, :, None] * move * to[:, None, :]
+                edge /= edge.sum(axis=(1, 2), keepdims=True)
+                edges += (edge * (live[:, t] * share)[:, None, None]).sum(axis=0)
+                v = to @ move.T
+                back = np.where(live[:, t, None], v / v.sum(axis=1, keepdims=True), 1.0)
+        miss = (y - p) * live * share[:, None]
         grad = np.concatenate(
             [
                 np.bincount(feature, miss[row, column], minlength=w),
                 [miss.sum()],
-                [((1 - y[:, 0] - p[:, 0, 0]) * share).sum(), miss[:, 0].sum()],
-                ((seen - edge) * (pair_live * share[:, None])[:, :, None, None]).sum(axis=(0, 1)).ravel(),
+                [-miss[:, 0].sum(), miss[:, 0].sum()],
+                (seen - edges).ravel(),
             ]
         ) - ridge * flat
         square += grad**2
