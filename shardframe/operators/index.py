@@ -34,9 +34,12 @@ def named_ranges(idx: DataFrame) -> DataFrame:
     return joined.select(*idx.columns, (F.col("first_id") + F.col("range_ord")).alias("sample_id"))
 
 
-def select_ranges(ranges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Ranges of ``ids(position, sample_id)``; position kept, repeats kept."""
-    return spread_join(ids, ranges, ["sample_id"], ["position"])
+def select_ranges(ranges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of ``ids(position, sample_id)``, position kept, repeats kept, and the ids that have none."""
+    known = ranges.withColumn("_known", F.lit(True))
+    joined = spread_join(ids, known, ["sample_id"], ["position"], "left")
+    found = joined.filter("_known").drop("_known")
+    return found, joined.filter("_known IS NULL").select(*ids.columns, F.lit("unknown sample").alias("reason"))
 
 
 def index_stats(idx: DataFrame) -> DataFrame:
@@ -102,11 +105,11 @@ def logical_ranges(idx: DataFrame, order: tuple[str, ...] = ("file_ord", "range_
     return placed.withColumn("stop", F.col("start") + F.col("end") - F.col("begin"))
 
 
-def locate(placed: DataFrame, requests: DataFrame, width: int = 1 << 20) -> DataFrame:
+def locate(placed: DataFrame, requests: DataFrame, width: int | None = None) -> DataFrame:
     """Physical segments of logical windows ``requests(request, pos, length)``.
 
     ``placed`` comes from :func:`logical_ranges`. Windows past the end give what exists. ``width`` is the
-    bucket width in bytes; a value near the common range or window length keeps buckets small.
+    bucket width in bytes; without one it follows the mean lengths of windows and ranges.
     """
     wanted = requests.select("request", "pos", (F.col("pos") + F.col("length")).alias("until"))
     pairs = overlap_join(wanted, placed, ("pos", "until"), ("start", "stop"), width, spread_by=["request"])
@@ -149,8 +152,8 @@ def index_shard(ranges: DataFrame, shard: int, n_shards: int) -> DataFrame:
     return ranges.filter((F.col("sample_id") >= shard * size) & (F.col("sample_id") < (shard + 1) * size))
 
 
-def lookup_samples(files: DataFrame, ids: DataFrame, per_file: int) -> DataFrame:
-    """Place and size of ``ids(position, sample_id)`` in files that hold ``per_file`` samples each.
+def lookup_samples(files: DataFrame, ids: DataFrame, per_file: int) -> tuple[DataFrame, DataFrame]:
+    """Place and size of ``ids(position, sample_id)`` in files that hold ``per_file`` samples each; ids without one.
 
     ``files`` is an index with ``(file_ord, path, range_ord, begin, end)``.
     """
@@ -160,10 +163,11 @@ def lookup_samples(files: DataFrame, ids: DataFrame, per_file: int) -> DataFrame
         F.expr(f"sample_id div {per_file}L").alias("file_ord"),
         F.expr(f"sample_id % {per_file}L").alias("range_ord"),
     )
-    found = spread_join(wanted, files, ["file_ord", "range_ord"], ["position"])
-    return found.select(
+    joined = spread_join(wanted, files.withColumn("_known", F.lit(True)), ["file_ord", "range_ord"], ["position"], "left")
+    found = joined.filter("_known").select(
         "position", "sample_id", "file_ord", "range_ord", "path", "begin", (F.col("end") - F.col("begin")).alias("size")
     )
+    return found, joined.filter("_known IS NULL").select("position", "sample_id", F.lit("unknown sample").alias("reason"))
 
 
 def verify_md5(manifest: DataFrame, expected: DataFrame) -> DataFrame:

@@ -7,30 +7,25 @@ rows are range-partitioned on the order, and the only thing that is combined glo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardframe.session import cut_lineage
+from shardframe.session import cut_lineage, store
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-# Cell tables up to this many rows are broadcast, larger ones joined by shuffle.
-BROADCAST_CELLS = 100_000
+def _cells(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """A table of one row per (range partition, group).
 
-
-def _small(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Hint a table of one row per (range partition, group) by its counted size.
-
-    Without groups it has a row per partition and needs no count.
+    Without groups it has a row per partition, which is broadcast. With groups it is written, and Spark broadcasts
+    it only if its bytes are few.
     """
-    if not groups:
-        return F.broadcast(cells)
-    stored = cut_lineage(cells)
-    return F.broadcast(stored) if stored.count() <= BROADCAST_CELLS else stored
+    return store(cells, "cells") if groups else F.broadcast(cells)
 
 
 def running(
@@ -72,7 +67,7 @@ def running(
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums],
         *([F.sum("_rows").over(in_group.rowsBetween(*_ALL)).alias(total)] if total else []),
     )
-    joined = placed.join(_small(bases, groups), "_cell")
+    joined = placed.join(_cells(bases, groups), "_cell")
     inside = Window.partitionBy("_cell").orderBy("_slot").rowsBetween(*_BEFORE)
     return joined.select(
         *df.columns,
@@ -85,26 +80,34 @@ def running(
     )
 
 
-def hashed_order(df: DataFrame, id_col: str, seed: int, hex_digits: int = 4) -> DataFrame:
+# Rows of a hash bucket, on average: a bucket is sorted in one task.
+BUCKET_ROWS = 1 << 18
+
+
+def hashed_order(df: DataFrame, id_col: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Positions of a seeded permutation: ``(position, sample_id, n_samples)``.
 
-    Order is by ``md5(seed:id)``. Hash prefixes are equally likely, so they make balanced buckets: only
-    the bucket counts (at most 16 ** hex_digits rows) are combined globally and broadcast.
+    Order is by ``md5(seed:id)``. Hash prefixes are equally likely, so they make balanced buckets; their length
+    follows from the number of rows, so a bucket stays small. Only the bucket counts, a row per
+    ``bucket_rows / 16`` rows at most, are combined globally; they are written, and broadcast only if small.
     """
+    hex_digits = max(2, math.ceil(math.log(max(df.count() / bucket_rows, 1), 16)))
     keyed = df.select(
         F.col(id_col).alias("sample_id"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).alias("_hash"),
     ).withColumn("_bucket", F.substring("_hash", 1, hex_digits))
     whole = Window.partitionBy(F.lit(0))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    bases = counts.select(
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(whole.orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"),
-        F.sum("_rows").over(whole.rowsBetween(*_ALL)).alias("n_samples"),
+    bases = store(
+        counts.select(
+            "_bucket",
+            F.coalesce(F.sum("_rows").over(whole.orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"),
+            F.sum("_rows").over(whole.rowsBetween(*_ALL)).alias("n_samples"),
+        ),
+        "buckets",
     )
     in_bucket = Window.partitionBy("_bucket").orderBy("_hash", "sample_id")
-    # Bounded: at most 16 ** hex_digits bucket rows.
-    return keyed.join(F.broadcast(bases), "_bucket").select(
+    return keyed.join(bases, "_bucket").select(
         (F.col("_base") + F.row_number().over(in_bucket) - 1).alias("position"), "sample_id", "n_samples"
     )
 
@@ -127,10 +130,11 @@ def neighbour(df: DataFrame, groups: Sequence[str], position: str, columns: Mapp
 
 def run_lengths(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Run-length encode ``value`` along ``order`` per group: ``(*groups, run, value, count)``."""
-    placed = cut_lineage(running(df.select(*groups, *order, value), order, groups, position="_pos", total="_n"))
+    # Positions come from a written table, so both uses below see the same ones.
+    placed = running(df.select(*groups, *order, value), order, groups, position="_pos", total="_n")
     marked = neighbour(placed, groups, "_pos", {"_prev": value}, -1)
     starts = marked.filter((F.col("_pos") == 0) | ~F.col("_prev").eqNullSafe(F.col(value)))
-    numbered = cut_lineage(running(starts.select(*groups, value, "_pos", "_n"), ["_pos"], groups, position="run"))
+    numbered = running(starts.select(*groups, value, "_pos", "_n"), ["_pos"], groups, position="run")
     ends = neighbour(numbered, groups, "run", {"_next": "_pos"}, 1)
     return ends.select(
         *groups, "run", value, (F.coalesce("_next", "_n") - F.col("_pos")).alias("count")
@@ -177,4 +181,4 @@ def following(
     inside = Window.partitionBy("_cell").orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
     found = placed.withColumn("_own", F.last("_hit", ignorenulls=True).over(inside)).filter(F.col("_point").isNotNull())
     hit = F.coalesce("_own", "_carry")
-    return found.join(_small(carried, groups), "_cell").select("_point.*", *[hit[c].alias(f"next_{c}") for c in wanted])
+    return found.join(_cells(carried, groups), "_cell").select("_point.*", *[hit[c].alias(f"next_{c}") for c in wanted])

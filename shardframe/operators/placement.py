@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardframe.operators.ordinal import running
-from shardframe.operators.skew import spread_join
 
 
 def replicas(hosts: DataFrame, r: int) -> DataFrame:
@@ -43,14 +42,14 @@ def resolve_source(items: DataFrame, copies: DataFrame, failed: DataFrame, gpus_
     """Host to read each of ``items(item, device)`` from; null source and ``unrecoverable`` when none is left."""
     owned = items.withColumn("owner", F.expr(f"device div {gpus_per_host}L"))
     hosts = resolve_hosts(copies, failed).select("owner", "source")
-    joined = spread_join(owned, hosts, ["owner"], ["item"], "left")
+    joined = owned.join(hosts, "owner", "left")
     return joined.select(*items.columns, "owner", "source", F.col("source").isNull().alias("unrecoverable"))
 
 
 def failure_impact(items: DataFrame, copies: DataFrame, failed: DataFrame) -> DataFrame:
     """Items ``(item, owner)`` whose owner failed, with copies left and whether that is enough."""
     hosts = resolve_hosts(copies, failed).filter("owner_failed").select("owner", "alive")
-    joined = spread_join(items, hosts, ["owner"], ["item"])
+    joined = items.join(hosts, "owner")
     return joined.select(*items.columns, "alive", (F.col("alive") > 0).alias("recoverable"))
 
 
@@ -94,4 +93,4 @@ def host_groups(placed: DataFrame, host: str = "host", rank: str = "rank") -> Da
     local = running(placed, [rank], [host], position="local_rank", total="local_size")
     hosts = placed.groupBy(host).agg(F.min(rank).alias("master"))
     n_hosts = hosts.agg(F.count(F.lit(1))).scalar()
-    return spread_join(local, hosts, [host], [rank]).withColumn("host_count", n_hosts)
+    return local.join(hosts, host).withColumn("host_count", n_hosts)

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from shardframe.functions.numbers import as_col
 from shardframe.operators.ordinal import following, neighbour, running
-from shardframe.operators.skew import spread_join
-from shardframe.session import cut_lineage
 
 # The texts that the training programs print.
 ERROR_MARKERS = ("RuntimeError", "OutOfMemoryError", "IndexError")
@@ -127,7 +125,7 @@ def zero_time(df: DataFrame, scope: str = "run") -> DataFrame:
         first = df.agg(F.min("wall_time")).scalar()
         return df.withColumn("wall_time", (F.col("wall_time") - first) / 60)
     starts = df.groupBy("run_id").agg(F.min("wall_time").alias("_t0"))
-    joined = spread_join(df, starts, ["run_id"], ["wall_time", "step"])
+    joined = df.join(starts, "run_id")
     return joined.withColumn("wall_time", (F.col("wall_time") - F.col("_t0")) / 60).drop("_t0")
 
 
@@ -135,7 +133,7 @@ def add_pauses(df: DataFrame, interval: int = 35) -> DataFrame:
     """Shift times by ``interval`` from every multiple of twice the interval on (below the run's length)."""
     period = 2 * interval
     lengths = df.groupBy("run_id").agg(F.floor(F.max("wall_time")).cast("bigint").alias("_len"))
-    joined = spread_join(df, lengths, ["run_id"], ["wall_time", "step"])
+    joined = df.join(lengths, "run_id")
     pauses = F.least(F.floor(F.col("wall_time") / period), F.ceil(F.col("_len") / period) - 1)
     return joined.withColumn(
         "wall_time", F.col("wall_time") + interval * F.greatest(F.lit(0), pauses)
@@ -216,7 +214,7 @@ def marker_latency(logs: DataFrame, begin: str, end: str, by: str = "file") -> D
         F.min(F.when(F.col("a").isNotNull(), F.col("line_no"))).alias("begin_line"),
     )
     ends = lines.filter(F.col("b").isNotNull()).select(by, "line_no", "b")
-    later = spread_join(ends, firsts.select(by, "begin_line"), [by], ["line_no"]).filter(F.col("line_no") > F.col("begin_line"))
+    later = ends.join(firsts.select(by, "begin_line"), by).filter(F.col("line_no") > F.col("begin_line"))
     end_times = later.groupBy(by).agg(F.min_by("b", "line_no").alias("end_time"))
     return firsts.join(end_times, by, "left").select(
         by, "begin_time", "end_time", (F.col("end_time") - F.col("begin_time")).alias("latency")
@@ -261,7 +259,7 @@ def rate_summary(df: DataFrame, period: int = 10) -> DataFrame:
 
 def schedule_points(schedule: DataFrame, batch: int) -> DataFrame:
     """Polyline ``(run_id, progress, size)`` of a size schedule ``(run_id, step, size)``."""
-    placed = cut_lineage(running(schedule.select("run_id", "step", "size"), ["step"], ["run_id"], position="_k"))
+    placed = running(schedule.select("run_id", "step", "size"), ["step"], ["run_id"], position="_k")
     prev = neighbour(placed, ["run_id"], "_k", {"_before": "size"}, -1)
     at = F.col("step") * batch
     before = F.struct((at - 1).alias("progress"), F.coalesce("_before", F.lit(0)).cast("bigint").alias("size"))
@@ -298,7 +296,7 @@ def recovery_times(failures: DataFrame, latencies: DataFrame, lost_steps: float,
     ``failures(run_id, recoverable)``, ``latencies(run_id, latency)`` in seconds.
     """
     rerun = F.lit(float(lost_steps) * float(step_time))
-    joined = spread_join(failures, latencies, ["run_id"], ["run_id", "recoverable"], "left")
+    joined = failures.join(latencies, "run_id", "left")
     return joined.select(
         *failures.columns,
         (F.col("latency") + F.when(F.col("recoverable"), F.lit(0.0)).otherwise(rerun)).alias("recovery"),

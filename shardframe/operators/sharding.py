@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from shardframe.functions.numbers import ceil_div, floor_div
 from shardframe.operators.ordinal import hashed_order, neighbour, run_lengths, running
 from shardframe.operators.skew import overlap_join, spread_join
-from shardframe.session import cut_lineage
+from shardframe.session import store
 
 # Names of the published files of a job.
 SHARD_FILE = "%04d.tf_record"
 RANK_DIR = "rank-%03d"
 MIN_SAMPLES = 8192
-LAST_STEP = 10000
 
 
 def sample_order(df: DataFrame, id_col: str, seed: int | None = None) -> DataFrame:
@@ -140,8 +139,13 @@ def cluster_prefix(job, progress, dp_size) -> Column:
     return F.format_string("/job/%s/progress/%d/cluster-of-%d", job, progress, dp_size)
 
 
-def manifests(packed: DataFrame, gbs: int) -> DataFrame:
-    """Text manifests of a job as rows ``(path, line_no, line)``: file lists, rank list, head, batch size."""
+def manifests(packed: DataFrame, gbs: int, order: DataFrame | None = None) -> DataFrame:
+    """Text manifests of a job as rows ``(path, line_no, line)``.
+
+    Of the job: the rank list, the head, the cluster prefix, the global batch size. Of every rank: its files, its
+    batch sizes as runs, and for every file the sample ids (``.meta``). With the ``order`` also the order itself
+    and, for every rank, how many samples no batch takes and which.
+    """
     job = [F.col("job"), F.col("progress"), F.col("dp_size")]
     root = cluster_prefix(*job)
     rank_dir = F.concat(root, F.lit("/"), F.format_string(RANK_DIR, "dp_rank"))
@@ -151,7 +155,7 @@ def manifests(packed: DataFrame, gbs: int) -> DataFrame:
         F.col("file_id").alias("line_no"),
         F.concat(rank_dir, F.lit("/"), F.col("filename")).alias("line"),
     )
-    jobs = packed.select("job", "progress", "dp_size").distinct()
+    jobs = store(packed.select("job", "progress", "dp_size").distinct(), "jobs")
     ranks = jobs.withColumn("dp_rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dp_size") - 1)))
     list_name = F.format_string("/job/%s/progress-%d-cluster-of-%d.txt", *job)
     rank_lines = ranks.select(list_name.alias("path"), F.col("dp_rank").alias("line_no"), rank_dir.alias("line"))
@@ -164,7 +168,46 @@ def manifests(packed: DataFrame, gbs: int) -> DataFrame:
             )
         ).alias("x")
     ).select("x.path", F.lit(0).cast("bigint").alias("line_no"), "x.line")
-    return lists.unionByName(rank_lines).unionByName(singles)
+    metas = running(
+        packed.select("job", "progress", "dp_size", "dp_rank", "filename", "batch", "pos_in_rank", "sample_id"),
+        ["batch", "pos_in_rank"], ["job", "progress", "dp_size", "dp_rank", "filename"], position="line_no",
+    ).select(
+        F.concat(rank_dir, F.lit("/"), F.col("filename"), F.lit(".meta")).alias("path"), "line_no",
+        F.col("sample_id").cast("string").alias("line"),
+    )
+    by_rank = ["job", "progress", "dp_size", "dp_rank"]
+    sizes = packed.groupBy(*by_rank, "batch").agg(F.count(F.lit(1)).alias("batch_size"))
+    runs = run_lengths(sizes, by_rank, ["batch"], "batch_size").select(
+        F.concat(rank_dir, F.lit("/batch-sizes.txt")).alias("path"), F.col("run").alias("line_no"), F.concat_ws(" ", "batch_size", "count").alias("line")
+    )
+    out = lists.unionByName(rank_lines).unionByName(singles).unionByName(metas).unionByName(runs)
+    if order is None:
+        return out
+    # A job's batches end at the same place on all ranks, so its dropped samples are those of each of them.
+    # A call packs one mount, or a few; they are literals below.
+    mounts = jobs.collect()
+    names = F.explode(F.array(*[F.lit(j) for j in sorted({m["job"] for m in mounts})]).cast("array<string>"))
+    ordered = order.withColumn("job", names).select(
+        F.format_string("/job/%s/order.txt", "job").alias("path"), F.col("position").alias("line_no"), F.col("sample_id").cast("string").alias("line")
+    )
+    each = F.array(*[F.struct(F.lit(m["job"]).alias("job"), F.lit(m["progress"]).alias("progress"), F.lit(m["dp_size"]).alias("dp_size")) for m in mounts])
+    each = each.cast("array<struct<job:string,progress:bigint,dp_size:bigint>>")
+    short = (F.col("n_samples") - F.col("progress")) % gbs
+    # Fewer than a batch of samples are dropped, so only those at the end of the order are looked at.
+    tail = order.filter(F.col("n_samples") - F.col("position") < gbs).withColumn("_m", F.explode(each)).select("*", "_m.*")
+    tail = tail.filter((F.col("position") >= F.col("progress")) & (F.col("n_samples") - F.col("position") <= short)).withColumn(
+        "line_no", F.col("position") - F.col("n_samples") + short
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dp_size") - 1))
+    dropped = tail.withColumn("dp_rank", every).select(
+        F.concat(rank_dir, F.lit("/dropped-ids.txt")).alias("path"), "line_no", F.col("sample_id").cast("string").alias("line")
+    )
+    n = order.agg(F.coalesce(F.max("n_samples"), F.lit(0)).alias("n")).first()["n"]
+    left = F.greatest(F.lit(n) - F.col("progress"), F.lit(0)) % gbs
+    counts = ranks.select(
+        F.concat(rank_dir, F.lit("/dropped.txt")).alias("path"), F.lit(0).cast("bigint").alias("line_no"), left.cast("string").alias("line")
+    )
+    return out.unionByName(ordered).unionByName(dropped).unionByName(counts)
 
 
 def resolve_head(heads: DataFrame) -> DataFrame:
@@ -195,12 +238,13 @@ def stage_plan(
     para_configs: DataFrame,
     batch: int,
     observed: DataFrame | None = None,
-    last_step: int = LAST_STEP,
+    last_step: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Stages of every job and a violations table.
 
     ``schedules(job, step, size[, time])``, size 0 stops. ``para_configs(job, size, mp, dp, pp)``. A
-    schedule with times only takes its steps from ``observed(job, time, step)``.
+    schedule with times only takes its steps from ``observed(job, time, step)``. A stage without a later point
+    ends at ``last_step``, which is null (open) when not given; one that would end before it starts is a violation.
     """
     points = schedules
     if observed is not None:
@@ -208,16 +252,18 @@ def stage_plan(
         points = points.join(seen, ["job", "time"], "left").withColumn("step", F.coalesce("step", "_seen")).drop("_seen")
     unplaced = points.filter(F.col("step").isNull()).select("job", "size", F.lit("no start step").alias("reason"))
     points = points.filter(F.col("step").isNotNull()).select("job", "step", "size")
-    placed = cut_lineage(running(points, ["step"], ["job"], position="stage"))
+    placed = running(points, ["step"], ["job"], position="stage")
     ends = neighbour(placed, ["job"], "stage", {"end_step": "step"}, 1).filter(F.col("size") != 0)
+    ends = ends.withColumn("end_step", F.coalesce("end_step", F.lit(last_step)).cast("bigint"))
     sane = F.col("size") == F.col("mp") * F.col("dp") * F.col("pp")
+    backward = F.coalesce(F.col("end_step") < F.col("step"), F.lit(False))
     # Several stages of a hot job share few sizes, so the wide side is salted by stage.
     joined = spread_join(ends, para_configs, ["job", "size"], ["stage"], "left")
-    stages = joined.filter(sane).select(
+    stages = joined.filter(sane & ~backward).select(
         "job",
         "stage",
         F.col("step").alias("start_step"),
-        F.coalesce("end_step", F.lit(last_step)).cast("bigint").alias("end_step"),
+        "end_step",
         (F.col("step") * batch).alias("progress"),
         "size",
         "mp",
@@ -226,27 +272,38 @@ def stage_plan(
     )
     undefined = joined.filter(F.col("dp").isNull()).select("job", "size", F.lit("size not configured").alias("reason"))
     wrong = joined.filter(~sane).select("job", "size", F.lit("degrees do not multiply to size").alias("reason"))
-    return stages, unplaced.unionByName(undefined).unionByName(wrong)
+    reversed_ = joined.filter(sane & backward).select("job", "size", F.lit("stage ends before it starts").alias("reason"))
+    return stages, unplaced.unionByName(undefined).unionByName(wrong).unionByName(reversed_)
 
 
-def rescale_audit(stages: DataFrame, order: DataFrame, gbs: int, width: int = 1 << 16) -> DataFrame:
-    """Samples that a staged run takes not exactly once: ``(position, sample_id, times)``.
+def rescale_audit(stages: DataFrame, order: DataFrame, gbs: int, width: int | None = None) -> DataFrame:
+    """Samples that staged runs take not exactly once: ``(job, position, sample_id, times)``.
 
-    ``stages(stage, progress, start_step, end_step)`` of one job. Checked positions run from 0 to the last
-    step times the batch. Stages become interval buckets; the order is never multiplied.
+    ``stages(job, stage, progress, start_step, end_step)`` as :func:`stage_plan` gives them; an open end takes the
+    rest of the order. Every job's checked positions run from 0 to its last step times the batch, or to the end
+    of the order. The ends of a job's stages cut its positions into pieces, each taken equally often; only the
+    pieces that are wrong meet the order, by interval buckets.
     """
+    n = order.agg(F.coalesce(F.max(F.col("position") + 1), F.lit(0)).alias("n")).first()["n"]
+    steps = F.col("end_step") - F.col("start_step")
     spans = stages.select(
-        "stage",
+        "job",
         F.col("progress").alias("lo"),
-        (F.col("progress") + (F.col("end_step") - F.col("start_step")) * gbs).alias("hi"),
+        F.coalesce(F.col("progress") + steps * gbs, F.lit(n)).cast("bigint").alias("hi"),
+        F.coalesce(F.col("end_step") * gbs, F.lit(n)).cast("bigint").alias("until"),
     )
-    extent = stages.agg(F.max("end_step") * gbs).scalar()
-    points = order.select("position", "sample_id", (F.col("position") + 1).alias("_next"))
-    hits = overlap_join(points, spans, ("position", "_next"), ("lo", "hi"), width, spread_by=["position"])
-    times = hits.groupBy("position").agg(F.count(F.lit(1)).alias("times"))
-    return (
-        points.filter(F.col("position") < extent)
-        .join(times, "position", "left")
-        .select("position", "sample_id", F.coalesce("times", F.lit(0)).cast("bigint").alias("times"))
-        .filter(F.col("times") != 1)
+    extents = spans.groupBy("job").agg(F.least(F.max("until"), F.lit(n)).alias("extent"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    changes = spans.select("job", F.explode(F.array(F.struct(F.col("lo").alias("at"), one.alias("step")), F.struct(F.col("hi").alias("at"), (-one).alias("step")))).alias("c"))
+    marks = changes.select("job", "c.at", "c.step").unionByName(
+        extents.select("job", F.explode(F.array(zero, F.col("extent"))).alias("at"), zero.alias("step"))
     )
+    summed = marks.groupBy("job", "at").agg(F.sum("step").alias("step"))
+    placed = running(summed, ["at"], ["job"], sums={"before": F.col("step")}, position="_k")
+    pieces = neighbour(placed, ["job"], "_k", {"until": "at"}, 1).withColumn("times", F.col("before") + F.col("step"))
+    wrong = pieces.join(extents, "job").select(
+        "job", F.greatest("at", zero).alias("lo"), F.least("until", "extent").alias("hi"), "times"
+    ).filter("hi > lo AND times <> 1")
+    points = order.select("position", "sample_id", (F.col("position") + 1).alias("_next"))
+    hits = overlap_join(points, wrong, ("position", "_next"), ("lo", "hi"), width or 1 << 16, spread_by=["position"])
+    return hits.select("job", "position", "sample_id", F.col("times").cast("bigint").alias("times"))

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_COPY = 500_000
-# Most keys that are salted, and so the size of what is broadcast.
-MAX_HOT_KEYS = 10_000
+from shardframe.session import store
+
+# Bytes of one key that go to one task before the key is salted, and what a row without a weight counts.
+BYTES_PER_COPY = 64 << 20
+ROW_BYTES = 128
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark puts a table's size below its broadcast threshold."""
+    session = df.sparkSession._jsparkSession
+    threshold = session.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= threshold
 
 
 def spread_join(
@@ -18,25 +28,28 @@ def spread_join(
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    rows_per_copy: int = ROWS_PER_COPY,
+    weight: Column | None = None,
+    bytes_per_copy: int = BYTES_PER_COPY,
 ) -> DataFrame:
-    """Join ``big`` (many rows per key) to ``small`` (few rows per key).
+    """Join ``big`` (many bytes per key) to ``small`` (few rows per key), where both sides are large.
 
-    The hottest keys above ``rows_per_copy`` rows, at most MAX_HOT_KEYS, are salted: the big side by a hash
-    of ``spread_by``, the small side by copying its rows once per salt. All other keys keep salt 0. The
-    list of hot keys is broadcast, so the wide rows are shuffled once, by key and salt.
+    Every key above ``bytes_per_copy`` bytes is salted: the big side by a hash of ``spread_by``, the small side
+    by copying its rows once per salt. All other keys keep salt 0. ``weight`` gives the bytes of a row of the
+    big side. The list of hot keys is written, so Spark sees its size and broadcasts it only if it is small;
+    it has at most one row per ``bytes_per_copy`` bytes of the big side. A small side that Spark would broadcast by
+    its size needs neither the list nor the salt, and is joined plainly.
     """
     keys = list(keys)
-    # The order is total, so both uses below see the same keys.
-    hot = (
+    if fits_broadcast(small):
+        return big.join(small, keys, how)
+    size = F.lit(ROW_BYTES) if weight is None else weight + F.lit(ROW_BYTES)
+    hot = store(
         big.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_copy)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / rows_per_copy).cast("int").alias("_copies"))
+        .agg(F.sum(size.cast("bigint")).alias("_bytes"))
+        .filter(F.col("_bytes") > bytes_per_copy)
+        .select(*keys, F.ceil(F.col("_bytes") / bytes_per_copy).cast("int").alias("_copies")),
+        "hot-keys",
     )
-    hot = F.broadcast(hot)
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     salted = big.join(hot, keys, "left").select(
         *big.columns, F.pmod(F.xxhash64(*spread_by), copies).cast("int").alias("_salt")
@@ -57,19 +70,23 @@ def overlap_join(
     right: DataFrame,
     left_range: tuple[str, str],
     right_range: tuple[str, str],
-    width: int,
+    width: int | None = None,
     keys: Sequence[str] = (),
     spread_by: Sequence[str] = (),
-    rows_per_copy: int = ROWS_PER_COPY,
+    bytes_per_copy: int = BYTES_PER_COPY,
 ) -> DataFrame:
     """Pairs whose half-open intervals overlap, each once, by an equi-join on interval buckets.
 
-    A pair that meets in several buckets is kept in the first common one. ``left`` is the side that may
+    Buckets are ``width`` wide; without a width they are as wide as the longer side's mean interval, so that an
+    interval lies in few of them. A pair that meets in several buckets is kept in the first common one. ``left`` is the side that may
     hold many rows per bucket. Column names of both sides must differ except for ``keys``.
     """
+    if width is None:
+        means = [df.agg(F.ceil(F.avg(F.expr(f"{hi} - {lo}")))).first()[0] for df, (lo, hi) in ((left, left_range), (right, right_range))]
+        width = max(1, *(int(m or 0) for m in means))
     a = left.withColumn("_bucket", F.explode(touched(*left_range, width)))
     b = right.withColumn("_bucket", F.explode(touched(*right_range, width)))
-    met = spread_join(a, b, [*keys, "_bucket"], spread_by or [left_range[0], left_range[1]], rows_per_copy=rows_per_copy)
+    met = spread_join(a, b, [*keys, "_bucket"], spread_by or [left_range[0], left_range[1]], bytes_per_copy=bytes_per_copy)
     first = F.expr(f"greatest({left_range[0]} div {width}L, {right_range[0]} div {width}L)")
     return met.filter(
         (F.col("_bucket") == first)

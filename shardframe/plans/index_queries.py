@@ -59,7 +59,18 @@ def i1(spark, sf):
 def i2(spark, sf):
     ids = table(spark, sf, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("sample_id"))
     ranges = index.named_ranges(document_index(spark, sf))
-    return index.select_ranges(ranges, ids).select("position", "sample_id", "path", "begin", "end")
+    return index.select_ranges(ranges, ids)[0].select("position", "sample_id", "path", "begin", "end")
+
+
+@query(
+    "i2_unknown_ids",
+    IDX
+    + """, ids AS (SELECT event_id AS position, event_id % 1500 AS sample_id FROM events)
+    SELECT position, sample_id, 'unknown sample' AS reason FROM ids WHERE sample_id NOT IN (SELECT sample_id FROM named)""",
+)
+def i2_unknown(spark, sf):
+    ids = table(spark, sf, "events").select(F.col("event_id").alias("position"), (F.col("event_id") % 1500).alias("sample_id"))
+    return index.select_ranges(index.named_ranges(document_index(spark, sf)), ids)[1]
 
 
 @query(
@@ -158,7 +169,7 @@ def i8(spark, sf):
         (F.col("o_orderkey") * 1000).alias("pos"),
         (F.lit(2000) + (F.col("o_custkey") % 100) * 50).alias("length"),
     )
-    return index.locate(index.logical_ranges(document_index(spark, sf)), requests, width=8192)
+    return index.locate(index.logical_ranges(document_index(spark, sf)), requests)
 
 
 @query(
@@ -208,4 +219,19 @@ def d14(spark, sf):
         F.expr("sample_id div 32L").alias("file_ord"), F.expr("sample_id % 32L").alias("range_ord"), "path", "begin", "end"
     )
     ids = table(spark, sf, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("sample_id"))
-    return index.lookup_samples(files, ids, 32).drop("path")
+    return index.lookup_samples(files, ids, 32)[0].drop("path")
+
+
+@query(
+    "d14_unknown_samples",
+    IDX
+    + """SELECT event_id AS position, event_id % 1500 AS sample_id, 'unknown sample' AS reason
+    FROM events WHERE event_id % 1500 NOT IN (SELECT sample_id FROM named)""",
+)
+def d14_unknown(spark, sf):
+    ranges = index.named_ranges(document_index(spark, sf))
+    files = ranges.select(
+        F.expr("sample_id div 32L").alias("file_ord"), F.expr("sample_id % 32L").alias("range_ord"), "path", "begin", "end"
+    )
+    ids = table(spark, sf, "events").select(F.col("event_id").alias("position"), (F.col("event_id") % 1500).alias("sample_id"))
+    return index.lookup_samples(files, ids, 32)[1]

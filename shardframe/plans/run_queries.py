@@ -148,11 +148,11 @@ def metrics(spark, sf):
     "l5_merge_series",
     SERIES
     + """SELECT run_id, step, round(wall_time, 3) AS wall_time, value, row_number() OVER (ORDER BY wall_time, step) - 1 AS point
-    FROM m WHERE run_id <> 'view'""",
+    FROM m""",
 )
 def l5(spark, sf):
     m = metrics(spark, sf)
-    parts = [m.filter(F.col("run_id") == r) for r in ("click", "error", "purchase", "signup")]
+    parts = [m.filter(F.col("run_id") == r) for r in ("click", "error", "purchase", "signup", "view")]
     merged = runs.merge_series(*parts)
     return merged.select("run_id", "step", F.round("wall_time", 3).alias("wall_time"), "value", "point")
 

@@ -187,10 +187,18 @@ def d9(spark, sf):
     UNION ALL SELECT list, dp_rank, dir FROM d, p
     UNION ALL SELECT root || '/global-batch-size.txt', 0, '{GBS}' FROM p
     UNION ALL SELECT '/job/docs/head.txt', 0, list FROM p
-    UNION ALL SELECT '/job/docs/cluster-prefix.txt', 0, root FROM p""",
+    UNION ALL SELECT '/job/docs/cluster-prefix.txt', 0, root FROM p
+    UNION ALL SELECT '/job/docs/order.txt', position, sample_id::VARCHAR FROM ord
+    UNION ALL SELECT dir || '/' || lpad(file_id::VARCHAR, 4, '0') || '.tf_record.meta',
+      row_number() OVER (PARTITION BY dp_rank, file_id ORDER BY batch, pos_in_rank) - 1, sample_id::VARCHAR FROM files JOIN d USING (dp_rank)
+    UNION ALL SELECT dir || '/batch-sizes.txt', 0, size || ' ' || count(*) FROM
+      (SELECT dp_rank, batch, count(*) AS size FROM shards GROUP BY 1, 2) JOIN d USING (dp_rank) GROUP BY dir, size
+    UNION ALL SELECT dir || '/dropped.txt', 0, ((SELECT count(*) FROM documents) - {PROGRESS}) % {GBS} || '' FROM d
+    UNION ALL SELECT dir || '/dropped-ids.txt', row_number() OVER (PARTITION BY dir ORDER BY position) - 1, sample_id::VARCHAR
+      FROM cut, d WHERE batch >= (n_samples - {PROGRESS}) // {GBS}""",
 )
 def d10(spark, sf):
-    return sharding.manifests(packed(spark, sf), GBS)
+    return sharding.manifests(packed(spark, sf), GBS, order_of(spark, sf))
 
 
 @query(
@@ -282,7 +290,7 @@ def d15_violations(spark, sf):
     st AS (SELECT 0 AS lo, (n // 20) * 8 AS hi, (n // 20 + n // 40) * 8 AS ext FROM ord LIMIT 1),
     t AS (SELECT position, sample_id, (CASE WHEN position < hi THEN 1 ELSE 0 END)
           + (CASE WHEN position >= 120 AND position < 120 + ext - hi THEN 1 ELSE 0 END) AS times, ext FROM ord, st)
-    SELECT position, sample_id, times::BIGINT AS times FROM t WHERE position < ext AND times <> 1""",
+    SELECT 'docs' AS job, position, sample_id, times::BIGINT AS times FROM t WHERE position < ext AND times <> 1""",
 )
 def d16(spark, sf):
     n = F.count(F.lit(1))
@@ -294,5 +302,28 @@ def d16(spark, sf):
             F.struct(zero.alias("stage"), zero.alias("progress"), zero.alias("start_step"), a.alias("end_step")),
             F.struct((zero + 1).alias("stage"), (zero + 120).alias("progress"), a.alias("start_step"), (a + b).alias("end_step")),
         ).alias("s")
-    ).selectExpr("inline(s)")
+    ).selectExpr("inline(s)").withColumn("job", F.lit("docs"))
     return sharding.rescale_audit(stages, order_of(spark, sf), 8)
+
+
+# The stages of every customer's job, as the plan gives them, against the order of the documents: steps that a job
+# doesn't cover are missing, and so are the samples of stages that couldn't be planned.
+@query(
+    "d16_all_jobs",
+    """WITH n AS (SELECT count(*) AS n FROM documents),
+    pts AS (SELECT o_custkey AS job, o_orderkey % 97 AS step, max((CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 4 WHEN '3' THEN 8 WHEN '4' THEN 12 ELSE 16 END))::BIGINT AS size
+            FROM orders GROUP BY ALL),
+    nxt AS (SELECT *, coalesce(lead(step) OVER (PARTITION BY job ORDER BY step), 97) AS until FROM pts),
+    st AS (SELECT job, step * 8 AS lo, until * 8 AS hi FROM nxt WHERE size IN (4, 8, 16) AND NOT (size = 8 AND job % 5 = 0)),
+    ext AS (SELECT job, least(max(hi), n) AS ext FROM st, n GROUP BY job, n),
+    p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
+    t AS (SELECT ext.job, p.position, count(st.lo) AS times FROM ext JOIN p ON p.position < ext.ext
+          LEFT JOIN st ON st.job = ext.job AND p.position >= st.lo AND p.position < st.hi GROUP BY 1, 2)
+    SELECT job, times, count(*) AS samples, sum(position)::BIGINT AS positions FROM t WHERE times <> 1 GROUP BY 1, 2""",
+)
+def d16_jobs(spark, sf):
+    points, configs = jobs(spark, sf)
+    points = points.withColumn("step", F.col("step") % 97).groupBy("job", "step").agg(F.max("size").alias("size"))
+    stages, _ = sharding.stage_plan(points, configs, 8, last_step=97)
+    bad = sharding.rescale_audit(stages, order_of(spark, sf), 8)
+    return bad.groupBy("job", "times").agg(F.count(F.lit(1)).alias("samples"), F.sum("position").alias("positions"))

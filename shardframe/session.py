@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,6 +28,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "shard
     )
 
 
+def qualify(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and authority that the driver's default filesystem gives it.
+
+    Executors open files by this name, so a bare path on a cluster never means an executor's own disk.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by the cluster in ``spark.checkpoint.dir``.
 
@@ -34,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
-        return configured
+        return qualify(spark, configured)
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known:
@@ -43,17 +55,45 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="shardframe-")
     context.setCheckpointDir(made)
-    return made
+    return qualify(spark, made)
+
+
+# Folders made by this driver, deleted when it ends or when asked.
+_made: list[str] = []
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, unique across drivers."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, unique across drivers; deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release_shared)
+    _made.append(path)
+    return path
+
+
+def release_shared(spark: SparkSession | None = None) -> int:
+    """Delete everything that this driver wrote to the shared folder; results that read it are lost."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _made:
+        where = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += where.getFileSystem(conf).delete(where, True)
+    return done
+
+
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from there.
+
+    It survives lost executors, later reads take only the columns they need, and Spark knows its size.
+    """
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there (survives lost executors)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """A stable copy of ``df``: a second use sees the same rows."""
+    return store(df, "stable")

@@ -14,7 +14,9 @@ def test_named_and_selected(spark, rows):
     named = index.named_ranges(idx(spark))
     assert rows(named, "sample_id", "path", "begin") == [(0, "/data/a.rec", 0), (1, "/data/a.rec", 116), (2, "/data/b.rec", 0)]
     ids = spark.createDataFrame([(0, 2), (1, 0), (2, 2)], "position bigint, sample_id bigint")
-    assert rows(index.select_ranges(named, ids), "position", "path", "end") == [(0, "/data/b.rec", 66), (1, "/data/a.rec", 116), (2, "/data/b.rec", 66)]
+    found, lost = index.select_ranges(named, ids.unionByName(spark.createDataFrame([(3, 99)], ids.schema)))
+    assert rows(lost) == [(3, 99, "unknown sample")]
+    assert rows(found, "position", "path", "end") == [(0, "/data/b.rec", 66), (1, "/data/a.rec", 116), (2, "/data/b.rec", 66)]
 
 
 def test_stats_and_regions(spark, rows):
@@ -54,6 +56,13 @@ def test_check_and_md5(spark, rows):
     assert rows(index.verify_md5(a, b), "path", "status") == [("x", "ok"), ("y", "mismatch"), ("z", "missing")]
 
 
+def test_lookup_reports_unknown_samples(spark, rows):
+    ids = spark.createDataFrame([(0, 0), (1, 3), (2, 7)], "position bigint, sample_id bigint")
+    found, lost = index.lookup_samples(idx(spark), ids, 2)
+    assert rows(found, "position", "size") == [(0, 116)]
+    assert rows(lost) == [(1, 3, "unknown sample"), (2, 7, "unknown sample")]
+
+
 def test_shard(spark, rows):
     named = index.named_ranges(idx(spark))
     assert rows(index.index_shard(named, 0, 2), "sample_id") == [(0,), (1,)]

@@ -1,9 +1,12 @@
+import hashlib
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from shardframe.operators import skew
 from shardframe.operators.ordinal import following, hashed_order, run_lengths, running
 from shardframe.operators.skew import overlap_join, spread_join
 
@@ -58,12 +61,13 @@ def test_following(spark, rows):
     assert rows(later, "n", "next_t") == [("w", None), ("x", 5), ("y", 7), ("z", None)]
 
 
-def test_spread_join_equals_join(spark):
+def test_spread_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "fits_broadcast", lambda df: False)
     big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(500)], "k bigint, i bigint")
     small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 400, 2)], "k bigint, v string")
     for how in ("inner", "left"):
         plain = sorted(map(tuple, big.join(small, "k", how).select("k", "i", "v").collect()), key=repr)
-        salted = spread_join(big, small, ["k"], ["i"], how, rows_per_copy=20)
+        salted = spread_join(big, small, ["k"], ["i"], how, bytes_per_copy=20 * 128)
         assert sorted(map(tuple, salted.select("k", "i", "v").collect()), key=repr) == plain
 
 
@@ -76,8 +80,34 @@ def test_spread_join_equals_join(spark):
 def test_overlap_join_equals_brute_force(spark, left, right, width):
     a = spark.createDataFrame([(i, lo, lo + n) for i, (lo, n) in enumerate(left)], "i bigint, a bigint, b bigint")
     b = spark.createDataFrame([(i, lo, lo + n) for i, (lo, n) in enumerate(right)], "j bigint, c bigint, d bigint")
-    got = sorted((r.i, r.j) for r in overlap_join(a, b, ("a", "b"), ("c", "d"), width, rows_per_copy=3).collect())
+    got = sorted((r.i, r.j) for r in overlap_join(a, b, ("a", "b"), ("c", "d"), width, bytes_per_copy=3 * 128).collect())
     want = sorted(
         (i, j) for i, (x, n) in enumerate(left) for j, (y, m) in enumerate(right) if n and m and max(x, y) < min(x + n, y + m)
     )
     assert got == want
+
+
+def test_hot_keys_are_split_by_bytes(spark, monkeypatch):
+    """A key of few but large rows is salted; every other key keeps one copy."""
+    monkeypatch.setattr(skew, "fits_broadcast", lambda df: False)
+    big = spark.createDataFrame([(i % 3, i, bytearray(5000 if i % 3 == 0 else 1)) for i in range(60)], "k bigint, i bigint, d binary")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k bigint, v string")
+    seen = {}
+    stored = skew.store
+    monkeypatch.setattr(skew, "store", lambda df, name: seen.setdefault(name, stored(df, name)))
+    joined = spread_join(big, small, ["k"], ["i"], weight=F.length("d"), bytes_per_copy=20_000)
+    assert sorted((r.k, r.i, r.v) for r in joined.collect()) == sorted((i % 3, i, "abc"[i % 3]) for i in range(60))
+    assert [(r.k, r["_copies"]) for r in seen["hot-keys"].collect()] == [(0, 6)]
+
+
+def test_overlap_join_finds_its_own_width(spark):
+    a = spark.createDataFrame([(0, 0, 1_000_000), (1, 5, 6), (2, 2_000_000, 2_000_001)], "i bigint, a bigint, b bigint")
+    b = spark.createDataFrame([(0, 4, 10), (1, 999_999, 1_000_001)], "j bigint, c bigint, d bigint")
+    assert sorted((r.i, r.j) for r in overlap_join(a, b, ("a", "b"), ("c", "d")).collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 1 << 18])
+def test_hashed_order_buckets_follow_the_rows(spark, bucket_rows):
+    got = hashed_order(spark.range(500), "id", 7, bucket_rows=bucket_rows).collect()
+    want = sorted(range(500), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
+    assert [r.sample_id for r in sorted(got, key=lambda r: r.position)] == want
