@@ -7,18 +7,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shardframe.sources.files import io_parts, list_files, open_file
 
-# Files up to this size fit a cell and are hashed by the JVM.
-CELL_BYTES = 256 << 20
+READ_BYTES = 8 << 20
 
 
-def md5_manifest(spark: SparkSession, paths: str | list[str], cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """``(path, md5)`` of every file; larger ones are read as streams."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    small = found.filter(F.col("length") <= cell_bytes).select("path", F.md5("content").alias("md5"))
+def md5_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(path, md5)`` of every file, read as a stream."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -26,10 +22,10 @@ def md5_manifest(spark: SparkSession, paths: str | list[str], cell_bytes: int =
             for path in batch["path"].to_pylist():
                 digest = hashlib.md5()
                 with open_file(path) as handle:
-                    while block := handle.read(8 << 20):
+                    while block := handle.read(READ_BYTES):
                         digest.update(block)
                 sums.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array(sums, pa.string())], names=["path", "md5"])
 
-    large = list_files(spark, paths).filter(F.col("size") > cell_bytes).select("path").repartition(io_parts(spark), "path")
-    return small.unionByName(large.mapInArrow(stream, "path string, md5 string"))
+    files = list_files(spark, paths).select("path").repartition(io_parts(spark), "path")
+    return files.mapInArrow(stream, "path string, md5 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,18 +11,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from shardframe.session import qualify, store
+
 READ_BLOCK = 64 << 20
 FLUSH_BYTES = 16 << 20
 BATCH_LINES = 50_000
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """Filesystem and path inside it for a URI or a plain local path."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    """Filesystem and path inside it for a qualified path, or for a plain path of this machine.
+
+    What comes from a caller is qualified on the driver first (:func:`shardframe.session.qualify`), so a plain path
+    names the cluster's default filesystem there and never an executor's own disk.
+    """
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    # Names that Spark's connectors use for stores that Arrow knows by another.
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + found + rest)
+
+
+def root_of(path: str) -> str:
+    """What stands before a path inside its filesystem, so that a listing's paths can be named in full."""
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        return ""
+    if scheme in ("s3", "s3a", "s3n", "gs"):
+        return f"{scheme}://"
+    return f"{scheme}://{rest[2:].partition('/')[0]}" if rest.startswith("//") and not rest.startswith("///") else f"{scheme}:"
 
 
 def open_file(path: str):
@@ -30,24 +49,38 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
-def write_file(path: str, chunks: Iterator[bytes]) -> int:
-    """Write a file under a temporary name and move it into place; returns its size.
+class AsideFile:
+    """A file written under another name and moved into place when it is whole.
 
     A task that runs twice writes the same bytes and the last move wins.
     """
-    import uuid
 
-    system, inner = filesystem(path)
-    folder, _, name = inner.rpartition("/")
-    system.create_dir(folder, recursive=True)
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    size = 0
-    with system.open_output_stream(part) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    system.move(part, inner)
-    return size
+    def __init__(self, path: str) -> None:
+        self.system, self.inner = filesystem(path)
+        folder, _, name = self.inner.rpartition("/")
+        self.system.create_dir(folder, recursive=True)
+        self.part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        self.out = self.system.open_output_stream(self.part)
+        self.size = 0
+
+    def write(self, data: bytes) -> None:
+        """Append bytes."""
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> int:
+        """Move the file into place; returns its size."""
+        self.out.close()
+        self.system.move(self.part, self.inner)
+        return self.size
+
+
+def write_file(path: str, chunks: Iterator[bytes]) -> int:
+    """Write a file aside and move it into place; returns its size."""
+    out = AsideFile(path)
+    for chunk in chunks:
+        out.write(chunk)
+    return out.close()
 
 
 def io_parts(spark: SparkSession) -> int:
@@ -60,9 +93,46 @@ def io_parts(spark: SparkSession) -> int:
 
 
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(path, size)`` of files, folders (recursively) or globs; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return found.select("path", F.col("length").alias("size"))
+    """``(path, size)`` of files, folders (recursively) or globs; names that start with ``_`` or ``.`` are left out.
+
+    The driver lists the first level only; every folder below it is listed by a task, so the tasks follow the number
+    of folders and not the bytes of the files.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files, folders = [], []
+    for path in [paths] if isinstance(paths, str) else paths:
+        where = jvm.org.apache.hadoop.fs.Path(qualify(spark, path))
+        system = where.getFileSystem(conf)
+        found = system.globStatus(where)
+        if not found:
+            raise FileNotFoundError(path)
+        for status in found:
+            level = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+            for child in level:
+                if status.isDirectory() and child.getPath().getName()[0] in "_.":
+                    continue
+                (folders if child.isDirectory() else files).append((child.getPath().toString(), child.getLen()))
+    known = spark.createDataFrame(files, "path string, size bigint")
+    if not folders:
+        return known
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                system, inner = filesystem(folder)
+                found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+                start = len(inner.rstrip("/"))
+                kept = [
+                    f for f in found
+                    if f.type == fs.FileType.File and not any(p[0] in "_." for p in f.path[start:].strip("/").split("/"))
+                ]
+                names = [root_of(folder) + f.path for f in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array([f.size for f in kept], pa.int64())], names=["path", "size"]
+                )
+
+    listed = spark.createDataFrame(folders, "path string, size bigint").select("path").repartition(io_parts(spark), "path")
+    return known.unionByName(listed.mapInArrow(below, "path string, size bigint"))
 
 
 def spread_blocks(df: DataFrame, begin: str = "begin", block: int = READ_BLOCK) -> DataFrame:
@@ -109,69 +179,60 @@ def _with_payload(batch: pa.RecordBatch, payloads: list[bytes]) -> pa.RecordBatc
 def read_lines(spark: SparkSession, paths: str | list[str], block: int = READ_BLOCK) -> DataFrame:
     """``(path, line_no, text)`` with 0-based line numbers.
 
-    Files are cut at fixed offsets, so a large file is read by many tasks: one pass counts the line ends
-    per block, the next reads the lines that begin in each block.
+    Files are cut at fixed offsets, so a large file is read by many tasks, and every byte once: a task numbers the
+    lines that begin in its block, the lines are written, and the counts of the blocks before make the numbers of
+    the file.
     """
-    parts = io_parts(spark)
     files = list_files(spark, paths).filter("size > 0")
-    blocks = files.select(
-        "path", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {block}L)")).alias("block")
-    ).repartition(parts, "path", "block")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = []
-            for path, number in zip(batch["path"].to_pylist(), batch["block"].to_pylist()):
-                with open_file(path) as handle:
-                    handle.seek(number * block)
-                    ends.append(handle.read(block).count(b"\n"))
-            yield pa.RecordBatch.from_arrays([batch["path"], batch["block"], pa.array(ends, pa.int64())], names=["path", "block", "ends"])
-
-    # One row per block of a file.
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counted = blocks.select("path", "block").mapInArrow(count, "path string, block bigint, ends bigint")
-    based = counted.select("path", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base"))
+    blocks = files.select("path", F.explode(F.expr(f"sequence(0L, (size - 1) div {block}L)")).alias("block"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, numbers, texts = [], [], []
+        paths, numbers, places, texts = [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())]
-            for held in (paths, numbers, texts):
+            columns = [pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())]
+            for held in (paths, numbers, places, texts):
                 held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["path", "line_no", "text"])
+            return pa.RecordBatch.from_arrays(columns, names=["path", "block", "place", "text"])
 
         for batch in batches:
-            for path, number, base in zip(*(batch[c].to_pylist() for c in ("path", "block", "base"))):
-                lines, first = _lines_of(path, number * block, block, base)
+            for path, number in zip(batch["path"].to_pylist(), batch["block"].to_pylist()):
+                lines = _lines_of(path, number * block, block)
                 # Small files share a batch, large blocks fill several.
                 for start in range(0, len(lines), BATCH_LINES):
                     part = lines[start : start + BATCH_LINES]
                     paths.extend([path] * len(part))
-                    numbers.extend(range(first + start, first + start + len(part)))
+                    numbers.extend([number] * len(part))
+                    places.extend(range(start, start + len(part)))
                     texts.extend(part)
                     if len(texts) >= BATCH_LINES:
                         yield flush()
         if texts:
             yield flush()
 
-    return based.repartition(parts, "path", "block").mapInArrow(split, "path string, line_no bigint, text string")
+    read = blocks.repartition(io_parts(spark), "path", "block").mapInArrow(split, "path string, block bigint, place bigint, text string")
+    lines = store(read, "lines")
+    # One row per block of a file.
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Only blocks after the first of a file have lines before them.
+    later = lines.filter("block > 0").join(bases, ["path", "block"]).select("path", (F.col("base") + F.col("place")).alias("line_no"), "text")
+    return lines.filter("block = 0").select("path", F.col("place").alias("line_no"), "text").unionByName(later)
 
 
-def _lines_of(path: str, start: int, size: int, base: int) -> tuple[list[str], int]:
-    """Lines that begin in ``[start, start + size)`` and the number of the first; ``base`` line ends lie before."""
+def _lines_of(path: str, start: int, size: int) -> list[str]:
+    """Lines that begin in ``[start, start + size)``."""
     with open_file(path) as handle:
         handle.seek(max(start - 1, 0))
         data = handle.read(size + (1 if start else 0))
-        first = base
         if start:
             if data[:1] == b"\n":
                 data = data[1:]
             else:
-                head, found, data = data[1:].partition(b"\n")
+                _, found, data = data[1:].partition(b"\n")
                 if not found:
-                    return [], base
-                first += 1
+                    return []
         # The last line may run on into later blocks; a line end as last byte closes it.
         while data and not data.endswith(b"\n"):
             more = handle.read(1 << 20)
@@ -182,4 +243,4 @@ def _lines_of(path: str, start: int, size: int, base: int) -> tuple[list[str], i
     texts = data.split(b"\n")
     if texts and texts[-1] == b"":
         texts.pop()
-    return [t.rstrip(b"\r").decode("utf-8", "replace") for t in texts], first
+    return [t.rstrip(b"\r").decode("utf-8", "replace") for t in texts]

@@ -37,7 +37,7 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.regexp_extract("text", _HEADER, 1).alias("path"),
         F.regexp_extract("text", _HEADER, 2).try_cast("bigint").alias("n"),
     )
-    placed = cut_lineage(running(headers, ["_at"], position="file_ord"))
+    placed = running(headers, ["_at"], position="file_ord")
     spans = placed.select(
         "file_ord", "path", "n", (F.col("_at") + 1).alias("_lo"), (F.col("_at") + 1 + F.col("n")).alias("_hi")
     )

@@ -9,14 +9,17 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from shardframe.session import qualify
 from shardframe.sources.files import filesystem, io_parts, list_files, open_file, spread_blocks
 
 # The reversed Castagnoli polynomial and the mask constant.
@@ -24,6 +27,8 @@ POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = 12, 4
 CHECK_BYTES = 4 << 20
+READ_AHEAD = 64 << 10
+MOVES_AT_ONCE = 32
 
 _LANE = 64
 
@@ -151,20 +156,40 @@ def batches_of(items: Iterator[bytes], limit: int = 4 << 20) -> Iterator[list[by
         yield held
 
 
+class _Window:
+    """Reads at rising offsets with a read-ahead, so that short records share a request."""
+
+    def __init__(self, handle, size: int) -> None:
+        self.handle, self.size, self.start, self.held = handle, size, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        """``n`` bytes from ``at``, fewer at the end of the file."""
+        if at < self.start or at + n > self.start + len(self.held):
+            self.handle.seek(at)
+            self.start, self.held = at, self.handle.read(min(max(n, READ_AHEAD), self.size - at))
+        return self.held[at - self.start : at - self.start + n]
+
+
 def scan_headers(path: str, size: int) -> Iterator[tuple]:
-    """Rows ``(path, range_ord, begin, end, status)`` of one file."""
+    """Rows ``(path, range_ord, begin, end, status)`` of one file.
+
+    A length whose checksum is wrong says nothing about where the next record begins: the rest of the file is one
+    row with that status.
+    """
     at, number = 0, 0
     with open_file(path) as handle:
+        window = _Window(handle, size)
         while at < size:
-            handle.seek(at)
-            head = handle.read(HEAD)
+            head = window.read(at, HEAD)
+            if len(head) == HEAD and struct.unpack("<I", head[8:])[0] != _head_crc(head[:8]):
+                yield path, number, at, size, "bad length checksum"
+                return
             length = struct.unpack("<q", head[:8])[0] if len(head) == HEAD else -1
             end = at + HEAD + length + TAIL
             if length < 0 or end > size:
                 yield path, number, at, size, "truncated"
                 return
-            good = struct.unpack("<I", head[8:])[0] == _head_crc(head[:8])
-            yield path, number, at, end, "ok" if good else "bad length checksum"
+            yield path, number, at, end, "ok"
             at, number = end, number + 1
 
 
@@ -193,11 +218,12 @@ def build_record_index(
 
     A range covers the whole record, so it is 16 bytes longer than the payload. Heads are found by one
     hopping pass per file; the payload checksums are then verified by file region, so a large file is
-    many tasks.
+    many tasks. Every record has one status: it is either in the index or a violation. After a bad length
+    the rest of the file is one violation.
     """
     heads = _headers(list_files(spark, paths))
     if not verify:
-        return heads.filter("status <> 'truncated'").drop("status"), heads.filter("status <> 'ok'").withColumnRenamed("status", "reason")
+        return heads.filter("status = 'ok'").drop("status"), heads.filter("status <> 'ok'").withColumnRenamed("status", "reason")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, handle = None, None
@@ -245,7 +271,11 @@ class WrittenFile(WriterCommitMessage):
 
 
 class RecordFiles(DataSource):
-    """Batch sink ``record_files``: one record file per partition under ``path``, payload column first."""
+    """Batch sink ``record_files``: one record file per partition under ``path``, payload column first.
+
+    Files of one write share a name of their own, so an append adds to what is there; an overwrite removes the record
+    files that were there before.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -254,12 +284,12 @@ class RecordFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         """Writer of one file per task."""
-        return _RecordWriter(self.options["path"])
+        return _RecordWriter(self.options["path"], overwrite)
 
 
 class _RecordWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.write_id = path.rstrip("/"), overwrite, uuid.uuid4().hex[:12]
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -273,12 +303,18 @@ class _RecordWriter(DataSourceWriter):
             for payloads in batches_of(bytes(row[0]) for row in iterator):
                 for record in encode_records(payloads):
                     out.write(record)
-        return WrittenFile(part, f"{inner}/part-{context.partitionId():05d}.rec")
+        return WrittenFile(part, f"{inner}/part-{context.partitionId():05d}-{self.write_id}.rec")
 
     def commit(self, messages) -> None:
-        system, _ = filesystem(self.path)
-        for message in messages:
-            system.move(message.part, message.final)
+        system, inner = filesystem(self.path)
+        old = []
+        if self.overwrite:
+            new = {m.final.rpartition("/")[2] for m in messages}
+            listed = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            old = [f.path for f in listed if f.base_name.endswith(".rec") and f.base_name not in new]
+        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+            list(pool.map(lambda m: system.move(m.part, m.final), messages))
+            list(pool.map(system.delete_file, old))
 
     def abort(self, messages) -> None:
         system, _ = filesystem(self.path)
@@ -287,10 +323,11 @@ class _RecordWriter(DataSourceWriter):
                 system.delete_file(message.part)
 
 
-def write_records(df: DataFrame, payload: str, directory: str) -> None:
-    """Write the payload column as record files, one per partition of ``df``."""
+def write_records(df: DataFrame, payload: str, directory: str, mode: str = "append") -> None:
+    """Write the payload column as record files, one per partition of ``df``; ``mode`` is append or overwrite."""
     df.sparkSession.dataSource.register(RecordFiles)
-    df.select(F.col(payload).cast("binary").alias("payload")).write.format("record_files").option("path", directory).mode("append").save()
+    payloads = df.select(F.col(payload).cast("binary").alias("payload"))
+    payloads.write.format("record_files").option("path", qualify(df.sparkSession, directory)).mode(mode).save()
 
 
 def record_payload(record: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardframe.operators.sharding import RANK_DIR, SHARD_FILE
-from shardframe.sources.files import read_ranges, write_file
+from shardframe.session import qualify
+from shardframe.sources.files import AsideFile, read_ranges, write_file
 
 
 def write_shards(ranges: DataFrame, index: DataFrame, directory: str) -> DataFrame:
@@ -17,36 +19,42 @@ def write_shards(ranges: DataFrame, index: DataFrame, directory: str) -> DataFra
 
     ``ranges(sample_id, path, begin, end)`` are the sources, ``index`` comes from
     :func:`shardframe.operators.sharding.shard_index`. A file is a bounded group: it closes at its minimum
-    of samples. The result is lazy; its rows are the files written when it runs.
+    of samples, and its bytes go to the open file one sample at a time. Beside each file are its index
+    (``.idx``) and its sample ids (``.meta``). The result is lazy; its rows are the files written when it runs.
     """
+    directory = qualify(ranges.sparkSession, directory)
     wanted = index.select("dp_rank", "file_id", "ord", "sample_id")
     loaded = read_ranges(ranges.select("sample_id", "path", "begin", "end").join(wanted, "sample_id"))
     name = F.concat(
         F.lit(directory.rstrip("/") + "/"), F.format_string(RANK_DIR, "dp_rank"), F.lit("/"), F.format_string(SHARD_FILE, "file_id")
     )
-    rows = loaded.select("dp_rank", "file_id", name.alias("path"), "ord", "payload")
+    rows = loaded.select("dp_rank", "file_id", name.alias("path"), "ord", "sample_id", "payload")
     placed = rows.repartition("dp_rank", "file_id").sortWithinPartitions("dp_rank", "file_id", "ord")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, key, chunks = [], None, []
+        done, key, out, ends, ids = [], None, None, [], []
 
         def close():
-            if key is not None:
-                size = write_file(key[2], iter(chunks))
-                # The index follows the published layout: a line of begin and end per sample.
-                at, lines = 0, []
-                for chunk in chunks:
-                    lines.append(f"{at} {at + len(chunk)}\n")
-                    at += len(chunk)
-                write_file(key[2] + ".idx", iter(["".join(lines).encode()]))
-                done.append((*key, len(chunks), size))
+            if key is None:
+                return
+            size = out.close()
+            # Published layout: the number of files, a line for the file with its count, a line of begin and end per sample.
+            name = key[2].rpartition("/")[2]
+            head = f"1\n./{name} {len(ends)}\n"
+            lines = (f"{begin} {end}\n".encode() for begin, end in zip([0, *ends], ends))
+            write_file(key[2] + ".idx", itertools.chain([head.encode()], lines))
+            write_file(key[2] + ".meta", (f"{i}\n".encode() for i in ids))
+            done.append((*key, len(ends), size))
 
         for batch in batches:
-            for rank, file_id, path, payload in zip(*(batch[c].to_pylist() for c in ("dp_rank", "file_id", "path", "payload"))):
+            # Payloads are taken one by one, so a file is never held.
+            for at, (rank, file_id, path, sample) in enumerate(zip(*(batch[c].to_pylist() for c in ("dp_rank", "file_id", "path", "sample_id")))):
                 if key != (rank, file_id, path):
                     close()
-                    key, chunks = (rank, file_id, path), []
-                chunks.append(payload)
+                    key, out, ends, ids = (rank, file_id, path), AsideFile(path), [], []
+                out.write(batch["payload"][at].as_py())
+                ends.append(out.size)
+                ids.append(sample)
         close()
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         columns = list(zip(*done)) or [[]] * 5
