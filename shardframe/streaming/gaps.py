@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,44 @@ from shardframe.streaming.rates import WATERMARK
 OUTPUT = "run_id string, finished timestamp, started timestamp, gap double"
 
 
+FLUSH_ROWS = 50_000
+
+
+def pair(finished: int | None, micros: np.ndarray, started: np.ndarray, timeout: int) -> tuple[list[tuple[int, int | None]], int | None]:
+    """Gaps ``(finished, started)`` that markers in time order close or outlast, and the time that stays open.
+
+    A gap older than ``timeout`` when the next marker comes is given without a start.
+    """
+    found = []
+    at, n = 0, len(micros)
+    while at < n:
+        if finished is None:
+            # On to the next "finished".
+            step = np.flatnonzero(~started[at : at + FLUSH_ROWS])
+            if not len(step):
+                at += FLUSH_ROWS
+                continue
+            at += int(step[0])
+            finished = int(micros[at])
+            at += 1
+            continue
+        # On to the first marker past the timeout, or the first later start.
+        run = slice(at, at + FLUSH_ROWS)
+        late = micros[run] - finished > timeout
+        step = np.flatnonzero(late | (started[run] & (micros[run] > finished)))
+        if not len(step):
+            at += FLUSH_ROWS
+            continue
+        at += int(step[0])
+        if micros[at] - finished > timeout:
+            found.append((finished, None))
+        else:
+            found.append((finished, int(micros[at])))
+            at += 1
+        finished = None
+    return found, finished
+
+
 class GapProcessor(StatefulProcessor):
     """Holds one open "finished" time per run until a later "start", or until the gap is too old."""
 
@@ -26,17 +65,20 @@ class GapProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", "finished bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Rows of one run in time order; a repeated "finished" keeps the first one."""
+        """Rows of one run in time order; a repeated "finished" keeps the first one.
+
+        Nine bytes of each row are held until the micro-batch of the run is sorted; the stream's rate limit bounds
+        them.
+        """
         finished = self.open.get()[0] if self.open.exists() else None
         before = finished
-        events = pd.concat(rows).sort_values(["micros", "started"])
-        found = []
-        for micros, is_start in zip(events["micros"], events["started"]):
-            if is_start and finished is not None and micros > finished:
-                found.append((key[0], finished, micros))
-                finished = None
-            elif not is_start and finished is None:
-                finished = int(micros)
+        times, starts = [], []
+        for frame in rows:
+            times.append(frame["micros"].to_numpy(np.int64))
+            starts.append(frame["started"].to_numpy(bool))
+        micros, started = np.concatenate(times), np.concatenate(starts)
+        order = np.lexsort((started, micros))
+        found, finished = pair(finished, micros[order], started[order], self.timeout_ms * 1000)
         if finished != before:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -45,8 +87,8 @@ class GapProcessor(StatefulProcessor):
             else:
                 self.open.update((finished,))
                 self.handle.registerTimer(finished // 1000 + self.timeout_ms)
-        if found:
-            yield self._rows(found)
+        for at in range(0, len(found), FLUSH_ROWS):
+            yield self._rows([(key[0], f, s) for f, s in found[at : at + FLUSH_ROWS]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A gap that no start closed in time."""
@@ -71,7 +113,8 @@ def stream_marker_latency(events: DataFrame, timeout: str = "1 day", watermark:
     """``(run_id, finished, started, gap)`` in seconds from ``events(run_id, ts, started)``.
 
     ``started`` is false for a "finished" marker. A gap open for longer than ``timeout`` of event time is
-    emitted without a start. Rows behind the watermark are dropped. Needs the RocksDB state store.
+    emitted without a start, when a later marker of the run or the watermark passes it; a later start does not
+    close it. Rows behind the watermark are dropped. Needs the RocksDB state store.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     rows = timed.select("run_id", "ts", F.unix_micros("ts").alias("micros"), "started")

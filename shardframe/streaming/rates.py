@@ -46,10 +46,19 @@ def stream_latest_step(steps: DataFrame) -> DataFrame:
     return steps.groupBy("job").agg(F.max(F.struct("ts", "step")).alias("m")).select("job", "m.step", "m.ts")
 
 
+def latest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest version of each row of :func:`run_available` in update mode, windows still open included."""
+    rest = [c for c in versions.columns if c not in (*keys, "batch")]
+    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
+    return newest.select(*keys, *[F.col("_v")[c].alias(c) for c in rest])
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming DataFrame over all data at hand into Parquet in the shared folder and read it back.
 
-    In update mode the newest version of a row is the one with the highest ``batch``.
+    Append mode writes a window once it is closed, so windows that are open at the end are missing. Update mode
+    writes every version; the newest one of a row has the highest ``batch``, see :func:`latest`. How much a
+    micro-batch takes is set where the stream is read (``maxFilesPerTrigger``).
     """
     spark: SparkSession = df.sparkSession
     out, state = new_shared_path(spark, name), new_shared_path(spark, f"{name}-state")

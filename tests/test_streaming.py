@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shardframe import streaming
@@ -53,3 +55,49 @@ def test_marker_gaps(spark, tmp_path):
         spark.conf.set(PROVIDER, before)
     assert ("r", 600.0) in got and ("q", None) in got
     assert [g for g in got if g[0] == "r"] == [("r", 600.0)]
+
+
+def gaps_of(spark, tmp_path, batches, timeout):
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        events = stream(spark, tmp_path, batches, "run_id string, ts timestamp, started boolean")
+        out = streaming.run_available(streaming.stream_marker_latency(events, timeout=timeout), "gaps")
+        return sorted(((r.run_id, r.finished, r.gap) for r in out.collect()), key=repr)
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 10])
+def test_gaps_keep_their_timeout_in_any_batches(spark, tmp_path, parts):
+    """Gaps of a day at most; the rows are the same however they are cut into batches."""
+    r = random.Random(5)
+    marks = sorted((at(r.randint(0, 40_000)), r.choice("rq"), r.random() < 0.5) for _ in range(200))
+    rows = [(run, t, started) for t, run, started in marks] + [("z", at(60_000), True)]
+    size = -(-len(rows) // parts)
+    got = gaps_of(spark, tmp_path, [rows[k : k + size] for k in range(0, len(rows), size)], "1 day")
+    want = []
+    for run in "qr":
+        open_ = None
+        for name, t, started in sorted(rows, key=lambda x: (x[1], x[2])):
+            if name != run:
+                continue
+            if open_ is not None and t - open_ > dt.timedelta(days=1):
+                want.append((run, open_, None))
+                open_ = None
+            if open_ is not None and started and t > open_:
+                want.append((run, open_, (t - open_).total_seconds()))
+                open_ = None
+            elif open_ is None and not started:
+                open_ = t
+        if open_ is not None:
+            want.append((run, open_, None))
+    assert got == sorted(want, key=repr)
+    assert any(g is None for *_, g in got) and any(g is not None for *_, g in got)
+
+
+def test_open_windows_count_in_update_mode(spark, tmp_path, rows):
+    batches = [[("r", at(1), 10)], [("r", at(2), 20), ("r", at(100), 7)]]
+    df = streaming.stream_rate(stream(spark, tmp_path, batches, "run_id string, ts timestamp, n bigint"), "1 hour")
+    out = streaming.latest(streaming.run_available(df, "rate", "update"), ["run_id", "start", "end"])
+    assert rows(out, "run_id", "total") == [("r", 30), ("r", 7)]
