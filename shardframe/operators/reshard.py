@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardframe.functions.numbers import as_col, ceil_div, floor_div
+from shardframe.functions.numbers import as_col, ceil_div, floor_div, prod
 from shardframe.operators import structure as st
 from shardframe.operators.skew import spread_join
 from shardframe.operators.tensors import cut_chunks, item_size, pad_tensors
@@ -231,8 +231,6 @@ def source_keys(
     mapped = direct.select(
         *target.columns, F.col("_s.pp").alias("source_pp"), F.col("_s.parts").alias("source_parts")
     ).unionByName(map_optimizer_keys(optimizer, change, target_groups, target_sizes, source_groups, source_sizes))
-    # Both results below read it, and so may many consumers.
-    mapped = cut_lineage(mapped)
     known = F.col("source_pp").isNotNull() & F.col("source_parts").isNotNull()
     found = mapped.filter(known).withColumn("source_path", F.array_join("source_parts", "/"))
     return found, mapped.filter(~known).drop("source_pp", "source_parts").withColumn("reason", F.lit("no source key"))
@@ -336,7 +334,9 @@ def apply_plan(tensors: DataFrame, plan: DataFrame) -> DataFrame:
         F.col("pp").alias("source_pp"), F.col("mp").alias("source_mp"), F.col("path").alias("source_path"),
         "dtype", "shape", "chunk_offset", "chunk_shape", "data",
     )
-    joined = spread_join(chunks, moves, ["source_pp", "source_mp", "source_path"], ["chunk_offset"])
+    joined = spread_join(
+        chunks, moves, ["source_pp", "source_mp", "source_path"], ["chunk_offset"], weight=prod("chunk_shape") * item_size()
+    )
     # Arrays without elements (scalars) have nothing to cut.
     boxed = joined.withColumn("_l", F.expr("transform(shape, (s, i) -> if(action = 'repartition' AND i = dim, lo, 0L))")).withColumn(
         "_h", F.expr("transform(shape, (s, i) -> if(action = 'repartition' AND i = dim, hi, s))")
@@ -377,6 +377,18 @@ def carry_values(target_values: DataFrame, source_values: DataFrame) -> tuple[Da
     return carried, differs, target_values.join(first.select("path"), "path", "left_anti")
 
 
+def carry_arrays(target_values: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tensors for the value leaves ``target_values(rank, path, …)`` that the source stores as tensors.
+
+    The tensor of rank (0, 0) is taken, or of the first rank that has the path. Returns the chunks
+    ``(rank, path, …)`` and the leaves that no source rank stores as a tensor.
+    """
+    first = stored.groupBy("path").agg(F.min(F.struct("pp", "mp")).alias("_p")).select("path", "_p.pp", "_p.mp")
+    asked = target_values.select("rank", "path").join(first, "path")
+    chunks = stored.join(asked, ["path", "pp", "mp"]).select("rank", "path", "dtype", "shape", "chunk_offset", "chunk_shape", "data")
+    return chunks, target_values.join(first.select("path"), "path", "left_anti").select(*target_values.columns)
+
+
 def param_pattern(precision: str) -> str:
     """Paths of parameter indices: groups (group, position)."""
     root = "optimizer/optimizer" if precision == "fp16" else "optimizer"
@@ -534,8 +546,8 @@ def migrate_state(source: State, target: State, change: Change, step: int) -> di
 
     sizes = st.group_sizes(target.structure, target.rank_map, change.precision).filter("`group` = 0")
     wanted = everywhere(st.state_leaves(target.structure)[1]).select("rank", "pp", "path")
-    # The numpy random state is a tensor in the source and moves with the tensors.
-    wanted = wanted.filter(~F.col("path").contains("np_rng_state/1"))
+    # What the structure calls a value may be stored as a tensor, as the numpy random state is: it moves as stored.
+    arrays, wanted = carry_arrays(wanted, stored)
     # Parameter indices are made anew, whatever the source lists hold; all other values are carried.
     is_param = F.col("path").rlike(param_pattern(change.precision))
     params = renumber_params(
@@ -552,7 +564,7 @@ def migrate_state(source: State, target: State, change: Change, step: int) -> di
     absent = missing.select("rank", "path", no_path, F.lit("no source value").alias("reason"))
     lists = everywhere(st.state_lists(target.structure)).select("rank", "path", "length")
     return {
-        "tensors": apply_plan(stored, plan),
+        "tensors": apply_plan(stored, plan).unionByName(arrays),
         "values": values.select("rank", "path", "dtype", "value"),
         "lists": lists,
         "step": ranks.select("rank", F.lit(step).cast("bigint").alias("step")),

@@ -8,9 +8,12 @@ others go to numpy.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -19,6 +22,8 @@ from shardframe.functions.numbers import prod
 from shardframe.functions.paths import path_parts
 from shardframe.operators.ordinal import running
 from shardframe.operators.skew import spread_join
+from shardframe.session import qualify
+from shardframe.sources.files import AsideFile, write_file
 
 # Element types and their long names.
 DTYPES = ("i8", "u8", "i16", "u16", "f16", "i32", "u32", "f32", "i64", "u64", "f64")
@@ -29,9 +34,8 @@ LONG_NAMES = {
 }
 
 TENSOR_COLUMNS = ("dtype", "shape", "chunk_offset", "chunk_shape", "data")
-# Largest zero chunk that padding creates, and largest tensor that assembling puts into one cell.
+# Largest zero chunk that padding creates; a larger padding is several chunks.
 MAX_PAD_BYTES = 64 << 20
-MAX_CELL_BYTES = 1 << 30
 
 
 def numpy_type(dtype: str) -> np.dtype:
@@ -63,7 +67,11 @@ def rows_expr(shape: str) -> Column:
 
 
 def validate_tensors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Normalise type names and split into good chunks and violations with a reason."""
+    """Normalise type names and split into good chunks and violations with a reason.
+
+    A violation is a chunk with an error of its own, or a whole tensor (without chunk columns) whose chunks don't
+    have as many elements as its shape.
+    """
     named = df.withColumn("dtype", normal_dtype())
     inside = F.forall(
         F.arrays_zip("shape", "chunk_offset", "chunk_shape"),
@@ -77,8 +85,20 @@ def validate_tensors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.length("data") != item_size() * prod("chunk_shape"), "wrong byte length")
     )
     checked = named.withColumn("reason", reason)
-    good = checked.filter(F.col("reason").isNull()).drop("reason")
-    return good, checked.filter(F.col("reason").isNotNull()).drop("data")
+    single = checked.filter(F.col("reason").isNull()).drop("reason")
+    keys = other_columns(df)
+    covered = single.groupBy(*keys, "dtype", "shape").agg(F.sum(prod("chunk_shape")).alias("_n"))
+    partial = covered.filter(F.col("_n") != prod("shape")).drop("_n")
+    wrong = checked.filter(F.col("reason").isNotNull()).drop("data")
+    none = F.lit(None).cast("array<bigint>")
+    gaps = partial.select(
+        *keys, "dtype", "shape", none.alias("chunk_offset"), none.alias("chunk_shape"), F.lit("chunks do not cover the shape").alias("reason")
+    )
+    # Tensors with gaps are few, and none of their chunks is good. Nulls are keys like any others.
+    marked = partial.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "dtype", "shape"])])
+    same = [single[k].eqNullSafe(marked[f"_k{i}"]) for i, k in enumerate([*keys, "dtype", "shape"])]
+    good = single.join(marked, reduce(and_, same), "left_anti")
+    return good, wrong.select(*gaps.columns).unionByName(gaps)
 
 
 def flatten_tensors(df: DataFrame) -> DataFrame:
@@ -124,15 +144,20 @@ def _cut_bytes(data: pd.Series, size: pd.Series, shape: pd.Series, lo: pd.Series
 
 
 def cut_chunks(df: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Cut every tensor to its box ``[lo, hi)`` (array columns, consumed); chunks outside are dropped first."""
+    """Cut every tensor to its box ``[lo, hi)`` (array columns, consumed); chunks outside are dropped first.
+
+    A tensor whose box has no elements becomes one empty chunk, made from its chunk at the origin.
+    """
     keep = [c for c in other_columns(df) if c not in (lo, hi)]
-    boxed = df.select(
-        *keep, *TENSOR_COLUMNS,
-        F.expr(f"transform(chunk_offset, (o, i) -> greatest({lo}[i] - o, 0L))").alias("_a"),
-        F.expr(f"transform(chunk_offset, (o, i) -> least({hi}[i] - o, chunk_shape[i]))").alias("_b"),
+    empty = F.expr(f"size(filter({lo}, (a, i) -> a >= {hi}[i])) > 0")
+    origin = F.expr("forall(chunk_offset, o -> o = 0)")
+    boxed = df.withColumn("_empty", empty).filter(~F.col("_empty") | origin).select(
+        *keep, *TENSOR_COLUMNS, "_empty",
+        F.expr(f"transform(chunk_offset, (o, i) -> if(_empty, 0L, greatest({lo}[i] - o, 0L)))").alias("_a"),
+        F.expr(f"transform(chunk_offset, (o, i) -> if(_empty, greatest({hi}[i] - {lo}[i], 0L), least({hi}[i] - o, chunk_shape[i])))").alias("_b"),
         F.col(lo).alias("_lo"),
         F.col(hi).alias("_hi"),
-    ).filter(F.expr("size(filter(_a, (a, i) -> a >= _b[i])) = 0"))
+    ).filter(F.col("_empty") | F.expr("size(filter(_a, (a, i) -> a >= _b[i])) = 0"))
     whole = F.expr("size(filter(_a, (a, i) -> a > 0 OR _b[i] < chunk_shape[i])) = 0")
     lead_only = F.expr("size(filter(_a, (a, i) -> i > 0 AND (a > 0 OR _b[i] < chunk_shape[i]))) = 0")
     flagged = boxed.withColumn("_whole", whole).withColumn("_lead", lead_only)
@@ -141,14 +166,14 @@ def cut_chunks(df: DataFrame, lo: str, hi: str) -> DataFrame:
         F.col("data"), (F.col("_a")[0] * stride + 1).cast("int"), ((F.col("_b")[0] - F.col("_a")[0]) * stride).cast("int")
     )
     inner = _cut_bytes(
-        F.when(~F.col("_lead"), F.col("data")), item_size().cast("int"), F.col("chunk_shape"), F.col("_a"), F.col("_b")
+        F.when(~F.col("_lead") & ~F.col("_empty"), F.col("data")), item_size().cast("int"), F.col("chunk_shape"), F.col("_a"), F.col("_b")
     )
-    data = F.when(F.col("_whole"), F.col("data")).when(F.col("_lead"), lead_cut).otherwise(inner)
+    data = F.when(F.col("_empty"), F.lit(b"")).when(F.col("_whole"), F.col("data")).when(F.col("_lead"), lead_cut).otherwise(inner)
     return flagged.select(
         *keep,
         "dtype",
-        F.expr("transform(_hi, (h, i) -> h - _lo[i])").alias("shape"),
-        F.expr("transform(chunk_offset, (o, i) -> greatest(o - _lo[i], 0L))").alias("chunk_offset"),
+        F.expr("transform(_hi, (h, i) -> greatest(h - _lo[i], 0L))").alias("shape"),
+        F.expr("transform(chunk_offset, (o, i) -> if(_empty, 0L, greatest(o - _lo[i], 0L)))").alias("chunk_offset"),
         F.expr("transform(_b, (b, i) -> b - _a[i])").alias("chunk_shape"),
         data.alias("data"),
     )
@@ -218,7 +243,7 @@ def concat_tensors(df: DataFrame, keys: Sequence[str], order: str, dim: int) ->
     good = checked.filter(F.col("reason").isNull()).drop("reason")
     based = running(parts.select(*keys, order, "_len"), [order], keys, sums={"_base": F.col("_len")}, position="_p")
     placed = based.join(good, keys).select(*keys, order, "_base", "_total")
-    joined = spread_join(df, placed, [*keys, order], ["chunk_offset"])
+    joined = spread_join(df, placed, [*keys, order], ["chunk_offset"], weight=prod("chunk_shape") * item_size())
     # Arrays index from 0 in expressions.
     shifted = joined.withColumns(
         {
@@ -294,27 +319,39 @@ def decode_elements(df: DataFrame, dtype: str) -> DataFrame:
     return cells.select(*keep, at.alias("at"), "value")
 
 
-def assemble_tensors(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One row per tensor with all its bytes, for sinks; tensors above a cell's size are violations."""
-    keys = list(keys)
-    small = item_size() * prod("shape") <= MAX_CELL_BYTES
-    fields = df.select(*keys, *TENSOR_COLUMNS).schema
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        whole = np.zeros(tuple(first["shape"]), numpy_type(first["dtype"]))
-        for offset, shape, data in zip(pdf["chunk_offset"], pdf["chunk_shape"], pdf["data"]):
-            box = tuple(slice(o, o + s) for o, s in zip(offset, shape))
-            whole[box] = np.frombuffer(data, whole.dtype).reshape(tuple(shape))
-        row = {k: [first[k]] for k in keys} | {"dtype": [first["dtype"]], "shape": [list(first["shape"])]}
-        row |= {"chunk_offset": [[0] * whole.ndim], "chunk_shape": [list(whole.shape)], "data": [whole.tobytes()]}
-        return pd.DataFrame(row)
-
-    chunks = df.select(*keys, *TENSOR_COLUMNS)
-    large = chunks.filter(~small).select(*keys, "dtype", "shape").distinct()
-    return chunks.filter(small).groupBy(*keys).applyInPandas(join, fields), large.withColumn(
-        "reason", F.lit("tensor above the size of one cell")
+def write_tensors(df: DataFrame, directory: str) -> DataFrame:
+    """Write each tensor as ``directory/<snapshot>/<rank>/<path>.numpy.ndarray`` with its meta file; a row per file.
+
+    Bytes go to the file row by row in offset order, so a tensor of any size passes through: chunks that are cut
+    along other dimensions than the first are dealt into runs of the flat tensor first.
+    """
+    keys = ["snapshot", "rank", "path"]
+    directory = qualify(df.sparkSession, directory).rstrip("/")
+    meta = df.groupBy(*keys).agg(F.min(format_meta()).alias("_meta"))
+    flat = flatten_tensors(df).select(*keys, F.col("chunk_offset")[0].alias("at"), "data")
+    rows = flat.withColumn("meta", F.lit(None).cast("string")).unionByName(
+        meta.select(*keys, F.lit(-1).cast("bigint").alias("at"), F.lit(b"").alias("data"), F.col("_meta").alias("meta"))
     )
+    file = F.format_string(f"{directory}/%s/%d/%s.numpy.ndarray", *keys)
+    placed = rows.select(file.alias("file"), "at", "data", "meta").repartition("file").sortWithinPartitions("file", "at")
+
+    def write(batches):
+        current, out, done = None, None, []
+        for batch in batches:
+            for file, data, text in zip(*(batch[c].to_pylist() for c in ("file", "data", "meta"))):
+                if file != current:
+                    if out is not None:
+                        done.append((current, out.close()))
+                    current, out = file, AsideFile(file)
+                if text is not None:
+                    write_file(f"{file}.meta", iter([text.encode()]))
+                out.write(data)
+        if out is not None:
+            done.append((current, out.close()))
+        names, sizes = zip(*done) if done else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
+
+    return placed.mapInArrow(write, "file string, bytes bigint")
 
 
 def tensor_stats(df: DataFrame, by: str = "snapshot") -> DataFrame:

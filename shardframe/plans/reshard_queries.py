@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from shardframe.operators import reshard, structure, tensors
@@ -208,6 +210,11 @@ def r8(spark, sf):
     plan, _ = reshard.plan_migration(source, target, ck.change_of(spark, sf))
     stored = source.tensors.join(source.rank_map.filter("dp = 0").select("rank", "pp", "mp"), "rank")
     moved = reshard.apply_plan(stored, plan)
+    return line_totals(moved)
+
+
+def line_totals(moved):
+    """Sum of every row of the tensors' leading dimension."""
     # Rows are summed inside their chunk; only column pieces of a row meet in the aggregate.
     decoded = moved.select("rank", "path", "chunk_offset", "chunk_shape", tensors.decode_array("f32").alias("_v"))
     stride = "aggregate(slice(chunk_shape, 2, size(chunk_shape)), 1L, (a, x) -> a * x)"
@@ -274,32 +281,70 @@ def r11(spark, sf):
     return table(spark, sf, "part").select("p_partkey", reshard.vocab_padding(F.col("p_partkey") + 30000, mp).alias("padded"))
 
 
+RNG = "rng_state/0/np_rng_state/1"
+
+
+# The random state is a tensor file under a leaf that the structure calls a value.
+@query(
+    "r9_random_state",
+    BOTH + f"""SELECT r.rank, '{RNG}' AS path, round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)), 5) AS total
+    FROM ranks r, embeddings e WHERE e.vec_id = 0""",
+)
+def r9_random_state(spark, sf):
+    source, target = both(spark, sf, data=True)
+
+    def with_rng(state):
+        ranks = state.rank_map.filter("dp = 0").select("rank")
+        leaf = ranks.select(
+            F.lit("c").alias("config_id"), "rank", F.lit(RNG).alias("path"), F.split(F.lit(RNG), "/").alias("parts"),
+            F.lit(1000000).cast("bigint").alias("ord"), F.lit("value").alias("kind"), F.lit(None).cast("array<bigint>").alias("shape"),
+            F.lit(None).cast("bigint").alias("length"), F.lit("NotPrimitiveNorTensor").alias("value"), F.lit("str").alias("dtype"),
+        )
+        return state.structure.unionByName(leaf), ranks
+
+    structure_rows, ranks = with_rng(source)
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("rank"), "embedding").join(ranks, "rank")
+    shape, zero = F.array(F.lit(64).cast("bigint")), F.array(F.lit(0).cast("bigint"))
+    rng = vectors.select(
+        "rank", F.lit(RNG).alias("path"), F.lit("f32").alias("dtype"), shape.alias("shape"), zero.alias("chunk_offset"),
+        shape.alias("chunk_shape"), tensors.encode_elements(F.col("embedding"), "f32").alias("data"),
+    )
+    source = replace(source, structure=structure_rows, tensors=source.tensors.unionByName(rng))
+    target = replace(target, structure=with_rng(target)[0])
+    out = reshard.migrate_state(source, target, ck.change_of(spark, sf), 50)
+    lost = out["violations"].filter(F.col("path") == RNG).select("rank", "path", F.lit(None).cast("double").alias("total"))
+    total = F.aggregate(tensors.decode_array("f32"), F.lit(0.0), lambda a, x: a + x)
+    return out["tensors"].filter(F.col("path") == RNG).select("rank", "path", F.round(total, 5).alias("total")).unionByName(lost)
+
+
 @query(
     "r12_migrate_state",
     CONTENT
-    + """SELECT rank, 'tensor' AS kind, count(DISTINCT path) AS n, round(sum(total), 4) AS total FROM content GROUP BY rank
-    UNION ALL SELECT r.rank, 'value', 4 + count(*), sum(p.idx + CASE WHEN p.grp = 1 THEN g.g0 ELSE 0 END) + 50.3 FROM ranks r JOIN b_p p ON p.pp = (r.rank % 15) // 3
-      JOIN b_g g ON g.pp = p.pp GROUP BY r.rank
-    UNION ALL SELECT r.rank, 'list', 3, 2 + count(*) FROM ranks r JOIN b_p p ON p.pp = (r.rank % 15) // 3 GROUP BY r.rank
-    UNION ALL SELECT rank, 'step', 1, 50 FROM ranks
-    UNION ALL SELECT NULL, 'source ranks differ', 1, 0""",
+    + """SELECT rank, 'tensor' AS kind, path, line, round(total, 5) AS total FROM content
+    UNION ALL SELECT r.rank, 'value', v.path, NULL, v.value FROM ranks r, (VALUES ('iteration', 50.0), ('seed', 0.0),
+      ('optimizer/optimizer/param_groups/0/lr', 0.1), ('optimizer/optimizer/param_groups/1/lr', 0.2)) v(path, value)
+    UNION ALL SELECT r.rank, 'value', 'optimizer/optimizer/param_groups/' || p.grp || '/params/' || p.idx, NULL,
+      (p.idx + CASE WHEN p.grp = 1 THEN g.g0 ELSE 0 END)::DOUBLE FROM ranks r JOIN b_p p ON p.pp = (r.rank % 15) // 3 JOIN b_g g ON g.pp = p.pp
+    UNION ALL SELECT r.rank, 'list', 'optimizer/optimizer/param_groups/' || p.grp || '/params', NULL, count(*)::DOUBLE
+      FROM ranks r JOIN b_p p ON p.pp = (r.rank % 15) // 3 GROUP BY r.rank, p.grp
+    UNION ALL SELECT rank, 'list', 'optimizer/optimizer/param_groups', NULL, 2 FROM ranks
+    UNION ALL SELECT rank, 'step', NULL, NULL, 50 FROM ranks
+    UNION ALL SELECT NULL, 'source ranks differ', 'seed', NULL, 0""",
 )
 def r12(spark, sf):
     source, target = both(spark, sf, data=True)
     out = reshard.migrate_state(source, target, ck.change_of(spark, sf), 50)
-    one = F.count(F.lit(1))
-    chunk_sum = F.aggregate(tensors.decode_array("f32"), F.lit(0.0), lambda a, x: a + x)
-    moved = out["tensors"].select("rank", "path", chunk_sum.alias("value")).groupBy("rank").agg(
-        F.countDistinct("path").alias("n"), F.round(F.sum("value"), 4).alias("total")
-    )
-    values = out["values"].groupBy("rank").agg(one.alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
-    lists = out["lists"].groupBy("rank").agg(one.alias("n"), F.sum("length").cast("double").alias("total"))
-    steps = out["step"].select("rank", F.lit(1).cast("bigint").alias("n"), F.col("step").cast("double").alias("total"))
-    bad = out["violations"].groupBy("rank", "reason").agg(one.alias("n"), F.lit(0.0).alias("total"))
-    tagged = [d.withColumn("kind", F.lit(k)) for k, d in (("tensor", moved), ("value", values), ("list", lists), ("step", steps))]
-    tagged.append(bad.withColumnRenamed("reason", "kind"))
-    result = tagged[0]
-    for other in tagged[1:]:
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    number = lambda c: c.cast("double")
+    parts = [
+        line_totals(out["tensors"]).select("rank", F.lit("tensor").alias("kind"), "path", "line", "total"),
+        out["values"].select("rank", F.lit("value").alias("kind"), "path", none.alias("line"), number(F.col("value")).alias("total")),
+        out["lists"].select("rank", F.lit("list").alias("kind"), "path", none.alias("line"), number(F.col("length")).alias("total")),
+        out["step"].select("rank", F.lit("step").alias("kind"), text.alias("path"), none.alias("line"), number(F.col("step")).alias("total")),
+        out["violations"].select("rank", F.col("reason").alias("kind"), "path", none.alias("line"), F.lit(0.0).alias("total")),
+    ]
+    result = parts[0]
+    for other in parts[1:]:
         result = result.unionByName(other)
     return result
 

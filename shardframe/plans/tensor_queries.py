@@ -44,7 +44,7 @@ def elements(df, *index):
     "x1_validate_tensors",
     """WITH t AS (SELECT vec_id // 20 AS t, (vec_id % 20) // 10 AS c FROM embeddings GROUP BY 1, 2)
     SELECT CASE t % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown dtype' WHEN 2 THEN 'wrong byte length'
-           ELSE CASE WHEN c = 1 THEN 'chunk outside shape' ELSE 'ok' END END AS outcome,
+           ELSE CASE WHEN c = 1 THEN 'chunk outside shape' ELSE 'chunks do not cover the shape' END END AS outcome,
       CASE t % 4 WHEN 1 THEN 'bf16' ELSE 'f32' END AS dtype, count(*) AS chunks FROM t GROUP BY 1, 2""",
 )
 def x1(spark, sf):

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +142,27 @@ def test_migration_moves_every_tensor(spark, src, dst, tied):
     assert {r.step for r in out["step"].collect()} == {50}
 
 
+def test_random_state_moves_as_it_is_stored(spark):
+    """A generated structure names it a value although it is a tensor file."""
+    source, _ = state(spark, 2, 1, 1)
+    target, want = state(spark, 1, 2, 1)
+    named = lambda s: replace(
+        s,
+        structure=s.structure.withColumn("_r", F.col("path").contains("np_rng_state/1"))
+        .withColumn("kind", F.when(F.col("_r"), "value").otherwise(F.col("kind")))
+        .withColumn("shape", F.when(~F.col("_r"), F.col("shape")))
+        .withColumn("value", F.when(F.col("_r"), "NotPrimitiveNorTensor").otherwise(F.col("value")))
+        .withColumn("dtype", F.when(F.col("_r"), "str").otherwise(F.col("dtype")))
+        .drop("_r"),
+    )
+    out = reshard.migrate_state(named(source), named(target), Change(2, 1, 1, 2, 4), 50)
+    assert out["violations"].collect() == []
+    moved = whole(out["tensors"].withColumn("path", F.concat_ws(":", "rank", "path")))
+    for rank in (0, 1):
+        assert moved[f"{rank}:rng_state/0/np_rng_state/1"].tolist() == list(range(5))
+    assert out["values"].filter(F.col("path").contains("np_rng_state")).count() == 0
+
+
 def test_optimizer_index_example(spark):
     """4 layers of weight, bias, ln; PP 1 -> 2: state 0 of stage 1 is layer 2's weight at source index 3."""
     source, _ = state(spark, 1, 1, 1)

@@ -77,7 +77,7 @@ def test_range_property(spark, data):
     cut, _ = tensors.tensor_range(frame(spark, {"t": a}, cuts), ",".join(f"{lo}:{hi}" for lo, hi in bounds))
     want = a[tuple(slice(lo, hi) for lo, hi in bounds)]
     got = whole(cut)
-    assert (got["t"] == want).all() if want.size else not got
+    assert got["t"].shape == want.shape and (got["t"] == want).all()
 
 
 def test_flatten_slice_sub(spark):
@@ -132,6 +132,9 @@ def test_validate(spark, rows):
     long = (*good[:3], "float32", *good[4:])
     ok, wrong = tensors.validate_tensors(spark.createDataFrame([long, *bad], SCHEMA))
     assert rows(ok, "path", "dtype") == [("ok", "f32")]
+    half = (*good[:2], "half", "f32", good[4], good[5], [2, 4], bytearray(bytes(good[7])[:32]))
+    fine, gap = tensors.validate_tensors(spark.createDataFrame([long, half], SCHEMA))
+    assert rows(fine, "path") == [("ok",)] and rows(gap, "path", "reason") == [("half", "chunks do not cover the shape")]
     assert rows(wrong, "path", "reason") == [
         ("box", "chunk outside shape"), ("bytes", "wrong byte length"), ("rank", "rank mismatch"), ("type", "unknown dtype"),
     ]
@@ -144,11 +147,24 @@ def test_decode(spark, dtype):
     assert {tuple(r["at"]): float(r["value"]) for r in df.collect()} == {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 120}
 
 
-def test_assemble_and_meta(spark, rows):
+def test_empty_slices_are_empty_tensors(spark):
+    a = np.arange(8, dtype="<f4").reshape(4, 2)
+    for cuts in (None, {0: 1}, {1: 1}):
+        df = frame(spark, {"t": a}, cuts)
+        none, bad = tensors.slice_rows(df, 2, 2)
+        assert bad.count() == 0 and whole(none)["t"].shape == (0, 2)
+        none, bad = tensors.tensor_range(df, "1:3,1:1")
+        assert bad.count() == 0 and whole(none)["t"].shape == (2, 0)
+
+
+def test_files_and_meta(spark, rows, tmp_path):
     arrays = {"a": np.arange(6, dtype="<f4").reshape(2, 3), "b": np.arange(9, dtype="i1").reshape(3, 3)}
-    joined, large = tensors.assemble_tensors(frame(spark, arrays, {1: 2}), ["snapshot", "rank", "path"])
-    assert joined.count() == 2 and large.count() == 0
-    assert all((whole(joined)[k] == v).all() for k, v in arrays.items())
+    from shardframe.sources.state import read_state_dir
+
+    files = tensors.write_tensors(frame(spark, arrays, {1: 2}), str(tmp_path / "t")).collect()
+    assert sorted(r.bytes for r in files) == [9, 24]
+    back, _, _, bad = read_state_dir(spark, str(tmp_path / "t"), chunk_bytes=12)
+    assert bad.count() == 0 and all((whole(back)[k] == v).all() for k, v in arrays.items())
     meta = spark.createDataFrame([("f32\n2\n2\n3\n",), ("f32\n3\n2\n3\n",), ("x",)], "t string")
     assert rows(tensors.parse_meta(meta, "t"), "dtype", "shape") == [("f32", [2, 3]), (None, None), (None, None)]
     assert rows(frame(spark, {"a": arrays["a"]}).select(tensors.format_meta())) == [("f32\n2\n2\n3\n",)]
