@@ -63,9 +63,9 @@ def flatten_structure(df: DataFrame) -> DataFrame:
             for config, rank, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for i, (parts, kind, shape, length, value, dtype) in enumerate(_leaves(json.loads(text), ())):
                     rows.append((config, rank, "/".join(parts), parts, i, kind, shape, length, value, dtype))
-                if len(rows) >= BATCH_ROWS:
-                    yield _to_arrow(rows)
-                    rows = []
+                    if len(rows) >= BATCH_ROWS:
+                        yield _to_arrow(rows)
+                        rows = []
             if rows:
                 yield _to_arrow(rows)
 
@@ -225,10 +225,24 @@ def _tree(leaves: dict[tuple[str, ...], object], lists: dict[tuple[str, ...], in
     return build(root, ())
 
 
+def missing_items(tensors: DataFrame, values: DataFrame, lists: DataFrame) -> DataFrame:
+    """List items below the list's length that no row lies at or under: ``(snapshot, rank, path, reason)``."""
+    cols = ["snapshot", "rank", "path"]
+    step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1))
+    item = F.when(F.col("path") == "", F.col("_i").cast("string")).otherwise(F.concat_ws("/", "path", F.col("_i").cast("string")))
+    wanted = lists.filter("length > 0").select(*cols, step.alias("_i")).select("snapshot", "rank", item.alias("path"))
+    rows = tensors.select(*cols).unionByName(values.select(*cols)).unionByName(lists.select(*cols)).distinct()
+    parts = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    present = rows.select("snapshot", "rank", above.alias("path")).distinct()
+    return wanted.join(present, cols, "left_anti").withColumn("reason", F.lit("missing list item"))
+
+
 def restore_state(tensors: DataFrame, values: DataFrame, lists: DataFrame) -> DataFrame:
     """Nested JSON per ``(snapshot, rank)``; tensors stay references by shape.
 
-    A group holds the scalars of one rank and no tensor data.
+    A group holds the scalars of one rank and no tensor data: one JSON per rank is the format, so a rank's scalars
+    must fit a cell. List items without a row are empty objects; :func:`missing_items` names them.
     """
     cols = ["snapshot", "rank", "path"]
     rows = (

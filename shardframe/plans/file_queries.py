@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shardframe.operators import index, sharding, structure
+from shardframe.operators.ordinal import running
 from shardframe.plans.index_queries import IDX, document_index
 from shardframe.plans.registry import query, table
 from shardframe.plans.run_queries import marker_logs
@@ -100,6 +101,53 @@ def s5(spark, sf):
     return good.agg(F.count(F.lit(1)).alias("n")).withColumn("bytes", listed)
 
 
+@query("s5_append_records", "SELECT doc_id % 3 AS part, count(*) AS n, sum(strlen(doc_id || ':' || text) + 16)::BIGINT AS bytes FROM documents GROUP BY 1")
+def s5_append(spark, sf):
+    """Three appends to one folder; all of them are read back."""
+    out = new_shared_path(spark, "appended")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws(":", "doc_id", "text").alias("p"))
+    for part in range(3):
+        records.write_records(docs.filter(F.col("doc_id") % 3 == part).repartition(4), "p", out)
+    good, _ = records.build_record_index(spark, out)
+    payload = F.decode(records.record_payload("payload"), "utf-8")
+    found = files.read_ranges(good).select((F.regexp_extract(payload, "^([0-9]+):", 1).cast("bigint") % 3).alias("part"), (F.col("end") - F.col("begin")).alias("size"))
+    return found.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+# Files of 20 records, of which the eighth is damaged: its payload, its length, or the file ends in it.
+@query(
+    "s4_record_violations",
+    """WITH r AS (SELECT doc_id // 20 AS f, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY doc_id // 20) AS n FROM documents)
+    SELECT 'f' || f AS file, CASE WHEN n < 8 THEN n WHEN f % 4 = 0 THEN n WHEN f % 4 = 1 THEN n - 1 ELSE 7 END AS good,
+      CASE WHEN n < 8 OR f % 4 = 0 THEN NULL WHEN f % 4 = 1 THEN 'bad payload checksum' WHEN f % 4 = 2 THEN 'bad length checksum' ELSE 'truncated' END AS reason
+    FROM r GROUP BY f, n""",
+)
+def s4_violations(spark, sf):
+    out = new_shared_path(spark, "damaged")
+    docs = table(spark, sf, "documents").select(F.expr("doc_id div 20").alias("f"), "doc_id", F.encode("text", "utf-8").alias("p"))
+    placed = running(docs, ["doc_id"], ["f"], position="k")
+
+    def encode(batches):
+        for batch in batches:
+            made = list(records.encode_records(batch["p"].to_pylist()))
+            for i, (f, k) in enumerate(zip(batch["f"].to_pylist(), batch["k"].to_pylist())):
+                if f % 4 and k == 7:
+                    body = bytearray(made[i])
+                    if f % 4 < 3:
+                        body[-1 if f % 4 == 1 else 9] ^= 1
+                    made[i] = bytes(body[:-3] if f % 4 == 3 else body)
+                elif f % 4 == 3 and k > 7:
+                    made[i] = b""
+            yield pa.RecordBatch.from_arrays([batch["f"], batch["k"], pa.array(made, pa.binary())], names=["f", "ord", "data"])
+
+    made = placed.select("f", "k", "p").mapInArrow(encode, "f bigint, ord bigint, data binary")
+    write_texts(made.select(F.format_string(f"{out}/f%d.rec", "f").alias("path"), "ord", "data"))
+    good, bad = records.build_record_index(spark, out)
+    name = F.regexp_extract("path", r"/(f\d+)\.rec$", 1).alias("file")
+    counts = good.groupBy(name).agg(F.count(F.lit(1)).alias("good"))
+    return counts.join(bad.select(name, "reason"), "file", "left")
+
+
 @query("s6_read_ranges", "SELECT doc_id, md5(text) AS md5 FROM documents")
 def s6(spark, sf):
     _, (good, _) = document_records(spark, sf)
@@ -138,6 +186,40 @@ def s7(spark, sf):
     )
 
 
+# A masked sample per turn: codes, two kinds of marks, and flags.
+@query(
+    "s7_read_bert_samples",
+    """SELECT conv_id, turn, length(text)::BIGINT AS tokens, list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)))::BIGINT AS total,
+      length(text)::BIGINT * turn AS types, (conv_id % 2)::INTEGER AS is_random, (CASE WHEN length(text) > 100 THEN 1 ELSE 0 END)::INTEGER AS truncated
+    FROM conversations""",
+)
+def s7_bert(spark, sf):
+    def pack(batches):
+        for batch in batches:
+            rows = []
+            for conv, turn, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "text"))):
+                codes = np.array([*map(ord, text)], np.int32)
+                buffer = io.BytesIO()
+                np.savez(
+                    buffer, text=np.concatenate([[conv, turn], codes]).astype(np.int32), types=np.full(len(codes), turn), labels=codes, loss_mask=codes * 0,
+                    padding_mask=codes * 0 + 1, is_random=np.array(conv % 2), truncated=np.array(int(len(codes) > 100)),
+                )
+                rows.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["p"])
+
+    out = new_shared_path(spark, "bert")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    records.write_records(turns.mapInArrow(pack, "p binary").repartition(4), "p", out)
+    good, _ = records.build_record_index(spark, out)
+    inner = good.select("path", (F.col("begin") + records.HEAD).alias("begin"), (F.col("end") - records.TAIL).alias("end"))
+    samples = npz.read_npz_samples(inner, "bert")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return samples.select(
+        F.col("text")[0].alias("conv_id"), F.col("text")[1].alias("turn"), add("padding_mask").alias("tokens"), add("labels").alias("total"),
+        add("types").alias("types"), "is_random", "truncated",
+    )
+
+
 @query(
     "s8_write_shards",
     SHARDS.replace("n_chars + 16 AS length", "strlen(doc_id || ':' || text) + 16 AS length")
@@ -164,6 +246,93 @@ def s8(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("end") - F.col("begin")).alias("bytes"))
 
 
+def written_shards(spark, sf):
+    """The shard files of the documents as written, their local index, and the assignment."""
+    _, (good, _) = document_records(spark, sf)
+    payload = F.decode(records.record_payload("payload"), "utf-8")
+    ranges = cut_lineage(
+        files.read_ranges(good).select(F.regexp_extract(payload, "^([0-9]+):", 1).cast("bigint").alias("sample_id"), "path", "begin", "end")
+    )
+    assigned = sharding.assign_shards(ranges, "sample_id", GBS, DP, PROGRESS, SEED, job="docs")
+    packed = sharding.pack_shard_files(assigned, GBS, DP, MIN_SAMPLES)
+    local = sharding.shard_index(packed, ranges.select("sample_id", (F.col("end") - F.col("begin")).alias("length")))
+    return cut_lineage(shards.write_shards(ranges, local, new_shared_path(spark, "shards"))), packed
+
+
+WRITTEN = SHARDS.replace("n_chars + 16 AS length", "strlen(doc_id || ':' || text) + 16 AS length")
+
+
+# Every written index file is read as an index, the sample ids beside it as lines.
+@query(
+    "s8_shard_index_files",
+    WRITTEN
+    + """SELECT dp_rank, file_id, row_number() OVER w - 1 AS ord, sample_id,
+      (sum(length) OVER w - length)::BIGINT AS "begin", (sum(length) OVER w)::BIGINT AS "end"
+    FROM files WINDOW w AS (PARTITION BY dp_rank, file_id ORDER BY batch, pos_in_rank)""",
+)
+def s8_index(spark, sf):
+    written, _ = written_shards(spark, sf)
+    folder = written.select(F.regexp_extract("path", r"^(.*)/rank-\d+/[^/]+$", 1).alias("d")).agg(F.min("d")).first()[0]
+    rank, file_id = (F.regexp_extract("path", r"rank-(\d+)/(\d+)\.tf_record", i).cast("bigint") for i in (1, 2))
+    # After the two lines of the header a line is a range.
+    lines = files.read_lines(spark, f"{folder}/*/*.idx").filter("line_no >= 2").select(
+        rank.alias("dp_rank"), file_id.alias("file_id"), (F.col("line_no") - 2).alias("ord"),
+        F.split("text", " ")[0].cast("bigint").alias("begin"), F.split("text", " ")[1].cast("bigint").alias("end"),
+    )
+    ids = files.read_lines(spark, f"{folder}/*/*.meta").select(
+        rank.alias("dp_rank"), file_id.alias("file_id"), F.col("line_no").alias("ord"), F.col("text").cast("bigint").alias("sample_id")
+    )
+    return lines.join(ids, ["dp_rank", "file_id", "ord"])
+
+
+# What the manifests tell against the records of the files written.
+@query(
+    "d13_written_shards",
+    WRITTEN
+    + f"""SELECT dp_rank, count(*) AS n_read, (((SELECT count(*) FROM documents) - {PROGRESS}) // {GBS}) * CASE WHEN dp_rank = 3 THEN 5 ELSE 6 END AS n_expected,
+      true AS ok FROM shards GROUP BY dp_rank""",
+)
+def d13_written(spark, sf):
+    written, packed = written_shards(spark, sf)
+    folder = written.select(F.regexp_extract("path", r"^(.*)/rank-\d+/[^/]+$", 1).alias("d")).agg(F.min("d")).first()[0]
+    found, _ = records.build_record_index(spark, f"{folder}/*/*.tf_record")
+    read = found.select(F.regexp_extract("path", r"rank-(\d+)/", 1).cast("bigint").alias("dp_rank"))
+    told = sharding.manifests(packed, GBS).filter(F.col("path").endswith("/batch-sizes.txt"))
+    parsed = sharding.parse_runs(told.select(F.regexp_extract("path", r"rank-(\d+)/", 1).cast("bigint").alias("dp_rank"), F.concat("line", F.lit("\n")).alias("text")), "text")
+    return sharding.verify_shards(read, parsed)
+
+
+# A job per nation: its points and degrees as JSON files, in steps or in times whose steps are observed.
+@query(
+    "d15_json_jobs",
+    """WITH j AS (SELECT n_nationkey AS k, 'job' || n_nationkey AS job FROM nation),
+    p AS (SELECT k, job, v.i, CASE v.i WHEN 0 THEN 0 WHEN 1 THEN 10 + k ELSE 60 + k END AS step, v.size FROM j, (VALUES (0, 4), (1, 8), (2, 0)) v(i, size))
+    SELECT job, i::BIGINT AS stage, step::BIGINT AS start_step, (CASE i WHEN 0 THEN 10 + k ELSE 60 + k END)::BIGINT AS end_step, (step * 32)::BIGINT AS progress, size::BIGINT AS size,
+      2::BIGINT AS mp, 2::BIGINT AS pp, (size // 4)::BIGINT AS dp_size FROM p WHERE size > 0""",
+)
+def d15_json(spark, sf):
+    out = new_shared_path(spark, "jobs")
+    k = F.col("n_nationkey")
+    job = F.concat(F.lit("job"), k.cast("string"))
+    by_step = F.format_string('[{"step": 0, "size": 4}, {"step": %d, "size": 8}, {"step": %d, "size": 0}]', 10 + k, 60 + k)
+    by_time = F.format_string('[{"time": 0, "size": 4}, {"time": %d, "size": 8}, {"time": %d, "size": 0}]', 1000 + k, 6000 + k)
+    degrees = F.lit('{"4": {"dp_size": 1, "pp_size": 2, "mp_size": 2}, "8": {"dp_size": 2, "pp_size": 2, "mp_size": 2}}')
+    entries = F.array(
+        F.struct(F.concat(F.lit(f"{out}/schedules/"), job, F.lit(".json")).alias("path"), F.when(k % 2 == 0, by_step).otherwise(by_time).alias("data")),
+        F.struct(F.concat(F.lit(f"{out}/degrees/"), job, F.lit(".json")).alias("path"), degrees.alias("data")),
+    )
+    jobs = table(spark, sf, "nation")
+    write_texts(jobs.select(F.explode(entries).alias("e")).select("e.path", F.lit(0).alias("ord"), "e.data"))
+    times = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("time"), F.lit(0).cast("bigint").alias("step")),
+        F.struct((1000 + k).cast("bigint").alias("time"), (10 + k).cast("bigint").alias("step")),
+        F.struct((6000 + k).cast("bigint").alias("time"), (60 + k).cast("bigint").alias("step")),
+    )
+    observed = jobs.select(job.alias("job"), F.explode(times).alias("o")).select("job", "o.time", "o.step")
+    points = structures.read_schedule(spark, f"{out}/schedules").drop("point")
+    return sharding.stage_plan(points, structures.read_para_configs(spark, f"{out}/degrees"), 32, observed)[0]
+
+
 def state_tree(spark, sf):
     """A state directory: snapshot per region, rank per supplier, with one tensor, two values and a list."""
     from shardframe.operators.tensors import encode_elements, format_meta
@@ -239,6 +408,26 @@ def s10(spark, sf):
     return state.load_state(spark, out)[1]
 
 
+# Beside the good files of every rank: a tensor without meta, one of a wrong size, an unknown type, an endless list.
+@query(
+    "s9_state_violations",
+    """SELECT 'n' || s_nationkey || '/' || s_suppkey || '/' || v.name AS name, v.reason FROM supplier, (VALUES
+      ('bare.numpy.ndarray', 'tensor without a meta file'), ('short.numpy.ndarray', 'size does not fit the shape'),
+      ('x.pickle', 'unknown type'), ('bad/dir.meta', 'list without a length')) v(name, reason)""",
+)
+def s9_violations(spark, sf):
+    out = new_shared_path(spark, "bad-state")
+    root = F.format_string(f"{out}/n%d/%d/", "s_nationkey", "s_suppkey")
+    rows = [
+        ("good.int", b"1"), ("bare.numpy.ndarray", b"1234"), ("short.numpy.ndarray", b"1234"), ("short.numpy.ndarray.meta", b"f32\n1\n3\n"),
+        ("x.pickle", b"x"), ("bad/dir.meta", b"list"), ("empty.numpy.ndarray", b""), ("empty.numpy.ndarray.meta", b"f32\n1\n0\n"),
+    ]
+    entries = F.explode(F.array(*[F.struct(F.concat(root, F.lit(name)).alias("path"), F.lit(data).alias("data")) for name, data in rows]))
+    write_texts(table(spark, sf, "supplier").select(entries.alias("e")).select("e.path", F.lit(0).alias("ord"), "e.data"))
+    bad = state.read_state_dir(spark, out)[3]
+    return bad.select(F.regexp_extract("file", r"/(n\d+/\d+/.+)$", 1).alias("name"), "reason")
+
+
 @query(
     "s13_read_structures",
     """SELECT 'pp02/mp' || lpad((1 + s_nationkey % 4)::VARCHAR, 2, '0') || '/dp01' AS config_id, s_suppkey AS rank, 'model/w' AS path, (s_suppkey + 1)::BIGINT AS rows FROM supplier""",

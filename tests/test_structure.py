@@ -94,3 +94,10 @@ def test_split_suffix(spark):
     df = spark.createDataFrame([("a/w.x.numpy.ndarray",), ("a/it.int",), ("a/b.c.str",)], "p string")
     got = sorted((r.s.path, r.s.dtype) for r in df.select(structure.split_suffix("p").alias("s")).collect())
     assert got == [("a/b.c", "str"), ("a/it", "int"), ("a/w.x", "numpy.ndarray")]
+
+
+def test_missing_list_items_are_named(spark, rows):
+    values = spark.createDataFrame([("s", 0, "a/0", "int", "1"), ("s", 0, "a/2/x", "int", "1")], "snapshot string, rank bigint, path string, dtype string, value string")
+    lists = spark.createDataFrame([("s", 0, "a", 3), ("s", 0, "b", 1), ("s", 0, "c", 0)], "snapshot string, rank bigint, path string, length bigint")
+    tensors = spark.createDataFrame([("s", 0, "t", [1])], "snapshot string, rank bigint, path string, shape array<bigint>")
+    assert rows(structure.missing_items(tensors, values, lists), "path", "reason") == [("a/1", "missing list item"), ("b/0", "missing list item")]
