@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import bpe, exact_dedup, html_text, jaccard_join, license_scan, mixing, quality_rules, suffix_dedup, toxicity
+from shardframe.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    license_scan,
+    mixing,
+    oracles,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+)
 from shardframe.llm.registry import QUERIES, query
 from shardframe.llm.shared import table
 from shardframe.llm.url_queries import op7_url_filter
 
 __all__ = ["QUERIES", "op7_url_filter"]
 
-OP9_SQL = r"""
-WITH n AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-FROM n WINDOW w AS (PARTITION BY t)
-"""
 
-
-@query("op9_exact_dedup", OP9_SQL)
+@query("op9_exact_dedup", oracles.OP9_SQL)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winner and group of every document."""
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -39,19 +42,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", oracles.OP5_SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals and verdict of every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("text_chars")
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", oracles.op2_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("places")
 
 
-@query("op6_jaccard_join")
+@query("op6_jaccard_join", oracles.OP6_SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of Jaccard similarity."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -63,7 +66,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
-@query("op1_suffix_dedup")
+@query("op1_suffix_dedup", oracles.OP1_SQL)
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat a string of an earlier one."""
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")

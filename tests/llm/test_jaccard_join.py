@@ -56,7 +56,7 @@ def corpus(seed, families, copies, sizes):
     return texts
 
 
-@pytest.mark.parametrize("frequent, heavy, block", [(64, 16, 512), (2, 1, 7), (0, 3, 3)])
+@pytest.mark.parametrize("frequent, heavy, block", [(64, 16, 256), (2, 1, 7), (0, 3, 3)])
 def test_against_brute_force(frame, odd, rows, monkeypatch, frequent, heavy, block):
     monkeypatch.setattr(J, "FREQUENT", frequent)
     monkeypatch.setattr(J, "HEAVY", heavy)

@@ -82,6 +82,13 @@ def test_sort_suffixes(shallow):
     assert run.tolist() == np.cumsum([0] + [int(a != b) for a, b in zip(keys, keys[1:])]).tolist()
 
 
+def test_suffixes_that_end_with_the_data():
+    """A group that branches at the last byte needs nothing behind it."""
+    data = np.frombuffer(b"a" * 49 + b"b" + b"a" * 49 + b"c" + b"a" * 49 + b"c", np.uint8)
+    order, run = S.sort_suffixes(data, np.array([0, 50, 100]))
+    assert sorted(order[1:].tolist()) == [1, 2] and order[0] == 0 and run.tolist() == [0, 1, 1]
+
+
 def test_equal_strings_have_equal_anchors():
     r = np.random.default_rng(4)
     data = r.integers(97, 100, 600).astype(np.uint8)
