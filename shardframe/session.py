@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -74,13 +75,21 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 def release_shared(spark: SparkSession | None = None) -> int:
     """Delete everything that this driver wrote to the shared folder; results that read it are lost."""
     spark = spark or SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return 0
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
+    if spark is not None and spark.sparkContext._jsc is not None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while _made:
+            where = jvm.org.apache.hadoop.fs.Path(_made.pop())
+            done += where.getFileSystem(conf).delete(where, True)
+        return done
+    # The session has ended before the driver.
+    from shardframe.sources.files import filesystem
+
     while _made:
-        where = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        done += where.getFileSystem(conf).delete(where, True)
+        system, inner = filesystem(_made.pop())
+        if system.get_file_info(inner).type != fs.FileType.NotFound:
+            system.delete_dir(inner)
+            done += 1
     return done
 
 
