@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardframe.llm import textbytes
-from shardframe.llm.shared import text_of
+from shardframe.llm.shared import received, shipped, text_of, written
 
 STOP_SHARE = 0.05
 STOP_WORDS = 2000
@@ -255,7 +255,8 @@ def stop_words(pages: DataFrame, html: str = "html") -> frozenset[str]:
                 words, counts = zip(*sent, ("", part.num_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
-    counted = pages.select(text_of(html).alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sent = pages.select(text_of(html).alias("html")).mapInArrow(run, "word string, n long")
+    counted = written(sent.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counted.filter("word = ''").first()
     if total is None:
         return frozenset()
@@ -265,12 +266,13 @@ def stop_words(pages: DataFrame, html: str = "html") -> frozenset[str]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row."""
-    stop = pages.sparkSession.sparkContext.broadcast(stop_words(pages))
+    stop = shipped(pages.sparkSession, stop_words(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = received(stop)
         for batch in batches:
             for part in textbytes.slices(batch, "html"):
-                texts = [main_text(page, stop.value) for page in part.column("html").to_pylist()]
+                texts = [main_text(page, words) for page in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,25 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """Arrays made once per process; they are made anew where this module's code is sent to."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers = _Kept()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept between tasks, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
