@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardframe.llm import textbytes
-from shardframe.llm.shared import text_of
+from shardframe.llm.shared import received, shipped, text_of
 
 #: Base phrases and their labels.
 PHRASES = (
@@ -239,13 +239,14 @@ def word_counts(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """Base phrases, labels, score and places of every document."""
-    index = docs.sparkSession.sparkContext.broadcast(build_index(*word_counts(docs)))
+    shared = shipped(docs.sparkSession, build_index(*word_counts(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = index.value.templates
+        index = received(shared)
+        templates = index.templates
         for batch in batches:
             for part in textbytes.slices(batch):
-                n_words, rows = scan(part.column("text"), index.value)
+                n_words, rows = scan(part.column("text"), index)
                 n = part.num_rows
                 n_base, first, last = np.zeros(n, np.int64), [None] * n, [None] * n
                 base, labels, score, places = [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n), [[] for _ in range(n)]

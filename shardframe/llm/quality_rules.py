@@ -250,6 +250,7 @@ def judge(docs: DataFrame, order: list[str]) -> DataFrame:
                     [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(failed), pa.array(kept), pa.array(s.text_chars, pa.int64())],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "text_chars"],
                 )
+        textbytes.give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCHEMA)
 
