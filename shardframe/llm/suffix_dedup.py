@@ -47,11 +47,14 @@ SPAN = WIDTH - GRAM + 1
 #: Bytes that the quicksort looks at before the tries take over.
 SHALLOW = 16
 #: Text bytes of a chunk, about, and its documents, at most.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 50_000
 #: Text bytes per range of anchors, about, and the fewest ranges.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 LEAST_RANGES = 48
+#: Bytes of text that a chunk's anchors are sought in at a time, and regions of a range that are sorted at a time.
+SLICE_BYTES = 1 << 20
+BATCH_REGIONS = 25_000
 #: Documents that an anchor may have for its regions to be gathered at one place.
 HOT = 20_000
 LAST = np.iinfo(np.int64).max
@@ -159,14 +162,15 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     counts = np.diff(np.r_[first, len(starts)])
     begin = starts[first]
     owner = np.searchsorted(offsets, begin, "right") - 1
-    return keys[place[first]], place[first], owner, begin, counts
+    # Smallest hashes lie close to zero: they are mixed once more, so that ranges of keys are even.
+    return textbytes.mixed(keys[place[first]] + np.uint64(1)), place[first], owner, begin, counts
 
 
 def anchors(chunk: Chunk) -> tuple[np.ndarray, ...]:
     """Anchors of a whole chunk; see :func:`_anchors`."""
     out, start, n = [], 0, len(chunk.ids)
     while start < n:
-        end = int(np.searchsorted(chunk.offsets, chunk.offsets[start] + textbytes.SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(chunk.offsets, chunk.offsets[start] + SLICE_BYTES, "right")) - 1
         end = min(max(end, start + 1), n)
         base = chunk.offsets[start]
         keys, place, owner, begin, counts = _anchors(chunk.data[base : chunk.offsets[end]], chunk.offsets[start : end + 1] - base)
@@ -203,6 +207,7 @@ def _send_keys(parts: int):
                     run = slice(cuts[p], cuts[p + 1])
                     rows.append((p, base, KEYS, keys[run].tobytes() + counts[run].tobytes()))
             yield from _rows(rows)
+        textbytes.give_back()
 
     return run
 
@@ -234,6 +239,7 @@ def _shared_keys(pdf: pd.DataFrame) -> pd.DataFrame:
 def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for base, chunk in chunks(batches):
         yield from _rows([(0, base, TEXTS, chunk.digest() + chunk.pack())])
+    textbytes.give_back()
 
 
 def _chunk_of(texts: pd.DataFrame, known: pd.DataFrame) -> Chunk:
@@ -264,7 +270,7 @@ def _regions(chunk: Chunk, shared: np.ndarray, hot: np.ndarray, parts: int) -> t
     cut = 0
     # Hashes of the regions, over runs of documents so that arrays stay small.
     while cut < len(keys):
-        end = max(int(np.searchsorted(begin, begin[cut] + textbytes.SLICE_BYTES)), cut + 1)
+        end = max(int(np.searchsorted(begin, begin[cut] + SLICE_BYTES)), cut + 1)
         base = begin[cut]
         stop = int((begin[cut:end] + counts[cut:end]).max()) + WIDTH - 1
         own[cut:end] = textbytes.hashes(chunk.data[base:stop], begin[cut:end] - base, begin[cut:end] - base + counts[cut:end] + WIDTH - 1)
@@ -320,6 +326,8 @@ def _cut_regions(parts: int):
         order = np.argsort(shared)
         local, regions = _regions(chunk, shared[order], hot[order], parts)
         rows = [(_own(base), base, TEXTS, texts["data"].iloc[0][:16]), (_own(base), base, LOCAL, _zip(local))]
+        del chunk, local
+        textbytes.give_back()
         return pd.DataFrame([*rows, *((p, base, REGIONS, d) for p, d in regions)], columns=["part", "base", "kind", "data"])
 
     return run
@@ -375,6 +383,7 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, width: int = WIDTH, shal
         byte = data[starts[order[active]] + branch].astype(np.uint64)
         reach[active] = branch + 1
         active = _split(order, group, active, byte)
+        active = active[reach[active] < width]
     return order, np.cumsum(np.r_[False, group[1:] != group[:-1]]) if n else group
 
 
@@ -411,7 +420,7 @@ def marks(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, data: np.ndarr
     own = np.zeros(n, np.uint64)
     cut = 0
     while cut < n:
-        end = max(int(np.searchsorted(begin, begin[cut] + textbytes.SLICE_BYTES)), cut + 1)
+        end = max(int(np.searchsorted(begin, begin[cut] + SLICE_BYTES)), cut + 1)
         base, stop = begin[cut], begin[end - 1] + sizes[end - 1]
         own[cut:end] = textbytes.hashes(data[base:stop], begin[cut:end] - base, begin[cut:end] - base + sizes[cut:end])
         cut = end
@@ -456,15 +465,31 @@ def _sort_regions(pdf: pd.DataFrame) -> pd.DataFrame:
                 np.frombuffer(body, np.uint8, -1, 22 * n),
             )
         )
-    keys, docs, number, step, counts, data = (np.concatenate(x) for x in zip(*fields))
-    found = marks(keys, docs, counts, data) << step
-    out, at = [], 0
-    for base, f in zip(pdf["base"], fields):
-        mine, mask = number[at : at + len(f[0])], found[at : at + len(f[0])]
-        at += len(f[0])
+    masks = [np.zeros(len(f[0]), np.uint64) for f in fields]
+    # Regions of one key meet in one batch of keys; each chunk's are sorted by key.
+    sample = np.sort(np.concatenate([f[0] for f in fields]))
+    cuts = np.unique(sample[BATCH_REGIONS::BATCH_REGIONS])
+    edges = [np.r_[0, np.searchsorted(f[0], cuts, "left"), len(f[0])] for f in fields]
+    starts = [np.r_[0, np.cumsum(f[4] + WIDTH - 1)] for f in fields]
+    for k in range(len(cuts) + 1):
+        some = [i for i, e in enumerate(edges) if e[k] < e[k + 1]]
+        if not some:
+            continue
+        runs = [slice(edges[i][k], edges[i][k + 1]) for i in some]
+        keys, docs, counts = (np.concatenate([fields[i][c][r] for i, r in zip(some, runs)]) for c in (0, 1, 4))
+        data = np.concatenate([fields[i][5][starts[i][r.start] : starts[i][r.stop]] for i, r in zip(some, runs)])
+        found, at = marks(keys, docs, counts, data), 0
+        for i, r in zip(some, runs):
+            masks[i][r] = found[at : at + r.stop - r.start]
+            at += r.stop - r.start
+    out = []
+    for base, f, mask in zip(pdf["base"], fields, masks):
+        mask = mask << f[3]
         hit = mask > 0
         if hit.any():
-            out.append((-1, base, MASKS, mine[hit].tobytes() + mask[hit].astype(np.uint32).tobytes()))
+            out.append((-1, base, MASKS, f[2][hit].tobytes() + mask[hit].astype(np.uint32).tobytes()))
+    del fields, masks, starts
+    textbytes.give_back()
     return pd.DataFrame(out, columns=["part", "base", "kind", "data"])
 
 
@@ -495,7 +520,7 @@ def _remove(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         at = begin[(bits >> np.uint64(k) & np.uint64(1)) > 0] + k
         np.add.at(change, at, 1)
         np.add.at(change, at + WIDTH, -1)
-    covered = np.cumsum(change[:-1]) > 0
+    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
     edge = chunk.offsets[:-1][np.diff(chunk.offsets) > 0]
     inside = covered.copy()
     inside[1:] &= covered[:-1]
@@ -506,9 +531,8 @@ def _remove(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     inside[np.r_[edge[1:], len(covered)][: len(edge)] - 1] = False
     closes = np.flatnonzero(covered & ~inside) + 1
     owner = np.searchsorted(chunk.offsets, opens, "right") - 1
-    total = np.r_[0, np.cumsum(covered)]
-    removed = total[chunk.offsets[1:]] - total[chunk.offsets[:-1]]
     per = np.bincount(owner, minlength=len(chunk.ids))
+    removed = np.bincount(owner, closes - opens, len(chunk.ids)).astype(np.int64)
     cuts = np.r_[0, np.cumsum(per)]
     shas, spans = [], []
     for k in range(len(chunk.ids)):
@@ -516,6 +540,7 @@ def _remove(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         part = chunk.data[a:b]
         shas.append(hashlib.sha256(part[~covered[a:b]].tobytes() if removed[k] else part.tobytes()).hexdigest())
         spans.append([{"start": int(x - a), "stop": int(y - a)} for x, y in zip(opens[cuts[k] : cuts[k + 1]], closes[cuts[k] : cuts[k + 1]])])
+    textbytes.give_back()
     return pd.DataFrame(
         {
             "doc_id": pd.arrays.IntegerArray(chunk.ids.copy(), ~chunk.has_id),
