@@ -41,11 +41,12 @@ SHORT = 70
 LOW, HIGH = 0.2, 0.3
 MOST_LINKS = 0.4
 
+# A quoted value that holds a "<" isn't taken as quoted, so that unpaired quotes can't reach across tags.
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas|title|select|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,

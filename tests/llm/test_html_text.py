@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from shardframe.llm import html_text as H
@@ -54,6 +56,13 @@ def test_broken_pages_do_not_crash(page):
     assert isinstance(text(page), str)
 
 
+@pytest.mark.parametrize("part", ["<a '>x", "<script", "<!--x-->", "<p class=\"a>", "<div><p>", "</p>", "&lt;", "<title>x</title>", "<a href=x>y"])
+def test_time_follows_the_length(part):
+    began = time.perf_counter()
+    text(part * 40_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_query_rows(spark, rows):
     body = f"<article><p>{LONG}</p></article>"
     data = [(1, "u", body, "x"), (1, "u", body, "x"), (None, None, None, None), (2, "v", "", "x"), (3, "w", f"<article>{'the of ' * 40000}</article>", "x")]
