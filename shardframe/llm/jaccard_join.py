@@ -58,7 +58,7 @@ LEAST_RANGES = 48
 #: Tokens of more documents than this are indexed in pairs.
 FREQUENT = 64
 #: Documents of a block of a candidate group.
-BLOCK = 512
+BLOCK = 256
 
 LOW = np.uint64((1 << 48) - 1)
 
@@ -101,7 +101,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, l
 def _chunk(base: int, ids: bytes, keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, digests: list[bytes], ranges: int) -> Iterator[tuple]:
     """Packed rows of one chunk: (part, base, kind, data). Kind 0: members; 1: heavy tokens and their documents;
     2: a token range's light tokens and documents; 3: a token range's heavy tokens and their numbers."""
-    own = -1 - base % 64
+    own = -1 - (base ^ base >> 33) % (2**31 - 1)
     yield own, base, 0, sizes.astype(np.int64).tobytes() + b"".join(digests) + ids
     # Documents that repeat a set of the chunk send nothing: the first one stands for them.
     first: dict[bytes, int] = {}
@@ -182,6 +182,7 @@ def _pack(ranges: int):
                     tokens += len(sets[0])
                     docs += piece.num_rows
         yield from flush()
+        textbytes.give_back()
 
     return run
 
@@ -221,6 +222,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
                 n = len(mine)
                 found += (np.frombuffer(data, np.uint64, n)[known] & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
             out.append((-1, base, k, found))
+    textbytes.give_back()
     return pd.DataFrame(out, columns=["part", "base", "kind", "data"])
 
 
@@ -271,6 +273,7 @@ def _assemble(pdf: pd.DataFrame) -> pd.DataFrame:
     may = np.flatnonzero((shared > 0) & (sizes - shared < prefix_length(sizes)))
     able = np.zeros(m, bool)
     able[may] = True
+    textbytes.give_back()
     return pd.DataFrame(
         {
             "uid": base + np.arange(m),
@@ -371,6 +374,9 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
     left, right = np.nonzero(np.triu(linked, 1))
     used = _forest(left, right, len(uids))
+    del both, linked
+    if len(uids) > BLOCK // 2:
+        textbytes.give_back()
     return pd.DataFrame({"a": uids[left[used]], "b": uids[right[used]]})
 
 
@@ -387,12 +393,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
 def links(sets: DataFrame) -> DataFrame:
     """Edges ``a, b`` of a spanning forest of the links among different sets, one row of ``sets`` for each."""
     entries = written(sets.select("uid", "n", "tokens", "counts").mapInArrow(_index, "key long, uid long"), "entries")
-    keys = entries.groupBy("key").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).filter("first < last")
+    # Written, as are the other small tables below: then both sides of a join are dealt anew, and hot keys can be split.
+    keys = written(
+        entries.groupBy("key").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).filter("first < last").select("key", "first"), "keys"
+    )
     candidates = (
-        entries.join(keys.select("key", "first"), "key").filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+        entries.join(keys, "key").filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
     )
     groups = components(candidates.distinct())
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = written(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = (
         sets.select("uid", "n", "tokens")
@@ -415,13 +424,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     wanted = sets.filter("tokens IS NOT NULL")
     least = wanted.groupBy("digest").agg(F.min("uid").alias("uid"))
     found = links(wanted.join(least.select("uid"), "uid", "left_semi"))
-    classes = sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("rep"))
+    classes = written(sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("rep")), "reps")
     roots = components(found)
     named = sets.select("uid", "doc_id", "n", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "uid"))
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     named = written(named.select("uid", "doc_id", "n", "digest", F.coalesce("root", "rep").alias("root")), "classes")
-    ids = named.groupBy("root").agg(
-        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("w")
+    ids = written(
+        named.groupBy("root").agg(
+            F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("w")
+        ),
+        "components",
     )
     return named.join(ids, "root").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "uid", "digest", (F.col("uid") == F.col("w.uid")).alias("first")
