@@ -21,7 +21,6 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from shardframe.llm import textbytes
-from shardframe.llm.shared import text_of
+from shardframe.llm.shared import received, shipped, text_of
 
 #: Words that a task remembers, and the longest that it remembers. Only speed depends on them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 CACHE_LENGTH = 64
 #: Code points that one byte of Latin-1 can hold; lower case, and composing, stay among them.
 LATIN = 256
@@ -59,7 +58,7 @@ class Tables:
     latin_pattern: str
     library_pattern: str
     added: dict[str, int]
-    stamp: str
+    newer: str
 
 
 def default_path() -> str:
@@ -88,7 +87,6 @@ def spelled(pattern: str, below: int) -> str:
     return pattern.replace(r"\s", SPACE).replace(r"\p{L}", category("L", below)).replace(r"\p{N}", category("N", below))
 
 
-@lru_cache
 def unassigned() -> str:
     """The characters that Python's Unicode tables don't name, as ranges for a pattern's brackets."""
     return _ranges(np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]))
@@ -132,7 +130,7 @@ def load(path: str) -> Tables:
         spelled(pattern, LATIN),
         pattern,
         added,
-        hashlib.sha256(raw).hexdigest(),
+        unassigned(),
     )
 
 
@@ -203,7 +201,7 @@ class Codec:
         self.t = t
         self.split, self.split_latin = re.compile(t.pattern), re.compile(t.latin_pattern)
         self.marks = re.compile("(" + "|".join(map(re.escape, t.added)) + ")") if t.added else None
-        self.newer = re.compile(f"[{unassigned()}]")
+        self.newer = re.compile(f"[{t.newer}]")
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.splitter = pre_tokenizers.Split(Regex(t.library_pattern), "removed", invert=True)
         self.ids: dict[str, str] = {}
@@ -262,23 +260,12 @@ class Codec:
         self.forget_long(vocabulary)
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec_of(shared) -> Codec:
-    """The codec of broadcast tables, kept between the tasks of a Python worker."""
-    if shared.value.stamp not in _codecs:
-        _codecs.clear()
-        _codecs[shared.value.stamp] = Codec(shared.value)
-    return _codecs[shared.value.stamp]
-
-
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``doc_id``, number of tokens, SHA-256 of the ids and of the decoded text, for every row."""
-    tables = docs.sparkSession.sparkContext.broadcast(load(path))
+    tables = shipped(docs.sparkSession, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(tables)
+        codec = Codec(received(tables))
         for batch in batches:
             for part in textbytes.slices(batch):
                 coded = list(codec.encode(part.column("text").to_pylist()))
@@ -291,16 +278,18 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        del codec
+        textbytes.give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def token_ids(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``doc_id`` and the token ids themselves, for every row."""
-    tables = docs.sparkSession.sparkContext.broadcast(load(path))
+    tables = shipped(docs.sparkSession, load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(tables)
+        codec = Codec(received(tables))
         for batch in batches:
             for part in textbytes.slices(batch):
                 ids = [list(map(int, coded.split())) for coded, _ in codec.encode(part.column("text").to_pylist())]
@@ -312,11 +301,12 @@ def token_ids(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and the text of its token ids, as the library's decode gives it without a decoder."""
-    tokens = ids.sparkSession.sparkContext.broadcast(load(path).tokens)
+    tokens = shipped(ids.sparkSession, load(path).tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = received(tokens)
         for batch in batches:
-            texts = [" ".join([tokens.value[k] for k in row or []]) for row in batch.column("ids").to_pylist()]
+            texts = [" ".join([names[k] for k in row or []]) for row in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardframe.llm import textbytes
-from shardframe.llm.shared import text_of
+from shardframe.llm.shared import received, shipped, text_of
 
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 1500
@@ -403,35 +403,40 @@ def _spans(tokens: Tokens, n: int, owner, words, m) -> tuple[np.ndarray, pa.Arra
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(shared)
         for batch in batches:
             for part in textbytes.slices(batch):
-                tokens, score, owner, words, m = _score_texts(shared.value, part.column("text"))
+                tokens, score, owner, words, m = _score_texts(model, part.column("text"))
                 per, spans = _spans(tokens, part.num_rows, owner, words, m)
                 rest = [part.column(k) for k in range(part.num_columns - 1)]
                 names = [f"c{k}" for k in range(len(rest))]
                 yield pa.RecordBatch.from_arrays(
                     [*rest, pa.array(score), pa.array(per, pa.int64()), spans], names=[*names, "score", "n_toxic", "spans"]
                 )
+        textbytes.give_back()
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, n_toxic, spans`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     chosen = docs.select(F.col("doc_id").cast("long").alias("c0"), text_of().alias("text"))
     return chosen.mapInArrow(_scorer(shared), SCHEMA.replace("doc_id", "c0", 1)).withColumnRenamed("c0", "doc_id")
 
 
 def score_of(docs: DataFrame, model: Model) -> Column:
     """The score as a column, so that a filter keeps every other column as it is."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        out = [_score_texts(shared.value, part.column("text"))[1] for part in textbytes.slices(batch)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = received(shared)
+        for texts in parts:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            out = [_score_texts(model, part.column("text"))[1] for part in textbytes.slices(batch)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        textbytes.give_back()
 
     return scored(text_of())
 
