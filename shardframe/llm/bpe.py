@@ -32,7 +32,7 @@ from shardframe.llm import textbytes
 from shardframe.llm.shared import received, shipped, text_of
 
 #: Words that a task remembers, and the longest that it remembers. Only speed depends on them.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 CACHE_LENGTH = 64
 #: Code points that one byte of Latin-1 can hold; lower case, and composing, stay among them.
 LATIN = 256
