@@ -7,9 +7,10 @@ those of few stop words stay open. Pass 2 gives an open block the label of its n
 article (or main element) it is dropped only if both sides are; elsewhere it is kept only if both sides are. Where
 nothing is decided, blocks of an article are kept and others dropped.
 
-Stop words are learned: the words that at least ``STOP_SHARE`` of all pages have in their text. Each slice of pages counts
-its words and sends those of two pages or more, so a word of that share is counted in all slices but those where only
-one page has it. That list has at most ``STOP_WORDS`` entries and is broadcast. A page is then judged on its own.
+Stop words are learned: the words that at least ``STOP_SHARE`` of all pages have in their text. Every word of every page
+counts; a task sends what it has counted when it holds ``HELD_WORDS`` words, and the sums are taken after that, so the
+list doesn't depend on how the table is cut. That list has at most ``STOP_WORDS`` entries and is broadcast. A page is then
+judged on its own.
 
 Defined results: null html is empty and gives an empty text, as does a page without text. Character references are
 decoded, then every run of space, tab, line feed, vertical tab, form feed and carriage return is one space, blocks are
@@ -35,6 +36,8 @@ from shardframe.llm.shared import received, shipped, text_of, written
 
 STOP_SHARE = 0.05
 STOP_WORDS = 2000
+#: Different words that a task counts before it sends the counts on.
+HELD_WORDS = 200_000
 
 #: Blocks of fewer characters are short; of a stop-word density below LOW they are open, at HIGH they are good.
 SHORT = 70
@@ -247,14 +250,21 @@ def stop_words(pages: DataFrame, html: str = "html") -> frozenset[str]:
     """The words that at least STOP_SHARE of all pages have, the most frequent ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+
         for batch in batches:
             for part in textbytes.slices(batch, "html"):
-                found = Counter()
                 for page in part.column("html").to_pylist():
-                    found.update({w.strip(".,;:!?\"'()") for b in blocks(page) for w in b.text.lower().split()})
-                sent = [(w, n) for w, n in found.items() if n > 1 and w] if part.num_rows > 1 else []
-                words, counts = zip(*sent, ("", part.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+                    found.update({w.strip(".,;:!?\"'()") for b in blocks(page) for w in b.text.lower().split()} - {""})
+                found[""] += part.num_rows
+                if len(found) >= HELD_WORDS:
+                    yield sent()
+        yield sent()
 
     sent = pages.select(text_of(html).alias("html")).mapInArrow(run, "word string, n long")
     counted = written(sent.groupBy("word").agg(F.sum("n").alias("n")), "words")

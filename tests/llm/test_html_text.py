@@ -77,3 +77,15 @@ def test_query_rows(spark, rows):
 def test_stop_words_are_those_of_many_pages(spark):
     pages = spark.createDataFrame([(k, f"<article>the of word{k}</article>") for k in range(60)], "page_id long, html string")
     assert H.stop_words(pages) == {"the", "of"}
+
+
+def test_stop_words_do_not_depend_on_how_the_table_is_cut(spark, monkeypatch):
+    data = [(k, f"<article>the of {'often' if k % 15 == 0 else 'other'} word{k}</article>") for k in range(60)]
+    whole = spark.createDataFrame(data, "page_id long, html string").coalesce(1)
+    want = {"the", "of", "often", "other"}
+    assert H.stop_words(whole) == want
+    assert H.stop_words(whole.repartition(60, "page_id")) == want
+    assert H.stop_words(spark.createDataFrame(spark.sparkContext.parallelize(data, 60), "page_id long, html string")) == want
+    monkeypatch.setattr(H.textbytes, "SLICE_BYTES", 1)
+    monkeypatch.setattr(H, "HELD_WORDS", 3)
+    assert H.stop_words(whole) == want
