@@ -5,12 +5,15 @@ scripts, styles, forms, menus, footers, sidebars, and elements whose class, id o
 comments and the like. Pass 1 decides blocks by link density, length and the density of stop words; short blocks and
 those of few stop words stay open. Pass 2 gives an open block the label of its nearest decided neighbours: within an
 article (or main element) it is dropped only if both sides are; elsewhere it is kept only if both sides are. Where
-nothing is decided, blocks of an article are kept and others dropped.
+nothing is decided, blocks of an article are kept and others dropped. A page on which stop words make no block good is of
+a language that its list doesn't know, or has none: there length and link density alone decide the long blocks.
 
-Stop words are learned: the words that at least ``STOP_SHARE`` of all pages have in their text. Every word of every page
-counts; a task sends what it has counted when it holds ``HELD_WORDS`` words, and the sums are taken after that, so the
-list doesn't depend on how the table is cut. That list has at most ``STOP_WORDS`` entries and is broadcast. A page is then
-judged on its own.
+Stop words are learned by group of pages, that is by the language of the html element and the script most letters are of:
+the words that at least ``STOP_SHARE`` of the group's pages have in their text. Every word of every page counts; a task
+sends what it has counted when it holds ``HELD_WORDS`` words, and the sums are taken after that, so the lists don't depend
+on how the table is cut. A group has at most its mean different words a page, over ``STOP_SHARE``, of them; a group of fewer
+than ``GROUP_PAGES`` pages has no list. The lists are broadcast, and a page is then judged on its own, by the list of its
+group or, if it names no language, by the list of its script that knows most of its different words.
 
 Defined results: null html is empty and gives an empty text, as does a page without text. Character references are
 decoded, then every run of space, tab, line feed, vertical tab, form feed and carriage return is one space, blocks are
@@ -27,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +39,8 @@ from shardframe.llm import textbytes
 from shardframe.llm.shared import received, shipped, text_of, written
 
 STOP_SHARE = 0.05
-STOP_WORDS = 2000
+#: In smaller groups that share is under three pages, which any word can be on by chance.
+GROUP_PAGES = 60
 #: Different words that a task counts before it sends the counts on.
 HELD_WORDS = 200_000
 
@@ -58,6 +63,22 @@ NAMES = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
 
+HTML = re.compile(r"<html\b([^>]*)", re.IGNORECASE)
+LANG = re.compile(r"""(?:^|[\s"'])(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,3})(?![a-z])""", re.IGNORECASE)
+#: First code points of runs of letters, and their scripts; "" is what has no script of its own.
+SCRIPTS = {
+    0: "", 0x41: "latin", 0x5B: "", 0x61: "latin", 0x7B: "", 0xC0: "latin", 0x2B0: "", 0x370: "greek", 0x400: "cyrillic",
+    0x530: "armenian", 0x590: "hebrew", 0x600: "arabic", 0x700: "syriac", 0x750: "arabic", 0x780: "thaana", 0x7C0: "nko",
+    0x800: "", 0x8A0: "arabic", 0x900: "devanagari", 0x980: "bengali", 0xA00: "gurmukhi", 0xA80: "gujarati", 0xB00: "oriya",
+    0xB80: "tamil", 0xC00: "telugu", 0xC80: "kannada", 0xD00: "malayalam", 0xD80: "sinhala", 0xE00: "thai", 0xE80: "lao",
+    0xF00: "tibetan", 0x1000: "myanmar", 0x10A0: "georgian", 0x1100: "hangul", 0x1200: "ethiopic", 0x13A0: "", 0x1780: "khmer",
+    0x1800: "mongolian", 0x18B0: "", 0x1C80: "cyrillic", 0x1C90: "georgian", 0x1CC0: "", 0x1E00: "latin", 0x1F00: "greek",
+    0x2000: "", 0x3040: "cjk", 0x3130: "hangul", 0x3190: "cjk", 0xA000: "", 0xAC00: "hangul", 0xD800: "", 0xF900: "cjk",
+    0xFB00: "latin", 0xFB13: "armenian", 0xFB1D: "hebrew", 0xFB50: "arabic", 0xFE00: "", 0xFE70: "arabic", 0xFEFF: "",
+    0x20000: "cjk", 0x32000: "",
+}
+NAMED = sorted(set(SCRIPTS.values()))
+
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -201,6 +222,8 @@ def first_pass(b: Block, stop: frozenset[str]) -> int:
         return BAD
     if size < SHORT:
         return OPEN
+    if not stop:
+        return OPEN
     words = b.text.lower().split()
     density = sum(w.strip(".,;:!?\"'()") in stop for w in words) / len(words)
     if density >= HIGH:
@@ -238,46 +261,97 @@ def second_pass(page: list[Block]) -> list[bool]:
     return kept
 
 
-def main_text(page: str, stop: frozenset[str]) -> str:
-    """The main text of a page."""
+def words_of(found: list[Block]) -> set[str]:
+    """The different words of a page's blocks."""
+    return {w.strip(".,;:!?\"'()") for b in found for w in b.text.lower().split()} - {""}
+
+
+def group_of(page: str, found: list[Block]) -> str:
+    """The language that a page names, empty if none, a slash, and the script of most of its letters."""
+    tag = HTML.search(page)
+    lang = LANG.search(tag[1]) if tag else None
+    script = "latin"
+    if not all(b.text.isascii() for b in found):
+        starts = np.fromiter(SCRIPTS, np.uint32)
+        numbers = np.array([NAMED.index(x) for x in SCRIPTS.values()])
+        letters = np.zeros(len(NAMED), np.int64)
+        for b in found:
+            points = np.frombuffer(b.text.encode("utf-32-le", "replace"), np.uint32)
+            runs = np.bincount(np.searchsorted(starts, points, "right") - 1, minlength=len(starts))
+            letters += np.bincount(numbers, weights=runs, minlength=len(NAMED)).astype(np.int64)
+        letters[NAMED.index("")] = 0
+        if letters.any():
+            script = NAMED[int(letters.argmax())]
+    return f"{lang[1].lower() if lang else ''}/{script}"
+
+
+def list_for(page: str, found: list[Block], lists: dict[str, frozenset[str]]) -> frozenset[str]:
+    """The stop words that a page is judged by."""
+    group = group_of(page, found)
+    if not group.startswith("/"):
+        return lists.get(group, frozenset())
+    fitting = [stop for name, stop in lists.items() if name.endswith(group)]
+    if len(fitting) < 2:
+        return fitting[0] if fitting else frozenset()
+    words = words_of(found)
+    return max(fitting, key=lambda stop: len(words & stop))
+
+
+def main_text(page: str, stop: frozenset[str] | dict[str, frozenset[str]]) -> str:
+    """The main text of a page, by one list of stop words or by those of each group."""
     found = blocks(page)
+    if isinstance(stop, dict):
+        stop = list_for(page, found, stop)
     for b in found:
         b.label = first_pass(b, stop)
+    if all(b.label != GOOD for b in found):
+        for b in found:
+            if len(b.text) >= SHORT and b.links <= MOST_LINKS * len(b.text):
+                b.label = GOOD
     return " ".join(b.text for b, keep in zip(found, second_pass(found)) if keep)
 
 
-def stop_words(pages: DataFrame, html: str = "html") -> frozenset[str]:
-    """The words that at least STOP_SHARE of all pages have, the most frequent ones first."""
+def stop_lists(pages: DataFrame, html: str = "html") -> dict[str, frozenset[str]]:
+    """By group of pages, the words that at least STOP_SHARE of its pages have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter()
+        counts: dict[str, Counter[str]] = {}
 
         def sent() -> pa.RecordBatch:
-            columns = [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())]
-            found.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+            groups = pa.array([g for g, c in counts.items() for _ in c], pa.string())
+            words = pa.array([w for c in counts.values() for w in c], pa.string())
+            numbers = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([groups, words, numbers], names=["name", "word", "n"])
 
         for batch in batches:
             for part in textbytes.slices(batch, "html"):
                 for page in part.column("html").to_pylist():
-                    found.update({w.strip(".,;:!?\"'()") for b in blocks(page) for w in b.text.lower().split()} - {""})
-                found[""] += part.num_rows
-                if len(found) >= HELD_WORDS:
+                    found = blocks(page)
+                    # The empty word counts the pages.
+                    counts.setdefault(group_of(page, found), Counter()).update(["", *words_of(found)])
+                if sum(map(len, counts.values())) >= HELD_WORDS:
                     yield sent()
         yield sent()
 
-    sent = pages.select(text_of(html).alias("html")).mapInArrow(run, "word string, n long")
-    counted = written(sent.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counted.filter("word = ''").first()
-    if total is None:
-        return frozenset()
-    often = counted.filter((F.col("word") != "") & (F.col("n") >= STOP_SHARE * total["n"]))
-    return frozenset(r["word"] for r in often.orderBy(F.col("n").desc(), "word").limit(STOP_WORDS).collect())
+    sent = pages.select(text_of(html).alias("html")).mapInArrow(run, "name string, word string, n long")
+    counted = written(sent.groupBy("name", "word").agg(F.sum("n").alias("n")), "words")
+    groups = counted.filter((F.col("word") == "") & (F.col("n") >= GROUP_PAGES)).select("name", F.col("n").alias("pages"))
+    known = counted.filter("word != ''").join(written(groups, "groups"), "name")
+    lists: dict[str, list[str]] = {}
+    for r in known.filter(F.col("n") >= STOP_SHARE * F.col("pages")).select("name", "word").collect():
+        lists.setdefault(r["name"], []).append(r["word"])
+    return {name: frozenset(words) for name, words in lists.items()}
+
+
+def stop_words(pages: DataFrame, html: str = "html") -> frozenset[str]:
+    """The stop words of all groups."""
+    return frozenset().union(*stop_lists(pages, html).values())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row."""
-    stop = shipped(pages.sparkSession, stop_words(pages))
+    stop = shipped(pages.sparkSession, stop_lists(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = received(stop)

@@ -89,3 +89,46 @@ def test_stop_words_do_not_depend_on_how_the_table_is_cut(spark, monkeypatch):
     monkeypatch.setattr(H.textbytes, "SLICE_BYTES", 1)
     monkeypatch.setattr(H, "HELD_WORDS", 3)
     assert H.stop_words(whole) == want
+
+
+GERMAN = "Es war im Jahr der Flut und die Leute der Stadt sind mit dem Boot auf den Berg, den sie von der Burg kannten."
+
+
+def test_every_language_has_its_stop_words(spark):
+    data = [(k, "u", f'<html lang="en-GB"><p>{LONG} x{k}</p></html>') for k in range(1300)]
+    data += [(2000 + k, "u", f"<html class=a lang='de'><p>{GERMAN} y{k}</p><div>{'Xyz ' * 40}</div></html>") for k in range(60)]
+    data += [(3000, "u", f"<p>{GERMAN}</p><div>{'Xyz ' * 40}</div>"), (3001, "u", f"<p>{LONG}</p><div>{'Xyz ' * 40}</div>")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(2)
+    lists = H.stop_lists(pages)
+    assert set(lists) == {"en/latin", "de/latin"} and "der" in lists["de/latin"] and "der" not in lists["en/latin"]
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert got[2007] == f"{GERMAN} y7 {('Xyz ' * 40).strip()}"  # 'xyz' is on every page in German
+    assert got[3000].startswith(GERMAN) and got[3001] == LONG
+
+
+def test_stop_words_without_a_limit(spark):
+    many = " ".join(f"w{k}" for k in range(2500))
+    pages = spark.createDataFrame([(k, f"<p>{many} x{k}</p>") for k in range(60)], "page_id long, html string")
+    assert len(H.stop_words(pages)) == 2500
+
+
+@pytest.mark.parametrize("stop", [frozenset(), {}, {"en/latin": STOP}, STOP])
+def test_pages_without_known_stop_words_keep_their_text(stop):
+    page = f"<html lang=pl><p>{'Wyszli oni tam bez niczego '*5}</p><p>Tak.</p><p>{'Nikt im nie wierzy '*5}</p><div><a href=x>{LONG}</a></div></html>"
+    assert H.first_pass(H.Block(LONG, 0, 0), frozenset()) == H.OPEN
+    assert H.main_text(page, stop) == f"{('Wyszli oni tam bez niczego '*5).strip()} Tak. {('Nikt im nie wierzy '*5).strip()}"
+
+
+@pytest.mark.parametrize(
+    "page, group",
+    [
+        ("<p>plain", "/latin"),
+        ('<!DOCTYPE html><HTML data-lang=xx class="a" LANG="pt-BR"><p>Olá, você', "pt/latin"),
+        ("<html lang=ru><p>Привет, мир HTML", "ru/cyrillic"),
+        ("<html lang=klingon><p>日本語のテキスト", "/cjk"),
+        ("<html lang=''><p>ελληνικά 12345 67890", "/greek"),
+        ("", "/latin"),
+    ],
+)
+def test_groups(page, group):
+    assert H.group_of(page, H.blocks(page)) == group
