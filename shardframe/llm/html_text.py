@@ -1,8 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at the tags of block elements. What is never main text is left out with all it holds:
-scripts, styles, forms, menus, footers, sidebars, and elements whose class, id or role names them as adverts, notices,
-comments and the like. Pass 1 decides blocks by link density, length and the density of stop words; short blocks and
+scripts, styles, forms, menus, footers, sidebars, hidden elements, and elements whose class, id or role names them as
+adverts, notices, comments and the like. A name counts by its first or last part, and not if it says that something has such
+a thing (``has-sidebar``, ``comments-open``). An article in a named element is main text all the same, if no article or main
+element in fewer named elements has a paragraph. Pass 1 decides blocks by link density, length and the density of stop words; short blocks and
 those of few stop words stay open. Pass 2 gives an open block the label of its nearest decided neighbours: within an
 article (or main element) it is dropped only if both sides are; elsewhere it is kept only if both sides are. Where
 nothing is decided, blocks of an article are kept and others dropped. A page on which stop words make no block good is of
@@ -59,8 +61,8 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-NAMES = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 PART = re.compile(r"[a-z]+")
 
 HTML = re.compile(r"<html\b([^>]*)", re.IGNORECASE)
@@ -95,45 +97,58 @@ BOILERPLATE = frozenset(
     "respond login signin signup register search toolbar widget widgets pagination pager copyright disclaimer skip tags "
     "contentinfo complementary".split()
 )
+#: Parts of names that tell what an element has or allows, not what it is.
+STATES = frozenset("has have with without no not open opened closed enabled disabled allowed on off".split())
 #: Elements that close an open paragraph, and those that only one of can be open in its list or table.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
 @dataclass
 class Block:
-    """A run of text between block tags: its text, the characters of it in links, and where it stands."""
+    """A run of text between block tags: its text, the characters of it in links, its article, and how many elements named
+    as boilerplate the article stands in."""
 
     text: str
     links: int
     main: int
-    banned: bool = False
+    named: int = 0
     label: int = 0
 
 
-def _banned(tag: str, attrs: str, in_main: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_main):
-        return True
-    if not attrs:
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    if tag in ("html", "body") or tag in MAIN:
+def _boilerplate(name: str, in_main: bool) -> bool:
+    """Whether one class, id or role names what is not main text."""
+    parts = PART.findall(name)
+    if not parts or not STATES.isdisjoint(parts):
         return False
-    for m in NAMES.finditer(attrs):
-        if m[1].lower() == "style":
-            continue
-        value = (m[2] or m[3] or m[4] or "").lower()
-        parts = PART.findall(value)
-        if any(p in BOILERPLATE for p in parts) or (not in_main and "header" in parts):
-            return True
-    return False
+    ends = {parts[0], parts[-1]}
+    return not BOILERPLATE.isdisjoint(ends) or (not in_main and "header" in ends)
+
+
+def _judged(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is never main text, is named as boilerplate, and is an article or main element."""
+    never = tag in DROPPED or (tag == "header" and not in_main)
+    named, is_main = False, tag in MAIN
+    if not attrs:
+        return never, False, is_main
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSEEN.search(value):
+            never = True
+        elif name in ("class", "id", "role"):
+            if name == "role" and "main" in value.split():
+                is_main = True
+            named = named or any(_boilerplate(x, in_main) for x in value.split())
+    return never, named and not is_main and tag not in ("html", "body"), is_main
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page outside what is never main text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, banned, main
+    in_article: list[bool] = []
+    stack: list[tuple[str, bool, bool, tuple[int, int, int]]] = []  # tag, never main text, main, what held before
     banned, main, links, articles = 0, 0, 0, 0
+    # Open elements named as boilerplate, outside and inside the outermost article; open article elements.
+    outside, inside, nested = 0, 0, 0
     parts: list[str] = []
     linked = 0
 
@@ -142,18 +157,19 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
             if text:
-                out.append(Block(text, min(linked, len(text)), articles if main else 0))
+                out.append(Block(text, min(linked, len(text)), articles if main else 0, outside))
+                in_article.append(nested > 0)
         parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal banned, main
-        tag, was_banned, was_main = stack.pop()
+        nonlocal banned, main, outside, inside, nested
+        tag, was_banned, was_main, (outside, inside, nested) = stack.pop()
         banned -= was_banned
         main -= was_main
 
     at = 0
     for m in TOKEN.finditer(page):
-        if m.start() > at and not banned:
+        if m.start() > at and not banned and not inside:
             text = page[at : m.start()]
             parts.append(text)
             if links:
@@ -164,7 +180,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag == "br":
-            if not banned:
+            if not banned and not inside:
                 parts.append(" ")
             continue
         if tag == "a":
@@ -174,9 +190,9 @@ def blocks(page: str) -> list[Block]:
         if not block and not m["attrs"]:
             continue
         if m["close"]:
-            if any(t == tag for t, _, _ in reversed(stack)):
+            if any(t[0] == tag for t in reversed(stack)):
+                flush()
                 if block:
-                    flush()
                     links = 0
                 while stack[-1][0] != tag:
                     pop()
@@ -195,21 +211,30 @@ def blocks(page: str) -> list[Block]:
                     pop()
         if tag in VOID or m["attrs"].endswith("/") and not block:
             continue
-        if block or _banned(tag, m["attrs"], main > 0):
-            is_banned = _banned(tag, m["attrs"], main > 0)
-            is_main = tag in MAIN or 'role="main"' in m["attrs"]
-            if is_banned and not block:
+        never, named, is_main = _judged(tag, m["attrs"], main > 0)
+        if block or never or named:
+            if (never or named) and not block:
                 flush()
-            stack.append((tag, is_banned, is_main))
-            banned += is_banned
+            stack.append((tag, never, is_main, (outside, inside, nested)))
+            banned += never
+            inside += named
             if is_main:
                 main += 1
                 articles += 1
-    if at < len(page) and not banned:
+                if not nested:
+                    outside, inside = outside + inside, 0
+                nested += tag == "article"
+    if at < len(page) and not banned and not inside:
         tail = page[at:]
         parts.append(tail)
     flush()
-    return out
+    if all(not b.named for b in out):
+        return out
+    # The articles in the fewest named elements are the page's own; others are comments, teasers and the like.
+    own = [b for b in out if b.main]
+    paragraphs = [b for b in own if len(b.text) >= SHORT and b.links <= MOST_LINKS * len(b.text)]
+    least = min(b.named for b in paragraphs or [b for b, a in zip(out, in_article) if a] or own)
+    return [b for b in out if b.named <= least]
 
 
 GOOD, OPEN, BAD = 1, 0, -1

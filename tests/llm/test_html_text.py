@@ -132,3 +132,34 @@ def test_pages_without_known_stop_words_keep_their_text(stop):
 )
 def test_groups(page, group):
     assert H.group_of(page, H.blocks(page)) == group
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "content-with-banner", "post comments-open", "share", "page widget"])
+@pytest.mark.parametrize("tag", ["article", "main", "div role='main'"])
+def test_articles_in_named_wrappers_stay(wrapper, tag):
+    article = f"<{tag}><p>{LONG}</p><div class='ad'>{OTHER}</div></{tag.split()[0]}>"
+    assert text(f'<div class="{wrapper}">{article}<p>{OTHER}</p></div>') == LONG
+    assert text(f'<main><h1>Head</h1><section id="{wrapper}">{article}</section></main>') == f"Head {LONG}"
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "content-with-banner", "post comments-open", "no-ads", "my-ad-free-page"])
+def test_names_of_states_and_middle_parts_ban_nothing(wrapper):
+    assert text(f'<div class="{wrapper}"><p>{LONG}</p></div>') == LONG
+
+
+def test_comments_and_teasers_as_articles_are_left_out():
+    comments = f'<ol class="comment-list"><li><article><p>{OTHER}</p></article></ol>'
+    assert text(f"<article><p>{LONG}</p></article>{comments}") == LONG
+    assert text(f"<article><p>{LONG}</p>{comments}</article>") == LONG
+    assert text(f'<div class="widget"><article><p>{LONG}</p></article>{comments}</div>') == LONG
+    assert text(f'<main><p>{LONG}</p><section class="related-posts"><article><p>{OTHER}</p></article></section></main>') == LONG
+
+
+@pytest.mark.parametrize("attrs", ['class="hidden md:block"', 'title="a hidden gem"', 'data-x="display:none"', 'title="class=ad"', 'alt="is aria-hidden=true"'])
+def test_hidden_is_an_attribute(attrs):
+    assert text(f"<article><p {attrs}>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "class=x hidden", "aria-hidden='true'", "style='Visibility : hidden'", "id='ad'"])
+def test_hidden_attributes_hide(attrs):
+    assert text(f"<article><p>{LONG}</p><div {attrs}>{OTHER}</div></article>") == LONG
