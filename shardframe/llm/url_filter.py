@@ -9,8 +9,8 @@ captures, and a capture in one. So a pattern that changes daily for years meets
 host that holds a third of all captures is dealt by month; what is still uneven Spark splits (adaptive skew join).
 
 Defined results: scheme and host are compared without case, without user, port, and final dot; paths with case, empty
-segments left out, matched by whole segments. A capture without a URL with a host, or without a date, is not blocked. An
-entry without list, kind, pattern or date counts for nothing. Of entries of one list, pattern and date the removal wins;
+segments left out, matched by whole segments. Patterns of entries are read by the same rules. A capture without a URL with a host, or without a date, is not blocked. An
+entry without list, kind, pattern or date, or a prefix without a segment, counts for nothing. Of entries of one list, pattern and date the removal wins;
 repeated entries count once. Repeated captures are judged each. Without entries nothing is blocked; an empty table gives
 an empty result. Other columns of the captures are carried along.
 """
@@ -28,13 +28,28 @@ PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 def host_of(url: Column) -> Column:
     """Host in lower case without user, port and final dot; empty without one."""
-    authority = F.regexp_replace(F.regexp_extract(url, AUTHORITY, 1), r"^.*@", "")
+    return _host(F.regexp_extract(url, AUTHORITY, 1))
+
+
+def _host(authority: Column) -> Column:
+    authority = F.regexp_replace(authority, r"^.*@", "")
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r":[0-9]*$", ""), r"\.$", ""))
 
 
 def segments_of(url: Column) -> Column:
     """Segments of the path that aren't empty."""
-    return F.filter(F.split(F.regexp_extract(url, PATH, 1), "/", -1), lambda s: s != "")
+    return _segments(F.regexp_extract(url, PATH, 1))
+
+
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/", -1), lambda s: s != "")
+
+
+def pattern_of(kind: Column, pattern: Column) -> Column:
+    """An entry's pattern as the keys of captures are written: a host, or a host and the segments of a prefix."""
+    prefix = F.split(pattern, "/", 2)
+    segments = _segments(F.coalesce(F.get(prefix, F.lit(1)), F.lit("")))
+    return F.when(kind == "prefix", F.array_join(F.concat(F.array(_host(prefix[0])), segments), "/")).otherwise(_host(pattern))
 
 
 def _month(day: Column) -> Column:
@@ -45,9 +60,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     """``list, kind, pattern, valid_from, valid_to`` (open if null) from ``list, kind, pattern, action, dated``."""
     order = Window.partitionBy("list", "kind", "pattern").orderBy("dated", "action")
     known = entries.dropna(subset=["list", "kind", "pattern", "action", "dated"]).select(
-        "list", "kind", F.lower("pattern").alias("low"), "pattern", "action", F.to_date("dated").alias("dated")
+        "list", "kind", pattern_of(F.col("kind"), F.col("pattern")).alias("pattern"), "action", F.to_date("dated").alias("dated")
     )
-    known = known.withColumn("pattern", F.when(F.col("kind") == "prefix", F.col("pattern")).otherwise(F.col("low"))).drop("low")
     return (
         known.distinct()
         .withColumn("valid_to", F.lead("dated").over(order))

@@ -86,3 +86,16 @@ def test_long_host_and_path(spark, rows):
     captures = [(1, "http://" + "a." * 3000 + "com/" + "p/" * 3000, day(3))]
     entries = [("l", "domain", "com", "add", day(1)), ("l", "prefix", "z.com/p/q", "add", day(1))]
     assert run(spark, rows, captures, entries)[0][2:4] == (True, "l")
+
+
+@pytest.mark.parametrize("kind, pattern", [("prefix", p) for p in ("Example.com/ads/", "example.com//ads", "example.com:8080/ads", "example.com./ads//")] + [("host", "Example.com."), ("host", "EXAMPLE.com:80"), ("domain", "Com.")])
+def test_patterns_are_read_like_captures(spark, rows, kind, pattern):
+    captures = [(1, "http://example.com/ads/x", day(3)), (2, "https://EXAMPLE.com.:443//ads", day(3)), (3, "http://example.org/ads", day(3)), (4, "http://example.com/Ads", day(3))]
+    got = [b for _, _, b, *_ in run(spark, rows, captures, [("l", kind, pattern, "add", day(1))])]
+    assert got == [True, True, False, kind != "prefix"]
+
+
+def test_spellings_of_a_pattern_are_one_pattern(spark, rows):
+    entries = [("l", "prefix", "Example.com/ads/", "add", day(1)), ("l", "prefix", "example.com//ads", "remove", day(3)), ("l", "prefix", "example.com/", "add", day(1))]
+    got = run(spark, rows, [(k, "http://example.com/ads/x", day(k)) for k in (2, 3)], entries)
+    assert {i: b for i, _, b, *_ in got} == {2: True, 3: False}
