@@ -73,6 +73,25 @@ def i2_unknown(spark, sf):
     return index.select_ranges(index.named_ranges(document_index(spark, sf)), ids)[1]
 
 
+# Ids of which a tenth lie beyond the index at every size.
+FAR = IDX + """, n AS (SELECT count(*) AS n FROM documents),
+ids AS (SELECT event_id AS position, CASE WHEN event_id % 10 = 0 THEN event_id + n ELSE event_id % n END AS sample_id FROM events, n)
+"""
+
+
+def far_ids(spark, sf):
+    n, at = F.lit(table(spark, sf, "documents").count()), F.col("event_id")
+    return table(spark, sf, "events").select(at.alias("position"), F.when(at % 10 == 0, at + n).otherwise(at % n).alias("sample_id"))
+
+
+@query(
+    "i2_far_ids",
+    FAR + "SELECT position, sample_id, 'unknown sample' AS reason FROM ids WHERE sample_id NOT IN (SELECT sample_id FROM named)",
+)
+def i2_far(spark, sf):
+    return index.select_ranges(index.named_ranges(document_index(spark, sf)), far_ids(spark, sf))[1]
+
+
 @query(
     "i3_index_stats",
     IDX
@@ -235,3 +254,15 @@ def d14_unknown(spark, sf):
     )
     ids = table(spark, sf, "events").select(F.col("event_id").alias("position"), (F.col("event_id") % 1500).alias("sample_id"))
     return index.lookup_samples(files, ids, 32)[1]
+
+
+@query(
+    "d14_far_samples",
+    FAR + "SELECT position, sample_id, 'unknown sample' AS reason FROM ids WHERE sample_id NOT IN (SELECT sample_id FROM named)",
+)
+def d14_far(spark, sf):
+    ranges = index.named_ranges(document_index(spark, sf))
+    files = ranges.select(
+        F.expr("sample_id div 32L").alias("file_ord"), F.expr("sample_id % 32L").alias("range_ord"), "path", "begin", "end"
+    )
+    return index.lookup_samples(files, far_ids(spark, sf), 32)[1]

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from shardframe.operators import index
+from shardframe.plans import QUERIES
 
 IDX = [(0, "/data/a.rec", 0, 0, 116), (0, "/data/a.rec", 1, 116, 232), (1, "/data/b.rec", 0, 0, 66)]
 SCHEMA = "file_ord bigint, path string, range_ord bigint, begin bigint, end bigint"
@@ -78,3 +80,10 @@ def test_long_file_uses_several_keys(spark, monkeypatch):
     )
     got = index.named_ranges(df).select("sample_id", "begin").collect()
     assert sorted(r.sample_id for r in got) == list(range(23)) and all(r.sample_id == r.begin for r in got)
+
+
+@pytest.mark.parametrize("name", ["i2_far_ids", "d14_far_samples"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_far_ids_are_unknown_at_every_size(spark, name, sf):
+    events = spark.read.parquet(f"/root/testdata/{sf}/events.parquet")
+    assert QUERIES[name].run(spark, f"/root/testdata/{sf}").count() == events.filter("event_id % 10 = 0").count() > 0
