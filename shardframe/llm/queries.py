@@ -14,6 +14,7 @@ from shardframe.llm import (
     oracles,
     quality_rules,
     suffix_dedup,
+    topk_search,
     toxicity,
 )
 from shardframe.llm.registry import QUERIES, query
@@ -76,3 +77,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_topk_search", oracles.OP11_SQL)
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours, by integer inner product, of every fiftieth vector."""
+    found = topk_search.top_k(table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", "vec_id", "score")
