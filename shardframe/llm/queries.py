@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shardframe.llm import (
     bpe,
+    divergence,
     exact_dedup,
     html_text,
     jaccard_join,
@@ -84,3 +85,9 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours, by integer inner product, of every fiftieth vector."""
     found = topk_search.top_k(table(spark, sf_dir, "embeddings"))
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query("op12_divergence", oracles.OP12_SQL)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms that set each source apart."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
