@@ -141,3 +141,26 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 WHERE part = 'pair' OR rank <= 200
 """
 )
+
+OP13_SQL = (
+    r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex("""
+    + LOWER
+    + r""", '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+longer AS (SELECT lang, array_to_string(ws[1 + o:2 + o], ' ') AS phrase, max(a) AS longest FROM c, (SELECT unnest([0, 1]) AS o) WHERE k = 3 GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN longer ON c.k = 2 AND longer.lang = c.lang AND longer.phrase = c.phrase WHERE longest IS NULL OR 100 * longest < 50 * a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN n USING (lang) WHERE rank <= 2000
+"""
+)

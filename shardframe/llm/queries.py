@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shardframe.llm import (
     bpe,
+    collocations,
     divergence,
     exact_dedup,
     html_text,
@@ -91,3 +92,9 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every pair of sources of a language, and the terms that set each source apart."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", oracles.OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("cut")
