@@ -18,7 +18,7 @@ node and the ancestor, and ``m`` to the number of its source's terms of that cou
 
 Steps and what moves: 1. words are counted in runs of texts, then by language, source and term (map-side sums). 2. One row for each
 language and term: its counts by source, no more than the language has sources. 3. Equal rows are counted, and the rows are
-dealt by ranges of their items, so that those that begin alike meet; a language of any size is many ranges. 4. Each task makes trees of runs of at most
+dealt by ranges of their first items (``KEY_ITEMS``), so that those that begin alike meet; a language of any size is many ranges. 4. Each task makes trees of runs of at most
 ``RUN_ITEMS`` items and returns sums for pairs of sources. The output has a row for each pair of sources of a language, and so has the
 last join; nothing else grows with their square. Sources are never collected: their table is joined, and broadcast only if Spark finds it small.
 
@@ -47,6 +47,8 @@ TOP_TERMS = 200
 #: Bytes of text counted at once, about, and items of the rows of one tree, at most (but for a single longer row).
 RUN_BYTES = 8 << 20
 RUN_ITEMS = 500_000
+#: Items of a row by which rows are dealt; those that are alike so far are dealt by their hash.
+KEY_ITEMS = 4
 
 _BYTES = np.arange(256)
 #: Terms of ASCII letters and every byte of a non-ASCII character.
@@ -284,7 +286,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
         .agg(F.count(F.lit(1)).alias("terms"))
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(patterns, "patterns").repartitionByRange(tasks, "lang", "items").sortWithinPartitions("lang", "items")
+    begin = F.transform(F.slice("items", 1, KEY_ITEMS), lambda x: F.struct(x["idx"], x["n"]))
+    ranged = written(patterns, "patterns").repartitionByRange(tasks, "lang", begin, F.xxhash64("items")).sortWithinPartitions("lang", "items")
     found = written(
         ranged.mapInArrow(_trees, TREE_SCHEMA).groupBy("lang", "own", "other", "p").agg(F.sum(big("value")).alias("value")), "corrections"
     )
