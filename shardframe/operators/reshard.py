@@ -6,16 +6,19 @@ one job plans and moves the state of all ranks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardframe.functions.numbers import as_col, ceil_div, floor_div, prod
+from shardframe.operators import byref
 from shardframe.operators import structure as st
 from shardframe.operators.skew import spread_join
 from shardframe.operators.tensors import cut_chunks, item_size, pad_tensors
-from shardframe.session import cut_lineage
+from shardframe.session import cut_lineage, qualify, store
+from shardframe.sources import state
 
 # Names in the checkpoints.
 FIRST_STAGE_KEYS = ("embedding",)
@@ -377,16 +380,15 @@ def carry_values(target_values: DataFrame, source_values: DataFrame) -> tuple[Da
     return carried, differs, target_values.join(first.select("path"), "path", "left_anti")
 
 
-def carry_arrays(target_values: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tensors for the value leaves ``target_values(rank, path, …)`` that the source stores as tensors.
+def asked_arrays(target_values: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which tensors ``(path, pp, mp)`` the value leaves ``target_values(rank, path, …)`` take that the source stores as tensors.
 
-    The tensor of rank (0, 0) is taken, or of the first rank that has the path. Returns the chunks
-    ``(rank, path, …)`` and the leaves that no source rank stores as a tensor.
+    The tensor of rank (0, 0) is taken, or of the first rank that has the path. Returns ``rank, path, pp, mp`` and the
+    leaves that no source rank stores as a tensor.
     """
     first = stored.groupBy("path").agg(F.min(F.struct("pp", "mp")).alias("_p")).select("path", "_p.pp", "_p.mp")
     asked = target_values.select("rank", "path").join(first, "path")
-    chunks = stored.join(asked, ["path", "pp", "mp"]).select("rank", "path", "dtype", "shape", "chunk_offset", "chunk_shape", "data")
-    return chunks, target_values.join(first.select("path"), "path", "left_anti").select(*target_values.columns)
+    return asked, target_values.join(first.select("path"), "path", "left_anti").select(*target_values.columns)
 
 
 def param_pattern(precision: str) -> str:
@@ -533,11 +535,10 @@ def plan_migration(source: State, target: State, change: Change) -> tuple[DataFr
     return plan, lost.unionByName(bad)
 
 
-def migrate_state(source: State, target: State, change: Change, step: int) -> dict[str, DataFrame]:
-    """Tables of the target checkpoint: tensors, values, lists, the step marker, plan and violations."""
+def _migration(source: State, target: State, change: Change, step: int, stored: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables of the target but its tensors, and the leaves that the structure calls values and ``stored`` holds as tensors."""
     plan, violations = plan_migration(source, target, change)
     places = _places(source.rank_map)
-    stored = source.tensors.join(places.filter("dp = 0").select("rank", "pp", "mp"), "rank").drop("rank")
     ranks = _places(target.rank_map)
     first = ranks.filter("dp = 0").select("rank", "pp", "mp")
 
@@ -547,7 +548,7 @@ def migrate_state(source: State, target: State, change: Change, step: int) -> di
     sizes = st.group_sizes(target.structure, target.rank_map, change.precision).filter("`group` = 0")
     wanted = everywhere(st.state_leaves(target.structure)[1]).select("rank", "pp", "path")
     # What the structure calls a value may be stored as a tensor, as the numpy random state is: it moves as stored.
-    arrays, wanted = carry_arrays(wanted, stored)
+    asked, wanted = asked_arrays(wanted, stored)
     # Parameter indices are made anew, whatever the source lists hold; all other values are carried.
     is_param = F.col("path").rlike(param_pattern(change.precision))
     params = renumber_params(
@@ -562,12 +563,60 @@ def migrate_state(source: State, target: State, change: Change, step: int) -> di
         F.lit(None).cast("bigint").alias("rank"), "path", no_path, F.lit("source ranks differ").alias("reason")
     )
     absent = missing.select("rank", "path", no_path, F.lit("no source value").alias("reason"))
-    lists = everywhere(st.state_lists(target.structure)).select("rank", "path", "length")
     return {
-        "tensors": apply_plan(stored, plan).unionByName(arrays),
         "values": values.select("rank", "path", "dtype", "value"),
-        "lists": lists,
+        "lists": everywhere(st.state_lists(target.structure)).select("rank", "path", "length"),
         "step": ranks.select("rank", F.lit(step).cast("bigint").alias("step")),
         "plan": plan,
         "violations": violations.unionByName(differing).unionByName(absent),
-    }
+    }, asked
+
+
+def _stored(source: State) -> DataFrame:
+    """The source's tensors at dp 0, by stage and part."""
+    return source.tensors.join(_places(source.rank_map).filter("dp = 0").select("rank", "pp", "mp"), "rank").drop("rank")
+
+
+def migrate_state(source: State, target: State, change: Change, step: int) -> dict[str, DataFrame]:
+    """Tables of the target checkpoint: tensors, values, lists, the step marker, plan and violations.
+
+    Source tensors may be described (``file, begin`` instead of ``data``); then they are read where the target is made.
+    """
+    stored = _stored(source)
+    out, asked = _migration(source, target, change, step, stored)
+    if "data" in stored.columns:
+        arrays = stored.join(asked, ["path", "pp", "mp"]).select("rank", "path", "dtype", "shape", "chunk_offset", "chunk_shape", "data")
+        return {**out, "tensors": apply_plan(stored, out["plan"]).unionByName(arrays)}
+    return {**out, "tensors": byref.read_targets(_targets(stored, out["plan"], asked))}
+
+
+def _targets(stored: DataFrame, plan: DataFrame, asked: DataFrame) -> DataFrame:
+    """Target tensors and what they are made of."""
+    return byref.targets_of(stored, plan).unionByName(byref.whole_tensors(stored.join(asked, ["path", "pp", "mp"])))
+
+
+def migrate_files(
+    spark: SparkSession, directory: str, snapshot: str, source: State, target: State, change: Change, step: int, out: str, out_snapshot: str
+) -> dict[str, DataFrame]:
+    """Migrate ``directory/<snapshot>`` into ``out/<out_snapshot>``, both state directories, and set the step marker of ``out``.
+
+    ``source`` and ``target`` give structures and rank maps. The plan meets the files' descriptions; a target's bytes are read by the task that writes
+    it. All files are written aside, then the folder is moved into place and replaces the one before, and the marker is written last. Returns
+    ``files`` (``file, bytes``), ``plan`` and ``violations`` of the migration, and ``unread``: the violations of the source directory.
+    """
+    tensors, values, _, unread = state.describe_state_dir(spark, directory)
+    mine = lambda df: df.filter(F.col("snapshot") == snapshot).drop("snapshot")
+    source = replace(source, tensors=mine(tensors), values=mine(values))
+    stored = _stored(source)
+    tables, asked = _migration(source, target, change, step, stored)
+    staged = f"{out.rstrip('/')}/.{out_snapshot}-{uuid.uuid4().hex}"
+    # Named tables, so that the files are written once however often the result is read.
+    files = store(
+        byref.write_targets(_targets(stored, tables["plan"], asked), staged).unionByName(state.write_leaves(tables["values"], tables["lists"], staged)), "files"
+    )
+    final = f"{out.rstrip('/')}/{out_snapshot}"
+    state.replace_folder(spark, staged, final)
+    state.write_step(spark, out, step)
+    begin, end = len(qualify(spark, staged)) + 1, qualify(spark, final)
+    moved = files.withColumn("file", F.concat(F.lit(end), F.expr(f"substring(file, {begin})")))
+    return {"files": moved, "plan": tables["plan"], "violations": tables["violations"], "unread": unread}

@@ -8,12 +8,15 @@ head. Every model tensor has an optimizer state and a full-precision twin.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from shardframe.operators import tensors
+from shardframe.operators import byref, tensors
 from shardframe.operators.reshard import Change, State
 from shardframe.plans.registry import table
-from shardframe.session import cut_lineage
+from shardframe.session import cut_lineage, new_shared_path, shared_once
+from shardframe.sources import state
 
 WIDTH, ROWS, TABLE_CHUNK = 64, 48, 32
 SOURCE, TARGET = (2, 4, 1), (5, 3, 2)
@@ -230,11 +233,30 @@ def vector_of(at, n):
 
 
 def state_of(spark, sf, degrees, data=False) -> State:
-    """Tables of one configuration."""
-    params = cut_lineage(parameters(spark, sf, degrees))
-    return State(
-        structure=cut_lineage(structure_of(params)),
-        rank_map=rank_map(spark, sf, degrees),
-        tensors=cut_lineage(chunks_of(spark, sf, params, degrees[1])) if data else None,
-        values=values_of(params) if data else None,
-    )
+    """Tables of one configuration, made once a session; its tensors are described chunks of files."""
+
+    def tables() -> State:
+        params = cut_lineage(parameters(spark, sf, degrees))
+        return State(structure=cut_lineage(structure_of(params)), rank_map=rank_map(spark, sf, degrees), values=cut_lineage(values_of(params)))
+
+    def chunks():
+        params = cut_lineage(parameters(spark, sf, degrees))
+        return byref.store_chunks(chunks_of(spark, sf, params, degrees[1]), new_shared_path(spark, "chunks"))
+
+    made = shared_once(spark, ("checkpoint", sf, degrees), tables)
+    return replace(made, tensors=shared_once(spark, ("chunks", sf, degrees), chunks)) if data else made
+
+
+def state_dir(spark, sf, degrees) -> str:
+    """A state directory of the configuration, snapshot ``save``, made once a session."""
+
+    def write() -> str:
+        out = new_shared_path(spark, "state-dir")
+        made = state_of(spark, sf, degrees, data=True)
+        files = byref.write_targets(byref.whole_tensors(made.tensors), f"{out}/save")
+        leaves = state.write_leaves(made.values, made.structure.filter("kind = 'list'").select("rank", "path", "length"), f"{out}/save")
+        files.unionByName(leaves).agg(F.sum("bytes")).collect()
+        state.write_step(spark, out, 50)
+        return out
+
+    return shared_once(spark, ("state-dir", sf, degrees), write)

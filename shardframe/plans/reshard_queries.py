@@ -6,9 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from shardframe.operators import reshard, structure, tensors
+from shardframe.operators import byref, reshard, structure, tensors
 from shardframe.plans import checkpoint as ck
 from shardframe.plans.registry import query, table
+from shardframe.session import new_shared_path
+from shardframe.sources import state
 
 
 def params_sql(name: str, degrees: tuple[int, int, int]) -> str:
@@ -209,8 +211,17 @@ def r8(spark, sf):
     source, target = both(spark, sf, data=True)
     plan, _ = reshard.plan_migration(source, target, ck.change_of(spark, sf))
     stored = source.tensors.join(source.rank_map.filter("dp = 0").select("rank", "pp", "mp"), "rank")
-    moved = reshard.apply_plan(stored, plan)
-    return line_totals(moved)
+    return line_totals(byref.read_targets(byref.targets_of(stored, plan)))
+
+
+@query("r8_apply_plan_to_tables", CONTENT + "SELECT rank, path, line, round(total, 5) AS total FROM content")
+def r8_tables(spark, sf):
+    """The same plan on chunk rows that hold their bytes."""
+    source, target = both(spark, sf, data=True)
+    plan, _ = reshard.plan_migration(source, target, ck.change_of(spark, sf))
+    held = byref.read_targets(byref.whole_tensors(source.tensors), block=1 << 13)
+    stored = held.join(source.rank_map.filter("dp = 0").select("rank", "pp", "mp"), "rank")
+    return line_totals(reshard.apply_plan(stored, plan))
 
 
 def line_totals(moved):
@@ -309,6 +320,7 @@ def r9_random_state(spark, sf):
         "rank", F.lit(RNG).alias("path"), F.lit("f32").alias("dtype"), shape.alias("shape"), zero.alias("chunk_offset"),
         shape.alias("chunk_shape"), tensors.encode_elements(F.col("embedding"), "f32").alias("data"),
     )
+    rng = byref.store_chunks(rng, new_shared_path(spark, "random-state"))
     source = replace(source, structure=structure_rows, tensors=source.tensors.unionByName(rng))
     target = replace(target, structure=with_rng(target)[0])
     out = reshard.migrate_state(source, target, ck.change_of(spark, sf), 50)
@@ -317,8 +329,8 @@ def r9_random_state(spark, sf):
     return out["tensors"].filter(F.col("path") == RNG).select("rank", "path", F.round(total, 5).alias("total")).unionByName(lost)
 
 
-@query(
-    "r12_migrate_state",
+# All rows of the target: tensors by line, values, lists, step markers, and what the source ranks differ in.
+MIGRATED = (
     CONTENT
     + """SELECT rank, 'tensor' AS kind, path, line, round(total, 5) AS total FROM content
     UNION ALL SELECT r.rank, 'value', v.path, NULL, v.value FROM ranks r, (VALUES ('iteration', 50.0), ('seed', 0.0),
@@ -329,19 +341,20 @@ def r9_random_state(spark, sf):
       FROM ranks r JOIN b_p p ON p.pp = (r.rank % 15) // 3 GROUP BY r.rank, p.grp
     UNION ALL SELECT rank, 'list', 'optimizer/optimizer/param_groups', NULL, 2 FROM ranks
     UNION ALL SELECT rank, 'step', NULL, NULL, 50 FROM ranks
-    UNION ALL SELECT NULL, 'source ranks differ', 'seed', NULL, 0""",
+    UNION ALL SELECT NULL, 'source ranks differ', 'seed', NULL, 0"""
 )
-def r12(spark, sf):
-    source, target = both(spark, sf, data=True)
-    out = reshard.migrate_state(source, target, ck.change_of(spark, sf), 50)
+
+
+def migrated(moved, values, lists, step, violations):
+    """One table of all that a migration made."""
     none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     number = lambda c: c.cast("double")
     parts = [
-        line_totals(out["tensors"]).select("rank", F.lit("tensor").alias("kind"), "path", "line", "total"),
-        out["values"].select("rank", F.lit("value").alias("kind"), "path", none.alias("line"), number(F.col("value")).alias("total")),
-        out["lists"].select("rank", F.lit("list").alias("kind"), "path", none.alias("line"), number(F.col("length")).alias("total")),
-        out["step"].select("rank", F.lit("step").alias("kind"), text.alias("path"), none.alias("line"), number(F.col("step")).alias("total")),
-        out["violations"].select("rank", F.col("reason").alias("kind"), "path", none.alias("line"), F.lit(0.0).alias("total")),
+        line_totals(moved).select("rank", F.lit("tensor").alias("kind"), "path", "line", "total"),
+        values.select("rank", F.lit("value").alias("kind"), "path", none.alias("line"), number(F.col("value")).alias("total")),
+        lists.select("rank", F.lit("list").alias("kind"), "path", none.alias("line"), number(F.col("length")).alias("total")),
+        step.select("rank", F.lit("step").alias("kind"), text.alias("path"), none.alias("line"), number(F.col("step")).alias("total")),
+        violations.select("rank", F.col("reason").alias("kind"), "path", none.alias("line"), F.lit(0.0).alias("total")),
     ]
     result = parts[0]
     for other in parts[1:]:
@@ -349,6 +362,26 @@ def r12(spark, sf):
     return result
 
 
+@query("r12_migrate_state", MIGRATED)
+def r12(spark, sf):
+    source, target = both(spark, sf, data=True)
+    out = reshard.migrate_state(source, target, ck.change_of(spark, sf), 50)
+    return migrated(out["tensors"], out["values"], out["lists"], out["step"], out["violations"])
+
+
+@query("r12_migrate_files", MIGRATED)
+def r12_files(spark, sf):
+    """From one state directory into another, which is read back."""
+    source, target = both(spark, sf)
+    out = new_shared_path(spark, "migrated")
+    told = reshard.migrate_files(spark, ck.state_dir(spark, sf, ck.SOURCE), "save", source, target, ck.change_of(spark, sf), 50, out, "load")
+    moved, values, lists, bad = state.read_state_dir(spark, out)
+    # The directory has one marker for all ranks.
+    step = target.rank_map.select("rank", F.lit(state.read_step(spark, out)).cast("bigint").alias("step"))
+    lost = bad.unionByName(told["unread"]).select(F.lit(None).cast("bigint").alias("rank"), F.col("file").alias("path"), "reason")
+    return migrated(moved, values, lists, step, told["violations"].select("rank", "path", "reason").unionByName(lost))
+
+
 @query(
     "r13_replicate_audit",
     PLAN + """SELECT replace(source_path, '/', '-') AS "source-key", replace(path, '/', '-') AS "target-key", source_pp * 4 AS "source-device",

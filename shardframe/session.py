@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -72,9 +75,29 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+class _DriverOnly(dict):
+    """Tables of the driver, which no task sees."""
+
+    def __reduce__(self):
+        return _DriverOnly, ()
+
+
+# Tables that several queries of a session use, by their key.
+_shared: dict[tuple, object] = _DriverOnly()
+
+
+def shared_once(spark: SparkSession, key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once in a session for each key, until the shared folder is released."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
 def release_shared(spark: SparkSession | None = None) -> int:
     """Delete everything that this driver wrote to the shared folder; results that read it are lost."""
     spark = spark or SparkSession.getActiveSession()
+    _shared.clear()
     done = 0
     if spark is not None and spark.sparkContext._jsc is not None:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,9 @@ from shardframe.session import qualify, store
 READ_BLOCK = 64 << 20
 FLUSH_BYTES = 16 << 20
 BATCH_LINES = 50_000
+#: Bytes between two ranges that are read along with them, and bytes of one request.
+GAP = 1 << 20
+REQUEST = 8 << 20
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -141,27 +145,60 @@ def spread_blocks(df: DataFrame, begin: str = "begin", block: int = READ_BLOCK)
     return keyed.repartition(io_parts(df.sparkSession), "path", "_block").sortWithinPartitions("path", begin).drop("_block")
 
 
+def read_at(handle, begin: int, size: int) -> bytes:
+    """``size`` bytes from ``begin`` on, in one request."""
+    handle.seek(begin)
+    return handle.read(size)
+
+
+def request_cuts(begins: np.ndarray, ends: np.ndarray, gap: int = GAP, most: int = REQUEST) -> list[int]:
+    """Where requests begin in ranges ordered by their begin, and the end.
+
+    Ranges share a request of at most ``most`` bytes if no more than ``gap`` bytes lie between them; a longer range is a request of its own.
+    """
+    cuts, start, stop = [0], 0, 0
+    for k, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist())):
+        if k == 0:
+            start, stop = begin, end
+        elif begin < start or begin - stop > gap or max(stop, end) - start > most:
+            cuts.append(k)
+            start, stop = begin, end
+        else:
+            stop = max(stop, end)
+    return [*cuts, len(begins)] if len(begins) else []
+
+
+def read_vectored(handle, begins: np.ndarray, ends: np.ndarray, gap: int = GAP, most: int = REQUEST) -> Iterator[list[bytes]]:
+    """Payloads of ranges of one file, for one request after the other: slices of what the request brought."""
+    cuts = request_cuts(begins, ends, gap, most)
+    for a, b in zip(cuts, cuts[1:]):
+        start = int(begins[a])
+        held = memoryview(read_at(handle, start, int(ends[a:b].max()) - start))
+        yield [bytes(held[x - start : y - start]) for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist())]
+
+
 def read_ranges(ranges: DataFrame, block: int = READ_BLOCK) -> DataFrame:
-    """Add ``payload`` to ``(path, begin, end, …)``: each file region is read once, in offset order."""
+    """Add ``payload`` to ``(path, begin, end, …)``: each file region is read once, in offset order, neighbours in one request."""
     schema = StructType([*ranges.schema.fields, StructField("payload", BinaryType())])
     at = [ranges.columns.index(c) for c in ("path", "begin", "end")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, handle = None, None
         for batch in batches:
+            paths, (begins, ends) = batch.column(at[0]).to_pylist(), (batch.column(i).to_numpy(zero_copy_only=False) for i in at[1:])
             payloads, size, first = [], 0, 0
-            wanted = zip(*(batch.column(i).to_pylist() for i in at))
-            for row, (path, begin, end) in enumerate(wanted):
-                if path != current:
+            edges = [k for k in range(len(paths)) if k == 0 or paths[k] != paths[k - 1]]
+            for a, b in zip(edges, [*edges[1:], len(paths)]):
+                if paths[a] != current:
                     if handle is not None:
                         handle.close()
-                    current, handle = path, open_file(path)
-                handle.seek(begin)
-                payloads.append(handle.read(end - begin))
-                size += end - begin
-                if size >= FLUSH_BYTES:
-                    yield _with_payload(batch.slice(first, row + 1 - first), payloads)
-                    payloads, size, first = [], 0, row + 1
+                    current, handle = paths[a], open_file(paths[a])
+                for found in read_vectored(handle, begins[a:b], ends[a:b]):
+                    payloads.extend(found)
+                    size += sum(map(len, found))
+                    if size >= FLUSH_BYTES:
+                        yield _with_payload(batch.slice(first, len(payloads)), payloads)
+                        payloads, size, first = [], 0, first + len(payloads)
             if payloads:
                 yield _with_payload(batch.slice(first), payloads)
         if handle is not None:
