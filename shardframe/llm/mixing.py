@@ -16,7 +16,7 @@ documents and is broadcast only when Spark finds its written size below its thre
 Defined results: a null source is a source of its own, apart from the empty name. A null text has no tokens. Documents
 without tokens belong to a block like all others. A source without tokens has weight 0; it is left out, but for
 ``keep_all``, where it is passed once. Rows that repeat are rows of their own, drawn together. Without documents the
-result is empty. Extra columns are carried along; the added columns start with ``mix_``.
+result is empty. Extra columns are carried along; the added columns start with ``mix_``, and columns of the documents with their names are replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ from shardframe.llm.shared import text_of, written
 #: Tokens of a block, about, and the fewest blocks of a source.
 BLOCK_TOKENS = 100_000
 LEAST_BLOCKS = 64
+#: Steps that double an exponent until it is enough, and that halve what lies before it.
 STEPS = 60
-#: Exponents are sought from 0 to here for an entropy; to 1 for a limit on repeats.
-MOST_EXPONENT = 8.0
 
 
 def token_count() -> Column:
@@ -53,9 +52,14 @@ def _sum(values: Column, of) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + of(x))
 
 
-def _bisect(low: float, high: float, too_low) -> Column:
+def _bracket(enough) -> Column:
+    """The first of 1, 2, 4, ... that is enough; null if none is."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(None).cast("double"), lambda at, k: F.coalesce(at, F.when(enough(F.pow(F.lit(2.0), k)), F.pow(F.lit(2.0), k))))
+
+
+def _bisect(low: Column, high: Column, too_low) -> Column:
     """The smallest exponent that isn't too low, by halving."""
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+    start = F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi"))
 
     def halve(at: Column, _: Column) -> Column:
         middle = (at["lo"] + at["hi"]) / 2
@@ -66,7 +70,7 @@ def _bisect(low: float, high: float, too_low) -> Column:
 
 
 def entropy(shares: Column, exponent: Column) -> Column:
-    """Entropy (natural logarithm) of the normalised powers of the shares."""
+    """Entropy (natural logarithm) of the normalised powers of the shares, given as shares of the largest."""
     total = _sum(shares, lambda p: F.pow(p, exponent))
     return F.ln(total) - exponent * _sum(shares, lambda p: F.pow(p, exponent) * F.ln(p)) / total
 
@@ -78,37 +82,60 @@ def source_weights(
 
     ``totals`` has ``key, tokens``. ``target_entropy`` is a share of the largest possible entropy, ``budget`` one of all
     tokens. With ``keep_all`` the budget is the least that passes every source once.
+
+    The exponent for an entropy is bracketed by doubling, so it has no bound; an entropy below that of the largest sources alone (several of
+    one size) can't be met and is an error. The limit on repeats holds always: a larger budget is reduced to it, and the exponent stays where the
+    most repeated source keeps it, whatever the entropy asks for. With ``keep_all`` a limit below 1 is an error.
     """
+    if max_repeats is not None and (max_repeats <= 0 or keep_all and max_repeats < 1):
+        raise ValueError("every source would have to be repeated more often than the limit")
+    if max_repeats is not None and not keep_all:
+        budget = min(budget, max_repeats)
     row = totals.agg(F.collect_list(F.struct("tokens", "key")).alias("s")).select(
         F.filter("s", lambda x: x["tokens"] > 0).alias("s"), F.filter("s", lambda x: x["tokens"] <= 0).alias("none")
     )
     row = row.withColumn("total", _sum(F.col("s"), lambda x: x["tokens"].cast("double")))
-    row = row.withColumn("p", F.transform("s", lambda x: x["tokens"] / F.col("total")))
+    row = row.withColumn("most", F.array_max(F.transform("s", lambda x: x["tokens"])))
+    # Shares of the largest source: their powers neither overflow nor all vanish.
+    row = row.withColumn("p", F.transform("s", lambda x: x["tokens"] / F.col("most"))).withColumn("top", F.col("most") / F.col("total"))
     p = F.col("p")
-    exponents = [F.lit(0.0) if target_entropy is not None or max_repeats is not None else F.lit(1.0)]
+    row = row.withColumn("a", F.lit(0.0) if target_entropy is not None or max_repeats is not None else F.lit(1.0))
     if target_entropy is not None:
-        goal = F.lit(target_entropy) * F.ln(F.size(p))
-        exponents.append(_bisect(0.0, MOST_EXPONENT, lambda a: entropy(p, a) > goal))
+        goal = F.lit(target_entropy) * F.ln(F.size(p)) + F.lit(1e-12)
+        row = row.withColumn("enough", _bracket(lambda a: entropy(p, a) <= goal))
+        # Nothing to decide without sources.
+        refused = F.when(F.size(p) > 0, F.raise_error(F.lit("no exponent has so small an entropy: several sources are the largest")).cast("double"))
+        row = row.withColumn("a", F.coalesce(_bisect(F.lit(0.0), F.col("enough"), lambda a: entropy(p, a) > goal), refused, F.lit(1.0)))
     if max_repeats is not None:
+        # The most repeated source is the smallest below an exponent of 1 and the largest above it.
         if keep_all:
             most = lambda a: F.array_max(F.transform(p, lambda x: F.pow(x, a - 1))) / F.array_min(F.transform(p, lambda x: F.pow(x, a - 1)))
         else:
-            most = lambda a: F.lit(budget) * F.array_max(F.transform(p, lambda x: F.pow(x, a - 1))) / _sum(p, lambda x: F.pow(x, a))
-        exponents.append(_bisect(0.0, 1.0, lambda a: most(a) > F.lit(max_repeats)))
-    row = row.withColumn("a", F.greatest(*exponents) if len(exponents) > 1 else exponents[0])
+            most = lambda a: F.lit(budget) / F.col("top") * F.array_max(F.transform(p, lambda x: F.pow(x, a - 1))) / _sum(p, lambda x: F.pow(x, a))
+        over = lambda a: most(a) > F.lit(max_repeats + 1e-12)
+        row = row.withColumn("least_a", _bisect(F.lit(0.0), F.lit(1.0), over))
+        row = row.withColumn("far", F.coalesce(_bracket(lambda a: over(a + 1)), F.lit(2.0**STEPS)))
+        row = row.withColumn("most_a", F.when(over(F.col("far") + 1), _bisect(F.lit(1.0), F.col("far") + 1, lambda a: ~over(a)) - F.lit(1e-9)).otherwise(F.col("far") + 1))
+        row = row.withColumn("a", F.greatest(F.col("least_a"), F.least(F.col("a"), F.greatest(F.col("most_a"), F.lit(1.0)))))
     row = row.withColumn("z", _sum(p, lambda x: F.pow(x, F.col("a"))))
     least = F.array_min(F.transform(p, lambda x: F.pow(x, F.col("a") - 1)))
-    rate = F.lit(1.0) / least if keep_all else F.lit(budget) / F.col("z")
+    rate = F.lit(1.0) / least if keep_all else F.lit(budget) / F.col("z") / F.col("top")
     row = row.withColumn("rate", rate)
-    one = row.select(F.explode("s").alias("x"), "total", "a", "z", "rate").select(
-        F.col("x.key").alias("key"), F.col("x.tokens").alias("tokens"), (F.col("x.tokens") / F.col("total")).alias("share"), "a", "z", "rate"
+    one = row.select(F.explode("s").alias("x"), "total", "most", "a", "z", "rate").select(
+        F.col("x.key").alias("key"),
+        F.col("x.tokens").alias("tokens"),
+        (F.col("x.tokens") / F.col("total")).alias("share"),
+        (F.col("x.tokens") / F.col("most")).alias("part"),
+        "a",
+        "z",
+        "rate",
     )
     weighted = one.select(
         "key",
         "tokens",
         "share",
-        (F.pow("share", "a") / F.col("z")).alias("weight"),
-        (F.pow(F.col("share"), F.col("a") - 1) * F.col("rate")).alias("repeats"),
+        (F.pow("part", "a") / F.col("z")).alias("weight"),
+        (F.pow(F.col("part"), F.col("a") - 1) * F.col("rate")).alias("repeats"),
         F.col("a").alias("exponent"),
     )
     if keep_all:
@@ -180,6 +207,7 @@ def plan(
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The drawn rows of ``docs``, with ``mix_pass`` (from 0), ``mix_block`` and ``mix_place`` (of the block in the pass)."""
     seed = settings.get("seed", 1)
+    docs = docs.drop("mix_key", "mix_hash", "mix_blocks", "mix_block", "mix_pass", "mix_place")
     _, sources, visits = plan(docs, **settings)
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], source_key().alias("mix_key"), block_hash(seed).alias("mix_hash"))
     return _drawn(keyed, sources, visits).drop("mix_key", "mix_hash")

@@ -7,8 +7,8 @@ early and dear rules see few of them. The order changes only what the verdict co
 kept if no rule rejects it. Each document is judged on its own, without a shuffle.
 
 Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return. The base
-signals are exact; equal words, lines and windows are found by a 64-bit hash of their bytes, and equal hashes of lines
-and of 8-word windows are all that is compared (one false match in about 10^19 pairs).
+signals are exact: words are compared by codes of a dictionary of their bytes, 8-word windows by their codes, and lines of equal hashes
+by their bytes.
 
 Defined results: a null or empty text has no words and fails the base rule. Repeated rows are judged each; rows of
 null doc_id are kept in the output. An empty sample leaves the rules in the order they are listed. The output has
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardframe.llm import textbytes
+from shardframe.llm import textbytes, wordcodes
 from shardframe.llm.shared import text_of
 
 #: One in so many documents, by a hash of the id, is in the sample for costs and rejections. The sample only orders
@@ -98,8 +98,9 @@ class Signals:
     def make_n_lower(self) -> np.ndarray:
         return self._count(LETTER[self.data] & ~UPPER[self.data] & (self.data < 128))
 
-    def make_hashes(self) -> np.ndarray:
-        return textbytes.hashes(self.data, self.starts, self.ends)
+    def make_codes(self) -> np.ndarray:
+        """Equal words have equal codes."""
+        return wordcodes.coded(self.data, self.starts, self.ends, textbytes.SPACED)[0]
 
     def make_lines(self) -> np.ndarray:
         """Per line with a word: its text and whether an earlier line of the text is equal."""
@@ -113,7 +114,13 @@ class Signals:
         opens, closes, owner = opens[has], closes[has], owner[has]
         keys = textbytes.hashes(self.data, opens, closes)
         order = np.lexsort((opens, keys, owner))
-        again = np.r_[False, (keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1])]
+        alike = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+        again = np.zeros(len(order), bool)
+        again[alike + 1] = textbytes.same_ranges(self.data, opens, closes, order[alike], order[alike + 1])
+        for k in (alike + 1)[~again[alike + 1]].tolist():
+            # Different lines of one hash: any earlier line of that hash may be the equal one.
+            earlier = [j for j in range(k) if keys[order[j]] == keys[order[k]] and owner[order[j]] == owner[order[k]]]
+            again[k] = textbytes.same_ranges(self.data, opens, closes, order[earlier], np.full(len(earlier), order[k])).any()
         return np.stack([owner[order], again], axis=1)
 
     def make_n_lines(self) -> np.ndarray:
@@ -123,13 +130,24 @@ class Signals:
         return np.bincount(self.lines[:, 0], self.lines[:, 1], self.n).astype(np.int64)
 
     def make_n_repeat_words(self) -> np.ndarray:
-        at, keys = textbytes.windows(self.hashes, self.bounds, WINDOW)
+        at, keys = textbytes.windows(textbytes.mixed(self.codes.astype(np.uint64)), self.bounds, WINDOW)
         if not len(at):
             return np.zeros(self.n, np.int64)
         owner = np.searchsorted(self.bounds, at, "right") - 1
         order = np.lexsort((keys, owner))
-        same = (keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-        repeated = at[order][np.r_[False, same] | np.r_[same, False]]
+        alike = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+        left, right = at[order][alike], at[order][alike + 1]
+        equal = np.ones(len(alike), bool)
+        for k in range(WINDOW):
+            equal &= self.codes[left + k] == self.codes[right + k]
+        if not equal.all():
+            # Different windows of one hash: sort by all their words instead.
+            order = np.lexsort((*(self.codes[at + k] for k in range(WINDOW)), owner))
+            left, right = at[order][:-1], at[order][1:]
+            equal = owner[order][1:] == owner[order][:-1]
+            for k in range(WINDOW):
+                equal &= self.codes[left + k] == self.codes[right + k]
+        repeated = np.unique(np.r_[left[equal], right[equal]])
         cover = np.zeros(len(self.starts) + 1, np.int64)
         np.add.at(cover, repeated, 1)
         np.add.at(cover, repeated + WINDOW, -1)
@@ -137,7 +155,7 @@ class Signals:
 
     def make_n_stutters(self) -> np.ndarray:
         """Words equal to the word just before them."""
-        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
+        same = np.flatnonzero(self.codes[1:] == self.codes[:-1]) + 1
         first = np.zeros(len(self.starts) + 1, bool)
         first[self.bounds] = True
         return self._per_text(same[~first[same]])

@@ -4,15 +4,16 @@ A list entry adds or removes a pattern on a date: a ``host``, a ``domain`` with
 host. The dated entries of a pattern become validity intervals (from an addition to the next entry of the same list
 and pattern), and a capture is blocked if an interval of one of its keys holds its fetch date. The keys of a capture
 are its host, the domains above it, and the prefixes of its path, no longer ones than the lists have. The as-of join is
-an equality join on key and month: an interval lies in every month that it reaches into, cut to the span of the
-captures, and a capture in one. So a pattern that changes daily for years meets a capture with a month's entries, and a
+an equality join on key and month: an interval lies in every month that it reaches into and that has captures, and a capture
+in one; months without captures cost nothing, however far apart the captures are (the calendar has 120,000 months). So a pattern that changes daily for years meets a capture with a month's entries, and a
 host that holds a third of all captures is dealt by month; what is still uneven Spark splits (adaptive skew join).
 
 Defined results: scheme and host are compared without case, without user, port, and final dot; paths with case, empty
 segments left out, matched by whole segments. Patterns of entries are read by the same rules. A capture without a URL with a host, or without a date, is not blocked. An
 entry without list, kind, pattern or date, or a prefix without a segment, counts for nothing. Of entries of one list, pattern and date the removal wins;
 repeated entries count once. Repeated captures are judged each. Without entries nothing is blocked; an empty table gives
-an empty result. Other columns of the captures are carried along.
+an empty result. Other columns of the captures are carried along; a column with the name of an added one (``host``, ``blocked``, ``lists``, ``n_active``,
+``active_since``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -86,6 +87,20 @@ def keys_of(host: Column, segments: Column, labels: Column, depth: Column) -> Co
     )
 
 
+def captured_months(captures: DataFrame, fetched: str) -> list[int]:
+    """Months that have captures: as many as the calendar has, at most."""
+    month = _month(F.to_date(F.col(fetched)))
+    return sorted(r[0] for r in captures.select(month.alias("m")).filter("m IS NOT NULL").distinct().collect())
+
+
+def monthly_intervals(valid: DataFrame, months: list[int]) -> DataFrame:
+    """A row for each interval and each of the months that it reaches into."""
+    used = F.lit(months).cast("array<int>") if months else F.array().cast("array<int>")
+    first, last = _month(F.col("valid_from")), _month(F.date_sub("valid_to", 1))
+    reached = F.filter(used, lambda m: (m >= first) & (F.col("valid_to").isNull() | (m <= last)))
+    return valid.withColumn("month", F.explode(reached)).select("list", "kind", "pattern", "month", "valid_from", "valid_to")
+
+
 def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
     """``captures`` with ``host, blocked, lists`` (sorted, comma-joined), ``n_active`` and ``active_since`` (the earliest)."""
     own = [c for c in captures.columns if c.lower() not in ("host", "blocked", "lists", "n_active", "active_since", "_uid")]
@@ -103,17 +118,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
         F.coalesce(F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/", -1)) - 1)), F.lit(0)).alias("depth"),
     ).first()
     day = F.to_date(F.col(fetched))
-    span = seen.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
-    if span.lo is None:
-        valid = valid.limit(0)
-    lo, hi = F.lit(span.lo).cast("date"), F.lit(span.hi).cast("date")
-    monthly = (
-        valid.filter((F.col("valid_from") <= hi) & (F.col("valid_to").isNull() | (F.col("valid_to") > lo)))
-        .withColumn("first", _month(F.greatest("valid_from", lo)))
-        .withColumn("last", _month(F.least(F.coalesce(F.date_sub("valid_to", 1), hi), hi)))
-        .withColumn("month", F.explode(F.sequence("first", "last")))
-        .select("list", "kind", "pattern", "month", "valid_from", "valid_to")
-    )
+    monthly = monthly_intervals(valid, captured_months(seen, fetched))
     keys = F.explode(keys_of(F.col("host"), segments_of(F.col(url)), F.lit(reach.labels), F.lit(reach.depth)))
     asked = (
         seen.filter((F.col("host") != "") & day.isNotNull())

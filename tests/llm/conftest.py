@@ -34,3 +34,14 @@ def odd():
     ]
     pairs = list(enumerate(texts, start=10))
     return [*pairs, pairs[6], pairs[18], (None, "same text here"), (None, None), (None, "only without id"), (5, "same text here"), (18, "another text of a repeated id")]
+
+
+@pytest.fixture
+def twins():
+    """Pairs of different texts of one length, letters by the parity of the bits of their places: sums of powers modulo 2^64 don't tell them apart."""
+
+    def pair(size, a="a", b="b"):
+        bits = [bin(k).count("1") % 2 for k in range(size)]
+        return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+    return pair

@@ -121,3 +121,14 @@ def test_components_of_paths_and_stars(spark):
 def test_empty(frame):
     assert J.jaccard_join(frame([])).count() == 0
     assert J.jaccard_join(frame([(1, None), (2, "")])).filter("component_id = doc_id").count() == 2
+
+
+def test_long_periodic_words_are_told_apart(frame, rows, twins):
+    pairs = []
+    for size in (512, 1024, 2048):
+        x, y = twins(size)
+        for k, word in enumerate((x, y, x)):
+            pairs.append((10 * size + k, f"one two {word} four five"))
+            pairs.append((10 * size + 5 + k, word))
+    got = rows(J.jaccard_join(frame(pairs)), "doc_id", "n_shingles", "component_id")
+    assert got == brute(pairs)

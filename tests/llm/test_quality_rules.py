@@ -67,3 +67,26 @@ def test_costs_order_rules(frame, one_in):
     if one_in > 1:
         assert order == [r.name for r in Q.RULES]
     assert Q.quality_rules(frame([])).count() == 0
+
+
+def test_long_periodic_words_and_lines_are_told_apart(frame, rows, twins):
+    texts = []
+    for size in (512, 1024, 2048, 4096):
+        x, y = twins(size)
+        texts += [f"{x}\n{y}", f"{x}\n{y}\n{x}", " ".join(["w"] * 3 + [x] + ["w"] * 7 + [y] + ["w"] * 5), " ".join(([x] + ["v"] * 7) * 2 + ([y] + ["v"] * 7) * 2)]
+        spaced, other = " ".join(x), " ".join(y)
+        texts += [f"{spaced}\n{other}"]
+    pairs = list(enumerate(texts))
+    got = rows(Q.quality_rules(frame(pairs), one_in=2), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == sorted(((i, *brute(t)) for i, t in pairs), key=repr)
+
+
+def test_equal_hashes_of_different_lines_and_windows(monkeypatch):
+    """With a hash that tells nothing apart, bytes still do."""
+    monkeypatch.setattr(Q.textbytes, "hashes", lambda data, starts, ends: Q.np.zeros(len(starts), Q.np.uint64))
+    monkeypatch.setattr(Q.textbytes, "mixed", lambda h: h * Q.np.uint64(0))
+    made = texts()
+    signals = Q.Signals(pa.array(made, pa.large_string()))
+    for k, text in enumerate(made):
+        want = brute(text)
+        assert (signals.n_dup_lines[k], signals.n_repeat_words[k]) == (want[3], want[4])

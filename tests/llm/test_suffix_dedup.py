@@ -107,3 +107,12 @@ def test_equal_strings_have_equal_anchors():
 def test_empty(frame):
     assert S.suffix_dedup(frame([])).count() == 0
     assert S.suffix_dedup(frame([(1, None), (2, "")])).filter("n_removed = 0 AND n_bytes = 0").count() == 2
+
+
+def test_long_periodic_texts_are_told_apart(frame, rows, twins):
+    pairs = []
+    for k, size in enumerate((512, 1024, 2048)):
+        x, y = twins(size)
+        pairs += [(10 * k, x), (10 * k + 1, y), (10 * k + 2, f"z{y}{x}")]
+    got = rows(S.suffix_dedup(frame(pairs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute(pairs)

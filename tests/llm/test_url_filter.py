@@ -99,3 +99,29 @@ def test_spellings_of_a_pattern_are_one_pattern(spark, rows):
     entries = [("l", "prefix", "Example.com/ads/", "add", day(1)), ("l", "prefix", "example.com//ads", "remove", day(3)), ("l", "prefix", "example.com/", "add", day(1))]
     got = run(spark, rows, [(k, "http://example.com/ads/x", day(k)) for k in (2, 3)], entries)
     assert {i: b for i, _, b, *_ in got} == {2: True, 3: False}
+
+
+def test_a_far_capture_makes_no_rows_for_the_months_between(spark, rows, monkeypatch):
+    """One capture of the year 9999 and open entries: intervals meet the months that have captures."""
+    captures = [(k, f"http://h{k % 50}.com/p", day(k % 90)) for k in range(300)] + [(999, "http://h3.com/", dt.date(9999, 1, 1))]
+    entries = [("adult", "host", f"h{k}.com", "add", day(k % 40)) for k in range(50)]
+    made = []
+    plain = U.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(U, "written", counted)
+    assert run(spark, rows, captures, entries) == brute(captures, entries)
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_on date")
+    e = spark.createDataFrame(entries, "list string, kind string, pattern string, action string, dated date")
+    assert U.monthly_intervals(U.intervals(e), U.captured_months(c, "fetched_on")).count() <= 50 * 5
+
+
+def test_columns_named_as_added_ones_are_replaced(spark):
+    c = spark.createDataFrame([(1, "http://a.com/", day(3), "x", "y")], "page_id long, url string, fetched_on date, lists string, note string")
+    e = spark.createDataFrame([("spam", "host", "a.com", "add", day(1))], "list string, kind string, pattern string, action string, dated date")
+    (row,) = U.filter_captures(c, e).collect()
+    assert row["lists"] == "spam" and row["note"] == "y"
