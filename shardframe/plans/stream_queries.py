@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from shardframe import streaming
 from shardframe.plans.registry import query, table
+from shardframe.session import new_shared_path, store
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Files of a micro-batch.
 MAX_FILES = 64
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Micro-batches of the shuffled arrival.
+ARRIVALS = 6
 
 
 def event_stream(spark, sf):
@@ -71,22 +74,41 @@ def t3(spark, sf):
     return updates.groupBy("job").agg(F.max_by("step", "batch").alias("step"))
 
 
-# Signups finish a stage and views start one; of repeated finishes the first counts.
-@query(
-    "t4_stream_marker_latency",
-    """WITH e AS (SELECT user_id, event_id, ts, event_type = 'view' AS started FROM events WHERE event_type IN ('signup', 'view')),
+# Signups finish a stage and views start one; of repeated finishes the first counts. Markers of the last hour wait for the watermark.
+T4_SQL = """WITH m AS (SELECT * FROM events WHERE event_type IN ('signup', 'view')),
+    e AS (SELECT user_id, event_id, ts, event_type = 'view' AS started FROM m WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM m)),
     c AS (SELECT *, coalesce(sum(started::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e),
     gaps AS (SELECT user_id, g, min(ts) FILTER (NOT started) AS f, min(ts) FILTER (started) AS s FROM c GROUP BY 1, 2)
     SELECT 'u' || user_id AS run_id, strftime(f, '%Y-%m-%d %H:%M') AS finished, round((epoch_us(s) - epoch_us(f)) / 1000000, 3) AS gap
-    FROM gaps WHERE f IS NOT NULL AND s IS NOT NULL""",
-)
+    FROM gaps WHERE f IS NOT NULL AND s IS NOT NULL"""
+
+
+@query("t4_stream_marker_latency", T4_SQL)
 def t4(spark, sf):
-    gaps = marker_gaps(spark, sf, "365 days")
+    gaps = marker_gaps(spark, sf, "365 days", event_stream(spark, sf))
+    return gaps.select("run_id", text_of("finished").alias("finished"), F.round("gap", 3).alias("gap"))
+
+
+# The events in files by the hour of their arrival, up to 59 minutes after they happened; a micro-batch is one file, with its rows shuffled.
+@query("t4_shuffled_arrival", T4_SQL)
+def t4_shuffled(spark, sf):
+    out = new_shared_path(spark, "arrivals")
+    events = table(spark, sf, "events").filter(F.col("event_type").isin("signup", "view"))
+    late = F.make_dt_interval(mins=F.pmod(F.xxhash64("event_id"), F.lit(60)).cast("int"))
+    # Files are read in the order of their age, so they are written one after the other: as many as the days have quarters.
+    arrived = store(events.withColumn("arrived", F.date_trunc("hour", F.col("ts") + late)), "arrivals")
+    bounds = arrived.agg(F.min("arrived").alias("lo"), F.max("arrived").alias("hi")).first()
+    cuts = [bounds.lo + (bounds.hi - bounds.lo) * k / ARRIVALS for k in range(ARRIVALS)] + [None]
+    for a, b in zip(cuts, cuts[1:]):
+        part = arrived.filter((F.col("arrived") >= a) & (F.lit(True) if b is None else F.col("arrived") < b)).drop("arrived")
+        part.withColumn("_r", F.xxhash64("event_id")).repartition(4, "_r").sortWithinPartitions("_r").drop("_r").coalesce(1).write.mode("append").parquet(out)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    gaps = marker_gaps(spark, sf, "365 days", stream)
     return gaps.select("run_id", text_of("finished").alias("finished"), F.round("gap", 3).alias("gap"))
 
 
-def marker_gaps(spark, sf, timeout):
-    events = event_stream(spark, sf).filter(F.col("event_type").isin("signup", "view")).select(
+def marker_gaps(spark, sf, timeout, stream):
+    events = stream.filter(F.col("event_type").isin("signup", "view")).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), "ts", (F.col("event_type") == "view").alias("started")
     )
     before = spark.conf.get(PROVIDER)
@@ -103,7 +125,8 @@ def marker_gaps(spark, sf, timeout):
     """WITH RECURSIVE e AS (
       SELECT user_id, epoch_us(ts) AS t, event_type = 'view' AS started,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'view') AS k
-      FROM events WHERE event_type IN ('signup', 'view')),
+      FROM events WHERE event_type IN ('signup', 'view')
+        AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('signup', 'view'))),
     walk AS (
       SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS open, NULL::BIGINT AS f, NULL::BIGINT AS s FROM (SELECT DISTINCT user_id FROM e)
       UNION ALL
@@ -122,5 +145,5 @@ def marker_gaps(spark, sf, timeout):
 )
 def t4_open(spark, sf):
     """Gaps under a timeout of 12 hours, which many of them exceed."""
-    gaps = marker_gaps(spark, sf, "12 hours")
+    gaps = marker_gaps(spark, sf, "12 hours", event_stream(spark, sf))
     return gaps.select("run_id", text_of("finished").alias("finished"), F.round("gap", 3).alias("gap"))

@@ -16,6 +16,8 @@ OUTPUT = "run_id string, finished timestamp, started timestamp, gap double"
 
 
 FLUSH_ROWS = 50_000
+#: Slots of the watermark's delay.
+SLOTS = 8
 
 
 def pair(finished: int | None, micros: np.ndarray, started: np.ndarray, timeout: int) -> tuple[list[tuple[int, int | None]], int | None]:
@@ -54,48 +56,90 @@ def pair(finished: int | None, micros: np.ndarray, started: np.ndarray, timeout:
 
 
 class GapProcessor(StatefulProcessor):
-    """Holds one open "finished" time per run until a later "start", or until the gap is too old."""
+    """Pairs a run's markers in the order of their times, whatever the order of their arrival within the watermark's delay.
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    Markers wait in the state, by slots of ``slot_us`` microseconds, until the watermark has passed them; nothing earlier can come then. A timer
+    at the earliest marker that waits wakes the run, and the slots that are passed are paired one after the other. Repeated markers of one time
+    are one. So memory follows a slot, not the micro-batch, and what is given doesn't depend on how rows fall into batches.
+    """
+
+    def __init__(self, timeout_ms: int, slot_us: int):
+        self.timeout_ms, self.slot_us = timeout_ms, slot_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        """Declare the open time, in microseconds."""
+        """Declare the open time, in microseconds, and the slots: times * 2 + (1 for a start)."""
         self.handle = handle
         self.open = handle.getValueState("open", "finished bigint")
+        self.slots = handle.getMapState("slots", "slot bigint", "marks binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Rows of one run in time order; a repeated "finished" keeps the first one.
-
-        Nine bytes of each row are held until the micro-batch of the run is sorted; the stream's rate limit bounds
-        them.
-        """
-        finished = self.open.get()[0] if self.open.exists() else None
-        before = finished
-        times, starts = [], []
+        """Put the markers of one run into their slots."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        first = None
         for frame in rows:
-            times.append(frame["micros"].to_numpy(np.int64))
-            starts.append(frame["started"].to_numpy(bool))
-        micros, started = np.concatenate(times), np.concatenate(starts)
-        order = np.lexsort((started, micros))
-        found, finished = pair(finished, micros[order], started[order], self.timeout_ms * 1000)
-        if finished != before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if finished is None:
-                self.open.clear()
-            else:
-                self.open.update((finished,))
-                self.handle.registerTimer(finished // 1000 + self.timeout_ms)
-        for at in range(0, len(found), FLUSH_ROWS):
-            yield self._rows([(key[0], f, s) for f, s in found[at : at + FLUSH_ROWS]])
+            marks = np.unique(frame["micros"].to_numpy(np.int64) * 2 + frame["started"].to_numpy(bool))
+            marks = marks[marks >> 1 > passed]  # what lies behind has been paired without them
+            if not len(marks):
+                continue
+            slots = (marks >> 1) // self.slot_us
+            cuts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1], True])
+            for a, b in zip(cuts, cuts[1:]):
+                self._put(int(slots[a]), np.union1d(self._marks(int(slots[a])), marks[a:b]))
+            first = min(first or int(marks[0]), int(marks[0]))
+        if first is not None:
+            self._wake((first >> 1) // 1000 - 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A gap that no start closed in time."""
-        if self.open.exists():
-            finished = self.open.get()[0]
-            self.open.clear()
+        """Pair what the watermark has passed; a gap that it has outlasted is given without a start."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        passed = watermark * 1000
+        finished = self.open.get()[0] if self.open.exists() else None
+        before, wake = finished, None
+        for slot in sorted(k[0] for k in self.slots.keys()):
+            if slot * self.slot_us > passed:
+                wake = max(int(self._marks(slot)[0] >> 1) // 1000 - 1, watermark)
+                break
+            marks = self._marks(slot)
+            ready = marks[marks >> 1 <= passed]
+            found, finished = pair(finished, ready >> 1, (ready & 1).astype(bool), self.timeout_ms * 1000)
+            self._put(slot, marks[len(ready) :])
+            for at in range(0, len(found), FLUSH_ROWS):
+                yield self._rows([(key[0], f, s) for f, s in found[at : at + FLUSH_ROWS]])
+            if len(ready) < len(marks):
+                wake = max(int(marks[len(ready)] >> 1) // 1000 - 1, watermark)
+                break
+        if finished is not None and finished // 1000 + self.timeout_ms <= watermark:
             yield self._rows([(key[0], finished, None)])
+            finished = None
+        if finished is None:
+            self.open.clear()
+        else:
+            if finished != before:
+                self.open.update((finished,))
+            end = finished // 1000 + self.timeout_ms - 1
+            wake = max(end if wake is None else min(wake, end), watermark)
+        if wake is not None:
+            self._wake(wake, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _marks(self, slot: int) -> np.ndarray:
+        found = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+        return np.frombuffer(found[0], np.int64) if found else np.zeros(0, np.int64)
+
+    def _put(self, slot: int, marks: np.ndarray) -> None:
+        if len(marks):
+            self.slots.updateValue((slot,), (marks.tobytes(),))
+        elif self.slots.containsKey((slot,)):
+            self.slots.removeKey((slot,))
+
+    def _wake(self, at: int, expired: int | None = None) -> None:
+        """Keep the earliest timer only; the one that has just expired goes by itself."""
+        known = [timer for timer in self.handle.listTimers() if timer != expired]
+        if known and min(known) <= at:
+            return
+        for timer in known:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
 
     @staticmethod
     def _rows(found: list[tuple]) -> pd.DataFrame:
@@ -112,13 +156,15 @@ class GapProcessor(StatefulProcessor):
 def stream_marker_latency(events: DataFrame, timeout: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
     """``(run_id, finished, started, gap)`` in seconds from ``events(run_id, ts, started)``.
 
-    ``started`` is false for a "finished" marker. A gap open for longer than ``timeout`` of event time is
-    emitted without a start, when a later marker of the run or the watermark passes it; a later start does not
-    close it. Rows behind the watermark are dropped. Needs the RocksDB state store.
+    ``started`` is false for a "finished" marker. Markers are paired in the order of their times, once the watermark has passed them: the gaps are
+    the same for every order of arrival within the watermark's delay and every cut into batches, and the markers of the last ``watermark`` wait.
+    A gap open for longer than ``timeout`` of event time is emitted without a start, when a later marker of the run or the watermark passes it; a
+    later start does not close it. Rows behind the watermark are dropped. Needs the RocksDB state store.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     rows = timed.select("run_id", "ts", F.unix_micros("ts").alias("micros"), "started")
     timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    slot_us = max(1, int(pd.Timedelta(watermark).total_seconds() * 1_000_000) // SLOTS)
     return rows.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=GapProcessor(timeout_ms), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
+        statefulProcessor=GapProcessor(timeout_ms, slot_us), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
     )

@@ -76,6 +76,12 @@ def test_gaps_keep_their_timeout_in_any_batches(spark, tmp_path, parts):
     rows = [(run, t, started) for t, run, started in marks] + [("z", at(60_000), True)]
     size = -(-len(rows) // parts)
     got = gaps_of(spark, tmp_path, [rows[k : k + size] for k in range(0, len(rows), size)], "1 day")
+    assert got == brute_gaps(rows)
+    assert any(g is None for *_, g in got) and any(g is not None for *_, g in got)
+
+
+def brute_gaps(rows):
+    """Gaps of a day at most, by a walk over each run's markers in the order of their times."""
     want = []
     for run in "qr":
         open_ = None
@@ -92,8 +98,33 @@ def test_gaps_keep_their_timeout_in_any_batches(spark, tmp_path, parts):
                 open_ = t
         if open_ is not None:
             want.append((run, open_, None))
-    assert got == sorted(want, key=repr)
-    assert any(g is None for *_, g in got) and any(g is not None for *_, g in got)
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("parts, seed", [(1, 1), (3, 2), (12, 3), (12, 4)])
+def test_gaps_of_shuffled_arrival(spark, tmp_path, parts, seed):
+    """Rows come up to 55 minutes after their time, in any order inside a batch; many are closer than that."""
+    r = random.Random(seed)
+    rows = [(r.choice("rq"), at(r.randint(0, 3_000)), r.random() < 0.5) for _ in range(300)]
+    rows += rows[:20]
+    arrival = sorted(rows, key=lambda x: x[1] + dt.timedelta(minutes=r.uniform(0, 55)))
+    arrival.append(("z", at(60_000), True))
+    size = -(-len(arrival) // parts)
+    batches = [r.sample(b, len(b)) for b in (arrival[k : k + size] for k in range(0, len(arrival), size))]
+    assert gaps_of(spark, tmp_path, batches, "1 day") == brute_gaps(rows)
+
+
+def test_a_start_between_waits_for_its_turn(spark, tmp_path):
+    """Finished at 10, starts at 20 and then 15: the gap ends at 15 in one batch and in two."""
+    marks = [("r", at(10), False), ("r", at(20), True), ("r", at(15), True), ("z", at(6_000), True)]
+    for k, cut in enumerate(([marks], [marks[:2], marks[2:]], [[m] for m in marks])):
+        assert gaps_of(spark, tmp_path / str(k), cut, "1 day") == [("r", at(10), 300.0)]
+
+
+def test_markers_before_the_watermark_wait(spark, tmp_path):
+    batches = [[("r", at(0), False), ("r", at(30), True), ("q", at(0), False)], [("r", at(31), False), ("r", at(80), True)]]
+    # The watermark stands at 20 minutes: the start at 30 could still be overtaken.
+    assert gaps_of(spark, tmp_path, batches, "1 day") == []
 
 
 def test_open_windows_count_in_update_mode(spark, tmp_path, rows):
