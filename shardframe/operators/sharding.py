@@ -139,6 +139,16 @@ def cluster_prefix(job, progress, dp_size) -> Column:
     return F.format_string("/job/%s/progress/%d/cluster-of-%d", job, progress, dp_size)
 
 
+def _for_each(order: DataFrame, mounts: DataFrame) -> DataFrame:
+    """Every row of ``order`` for every row of ``mounts``, as the files of each mount list them.
+
+    The rows are dealt by position into as many shares as there are tasks, and a share meets its copy of the mounts in an equi-join.
+    """
+    shares = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = store(mounts.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), "mounts")
+    return order.withColumn("_share", F.pmod("position", F.lit(shares)).cast("int")).join(copies, "_share").drop("_share")
+
+
 def manifests(packed: DataFrame, gbs: int, order: DataFrame | None = None) -> DataFrame:
     """Text manifests of a job as rows ``(path, line_no, line)``.
 
@@ -184,17 +194,13 @@ def manifests(packed: DataFrame, gbs: int, order: DataFrame | None = None) -> Da
     if order is None:
         return out
     # A job's batches end at the same place on all ranks, so its dropped samples are those of each of them.
-    # A call packs one mount, or a few; they are literals below.
-    mounts = jobs.collect()
-    names = F.explode(F.array(*[F.lit(j) for j in sorted({m["job"] for m in mounts})]).cast("array<string>"))
-    ordered = order.withColumn("job", names).select(
+    names = jobs.select("job").distinct()
+    ordered = _for_each(order.select("position", "sample_id"), names).select(
         F.format_string("/job/%s/order.txt", "job").alias("path"), F.col("position").alias("line_no"), F.col("sample_id").cast("string").alias("line")
     )
-    each = F.array(*[F.struct(F.lit(m["job"]).alias("job"), F.lit(m["progress"]).alias("progress"), F.lit(m["dp_size"]).alias("dp_size")) for m in mounts])
-    each = each.cast("array<struct<job:string,progress:bigint,dp_size:bigint>>")
     short = (F.col("n_samples") - F.col("progress")) % gbs
     # Fewer than a batch of samples are dropped, so only those at the end of the order are looked at.
-    tail = order.filter(F.col("n_samples") - F.col("position") < gbs).withColumn("_m", F.explode(each)).select("*", "_m.*")
+    tail = _for_each(order.filter(F.col("n_samples") - F.col("position") < gbs), jobs)
     tail = tail.filter((F.col("position") >= F.col("progress")) & (F.col("n_samples") - F.col("position") <= short)).withColumn(
         "line_no", F.col("position") - F.col("n_samples") + short
     )
@@ -284,6 +290,7 @@ def rescale_audit(stages: DataFrame, order: DataFrame, gbs: int, width: int | No
     of the order. The ends of a job's stages cut its positions into pieces, each taken equally often; only the
     pieces that are wrong meet the order, by interval buckets.
     """
+    order = store(order.select("position", "sample_id"), "order")
     n = order.agg(F.coalesce(F.max(F.col("position") + 1), F.lit(0)).alias("n")).first()["n"]
     steps = F.col("end_step") - F.col("start_step")
     spans = stages.select(

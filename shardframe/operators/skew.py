@@ -60,9 +60,34 @@ def spread_join(
     return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
-def touched(lo: str, hi: str, width: int):
-    """Array of fixed-width buckets that the half-open interval ``[lo, hi)`` touches."""
-    return F.expr(f"CASE WHEN {lo} < {hi} THEN sequence({lo} div {width}L, ({hi} - 1) div {width}L) END")
+# Width of the smallest cells, when none is given: the quarter of the shorter intervals is narrower.
+QUANTILE = 0.25
+
+
+def cell_count(lo: str, hi: str, bits: int) -> str:
+    """Cells of ``2^bits`` that the half-open interval ``[lo, hi)`` touches, as SQL."""
+    return f"(shiftright({hi} - 1, {bits}) - shiftright({lo}, {bits}) + 1)"
+
+
+def dyadic_cells(lo: str, hi: str, bits: int):
+    """Aligned cells ``(level, cell)`` that make up the cells of ``2^bits`` touched by ``[lo, hi)``.
+
+    A cell of a level is ``2^level`` smallest ones. Of each level there are two at most, no two overlap, and an interval has twice as many as its
+    length in smallest cells has binary digits, whatever its place.
+    """
+    first, stop = f"shiftright({lo}, {bits})", f"(shiftright({hi} - 1, {bits}) + 1)"
+    levels = f"sequence(0, length(conv({cell_count(lo, hi, bits)}, 10, 2)) - 1)"
+    # At a level the whole cells inside run from a to b; an odd a has no sibling before it, an odd b none behind it.
+    a, b = f"-shiftright(-{first}, l)", f"shiftright({stop}, l)"
+    cell = "named_struct('level', l, 'cell', CAST({} AS bigint))"
+    left = f"if({a} < {b} AND {a} % 2 <> 0, {cell.format(a)}, NULL)"
+    right = f"if({a} < {b} AND {b} % 2 <> 0, {cell.format(b + ' - 1')}, NULL)"
+    return F.expr(f"CASE WHEN {lo} < {hi} THEN filter(flatten(transform({levels}, l -> array({left}, {right}))), c -> c IS NOT NULL) END")
+
+
+def cells_above(at: str, bits: int, levels: int):
+    """The cells ``(level, cell)`` of each level below ``levels`` that hold a place."""
+    return F.expr(f"transform(sequence(0, {levels - 1}), l -> named_struct('level', l, 'cell', shiftright(shiftright({at}, {bits}), l)))")
 
 
 def overlap_join(
@@ -75,21 +100,32 @@ def overlap_join(
     spread_by: Sequence[str] = (),
     bytes_per_copy: int = BYTES_PER_COPY,
 ) -> DataFrame:
-    """Pairs whose half-open intervals overlap, each once, by an equi-join on interval buckets.
+    """Pairs whose half-open intervals overlap, each once, by an equi-join on dyadic cells.
 
-    Buckets are ``width`` wide; without a width they are as wide as the longer side's mean interval, so that an
-    interval lies in few of them. A pair that meets in several buckets is kept in the first common one. ``left`` is the side that may
-    hold many rows per bucket. Column names of both sides must differ except for ``keys``.
+    Of two intervals that overlap one begins in the other. So each row stands for its cells and, apart from that, for the cells of all levels above
+    its begin; begins of one side meet cells of the other in one join. An interval's cells don't overlap, so a pair meets once. An interval of any length
+    has few cells: one that is a billion times longer than the others has 60. The smallest cells are about ``width`` wide; without a width
+    they follow the shorter intervals of the side with the longer ones. ``left`` is the side that may hold many rows per cell. Column names of
+    both sides must differ except for ``keys``.
     """
-    if width is None:
-        means = [df.agg(F.ceil(F.avg(F.expr(f"{hi} - {lo}")))).first()[0] for df, (lo, hi) in ((left, left_range), (right, right_range))]
-        width = max(1, *(int(m or 0) for m in means))
-    a = left.withColumn("_bucket", F.explode(touched(*left_range, width)))
-    b = right.withColumn("_bucket", F.explode(touched(*right_range, width)))
-    met = spread_join(a, b, [*keys, "_bucket"], spread_by or [left_range[0], left_range[1]], bytes_per_copy=bytes_per_copy)
-    first = F.expr(f"greatest({left_range[0]} div {width}L, {right_range[0]} div {width}L)")
-    return met.filter(
-        (F.col("_bucket") == first)
-        & (F.col(left_range[0]) < F.col(right_range[1]))
-        & (F.col(right_range[0]) < F.col(left_range[1]))
-    ).drop("_bucket")
+    sizes = []
+    for df, (lo, hi) in ((left, left_range), (right, right_range)):
+        length = F.expr(f"CASE WHEN {lo} < {hi} THEN {hi} - {lo} END")
+        sizes.append(df.agg(F.percentile_approx(length, QUANTILE).alias("short"), F.max(length).alias("long")).first())
+    width = width or max(1, *(int(s["short"] or 0) for s in sizes))
+    bits = width.bit_length() - 1
+    # Levels of the other side's cells: an interval touches one cell more than its length may fill.
+    above = [((int(s["long"] or 1) >> bits) + 2).bit_length() for s in sizes]
+
+    def cells(df: DataFrame, bounds: tuple[str, str], levels: int, roles: tuple[str, str]) -> DataFrame:
+        lo, hi = bounds
+        own = F.transform(dyadic_cells(lo, hi, bits), lambda c: F.struct(F.lit(roles[0]).alias("role"), c["level"].alias("level"), c["cell"].alias("cell")))
+        begin = F.transform(cells_above(lo, bits, levels), lambda c: F.struct(F.lit(roles[1]).alias("role"), c["level"].alias("level"), c["cell"].alias("cell")))
+        return df.withColumn("_at", F.explode(F.concat(own, begin))).select(*df.columns, F.col("_at.role").alias("_role"), F.col("_at.level").alias("_level"), F.col("_at.cell").alias("_cell"))
+
+    a = cells(left, left_range, above[1], ("L", "R"))
+    b = cells(right, right_range, above[0], ("R", "L"))
+    met = spread_join(a, b, [*keys, "_role", "_level", "_cell"], spread_by or [left_range[0], left_range[1]], bytes_per_copy=bytes_per_copy)
+    (lo, hi), (lo2, hi2) = left_range, right_range
+    begins = f"if(_role = 'R', {lo2} <= {lo} AND {lo} < {hi2}, {lo} < {lo2} AND {lo2} < {hi})"
+    return met.filter(begins).drop("_role", "_level", "_cell")

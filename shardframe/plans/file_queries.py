@@ -13,7 +13,7 @@ from shardframe.operators.ordinal import running
 from shardframe.plans.index_queries import IDX, document_index
 from shardframe.plans.registry import query, table
 from shardframe.plans.run_queries import marker_logs
-from shardframe.plans.sharding_queries import DP, GBS, MIN_SAMPLES, PROGRESS, SEED, SHARDS
+from shardframe.plans.sharding_queries import DP, GBS, JOBS, MIN_SAMPLES, PROGRESS, SEED, SHARDS, jobs
 from shardframe.session import cut_lineage, new_shared_path
 from shardframe.sources import checksums, files, index_files, logs, npz, records, shards, state, structures
 
@@ -302,35 +302,34 @@ def d13_written(spark, sf):
     return sharding.verify_shards(read, parsed)
 
 
-# A job per nation: its points and degrees as JSON files, in steps or in times whose steps are observed.
+# A job per customer with orders: its points and degrees as JSON files, in steps or, for odd customers, in times whose steps are observed.
 @query(
     "d15_json_jobs",
-    """WITH j AS (SELECT n_nationkey AS k, 'job' || n_nationkey AS job FROM nation),
-    p AS (SELECT k, job, v.i, CASE v.i WHEN 0 THEN 0 WHEN 1 THEN 10 + k ELSE 60 + k END AS step, v.size FROM j, (VALUES (0, 4), (1, 8), (2, 0)) v(i, size))
-    SELECT job, i::BIGINT AS stage, step::BIGINT AS start_step, (CASE i WHEN 0 THEN 10 + k ELSE 60 + k END)::BIGINT AS end_step, (step * 32)::BIGINT AS progress, size::BIGINT AS size,
-      2::BIGINT AS mp, 2::BIGINT AS pp, (size // 4)::BIGINT AS dp_size FROM p WHERE size > 0""",
+    JOBS
+    + """SELECT 'job' || job AS job, stage, step AS start_step, end_step, step * 32 AS progress, size, mp::BIGINT AS mp, pp::BIGINT AS pp, dp AS dp_size
+    FROM nxt JOIN conf USING (job, size) WHERE size = mp * dp * pp""",
 )
 def d15_json(spark, sf):
     out = new_shared_path(spark, "jobs")
-    k = F.col("n_nationkey")
-    job = F.concat(F.lit("job"), k.cast("string"))
-    by_step = F.format_string('[{"step": 0, "size": 4}, {"step": %d, "size": 8}, {"step": %d, "size": 0}]', 10 + k, 60 + k)
-    by_time = F.format_string('[{"time": 0, "size": 4}, {"time": %d, "size": 8}, {"time": %d, "size": 0}]', 1000 + k, 6000 + k)
-    degrees = F.lit('{"4": {"dp_size": 1, "pp_size": 2, "mp_size": 2}, "8": {"dp_size": 2, "pp_size": 2, "mp_size": 2}}')
-    entries = F.array(
-        F.struct(F.concat(F.lit(f"{out}/schedules/"), job, F.lit(".json")).alias("path"), F.when(k % 2 == 0, by_step).otherwise(by_time).alias("data")),
-        F.struct(F.concat(F.lit(f"{out}/degrees/"), job, F.lit(".json")).alias("path"), degrees.alias("data")),
+    points, configs = jobs(spark, sf)
+    job = F.concat(F.lit("job"), F.col("job").cast("string"))
+    name = lambda folder: F.concat(F.lit(f"{out}/{folder}/"), job, F.lit(".json")).alias("path")
+    # A file holds one job's points; they are texts, joined in the order of their steps.
+    text = F.when(F.col("job") % 2 == 0, F.format_string('{"step": %d, "size": %d}', "step", "size")).otherwise(
+        F.format_string('{"time": %d, "size": %d}', F.col("step") * 10, "size")
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("step", text.alias("text")))), lambda x: x["text"])
+    schedules = points.groupBy("job").agg(lines.alias("lines")).select(
+        name("schedules"), F.lit(0).alias("ord"), F.concat(F.lit("["), F.array_join("lines", ", "), F.lit("]")).alias("data")
     )
-    jobs = table(spark, sf, "nation")
-    write_texts(jobs.select(F.explode(entries).alias("e")).select("e.path", F.lit(0).alias("ord"), "e.data"))
-    times = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("time"), F.lit(0).cast("bigint").alias("step")),
-        F.struct((1000 + k).cast("bigint").alias("time"), (10 + k).cast("bigint").alias("step")),
-        F.struct((6000 + k).cast("bigint").alias("time"), (60 + k).cast("bigint").alias("step")),
+    degrees = F.format_string('"%d": {"dp_size": %d, "pp_size": %d, "mp_size": %d}', "size", "dp", "pp", "mp")
+    written = configs.join(points.select("job").distinct(), "job").groupBy("job").agg(F.array_sort(F.collect_list(degrees)).alias("lines")).select(
+        name("degrees"), F.lit(0).alias("ord"), F.concat(F.lit("{"), F.array_join("lines", ", "), F.lit("}")).alias("data")
     )
-    observed = jobs.select(job.alias("job"), F.explode(times).alias("o")).select("job", "o.time", "o.step")
-    points = structures.read_schedule(spark, f"{out}/schedules").drop("point")
-    return sharding.stage_plan(points, structures.read_para_configs(spark, f"{out}/degrees"), 32, observed)[0]
+    write_texts(schedules.unionByName(written))
+    observed = points.filter("job % 2 = 1").select(job.alias("job"), (F.col("step") * 10).alias("time"), "step")
+    told = structures.read_schedule(spark, f"{out}/schedules").drop("point")
+    return sharding.stage_plan(told, structures.read_para_configs(spark, f"{out}/degrees"), 32, observed, last_step=100000000)[0]
 
 
 def state_tree(spark, sf):

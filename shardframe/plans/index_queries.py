@@ -191,6 +191,25 @@ def i8(spark, sf):
     return index.locate(index.logical_ranges(document_index(spark, sf)), requests)
 
 
+# Windows of one byte to a gigabyte, a power of two by the order's key; many reach far past the end.
+@query(
+    "i8_locate_all_scales",
+    IDX
+    + """, reqs AS (SELECT o_orderkey AS request, o_orderkey * 100 AS pos, o_orderkey * 100 + (1::BIGINT << CASE WHEN o_orderkey % 50 = 0 THEN (o_custkey % 31)::INTEGER ELSE (o_custkey % 12)::INTEGER END) AS until FROM orders)
+    SELECT request, count(*) AS segments, min(greatest(pos, start)) AS at, sum(least(until, stop) - greatest(pos, start))::BIGINT AS bytes
+    FROM reqs JOIN placed ON pos < stop AND start < until GROUP BY request""",
+)
+def i8_scales(spark, sf):
+    power = F.when(F.col("o_orderkey") % 50 == 0, F.col("o_custkey") % 31).otherwise(F.col("o_custkey") % 12)
+    requests = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request"), (F.col("o_orderkey") * 100).alias("pos"), F.expr("1L").alias("one"), power.cast("int").alias("power")
+    ).select("request", "pos", F.expr("shiftleft(one, power)").alias("length"))
+    found = index.locate(index.logical_ranges(document_index(spark, sf)), requests)
+    return found.groupBy("request").agg(
+        F.count(F.lit(1)).alias("segments"), F.min("at").alias("at"), F.sum(F.col("end") - F.col("begin")).alias("bytes")
+    )
+
+
 @query(
     "i9_region_coverage",
     IDX

@@ -307,13 +307,14 @@ def d16(spark, sf):
 
 
 # The stages of every customer's job, as the plan gives them, against the order of the documents: steps that a job
-# doesn't cover are missing, and so are the samples of stages that couldn't be planned.
+# doesn't cover are missing, and so are the samples of stages that couldn't be planned. The keys of all orders are spread over the steps that
+# the documents make; of points that fall on one step the largest counts.
 @query(
     "d16_all_jobs",
-    """WITH n AS (SELECT count(*) AS n FROM documents),
-    pts AS (SELECT o_custkey AS job, o_orderkey % 97 AS step, max((CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 4 WHEN '3' THEN 8 WHEN '4' THEN 12 ELSE 16 END))::BIGINT AS size
-            FROM orders GROUP BY ALL),
-    nxt AS (SELECT *, coalesce(lead(step) OVER (PARTITION BY job ORDER BY step), 97) AS until FROM pts),
+    """WITH n AS (SELECT count(*) AS n, count(*) // 8 AS steps FROM documents), k AS (SELECT max(o_orderkey) + 1 AS k FROM orders),
+    pts AS (SELECT o_custkey AS job, o_orderkey * steps // k AS step, max((CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 4 WHEN '3' THEN 8 WHEN '4' THEN 12 ELSE 16 END))::BIGINT AS size
+            FROM orders, n, k GROUP BY ALL),
+    nxt AS (SELECT *, coalesce(lead(step) OVER (PARTITION BY job ORDER BY step), (SELECT steps FROM n)) AS until FROM pts),
     st AS (SELECT job, step * 8 AS lo, until * 8 AS hi FROM nxt WHERE size IN (4, 8, 16) AND NOT (size = 8 AND job % 5 = 0)),
     ext AS (SELECT job, least(max(hi), n) AS ext FROM st, n GROUP BY job, n),
     p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
@@ -323,7 +324,9 @@ def d16(spark, sf):
 )
 def d16_jobs(spark, sf):
     points, configs = jobs(spark, sf)
-    points = points.withColumn("step", F.col("step") % 97).groupBy("job", "step").agg(F.max("size").alias("size"))
-    stages, _ = sharding.stage_plan(points, configs, 8, last_step=97)
+    steps = documents(spark, sf).count() // 8
+    keys = table(spark, sf, "orders").agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("k")).first()["k"] + 1
+    points = points.withColumn("step", F.expr(f"step * {steps}L div {keys}L")).groupBy("job", "step").agg(F.max("size").alias("size"))
+    stages, _ = sharding.stage_plan(points, configs, 8, last_step=steps)
     bad = sharding.rescale_audit(stages, order_of(spark, sf), 8)
     return bad.groupBy("job", "times").agg(F.count(F.lit(1)).alias("samples"), F.sum("position").alias("positions"))

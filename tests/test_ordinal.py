@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shardframe.operators import skew
 from shardframe.operators.ordinal import following, hashed_order, run_lengths, running
-from shardframe.operators.skew import overlap_join, spread_join
+from shardframe.operators.skew import dyadic_cells, overlap_join, spread_join
 
 
 def test_running_with_a_hot_group(spark):
@@ -111,3 +111,62 @@ def test_hashed_order_buckets_follow_the_rows(spark, bucket_rows):
     got = hashed_order(spark.range(500), "id", 7, bucket_rows=bucket_rows).collect()
     want = sorted(range(500), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
     assert [r.sample_id for r in sorted(got, key=lambda r: r.position)] == want
+
+
+def test_dyadic_cells_make_up_the_interval(spark):
+    r = random.Random(3)
+    spans = [(a, a + n) for a, n in ((r.randint(-5000, 5000), r.choice([0, 1, 2, 7, 300, 4000])) for _ in range(300))]
+    spans += [(0, 10**15), (-(10**15), 3), (7, 8), (2**62, 2**62 + 5)]
+    df = spark.createDataFrame(spans, "a bigint, b bigint")
+    for bits in (0, 3):
+        for row in df.select("a", "b", dyadic_cells("a", "b", bits).alias("c")).collect():
+            if row["a"] >= row["b"]:
+                assert row["c"] is None
+                continue
+            first, stop = row["a"] >> bits, ((row["b"] - 1) >> bits) + 1
+            cells = sorted((c["cell"] << c["level"], (c["cell"] + 1) << c["level"]) for c in row["c"])
+            assert cells[0][0] == first and cells[-1][1] == stop
+            assert all(x[1] == y[0] for x, y in zip(cells, cells[1:]))
+            assert len(cells) <= 2 * (stop - first).bit_length()
+
+
+@pytest.mark.parametrize("width", [None, 1, 64])
+def test_overlap_join_with_lengths_of_all_scales(spark, width):
+    r = random.Random(9)
+
+    def spans(n):
+        made = []
+        for k in range(n):
+            size = int(2 ** r.uniform(0, 40)) if r.random() < 0.1 else r.choice([0, 1, 1, 50, 1000])
+            at = r.randint(-(10**6), 10**6)
+            made.append((k, at, at + size))
+        return made
+
+    left, right = spans(250), spans(180)
+    a = spark.createDataFrame(left, "i bigint, a bigint, b bigint")
+    b = spark.createDataFrame(right, "j bigint, c bigint, d bigint")
+    want = sorted((i, j) for i, x, y in left for j, u, v in right if x < y and u < v and x < v and u < y)
+    got = sorted((t.i, t.j) for t in overlap_join(a, b, ("a", "b"), ("c", "d"), width).collect())
+    assert got == want and len(want) == len(set(want))
+
+
+def test_one_long_interval_among_many(spark, monkeypatch):
+    """One range of a billion mean lengths among 100,000: its rows follow the digits of its length."""
+    n = 100_000
+    short = spark.range(n).select(F.col("id").alias("i"), (F.col("id") * 100).alias("a"), (F.col("id") * 100 + 80).alias("b"))
+    short = short.unionByName(spark.createDataFrame([(n, 3, 3 + 80 * 10**9)], "i bigint, a bigint, b bigint"))
+    asked = spark.createDataFrame([(0, 500, 700), (1, 99 * 100, 99 * 100 + 1), (2, 10**10, 10**10 + 5), (3, 5 * 10**6, 5 * 10**6 + 10**4)], "j bigint, c bigint, d bigint")
+    made = []
+    plain = skew.spread_join
+
+    def counted(big, small, *args, **kw):
+        made.append((big.count(), small.count()))
+        return plain(big, small, *args, **kw)
+
+    monkeypatch.setattr(skew, "spread_join", counted)
+    got = sorted((t.j, t.i) for t in overlap_join(short, asked, ("a", "b"), ("c", "d")).collect())
+    spans = [(k, 100 * k, 100 * k + 80) for k in range(n)] + [(n, 3, 3 + 80 * 10**9)]
+    want = sorted((j, i) for j, c, d in ((0, 500, 700), (1, 9900, 9901), (2, 10**10, 10**10 + 5), (3, 5 * 10**6, 5 * 10**6 + 10**4)) for i, a, b in spans if a < d and c < b)
+    assert got == want
+    (big, small), = made
+    assert big <= 16 * n and small <= 4 * 100
