@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from shardframe.session import cut_lineage, new_shared_path
 from shardframe.sources import checksums, files, index_files, logs, npz, records, shards, state, structures
 
 
+# Regions of a record file that are read by a task each, where a query shows them at work.
+SMALL_REGION = 1 << 16
+
+
 def write_texts(df):
     """Write ``(path, ord, data)`` rows as files, a row after the other; returns the file count."""
 
@@ -148,6 +153,31 @@ def s4_violations(spark, sf):
     return counts.join(bad.select(name, "reason"), "file", "left")
 
 
+# Two files, each read by many tasks; the payload of every 25th record holds two whole records.
+@query(
+    "s4_split_files",
+    """SELECT doc_id, (CASE WHEN doc_id % 25 = 0 THEN 2 * (strlen(text) + 16) ELSE strlen(text) END + 16)::BIGINT AS size, doc_id % 25 = 0 AS nested FROM documents""",
+)
+def s4_split(spark, sf):
+    out = new_shared_path(spark, "split")
+
+    def pack(batches):
+        for batch in batches:
+            made = []
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                body = (text or "").encode()
+                made.append(struct.pack(">q", doc) + (b"".join(records.encode_records([body, body])) if doc % 25 == 0 else body))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["p"])
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    records.write_records(docs.mapInArrow(pack, "p binary").repartition(2), "p", out)
+    good, bad = records.build_record_index(spark, out, region=SMALL_REGION)
+    number = F.conv(F.hex(F.substring(records.record_payload("payload"), 1, 8)), 16, 10).cast("bigint")
+    found = files.read_ranges(good).select(number.alias("doc_id"), (F.col("end") - F.col("begin") - 8).alias("size"))
+    lost = bad.select(F.lit(None).cast("bigint").alias("doc_id"), (F.col("end") - F.col("begin")).alias("size"))
+    return found.unionByName(lost).withColumn("nested", F.col("doc_id") % 25 == 0)
+
+
 @query("s6_read_ranges", "SELECT doc_id, md5(text) AS md5 FROM documents")
 def s6(spark, sf):
     _, (good, _) = document_records(spark, sf)

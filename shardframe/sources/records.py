@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from shardframe.session import qualify
-from shardframe.sources.files import filesystem, io_parts, list_files, open_file, spread_blocks
+from shardframe.session import qualify, store
+from shardframe.sources.files import READ_BLOCK, filesystem, io_parts, list_files, open_file, spread_blocks
 
 # The reversed Castagnoli polynomial and the mask constant.
 POLYNOMIAL = 0x82F63B78
@@ -28,6 +30,8 @@ MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = 12, 4
 CHECK_BYTES = 4 << 20
 READ_AHEAD = 64 << 10
+#: Bytes in which a region looks for its first record at once.
+SEARCH_BYTES = 1 << 20
 MOVES_AT_ONCE = 32
 
 _LANE = 64
@@ -170,58 +174,178 @@ class _Window:
         return self.held[at - self.start : at - self.start + n]
 
 
-def scan_headers(path: str, size: int) -> Iterator[tuple]:
-    """Rows ``(path, range_ord, begin, end, status)`` of one file.
+def scan_chain(window: _Window, at: int, stop: int, dead: set[int] | None = None) -> tuple[array, int, str]:
+    """Begins of the records from ``at`` on that begin before ``stop``, where the next one begins, and a status.
 
-    A length whose checksum is wrong says nothing about where the next record begins: the rest of the file is one
-    row with that status.
+    A length whose checksum is wrong says nothing about where the next record begins, so the chain ends there. A place in ``dead`` is known to end so.
     """
-    at, number = 0, 0
-    with open_file(path) as handle:
-        window = _Window(handle, size)
-        while at < size:
-            head = window.read(at, HEAD)
-            if len(head) == HEAD and struct.unpack("<I", head[8:])[0] != _head_crc(head[:8]):
-                yield path, number, at, size, "bad length checksum"
-                return
-            length = struct.unpack("<q", head[:8])[0] if len(head) == HEAD else -1
-            end = at + HEAD + length + TAIL
-            if length < 0 or end > size:
-                yield path, number, at, size, "truncated"
-                return
-            yield path, number, at, end, "ok"
-            at, number = end, number + 1
-
-
-def _headers(files: DataFrame) -> DataFrame:
+    begins, size = array("q"), window.size
+    while at < stop:
+        if dead is not None and at in dead:
+            return begins, at, "bad length checksum"
+        head = window.read(at, HEAD)
+        if len(head) == HEAD and struct.unpack("<I", head[8:])[0] != _head_crc(head[:8]):
+            return begins, at, "bad length checksum"
+        length = struct.unpack("<q", head[:8])[0] if len(head) == HEAD else -1
+        end = at + HEAD + length + TAIL
+        if length < 0 or end > size:
+            return begins, at, "truncated"
+        begins.append(at)
+        at = end
+    return begins, at, "ok"
+
+
+def head_places(data: bytes, base: int, size: int) -> np.ndarray:
+    """Places in ``data``, which lies at ``base`` of a file, where a length with its checksum stands."""
+    n = len(data) - HEAD + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    lengths = np.ndarray((n,), "<i8", data, strides=(1,)).copy()
+    at = np.flatnonzero((lengths >= 0) & (lengths <= size - HEAD - TAIL - base - np.arange(n)))
+    table, raw = _table(), np.frombuffer(data, np.uint8)
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for k in range(8):
+        crc = table[(crc ^ raw[at + k]) & 255] ^ (crc >> 8)
+    crc ^= np.uint32(0xFFFFFFFF)
+    stored = ((crc >> 15) | (crc << 17)) + np.uint32(MASK_DELTA)
+    return at[stored == np.ndarray((n,), "<u4", data, offset=8, strides=(1,)).copy()[at]] + base
+
+
+def guess_chain(window: _Window, start: int, stop: int) -> tuple[int, array, int]:
+    """The first place from ``start`` on whose records follow each other up to ``stop``, their begins, and the next one.
+
+    The place is -1 if there is none. It may be wrong: a payload can hold whole records.
+    """
+    dead: set[int] = set()
+    for base in range(start, stop, SEARCH_BYTES):
+        window.handle.seek(base)
+        # A head may begin at the last byte looked at.
+        data = window.handle.read(min(SEARCH_BYTES, stop - base) + HEAD - 1)
+        for place in head_places(data, base, window.size).tolist():
+            begins, after, status = scan_chain(window, place, stop, dead)
+            if status == "ok":
+                return place, begins, after
+            # A chain that ends early ends for each record on it.
+            dead.update(begins)
+            dead.add(place)
+    return -1, array("q"), -1
+
+
+HEADS = "path string, region bigint, entry bigint, after bigint, first bigint, begin bigint, end bigint, status string"
+
+
+def _scan_regions(rows: DataFrame, region: int) -> DataFrame:
+    """Records of regions ``(path, size, region, start)``; ``start`` is null where the first record has to be found.
+
+    A row for each record, and one without ``begin`` for each region with its ``entry`` and what comes ``after`` (the end of the file if the chain is broken).
+    ``first`` counts the region's records before the row.
+    """
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "range_ord", "begin", "end", "status"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        for batch in batches:
-            for path, size in zip(batch["path"].to_pylist(), batch["size"].to_pylist()):
-                rows = []
-                for row in scan_headers(path, size):
-                    rows.append(row)
-                    if len(rows) == 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        types = [pa.string(), *[pa.int64()] * 6, pa.string()]
+        names = [c.split()[0] for c in HEADS.split(", ")]
 
-    return files.repartition(io_parts(files.sparkSession), "path").mapInArrow(scan, "path string, range_ord bigint, begin bigint, end bigint, status string")
+        def give(path, number, entry, after, first, begin, end, status):
+            n = len(begin)
+            columns = [[path] * n, [number] * n, [entry] * n, [after] * n, first, begin, end, [status] * n]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for batch in batches:
+            for path, size, number, start in zip(*(batch[c].to_pylist() for c in ("path", "size", "region", "start"))):
+                stop = min((number + 1) * region, size)
+                with open_file(path) as handle:
+                    window = _Window(handle, size)
+                    if start is None:
+                        entry, begins, after = guess_chain(window, number * region, stop)
+                        status = "ok"
+                    else:
+                        begins, after, status = scan_chain(window, start, stop)
+                        entry = start
+                n = len(begins)
+                begin = np.frombuffer(begins, np.int64) if n else np.zeros(0, np.int64)
+                end = np.r_[begin[1:], after] if n else begin
+                for a in range(0, n, 50_000):
+                    b = min(a + 50_000, n)
+                    yield give(path, number, entry, after, np.arange(a, b), begin[a:b], end[a:b], "ok")
+                if status != "ok":
+                    yield give(path, number, entry, after, [n], [after], [size], status)
+                    after = size
+                yield give(path, number, entry, after, [n], [None], [None], status)
+
+    spread = rows.repartition(io_parts(rows.sparkSession), "path", "region")
+    return spread.select("path", "size", "region", F.col("start").cast("bigint").alias("start")).mapInArrow(scan, HEADS)
+
+
+VERDICTS = "path string, size bigint, region bigint, round int, base bigint, again bigint"
+
+
+def _stitch(region: int):
+    def run(regions: pd.DataFrame) -> pd.DataFrame:
+        """The regions of one file whose records count, with the number of records before them; ``again`` is where others begin.
+
+        A region whose guess isn't where the records before it lead is read again. Those behind it count on their guesses until then.
+        """
+        regions = regions.sort_values("region")
+        at, base, out = 0, 0, []
+        columns = (regions[c].tolist() for c in ("path", "size", "region", "round", "entry", "after", "first", "status"))
+        for path, size, number, turn, entry, after, first, status in zip(*columns):
+            if at >= min((number + 1) * region, size):
+                continue  # all of it lies in a record that began before, or behind the end of the chain
+            if entry == at:
+                out.append((path, size, number, turn, base, None))
+                at, base = after, base + first
+            else:
+                out.append((path, size, number, turn, base, at))
+                # Where it leads is not known yet; the next guess stands in.
+                later = regions[(regions["region"] > number) & (regions["entry"] >= 0)]
+                at = int(later["entry"].iloc[0]) if len(later) else size
+        made = pd.DataFrame(out, columns=["path", "size", "region", "round", "base", "again"])
+        return made.astype({"base": "int64", "again": "Int64"})
+
+    return run
+
+
+def _headers(files: DataFrame, region: int) -> DataFrame:
+    """Rows ``(path, range_ord, begin, end, status)`` of files, each cut into regions that are read by tasks of their own.
+
+    Region 0 begins with a record. Every other region guesses its first record and reads on from there. Then the chains of a file's regions are
+    stitched: where the records before a region lead elsewhere than its guess, it is read again from there, until all chains fit.
+    """
+    files = store(files, "record-files").filter("size > 0")
+    cut = files.withColumn("region", F.explode(F.expr(f"sequence(0L, (size - 1) div {region}L)")))
+    cut = cut.withColumn("start", F.when(F.col("region") == 0, F.lit(0).cast("bigint")))
+    rows = store(_scan_regions(cut, region).withColumn("round", F.lit(0)), "heads")
+    if files.filter(F.col("size") > region).isEmpty():
+        # Files of one region have nothing to stitch.
+        return rows.filter("begin IS NOT NULL").select("path", F.col("first").alias("range_ord"), "begin", "end", "status")
+    turn = 0
+    while True:
+        latest = rows.filter("begin IS NULL").groupBy("path", "region").agg(F.max_by(F.struct("round", "entry", "after", "first", "status"), "round").alias("r"))
+        known = latest.select("path", "region", "r.*").join(files, "path").select("path", "size", "region", "round", "entry", "after", "first", "status")
+        verdicts = store(known.groupBy("path").applyInPandas(_stitch(region), VERDICTS), "verdicts")
+        again = verdicts.filter("again IS NOT NULL")
+        if again.isEmpty():
+            break
+        turn += 1
+        more = _scan_regions(again.select("path", "size", "region", F.col("again").alias("start")), region)
+        rows = rows.unionByName(store(more.withColumn("round", F.lit(turn)), "heads"))
+    used = verdicts.select("path", "region", "round", "base")
+    return rows.filter("begin IS NOT NULL").join(used, ["path", "region", "round"]).select(
+        "path", (F.col("base") + F.col("first")).alias("range_ord"), "begin", "end", "status"
+    )
 
 
 def build_record_index(
-    spark: SparkSession, paths: str | list[str], verify: bool = True
+    spark: SparkSession, paths: str | list[str], verify: bool = True, region: int = READ_BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """Index ``(path, range_ord, begin, end)`` of record files and the violations with a reason.
 
-    A range covers the whole record, so it is 16 bytes longer than the payload. Heads are found by one
-    hopping pass per file; the payload checksums are then verified by file region, so a large file is
-    many tasks. Every record has one status: it is either in the index or a violation. After a bad length
+    A range covers the whole record, so it is 16 bytes longer than the payload. Heads are found by hopping from
+    length to length, in every ``region`` bytes of a file at once; the payload checksums are then verified by file region, so a large
+    file is many tasks in both passes. Every record has one status: it is either in the index or a violation. After a bad length
     the rest of the file is one violation.
     """
-    heads = _headers(list_files(spark, paths))
+    heads = _headers(list_files(spark, paths), region)
     if not verify:
         return heads.filter("status = 'ok'").drop("status"), heads.filter("status <> 'ok'").withColumnRenamed("status", "reason")
 
