@@ -17,6 +17,9 @@ from shardframe.session import qualify, store
 READ_BLOCK = 64 << 20
 FLUSH_BYTES = 16 << 20
 BATCH_LINES = 50_000
+#: Entries of folders that the driver lists, and that a task lists before it leaves the rest to others.
+DRIVER_ENTRIES = 1000
+TASK_ENTRIES = 20_000
 #: Bytes between two ranges that are read along with them, and bytes of one request.
 GAP = 1 << 20
 REQUEST = 8 << 20
@@ -99,8 +102,9 @@ def io_parts(spark: SparkSession) -> int:
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(path, size)`` of files, folders (recursively) or globs; names that start with ``_`` or ``.`` are left out.
 
-    The driver lists the first level only; every folder below it is listed by a task, so the tasks follow the number
-    of folders and not the bytes of the files.
+    The driver lists the named folders up to ``DRIVER_ENTRIES`` entries. All else is listed by tasks in rounds: the folders of a round are dealt
+    out, a task lists a folder and what lies below it until it has ``TASK_ENTRIES`` entries, and the folders that it leaves make up the next round. So neither
+    a folder of any number of files nor a tree of any depth is the work of the driver, and a wide tree is many tasks.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     files, folders = [], []
@@ -111,32 +115,59 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         if not found:
             raise FileNotFoundError(path)
         for status in found:
-            level = system.listStatus(status.getPath()) if status.isDirectory() else [status]
-            for child in level:
-                if status.isDirectory() and child.getPath().getName()[0] in "_.":
-                    continue
-                (folders if child.isDirectory() else files).append((child.getPath().toString(), child.getLen()))
-    known = spark.createDataFrame(files, "path string, size bigint")
-    if not folders:
-        return known
-
-    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for folder in batch["path"].to_pylist():
-                system, inner = filesystem(folder)
-                found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-                start = len(inner.rstrip("/"))
-                kept = [
-                    f for f in found
-                    if f.type == fs.FileType.File and not any(p[0] in "_." for p in f.path[start:].strip("/").split("/"))
-                ]
-                names = [root_of(folder) + f.path for f in kept]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), pa.array([f.size for f in kept], pa.int64())], names=["path", "size"]
-                )
-
-    listed = spark.createDataFrame(folders, "path string, size bigint").select("path").repartition(io_parts(spark), "path")
-    return known.unionByName(listed.mapInArrow(below, "path string, size bigint"))
+            if not status.isDirectory():
+                files.append((status.getPath().toString(), status.getLen()))
+                continue
+            level = system.listStatusIterator(status.getPath())
+            inside, below = [], []
+            while level.hasNext() and len(inside) + len(below) <= DRIVER_ENTRIES:
+                child = level.next()
+                if child.getPath().getName()[0] not in "_.":
+                    (below if child.isDirectory() else inside).append((child.getPath().toString(), child.getLen()))
+            if len(files) + len(folders) + len(inside) + len(below) > DRIVER_ENTRIES:
+                folders.append((status.getPath().toString(), 0))
+            else:
+                files += inside
+                folders += below
+    listed = spark.createDataFrame(files, "path string, size bigint")
+    frontier = spark.createDataFrame(folders, "path string, size bigint").select("path") if folders else None
+    while frontier is not None:
+        level = store(frontier.repartition(io_parts(spark), "path").mapInArrow(_list_below, "path string, size bigint, is_dir boolean"), "listing")
+        listed = listed.unionByName(level.filter("NOT is_dir").drop("is_dir"))
+        frontier = level.filter("is_dir").select("path")
+        if frontier.isEmpty():
+            break
+    return listed
+
+
+def _list_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files in and below folders, and the folders left for others."""
+
+    def give(rows: list[tuple]) -> pa.RecordBatch:
+        names, sizes, is_dir = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(is_dir)], names=["path", "size", "is_dir"])
+
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            system, inner = filesystem(folder)
+            root, waiting, seen = root_of(folder), [inner], 0
+            while waiting and seen <= TASK_ENTRIES:
+                rows = []
+                for f in system.get_file_info(fs.FileSelector(waiting.pop())):
+                    seen += 1
+                    if f.base_name[0] in "_.":
+                        continue
+                    if f.type == fs.FileType.Directory:
+                        waiting.append(f.path)
+                    elif f.type == fs.FileType.File:
+                        rows.append((root + f.path, f.size, False))
+                    if len(rows) == BATCH_LINES:
+                        yield give(rows)
+                        rows = []
+                if rows:
+                    yield give(rows)
+            if waiting:
+                yield give([(root + path, 0, True) for path in waiting])
 
 
 def spread_blocks(df: DataFrame, begin: str = "begin", block: int = READ_BLOCK) -> DataFrame:
@@ -216,68 +247,97 @@ def _with_payload(batch: pa.RecordBatch, payloads: list[bytes]) -> pa.RecordBatc
 def read_lines(spark: SparkSession, paths: str | list[str], block: int = READ_BLOCK) -> DataFrame:
     """``(path, line_no, text)`` with 0-based line numbers.
 
-    Files are cut at fixed offsets, so a large file is read by many tasks, and every byte once: a task numbers the
-    lines that begin in its block, the lines are written, and the counts of the blocks before make the numbers of
-    the file.
+    Files are cut at fixed offsets, so a large file is read by many tasks. A first pass counts the lines that begin in each block; the sums of the blocks
+    before make the numbers, and the second pass reads the text. No text is written or shuffled. A task holds some reads and one line.
     """
     files = list_files(spark, paths).filter("size > 0")
-    blocks = files.select("path", F.explode(F.expr(f"sequence(0L, (size - 1) div {block}L)")).alias("block"))
+    blocks = store(files.select("path", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {block}L)")).alias("block")), "blocks")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for path, size, number in zip(*(batch[c].to_pylist() for c in ("path", "size", "block"))):
+                with open_file(path) as handle:
+                    counts.append(lines_begun(handle, number * block, min((number + 1) * block, size)))
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["block"], pa.array(counts, pa.int64())], names=["path", "block", "n"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, numbers, places, texts = [], [], [], []
+        paths, numbers, texts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())]
-            for held in (paths, numbers, places, texts):
-                held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["path", "block", "place", "text"])
+            nonlocal held
+            columns = [pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())]
+            for cells in (paths, numbers, texts):
+                cells.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays(columns, names=["path", "line_no", "text"])
 
         for batch in batches:
-            for path, number in zip(batch["path"].to_pylist(), batch["block"].to_pylist()):
-                lines = _lines_of(path, number * block, block)
-                # Small files share a batch, large blocks fill several.
-                for start in range(0, len(lines), BATCH_LINES):
-                    part = lines[start : start + BATCH_LINES]
-                    paths.extend([path] * len(part))
-                    numbers.extend([number] * len(part))
-                    places.extend(range(start, start + len(part)))
-                    texts.extend(part)
-                    if len(texts) >= BATCH_LINES:
-                        yield flush()
+            for path, size, number, base in zip(*(batch[c].to_pylist() for c in ("path", "size", "block", "base"))):
+                with open_file(path) as handle:
+                    for k, line in enumerate(lines_of(handle, number * block, min((number + 1) * block, size))):
+                        paths.append(path)
+                        numbers.append(base + k)
+                        texts.append(line.rstrip(b"\r").decode("utf-8", "replace"))
+                        held += len(line)
+                        # Small files share a batch, large blocks fill several.
+                        if len(texts) >= BATCH_LINES or held >= FLUSH_BYTES:
+                            yield flush()
         if texts:
             yield flush()
 
-    read = blocks.repartition(io_parts(spark), "path", "block").mapInArrow(split, "path string, block bigint, place bigint, text string")
-    lines = store(read, "lines")
-    # One row per block of a file.
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # Only blocks after the first of a file have lines before them.
-    later = lines.filter("block > 0").join(bases, ["path", "block"]).select("path", (F.col("base") + F.col("place")).alias("line_no"), "text")
-    return lines.filter("block = 0").select("path", F.col("place").alias("line_no"), "text").unionByName(later)
-
-
-def _lines_of(path: str, start: int, size: int) -> list[str]:
-    """Lines that begin in ``[start, start + size)``."""
-    with open_file(path) as handle:
-        handle.seek(max(start - 1, 0))
-        data = handle.read(size + (1 if start else 0))
-        if start:
-            if data[:1] == b"\n":
-                data = data[1:]
-            else:
-                _, found, data = data[1:].partition(b"\n")
-                if not found:
-                    return []
-        # The last line may run on into later blocks; a line end as last byte closes it.
-        while data and not data.endswith(b"\n"):
-            more = handle.read(1 << 20)
-            if not more:
+    def spread(df: DataFrame) -> DataFrame:
+        return df.repartition(io_parts(spark), "path", "block")
+
+    numbered = blocks.withColumn("base", F.lit(0).cast("bigint"))
+    if not blocks.filter("block > 0").isEmpty():
+        # One row per block of a file; files of one block need no numbers from others.
+        many = blocks.filter(F.col("size") > block)
+        counts = spread(many).mapInArrow(count, "path string, block bigint, n bigint")
+        before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        bases = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        numbered = numbered.filter(F.col("size") <= block).unionByName(many.join(bases, ["path", "block"]).select(*numbered.columns))
+    return spread(numbered).mapInArrow(split, "path string, line_no bigint, text string")
+
+
+def lines_begun(handle, start: int, stop: int) -> int:
+    """Lines that begin in ``[start, stop)`` of a file: those after a line end, and the first of the file."""
+    n, at = int(start == 0), max(start - 1, 0)
+    handle.seek(at)
+    while at < stop - 1:
+        data = handle.read(min(REQUEST, stop - 1 - at))
+        if not data:
+            break
+        n += data.count(b"\n")
+        at += len(data)
+    return n
+
+
+def lines_of(handle, start: int, stop: int) -> Iterator[bytes]:
+    """Lines that begin in ``[start, stop)`` of a file, without their ends; a line that runs on is read to its end."""
+    at = max(start - 1, 0)
+    handle.seek(at)
+    # Before the first line end after start - 1 lies the end of a line that began before.
+    inside, parts = start == 0, []
+    while True:
+        data = handle.read(min(REQUEST, stop - at) if at < stop else 1 << 20)
+        if not data:
+            break
+        begin = 0
+        while True:
+            end = data.find(b"\n", begin)
+            if end < 0:
                 break
-            head, found, _ = more.partition(b"\n")
-            data += head + found
-    texts = data.split(b"\n")
-    if texts and texts[-1] == b"":
-        texts.pop()
-    return [t.rstrip(b"\r").decode("utf-8", "replace") for t in texts]
+            if inside:
+                parts.append(data[begin:end])
+                yield b"".join(parts)
+                parts = []
+            inside, begin = True, end + 1
+            if at + begin >= stop:
+                return
+        if inside:
+            parts.append(data[begin:])
+        at += len(data)
+    last = b"".join(parts)
+    if inside and last:
+        yield last
