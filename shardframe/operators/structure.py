@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from shardframe.functions.paths import trim_last_ext
+from shardframe.session import qualify
+from shardframe.sources.files import AsideFile, io_parts
 
 # Fixed values.
 LAYER_FILE = r"layer_(\d+)-model_(\d+)-model_states\.json$"
@@ -27,6 +29,8 @@ ARROW_TYPES = [
     pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string(),
 ]
 BATCH_ROWS = 20_000
+#: Pieces of JSON that are joined before they are written.
+JSON_PIECES = 10_000
 
 
 def _leaves(node, parts: tuple[str, ...]) -> Iterator[tuple]:
@@ -275,3 +279,158 @@ def restore_state(tensors: DataFrame, values: DataFrame, lists: DataFrame) -> Da
 
     whole = rows.groupBy("snapshot", "rank").agg(F.collect_list(F.struct("path", "dtype", "value")).alias("r"))
     return whole.select("snapshot", "rank", nest("r.path", "r.dtype", "r.value").alias("json"))
+
+
+def leaf_order(path: Column | str = "path") -> Column:
+    """Sort key that puts a path before all below it, what lies under one path together, and numbers in their order."""
+    parts = F.split(path, "/", -1)
+    number = lambda p: F.when(p.rlike("^[0-9]{1,18}$"), p.try_cast("bigint"))
+    return F.transform(parts, lambda p: F.struct(number(p).isNull().alias("is_text"), F.coalesce(number(p), F.lit(0).cast("bigint")).alias("number"), p.alias("text")))
+
+
+# How a value of a type is written.
+JSON_TEXT = {
+    "tensor": lambda v: json.dumps({"tensor": json.loads(v)}),
+    "none": lambda v: "null",
+    "str": json.dumps,
+    "int": lambda v: json.dumps(int(v)),
+    "float": lambda v: json.dumps(float(v)),
+    "bool": lambda v: json.dumps(v.strip().lower() == "true"),
+}
+
+
+class JsonWriter:
+    """Writes rows ``(path, dtype, value)`` in the order of :func:`leaf_order` as one nested JSON, holding the open parents only.
+
+    A list's row comes before its items; items that no row lies at or under are empty objects, rows beyond its length or not under an item are left
+    out. Of several rows of a path the first counts, a leaf before a list, and nothing is written under a leaf.
+    """
+
+    def __init__(self, write):
+        self.write = write
+        # Open parents: part, length of a list or None, items written.
+        self.open: list[list] = [["", None, 0]]
+        self.skipped: tuple[str, ...] | None = None
+        write("{")
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            _, length, n = self.open.pop()
+            if length is None:
+                self.write("}")
+            else:
+                # A list may have any number of items without a row.
+                for k in range(n, length):
+                    self.write(", {}" if k else "{}")
+                self.write("]")
+
+    def _key(self, part: str) -> bool:
+        """Write what stands before a child of the innermost parent; false if the parent has no such child."""
+        parent = self.open[-1]
+        if parent[1] is None:
+            self.write((", " if parent[2] else "") + json.dumps(part) + ": ")
+            parent[2] += 1
+            return True
+        index = int(part) if part.isascii() and part.isdigit() and str(int(part)) == part else -1
+        if not parent[2] <= index < parent[1]:
+            return False
+        for k in range(parent[2], index):
+            self.write(", {}" if k else "{}")
+        if index:
+            self.write(", ")
+        parent[2] = index + 1
+        return True
+
+    def add(self, path: str, dtype: str, value: str) -> None:
+        """The next row."""
+        parts = tuple(path.split("/"))
+        if self.skipped is not None and parts[: len(self.skipped)] == self.skipped:
+            return
+        self.skipped = None
+        same = 0
+        while same + 1 < len(self.open) and same < len(parts) and self.open[same + 1][0] == parts[same]:
+            same += 1
+        if same == len(parts) and dtype == "list":
+            return  # repeated
+        self._close(same + 1)
+        for depth in range(same, len(parts)):
+            if not self._key(parts[depth]):
+                self.skipped = parts[: depth + 1]
+                return
+            if depth + 1 < len(parts):
+                self.write("{")
+                self.open.append([parts[depth], None, 0])
+        if dtype == "list":
+            self.write("[")
+            self.open.append([parts[-1], int(value), 0])
+        else:
+            self.write(JSON_TEXT[dtype](value))
+            self.skipped = parts
+
+    def close(self) -> None:
+        """Close all parents."""
+        self._close(0)
+
+
+class _Pieces:
+    """Text for a file, joined from short pieces."""
+
+    def __init__(self, out):
+        self.out, self.held = out, []
+
+    def write(self, piece: str) -> None:
+        """Append a piece."""
+        self.held.append(piece)
+        if len(self.held) >= JSON_PIECES:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.out.write("".join(self.held).encode())
+        self.held.clear()
+
+    def close(self) -> int:
+        """Close the file; returns its size."""
+        self._flush()
+        return self.out.close()
+
+
+def write_state_json(tensors: DataFrame, values: DataFrame, lists: DataFrame, directory: str) -> DataFrame:
+    """Write ``directory/<snapshot>/<rank>.json`` for every rank; ``file, bytes`` of each.
+
+    The nested form of :func:`restore_state` as files: a rank's leaves are sorted and pass through one writer, so a rank of any number of leaves takes the
+    memory of its open parents. Keys stand in the order of :func:`leaf_order`.
+    """
+    spark = values.sparkSession
+    directory = qualify(spark, directory).rstrip("/")
+    cols = ["snapshot", "rank", "path"]
+    rows = (
+        tensors.select(*cols, F.lit("tensor").alias("dtype"), F.to_json("shape").alias("value")).distinct()
+        .unionByName(values.select(*cols, "dtype", "value"))
+        .unionByName(lists.select(*cols, F.lit("list").alias("dtype"), F.col("length").cast("string").alias("value")))
+    )
+    placed = rows.select(F.format_string(f"{directory}/%s/%d.json", "snapshot", "rank").alias("file"), leaf_order().alias("_order"), "path", "dtype", "value")
+    # A leaf comes before a list of its path, equal rows in the order of their values.
+    is_list = F.col("dtype") == "list"
+    dealt = placed.repartition(io_parts(spark), "file").sortWithinPartitions("file", "_order", is_list, "dtype", "value")
+
+    def write(batches):
+        current, writer, done = None, None, []
+
+        def finish() -> None:
+            writer.close()
+            done.append((current, sink.close()))
+
+        for batch in batches:
+            for file, path, dtype, value in zip(*(batch[c].to_pylist() for c in ("file", "path", "dtype", "value"))):
+                if file != current:
+                    if writer is not None:
+                        finish()
+                    current, sink = file, _Pieces(AsideFile(file))
+                    writer = JsonWriter(sink.write)
+                writer.add(path, dtype, value)
+        if writer is not None:
+            finish()
+        names, sizes = zip(*done) if done else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
+
+    return dealt.select("file", "path", "dtype", "value").mapInArrow(write, "file string, bytes bigint")

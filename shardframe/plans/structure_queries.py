@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardframe.operators import structure
 from shardframe.plans.registry import query, table
+from shardframe.session import new_shared_path, store
 from shardframe.sources.files import io_parts
 
 
@@ -233,18 +234,35 @@ def c12_violations(spark, sf):
     return structure.parse_values(typed_texts(spark, sf))[1]
 
 
-@query(
-    "c13_restore_state",
-    """SELECT o_orderstatus AS snapshot, o_orderkey AS rank, 3::BIGINT AS model_rng, o_custkey + 1 AS rows, o_orderkey AS iteration,
-      o_totalprice AS lr, o_orderkey % 2 = 0 AS "on", 1::BIGINT AS param, o_orderpriority AS name FROM orders""",
-)
+C13_SQL = """SELECT o_orderstatus AS snapshot, o_orderkey AS rank, 3::BIGINT AS model_rng, o_custkey + 1 AS rows, o_orderkey AS iteration,
+      o_totalprice AS lr, o_orderkey % 2 = 0 AS "on", 1::BIGINT AS param, o_orderpriority AS name FROM orders"""
+
+
+@query("c13_restore_state", C13_SQL)
 def c13(spark, sf):
-    text = F.col("json")
+    return looked_at(structure.restore_state(*state_tables(spark, sf)))
+
+
+@query("c13_write_json", C13_SQL)
+def c13_files(spark, sf):
+    """The same as a file for each rank, read back."""
+    out = new_shared_path(spark, "json")
+    store(structure.write_state_json(*state_tables(spark, sf), out), "json-files")
+    place = r"/([^/]+)/(\d+)\.json$"
+    name = F.col("_metadata.file_path")
+    texts = spark.read.text(f"{out}/*/*.json", wholetext=True).select(
+        F.regexp_extract(name, place, 1).alias("snapshot"), F.regexp_extract(name, place, 2).cast("bigint").alias("rank"), F.col("value").alias("json")
+    )
+    return looked_at(texts)
+
+
+def looked_at(nested):
+    """Some of the leaves, by their places in the JSON."""
 
     def at(path, kind):
-        return F.get_json_object(text, path).cast(kind)
+        return F.get_json_object("json", path).cast(kind)
 
-    return structure.restore_state(*state_tables(spark, sf)).select(
+    return nested.select(
         "snapshot", "rank", at("$.model.rng.tensor[0]", "bigint").alias("model_rng"),
         at("$.model.lm.weight.tensor[0]", "bigint").alias("rows"), at("$.iteration", "bigint").alias("iteration"),
         at("$.groups[0].lr", "double").alias("lr"), at("$.groups[1].on", "boolean").alias("on"),
