@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shardframe.functions.numbers import ceil_div
 from shardframe.functions.paths import uri_base, uri_host, uri_path, uri_rest, uri_scheme
@@ -12,6 +17,8 @@ from shardframe.operators.skew import overlap_join, spread_join
 
 # Ranges of one file that share a join key; a longer file uses several keys.
 BLOCK = 65536
+# Bits of one of Spark's bitmaps.
+BITMAP_BITS = 32768
 
 
 def join_files(ranges: DataFrame, files: DataFrame, n_col: str, drop_n: bool = True) -> DataFrame:
@@ -146,6 +153,45 @@ def region_coverage(regions: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+def region_bitmaps(placed: DataFrame, sets: Sequence[str]) -> DataFrame:
+    """Which regions of each file the id sets name: ``(*sets, file_ord, bucket, bitmap)``.
+
+    ``placed(*sets, file_ord, region)`` has a row for each id, repeats allowed. A bitmap holds 32,768 regions in 4 KB, and bitmaps are built before the
+    shuffle, so what moves follows the sets and files and not the ids.
+    """
+    # Bits count from 1.
+    at = F.col("region") + 1
+    return placed.groupBy(*sets, "file_ord", F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")
+    )
+
+
+def merge_bitmaps(bitmaps: DataFrame, sets: Sequence[str]) -> DataFrame:
+    """Bitmaps of coarser sets, as all stages of a job or all of its ranks, from those of finer ones; no id moves again."""
+    return bitmaps.groupBy(*sets, "file_ord", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def bitmap_coverage(bitmaps: DataFrame, files: DataFrame, sets: Sequence[str]) -> DataFrame:
+    """Per set and file that it names a region of: regions in all, from ``files(file_ord, n_ranges)``, and regions covered."""
+    counted = bitmaps.groupBy(*sets, "file_ord").agg(F.sum(F.bitmap_count("bitmap")).alias("covered"))
+    return counted.join(files.select("file_ord", F.col("n_ranges").alias("regions")), "file_ord").select(*sets, "file_ord", "regions", "covered")
+
+
+def bitmap_regions(bitmaps: DataFrame) -> DataFrame:
+    """The regions of bitmaps as rows ``(…, file_ord, region)``."""
+    keep = [f for f in bitmaps.schema.fields if f.name not in ("bucket", "bitmap")]
+    names = [f.name for f in keep]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (bucket, bits) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("bitmap").to_pylist())):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+                rows = batch.select(names).take(pa.array(np.full(len(at), k)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((bucket - 1) * BITMAP_BITS + at, pa.int64())], names=[*names, "region"])
+
+    return bitmaps.mapInArrow(unpack, StructType([*keep, StructField("region", LongType())]))
+
+
 def index_shard(ranges: DataFrame, shard: int, n_shards: int) -> DataFrame:
     """Contiguous part ``shard`` of ``n_shards`` of a whole index from :func:`named_ranges`."""
     size = ranges.agg(ceil_div(F.count(F.lit(1)), n_shards)).scalar()

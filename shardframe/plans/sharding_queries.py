@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardframe.operators import sharding
+from shardframe.operators import index, sharding
 from shardframe.operators.ordinal import running
+from shardframe.operators.skew import overlap_join
+from shardframe.plans.index_queries import IDX, document_index
 from shardframe.plans.registry import query, table
+from shardframe.session import store
 
 SEED, GBS, DP, PROGRESS, MIN_SAMPLES = 1234, 23, 4, 100, 50
 
@@ -260,6 +263,14 @@ def jobs(spark, sf):
     return points, configs
 
 
+def scaled_jobs(spark, sf):
+    """The jobs with the keys of all orders spread over the steps that the documents make."""
+    points, configs = jobs(spark, sf)
+    steps = documents(spark, sf).count() // 8
+    keys = table(spark, sf, "orders").agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("k")).first()["k"] + 1
+    return points.withColumn("step", F.expr(f"step * {steps}L div {keys}L")).groupBy("job", "step").agg(F.max("size").alias("size")), configs
+
+
 @query(
     "d15_stage_plan",
     JOBS
@@ -323,10 +334,36 @@ def d16(spark, sf):
     SELECT job, times, count(*) AS samples, sum(position)::BIGINT AS positions FROM t WHERE times <> 1 GROUP BY 1, 2""",
 )
 def d16_jobs(spark, sf):
-    points, configs = jobs(spark, sf)
+    points, configs = scaled_jobs(spark, sf)
     steps = documents(spark, sf).count() // 8
-    keys = table(spark, sf, "orders").agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("k")).first()["k"] + 1
-    points = points.withColumn("step", F.expr(f"step * {steps}L div {keys}L")).groupBy("job", "step").agg(F.max("size").alias("size"))
     stages, _ = sharding.stage_plan(points, configs, 8, last_step=steps)
     bad = sharding.rescale_audit(stages, order_of(spark, sf), 8)
     return bad.groupBy("job", "times").agg(F.count(F.lit(1)).alias("samples"), F.sum("position").alias("positions"))
+
+
+# Regions of each file that the stages of every customer's job read, from one pass over the stages' samples: a bitmap for each stage and file,
+# and their unions for the jobs.
+@query(
+    "i9_job_coverage",
+    IDX
+    + """, n AS (SELECT count(*) AS n, count(*) // 8 AS steps FROM documents), k AS (SELECT max(o_orderkey) + 1 AS k FROM orders),
+    pts AS (SELECT o_custkey AS job, o_orderkey * steps // k AS step, max((CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 4 WHEN '3' THEN 8 WHEN '4' THEN 12 ELSE 16 END))::BIGINT AS size
+            FROM orders, n, k GROUP BY ALL),
+    nxt AS (SELECT *, coalesce(lead(step) OVER (PARTITION BY job ORDER BY step), (SELECT steps FROM n)) AS until FROM pts),
+    st AS (SELECT job, step * 8 AS lo, until * 8 AS hi FROM nxt WHERE size IN (4, 8, 16) AND NOT (size = 8 AND job % 5 = 0)),
+    ord AS (SELECT row_number() OVER (ORDER BY md5('1234:' || doc_id), doc_id) - 1 AS position, doc_id FROM documents),
+    total AS (SELECT file_ord, count(*) AS regions FROM idx GROUP BY file_ord)
+    SELECT job, file_ord, regions, count(DISTINCT range_ord) AS covered
+    FROM st JOIN ord ON position >= lo AND position < hi JOIN idx USING (doc_id) JOIN total USING (file_ord) GROUP BY ALL""",
+)
+def i9_jobs(spark, sf):
+    points, configs = scaled_jobs(spark, sf)
+    steps = documents(spark, sf).count() // 8
+    stages, _ = sharding.stage_plan(points, configs, 8, last_step=steps)
+    idx = document_index(spark, sf)
+    regions = idx.select(F.col("doc_id").alias("sample_id"), "file_ord", F.col("range_ord").alias("region"))
+    ordered = store(order_of(spark, sf).join(regions, "sample_id").select("position", (F.col("position") + 1).alias("_next"), "file_ord", "region"), "placed")
+    spans = store(stages.select("job", "stage", F.col("progress").alias("lo"), (F.col("end_step") * 8).alias("hi")), "spans")
+    read = overlap_join(ordered, spans, ("position", "_next"), ("lo", "hi"), spread_by=["position"])
+    maps = index.region_bitmaps(read, ["job", "stage"])
+    return index.bitmap_coverage(index.merge_bitmaps(maps, ["job"]), index.file_counts(idx), ["job"])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,20 @@ def test_long_file_uses_several_keys(spark, monkeypatch):
 def test_far_ids_are_unknown_at_every_size(spark, name, sf):
     events = spark.read.parquet(f"/root/testdata/{sf}/events.parquet")
     assert QUERIES[name].run(spark, f"/root/testdata/{sf}").count() == events.filter("event_id % 10 = 0").count() > 0
+
+
+def test_bitmaps_of_sets_and_their_unions(spark, rows):
+    """Sets of many files, over several bitmaps of a file; unions by the first part of the set's name."""
+    r = random.Random(3)
+    named = [(f"job{r.randrange(3)}", r.randrange(4), r.randrange(5), r.choice([0, 1, 32767, 32768, 70_000, r.randrange(100_000)])) for _ in range(800)]
+    placed = spark.createDataFrame(named, "job string, stage long, file_ord long, region long")
+    maps = index.region_bitmaps(placed, ["job", "stage"])
+    assert rows(index.bitmap_regions(maps), "job", "stage", "file_ord", "region") == sorted(set(named), key=repr)
+    merged = index.merge_bitmaps(maps, ["job"])
+    assert rows(index.bitmap_regions(merged), "job", "file_ord", "region") == sorted({(j, f, x) for j, _, f, x in named}, key=repr)
+    files = spark.createDataFrame([(f, 100_000 + f) for f in range(5)], "file_ord long, n_ranges long")
+    want = {}
+    for j, _, f, x in named:
+        want.setdefault((j, f), set()).add(x)
+    assert rows(index.bitmap_coverage(merged, files, ["job"])) == sorted(((j, f, 100_000 + f, len(x)) for (j, f), x in want.items()), key=repr)
+    assert index.bitmap_regions(index.region_bitmaps(placed.limit(0), ["job"])).count() == 0
