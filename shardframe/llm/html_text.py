@@ -10,12 +10,13 @@ article (or main element) it is dropped only if both sides are; elsewhere it is
 nothing is decided, blocks of an article are kept and others dropped. A page on which stop words make no block good is of
 a language that its list doesn't know, or has none: there length and link density alone decide the long blocks.
 
-Stop words are learned by group of pages, that is by the language of the html element and the script most letters are of:
-the words that at least ``STOP_SHARE`` of the group's pages have in their text. Every word of every page counts; a task
-sends what it has counted when it holds ``HELD_WORDS`` words, and the sums are taken after that, so the lists don't depend
-on how the table is cut. A group has at most its mean different words a page, over ``STOP_SHARE``, of them; a group of fewer
-than ``GROUP_PAGES`` pages has no list. The lists are broadcast, and a page is then judged on its own, by the list of its
-group or, if it names no language, by the list of its script that knows most of its different words.
+Stop words are learned by group of pages, that is by the language of the html element and the script most letters are of. A word's share of the
+group's pages is drawn towards its share of all pages of the script, which counts as ``PRIOR_PAGES`` pages more; words of at least ``STOP_SHARE`` are the
+group's list. So a group of few pages goes by what its script's pages have in common, a large one by its own, and one page more or less changes
+shares by little, at every size. Every word of every page counts; a task sends what it has counted when it holds ``HELD_WORDS`` words, and the sums
+are taken after that, so the lists don't depend on how the table is cut. A list holds words of its group's pages only, of a group of many pages at most
+their mean different words over ``STOP_SHARE``; there are no more lists than names of two or three letters and scripts. They are broadcast, and a page is then
+judged on its own, by the list of its group or, if it names no language, by the list of its script that knows most of its different words.
 
 Defined results: null html is empty and gives an empty text, as does a page without text. Character references are
 decoded, then every run of space, tab, line feed, vertical tab, form feed and carriage return is one space, blocks are
@@ -41,8 +42,8 @@ from shardframe.llm import textbytes
 from shardframe.llm.shared import received, shipped, text_of, written
 
 STOP_SHARE = 0.05
-#: In smaller groups that share is under three pages, which any word can be on by chance.
-GROUP_PAGES = 60
+#: Pages of the whole script that a group's own pages are held against: with this number of its own, both count alike.
+PRIOR_PAGES = 60
 #: Different words that a task counts before it sends the counts on.
 HELD_WORDS = 200_000
 
@@ -310,23 +311,35 @@ def group_of(page: str, found: list[Block]) -> str:
     return f"{lang[1].lower() if lang else ''}/{script}"
 
 
-def list_for(page: str, found: list[Block], lists: dict[str, frozenset[str]]) -> frozenset[str]:
-    """The stop words that a page is judged by."""
-    group = group_of(page, found)
-    if not group.startswith("/"):
-        return lists.get(group, frozenset())
-    fitting = [stop for name, stop in lists.items() if name.endswith(group)]
-    if len(fitting) < 2:
-        return fitting[0] if fitting else frozenset()
-    words = words_of(found)
-    return max(fitting, key=lambda stop: len(words & stop))
+class Lists:
+    """The stop words of every group, and which lists of a script know a word."""
 
+    def __init__(self, lists: dict[str, frozenset[str]]):
+        self.lists, self.knows = lists, {}
+        for name, stop in sorted(lists.items()):
+            # Pages that name no language make up no list for others.
+            if not name.startswith("/"):
+                for word in stop:
+                    self.knows.setdefault((name.partition("/")[2], word), []).append(name)
 
-def main_text(page: str, stop: frozenset[str] | dict[str, frozenset[str]]) -> str:
+    def of(self, page: str, found: list[Block]) -> frozenset[str]:
+        """The stop words that a page is judged by."""
+        group = group_of(page, found)
+        if not group.startswith("/"):
+            return self.lists.get(group, frozenset())
+        script = group[1:]
+        votes = Counter(name for word in words_of(found) for name in self.knows.get((script, word), ()))
+        if not votes:
+            return self.lists.get(group, frozenset())
+        most = max(votes.values())
+        return self.lists[min(name for name, n in votes.items() if n == most)]
+
+
+def main_text(page: str, stop: frozenset[str] | Lists) -> str:
     """The main text of a page, by one list of stop words or by those of each group."""
     found = blocks(page)
-    if isinstance(stop, dict):
-        stop = list_for(page, found, stop)
+    if isinstance(stop, Lists):
+        stop = stop.of(page, found)
     for b in found:
         b.label = first_pass(b, stop)
     if all(b.label != GOOD for b in found):
@@ -337,7 +350,7 @@ def main_text(page: str, stop: frozenset[str] | dict[str, frozenset[str]]) -> st
 
 
 def stop_lists(pages: DataFrame, html: str = "html") -> dict[str, frozenset[str]]:
-    """By group of pages, the words that at least STOP_SHARE of its pages have."""
+    """By group of pages, the words of which at least STOP_SHARE of its pages have, drawn towards the pages of its script."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter[str]] = {}
@@ -361,10 +374,15 @@ def stop_lists(pages: DataFrame, html: str = "html") -> dict[str, frozenset[str]
 
     sent = pages.select(text_of(html).alias("html")).mapInArrow(run, "name string, word string, n long")
     counted = written(sent.groupBy("name", "word").agg(F.sum("n").alias("n")), "words")
-    groups = counted.filter((F.col("word") == "") & (F.col("n") >= GROUP_PAGES)).select("name", F.col("n").alias("pages"))
-    known = counted.filter("word != ''").join(written(groups, "groups"), "name")
+    script = F.substring_index("name", "/", -1)
+    groups = counted.filter("word = ''").select("name", script.alias("script"), F.col("n").alias("pages"))
+    alike = groups.groupBy("script").agg(F.sum("pages").alias("all_pages"))
+    shared = counted.filter("word <> ''").groupBy(script.alias("script"), "word").agg(F.sum("n").alias("n_all"))
+    known = counted.filter("word <> ''").join(written(groups.join(alike, "script"), "groups"), "name").join(written(shared, "shared"), ["script", "word"])
+    drawn = F.col("n") + PRIOR_PAGES * F.col("n_all") / F.col("all_pages")
+    known = known.filter(drawn >= STOP_SHARE * (F.col("pages") + PRIOR_PAGES))
     lists: dict[str, list[str]] = {}
-    for r in known.filter(F.col("n") >= STOP_SHARE * F.col("pages")).select("name", "word").collect():
+    for r in known.select("name", "word").collect():
         lists.setdefault(r["name"], []).append(r["word"])
     return {name: frozenset(words) for name, words in lists.items()}
 
@@ -379,7 +397,7 @@ def extract(pages: DataFrame) -> DataFrame:
     stop = shipped(pages.sparkSession, stop_lists(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = received(stop)
+        words = Lists(received(stop))
         for batch in batches:
             for part in textbytes.slices(batch, "html"):
                 texts = [main_text(page, words) for page in part.column("html").to_pylist()]

@@ -100,7 +100,7 @@ def test_every_language_has_its_stop_words(spark):
     data += [(3000, "u", f"<p>{GERMAN}</p><div>{'Xyz ' * 40}</div>"), (3001, "u", f"<p>{LONG}</p><div>{'Xyz ' * 40}</div>")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(2)
     lists = H.stop_lists(pages)
-    assert set(lists) == {"en/latin", "de/latin"} and "der" in lists["de/latin"] and "der" not in lists["en/latin"]
+    assert set(lists) == {"/latin", "en/latin", "de/latin"} and "der" in lists["de/latin"] and "der" not in lists["en/latin"]
     got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
     assert got[2007] == f"{GERMAN} y7 {('Xyz ' * 40).strip()}"  # 'xyz' is on every page in German
     assert got[3000].startswith(GERMAN) and got[3001] == LONG
@@ -112,7 +112,7 @@ def test_stop_words_without_a_limit(spark):
     assert len(H.stop_words(pages)) == 2500
 
 
-@pytest.mark.parametrize("stop", [frozenset(), {}, {"en/latin": STOP}, STOP])
+@pytest.mark.parametrize("stop", [frozenset(), H.Lists({}), H.Lists({"en/latin": STOP}), STOP])
 def test_pages_without_known_stop_words_keep_their_text(stop):
     page = f"<html lang=pl><p>{'Wyszli oni tam bez niczego '*5}</p><p>Tak.</p><p>{'Nikt im nie wierzy '*5}</p><div><a href=x>{LONG}</a></div></html>"
     assert H.first_pass(H.Block(LONG, 0, 0), frozenset()) == H.OPEN
@@ -163,3 +163,27 @@ def test_hidden_is_an_attribute(attrs):
 @pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "class=x hidden", "aria-hidden='true'", "style='Visibility : hidden'", "id='ad'"])
 def test_hidden_attributes_hide(attrs):
     assert text(f"<article><p>{LONG}</p><div {attrs}>{OTHER}</div></article>") == LONG
+
+
+@pytest.mark.parametrize("sizes", [(1, 2, 3), (20, 21), (58, 59, 60, 61), (119, 120, 121)])
+def test_one_page_more_changes_no_text(spark, sizes):
+    """Pages of a small language beside those of a large one: their texts don't jump with the number of pages."""
+    english = [(10_000 + k, "u", f"<html lang=en><article><p>{LONG} z{k}</p></article>") for k in range(150)]
+    page = "<html lang=de><div><p>{0} y{1}</p><p>Kurz und gut.</p><div>{2}</div><p>{0}</p></div>"
+    german = [(k, "u", page.format(GERMAN, k, "Impressum Kontakt " * 6)) for k in range(max(sizes))]
+    texts = []
+    for n in sizes:
+        pages = spark.createDataFrame(english + german[:n], "page_id long, url string, html string").coalesce(2)
+        texts.append({r["page_id"]: r["text"] for r in H.extract(pages).collect()})
+    for smaller, larger in zip(texts, texts[1:]):
+        assert all(larger[k] == text for k, text in smaller.items())
+
+
+def test_pages_that_name_no_language_take_the_list_that_knows_them():
+    lists = H.Lists({"en/latin": frozenset("the of and is".split()), "de/latin": frozenset("der die und ist".split()), "/latin": frozenset("x y z".split())})
+    of = lambda page: lists.of(page, H.blocks(page))
+    assert of("<p>der Hund und die Katze") == lists.lists["de/latin"]
+    assert of("<p>the end of it") == lists.lists["en/latin"]
+    assert of("<p>x x x") == lists.lists["/latin"]
+    assert of("<p>und the") == lists.lists["de/latin"]  # a tie goes to the smaller name
+    assert of("<html lang=fr><p>the of") == frozenset() and of("<p>привет") == frozenset()
