@@ -45,7 +45,7 @@ from shardframe.llm.shared import text_of, written
 LEAST_DOCS = 3
 TOP_TERMS = 200
 #: Bytes of text counted at once, about, and items of the rows of one tree, at most (but for a single longer row).
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 RUN_ITEMS = 500_000
 #: Items of a row by which rows are dealt; those that are alike so far are dealt by their hash.
 KEY_ITEMS = 4
@@ -92,7 +92,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["lang", "source", "term", "n", "docs"],
             )
-    textbytes.give_back()
+            textbytes.give_back()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
