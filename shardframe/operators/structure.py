@@ -93,7 +93,8 @@ def state_lists(structure: DataFrame) -> DataFrame:
 def shapes_of(structure: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shapes of ``keys(config_id, rank, path, …)``; keys that name no tensor are violations."""
     on = ["config_id", "rank", "path"]
-    nodes = structure.select(*on, "kind", "shape")
+    # Spark's estimate takes the nodes for as small as the documents that they come from; there are many to a document, so they aren't broadcast.
+    nodes = structure.select(*on, "kind", "shape").hint("merge")
     joined = keys.join(nodes, on, "left")
     found = joined.filter(F.col("kind") == "tensor").drop("kind")
     missing = joined.filter(F.coalesce(F.col("kind") != "tensor", F.lit(True)))

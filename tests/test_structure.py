@@ -55,6 +55,13 @@ def test_shapes_and_duplicates(spark, rows):
     assert rows(structure.duplicate_keys(keys.unionByName(keys.limit(1))), "path", "n") == [("rng_state", 2)]
 
 
+def test_nodes_are_not_broadcast(spark):
+    df = flat(spark, DOC)
+    for side in structure.shapes_of(df, df.select("config_id", "rank", "path")):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_layer_map(spark, rows):
     files = spark.createDataFrame(
         [("c", 1, f"r/layer_{n:02d}-model_03-model_states.json") for n in (2, 0, 11)] + [("c", 0, "r/mp_rank_00.json")],
