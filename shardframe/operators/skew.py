@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardframe.session import store
@@ -14,12 +14,15 @@ BYTES_PER_COPY = 64 << 20
 ROW_BYTES = 128
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Spark's broadcast threshold."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark puts a table's size below its broadcast threshold."""
-    session = df.sparkSession._jsparkSession
-    threshold = session.sessionState().conf().autoBroadcastJoinThreshold()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size <= threshold
+    return size <= broadcast_bytes(df.sparkSession)
 
 
 def spread_join(
@@ -30,6 +33,7 @@ def spread_join(
     how: str = "inner",
     weight: Column | None = None,
     bytes_per_copy: int = BYTES_PER_COPY,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``big`` (many bytes per key) to ``small`` (few rows per key), where both sides are large.
 
@@ -37,11 +41,13 @@ def spread_join(
     by copying its rows once per salt. All other keys keep salt 0. ``weight`` gives the bytes of a row of the
     big side. The list of hot keys is written, so Spark sees its size and broadcasts it only if it is small;
     it has at most one row per ``bytes_per_copy`` bytes of the big side. A small side that Spark would broadcast by
-    its size needs neither the list nor the salt, and is joined plainly.
+    its size needs neither the list nor the salt, and is joined plainly. ``small_bytes`` are its bytes where Spark's
+    estimate is known to be too low, as behind an explode. Spark may estimate the big side too low as well, so it is never the
+    side that is broadcast.
     """
     keys = list(keys)
-    if fits_broadcast(small):
-        return big.join(small, keys, how)
+    if fits_broadcast(small) and (small_bytes is None or small_bytes <= broadcast_bytes(small.sparkSession)):
+        return big.join(F.broadcast(small), keys, how)
     size = F.lit(ROW_BYTES) if weight is None else weight + F.lit(ROW_BYTES)
     hot = store(
         big.groupBy(*keys)
@@ -57,7 +63,7 @@ def spread_join(
     copied = small.join(hot, keys, "left").select(
         *small.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias("_salt")
     )
-    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copied.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 # Width of the smallest cells, when none is given: the quarter of the shorter intervals is narrower.
@@ -111,7 +117,7 @@ def overlap_join(
     sizes = []
     for df, (lo, hi) in ((left, left_range), (right, right_range)):
         length = F.expr(f"CASE WHEN {lo} < {hi} THEN {hi} - {lo} END")
-        sizes.append(df.agg(F.percentile_approx(length, QUANTILE).alias("short"), F.max(length).alias("long")).first())
+        sizes.append(df.agg(F.percentile_approx(length, QUANTILE).alias("short"), F.max(length).alias("long"), F.count(F.lit(1)).alias("n")).first())
     width = width or max(1, *(int(s["short"] or 0) for s in sizes))
     bits = width.bit_length() - 1
     # Levels of the other side's cells: an interval touches one cell more than its length may fill.
@@ -125,7 +131,11 @@ def overlap_join(
 
     a = cells(left, left_range, above[1], ("L", "R"))
     b = cells(right, right_range, above[0], ("R", "L"))
-    met = spread_join(a, b, [*keys, "_role", "_level", "_cell"], spread_by or [left_range[0], left_range[1]], bytes_per_copy=bytes_per_copy)
+    # Spark doesn't see that an interval becomes many rows: two cells of each of its levels at most, and one for each level of the other side.
+    most = sizes[1]["n"] * (2 * above[1] + above[0]) * ROW_BYTES
+    met = spread_join(
+        a, b, [*keys, "_role", "_level", "_cell"], spread_by or [left_range[0], left_range[1]], bytes_per_copy=bytes_per_copy, small_bytes=most
+    )
     (lo, hi), (lo2, hi2) = left_range, right_range
     begins = f"if(_role = 'R', {lo2} <= {lo} AND {lo} < {hi2}, {lo} < {lo2} AND {lo2} < {hi})"
     return met.filter(begins).drop("_role", "_level", "_cell")

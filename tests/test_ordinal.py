@@ -100,6 +100,20 @@ def test_hot_keys_are_split_by_bytes(spark, monkeypatch):
     assert [(r.k, r["_copies"]) for r in seen["hot-keys"].collect()] == [(0, 6)]
 
 
+def test_sides_are_broadcast_by_their_true_size(spark):
+    """Neither cells that Spark takes for small are broadcast, nor the big side of a join."""
+    a = spark.range(20).select(F.col("id").alias("i"), (F.col("id") * 50).alias("a"), (F.col("id") * 50 + F.expr("shiftleft(1L, id)")).alias("b"))
+    b = spark.range(9000).select(F.col("id").alias("j"), F.col("id").alias("c"), (F.col("id") + 1).alias("d"))
+    joined = overlap_join(a, b, ("a", "b"), ("c", "d"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    # What remains is the list of hot keys.
+    assert "SortMergeJoin" in plan
+    assert joined.count() == sum(max(0, min(9000, i * 50 + 2**i) - i * 50) for i in range(20))
+    big, small = spark.range(10).withColumnRenamed("id", "k"), spark.range(1000).selectExpr("id AS k", "id AS v")
+    plan = spread_join(big, small, ["k"], ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_overlap_join_finds_its_own_width(spark):
     a = spark.createDataFrame([(0, 0, 1_000_000), (1, 5, 6), (2, 2_000_000, 2_000_001)], "i bigint, a bigint, b bigint")
     b = spark.createDataFrame([(0, 4, 10), (1, 999_999, 1_000_001)], "j bigint, c bigint, d bigint")
