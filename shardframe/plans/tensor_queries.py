@@ -15,20 +15,30 @@ WITH el AS (SELECT 't/' || (vec_id // 20) AS path, vec_id // 20 AS t, (vec_id %
 """
 
 
-def matrices(spark, sf):
-    """``(snapshot, rank, path)`` tensors of shape [20, 64]."""
+def matrices(spark, sf, by_rows=False):
+    """``(snapshot, rank, path)`` tensors of shape [20, 64].
+
+    With ``by_rows`` a chunk that hasn't got ten vectors of its own, as the last of a table, becomes a chunk for each vector, so the
+    bytes of every chunk fill its box and can be cut along columns.
+    """
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     chunks = vectors.groupBy(
         F.expr("vec_id div 20").alias("t"), F.expr("(vec_id % 20) div 10").alias("c")
     ).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    offset, n = F.col("c") * 10, F.lit(10).cast("bigint")
+    if by_rows:
+        whole = (F.size("v") == 10) & (F.size(F.array_distinct(F.col("v.vec_id"))) == 10)
+        runs = F.when(whole, F.array("v")).otherwise(F.transform("v", lambda x: F.array(x)))
+        chunks = chunks.select("t", "c", F.explode(runs).alias("v"))
+        offset, n = F.col("v")[0]["vec_id"] % 20, F.size("v").cast("bigint")
     return chunks.select(
         F.lit("emb").alias("snapshot"),
         (F.col("t") % 4).alias("rank"),
         F.concat(F.lit("t/"), F.col("t").cast("string")).alias("path"),
         F.lit("f32").alias("dtype"),
         F.expr("array(20L, 64L)").alias("shape"),
-        F.array(F.col("c") * 10, F.lit(0).cast("bigint")).alias("chunk_offset"),
-        F.expr("array(10L, 64L)").alias("chunk_shape"),
+        F.array(offset, F.lit(0).cast("bigint")).alias("chunk_offset"),
+        F.array(n, F.lit(64).cast("bigint")).alias("chunk_shape"),
         tensors.encode_elements(F.flatten(F.transform("v", lambda x: x["embedding"])), "f32").alias("data"),
     )
 
@@ -68,8 +78,8 @@ def x2(spark, sf):
 @query("x2_flatten_columns", ELEMENTS + "SELECT path, a * 24 + b - 16 AS a, value FROM el WHERE b >= 16 AND b < 40")
 def x2_columns(spark, sf):
     # Column cuts leave chunks that are not contiguous in the flat tensor.
-    left, _ = tensors.tensor_range(matrices(spark, sf), ":,16:32")
-    right, _ = tensors.tensor_range(matrices(spark, sf), ":,32:40")
+    left, _ = tensors.tensor_range(matrices(spark, sf, by_rows=True), ":,16:32")
+    right, _ = tensors.tensor_range(matrices(spark, sf, by_rows=True), ":,32:40")
     halves = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
     whole, _ = tensors.concat_tensors(halves, ["snapshot", "rank", "path"], "side", 1)
     return elements(tensors.flatten_tensors(whole), "a")
@@ -87,7 +97,7 @@ def x3_sub(spark, sf):
 
 @query("x4_tensor_range", ELEMENTS + "SELECT path, a - 5 AS a, b - 10 AS b, value FROM el WHERE a >= 5 AND b >= 10 AND b < 20")
 def x4(spark, sf):
-    return elements(tensors.tensor_range(matrices(spark, sf), "5:,10:20")[0], "a", "b")
+    return elements(tensors.tensor_range(matrices(spark, sf, by_rows=True), "5:,10:20")[0], "a", "b")
 
 
 @query(

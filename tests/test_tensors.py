@@ -169,3 +169,16 @@ def test_files_and_meta(spark, rows, tmp_path):
     assert rows(tensors.parse_meta(meta, "t"), "dtype", "shape") == [("f32", [2, 3]), (None, None), (None, None)]
     assert rows(frame(spark, {"a": arrays["a"]}).select(tensors.format_meta())) == [("f32\n2\n2\n3\n",)]
     assert rows(tensors.tensor_stats(frame(spark, {"x/a": arrays["a"], "x/b": arrays["b"]}, {1: 2})))[0] == ("s", "x", 2, 15, 33)
+
+
+def test_ranges_of_tables_that_do_not_fill_their_last_chunk(spark, tmp_path):
+    """26 vectors, one of them missing and one twice."""
+    from shardframe.plans import QUERIES
+
+    ids = [i for i in range(27) if i != 3] + [12]
+    vectors = [(i, [float(i * 100 + k) for k in range(64)]) for i in ids]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["x4_tensor_range"].run(spark, str(tmp_path)).select("path", "a", "b", "value").collect()))
+    assert got == sorted((f"t/{i // 20}", i % 20 - 5, b - 10, v[b]) for i, v in vectors if i % 20 >= 5 for b in range(10, 20))
+    got = sorted(map(tuple, QUERIES["x2_flatten_columns"].run(spark, str(tmp_path)).select("path", "a", "value").collect()))
+    assert got == sorted((f"t/{i // 20}", i % 20 * 24 + b - 16, v[b]) for i, v in vectors for b in range(16, 40))
