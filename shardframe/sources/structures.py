@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardframe.operators.structure import flatten_structure
+from shardframe.sources.files import read_texts
 
 # The published folder and file layout.
 CONFIG = r"(pp\d+/mp\d+/dp\d+)/"
 RANK_FILE = r"pp\d+/mp\d+/dp\d+/rank(\d+)/mp_rank_\d+(?:_\d+)?\.json$"
 
 
-def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """One row per small JSON file."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("json"))
+def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One row per small JSON file with a name."""
+    return read_texts(spark, root, rf"/{name}$").withColumnRenamed("text", "json")
 
 
 def _degree(name: str) -> Column:
@@ -24,7 +24,7 @@ def _degree(name: str) -> Column:
 
 def read_structures(spark: SparkSession, root: str) -> DataFrame:
     """Structure rows of every rank file; ranks without a file have no rows."""
-    docs = _texts(spark, root, "mp_rank_*.json").select(
+    docs = _texts(spark, root, r"mp_rank_[^/]*\.json").select(
         F.regexp_extract("file", CONFIG, 1).alias("config_id"),
         F.regexp_extract("file", RANK_FILE, 1).try_cast("bigint").alias("rank"),
         "json",
@@ -40,7 +40,7 @@ def config_degrees(df: DataFrame) -> DataFrame:
 def read_rank_map(spark: SparkSession, root: str) -> DataFrame:
     """``(config_id, rank, pp, mp, dp)`` of every ``rank_map.json``."""
     kind = "map<string, struct<pp_rank: bigint, mp_rank: bigint, dp_rank: bigint>>"
-    rows = _texts(spark, root, "rank_map.json").select(
+    rows = _texts(spark, root, r"rank_map\.json").select(
         F.regexp_extract("file", CONFIG, 1).alias("config_id"), F.explode(F.from_json("json", kind)).alias("rank", "r")
     )
     return rows.select(
@@ -51,7 +51,7 @@ def read_rank_map(spark: SparkSession, root: str) -> DataFrame:
 
 def read_model_keys(spark: SparkSession, root: str) -> DataFrame:
     """``(config_id, rank, key_ord, path, parts)`` of every ``model_keys.json``, in file order."""
-    rows = _texts(spark, root, "model_keys.json").select(
+    rows = _texts(spark, root, r"model_keys\.json").select(
         F.regexp_extract("file", CONFIG, 1).alias("config_id"),
         F.explode(F.from_json("json", "map<string, array<array<string>>>")).alias("rank", "keys"),
     )
@@ -63,9 +63,7 @@ def read_model_keys(spark: SparkSession, root: str) -> DataFrame:
 
 def read_schedule(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(job, point, step, time, size)`` of schedule files: a JSON list of points; job is the file name."""
-    texts = spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("job"), "value"
-    )
+    texts = read_texts(spark, paths).select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("job"), F.col("text").alias("value"))
     kind = "array<struct<step: bigint, time: bigint, size: bigint>>"
     rows = texts.select("job", F.posexplode(F.from_json("value", kind)).alias("point", "p"))
     return rows.select("job", F.col("point").cast("bigint").alias("point"), "p.step", "p.time", "p.size")
@@ -73,9 +71,7 @@ def read_schedule(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_para_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(job, size, mp, dp, pp)`` of degree files: a JSON map from size to degrees."""
-    texts = spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("job"), "value"
-    )
+    texts = read_texts(spark, paths).select(F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("job"), F.col("text").alias("value"))
     kind = "map<string, struct<mp_size: bigint, dp_size: bigint, pp_size: bigint>>"
     rows = texts.select("job", F.explode(F.from_json("value", kind)).alias("size", "d"))
     return rows.select(

@@ -1,4 +1,5 @@
 import io
+import json
 import os
 
 import numpy as np
@@ -283,3 +284,16 @@ def test_task_code_needs_no_package_on_executors():
     finally:
         os.remove(path)
     assert done.stdout.strip() == "True", done.stderr
+
+
+def test_many_small_json_files_are_few_tasks(spark, tmp_path):
+    """Tasks list and read the files; neither the driver plans them nor is each a split."""
+    from shardframe.sources import structures
+
+    for k in range(300):
+        (tmp_path / f"job{k}.json").write_text(json.dumps([{"step": k, "size": 4}, {"step": k + 1, "size": 0}]))
+    read = structures.read_schedule(spark, str(tmp_path))
+    assert sorted((r.job, r.point, r.step, r.size) for r in read.collect()) == sorted(
+        (f"job{k}", p, k + p, 4 - 4 * p) for k in range(300) for p in (0, 1)
+    )
+    assert "FileScan text" not in read._jdf.queryExecution().executedPlan().toString()
