@@ -21,6 +21,8 @@ from shardframe.sources import checksums, files, index_files, logs, npz, records
 
 # Regions of a record file that are read by a task each, where a query shows them at work.
 SMALL_REGION = 1 << 16
+# Bytes of text to a file of npz samples, which hold it several times as numbers.
+PACKED_BYTES = 8 << 20
 
 
 def write_texts(df):
@@ -28,7 +30,7 @@ def write_texts(df):
 
     def write(batches):
         current, out, done = None, None, 0
-        for batch in batches:
+        for batch in files.small_batches(batches):
             for path, data in zip(batch["path"].to_pylist(), batch["data"].to_pylist()):
                 if path != current:
                     if out is not None:
@@ -85,8 +87,8 @@ def s3_ranges(spark, sf):
 def document_records(spark, sf):
     """Record files of ``doc_id:text`` payloads; the folder and their index."""
     out = new_shared_path(spark, "records")
-    docs = table(spark, sf, "documents").select(F.concat_ws(":", "doc_id", "text").alias("p")).repartition(8)
-    records.write_records(docs, "p", out)
+    docs = table(spark, sf, "documents").select(F.concat_ws(":", "doc_id", "text").alias("p"))
+    records.write_records(docs.repartition(files.file_count(docs, "p", 8)), "p", out)
     return out, records.build_record_index(spark, out)
 
 
@@ -111,8 +113,9 @@ def s5_append(spark, sf):
     """Three appends to one folder; all of them are read back."""
     out = new_shared_path(spark, "appended")
     docs = table(spark, sf, "documents").select("doc_id", F.concat_ws(":", "doc_id", "text").alias("p"))
+    count = files.file_count(docs, "p", 4)
     for part in range(3):
-        records.write_records(docs.filter(F.col("doc_id") % 3 == part).repartition(4), "p", out)
+        records.write_records(docs.filter(F.col("doc_id") % 3 == part).repartition(count), "p", out)
     good, _ = records.build_record_index(spark, out)
     payload = F.decode(records.record_payload("payload"), "utf-8")
     found = files.read_ranges(good).select((F.regexp_extract(payload, "^([0-9]+):", 1).cast("bigint") % 3).alias("part"), (F.col("end") - F.col("begin")).alias("size"))
@@ -133,7 +136,7 @@ def s4_violations(spark, sf):
     placed = running(docs, ["doc_id"], ["f"], position="k")
 
     def encode(batches):
-        for batch in batches:
+        for batch in files.small_batches(batches):
             made = list(records.encode_records(batch["p"].to_pylist()))
             for i, (f, k) in enumerate(zip(batch["f"].to_pylist(), batch["k"].to_pylist())):
                 if f % 4 and k == 7:
@@ -162,7 +165,7 @@ def s4_split(spark, sf):
     out = new_shared_path(spark, "split")
 
     def pack(batches):
-        for batch in batches:
+        for batch in files.small_batches(batches):
             made = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 body = (text or "").encode()
@@ -170,7 +173,7 @@ def s4_split(spark, sf):
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["p"])
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    records.write_records(docs.mapInArrow(pack, "p binary").repartition(2), "p", out)
+    records.write_records(docs.mapInArrow(pack, "p binary").repartition(files.file_count(docs, "text", 2)), "p", out)
     good, bad = records.build_record_index(spark, out, region=SMALL_REGION)
     number = F.conv(F.hex(F.substring(records.record_payload("payload"), 1, 8)), 16, 10).cast("bigint")
     found = files.read_ranges(good).select(number.alias("doc_id"), (F.col("end") - F.col("begin") - 8).alias("size"))
@@ -195,7 +198,7 @@ def s6(spark, sf):
 )
 def s7(spark, sf):
     def pack(batches):
-        for batch in batches:
+        for batch in files.small_batches(batches):
             rows = []
             for conv, turn, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "text"))):
                 buffer = io.BytesIO()
@@ -205,7 +208,7 @@ def s7(spark, sf):
 
     out = new_shared_path(spark, "npz")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    records.write_records(turns.mapInArrow(pack, "p binary").repartition(4), "p", out)
+    records.write_records(turns.mapInArrow(pack, "p binary").repartition(files.file_count(turns, "text", 4, PACKED_BYTES)), "p", out)
     good, _ = records.build_record_index(spark, out)
     inner = good.select("path", (F.col("begin") + records.HEAD).alias("begin"), (F.col("end") - records.TAIL).alias("end"))
     samples = npz.read_npz_samples(inner, "gpt")
@@ -225,7 +228,7 @@ def s7(spark, sf):
 )
 def s7_bert(spark, sf):
     def pack(batches):
-        for batch in batches:
+        for batch in files.small_batches(batches):
             rows = []
             for conv, turn, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "text"))):
                 codes = np.array([*map(ord, text)], np.int32)
@@ -239,7 +242,7 @@ def s7_bert(spark, sf):
 
     out = new_shared_path(spark, "bert")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    records.write_records(turns.mapInArrow(pack, "p binary").repartition(4), "p", out)
+    records.write_records(turns.mapInArrow(pack, "p binary").repartition(files.file_count(turns, "text", 4, PACKED_BYTES)), "p", out)
     good, _ = records.build_record_index(spark, out)
     inner = good.select("path", (F.col("begin") + records.HEAD).alias("begin"), (F.col("end") - records.TAIL).alias("end"))
     samples = npz.read_npz_samples(inner, "bert")

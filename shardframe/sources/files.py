@@ -23,6 +23,9 @@ TASK_ENTRIES = 20_000
 #: Bytes between two ranges that are read along with them, and bytes of one request.
 GAP = 1 << 20
 REQUEST = 8 << 20
+#: Rows that are turned into Python objects at once where each may be large, and bytes of a record file that a query writes.
+SMALL_ROWS = 256
+FILE_BYTES = 128 << 20
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -94,6 +97,18 @@ def write_file(path: str, chunks: Iterator[bytes]) -> int:
     return out.close()
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = SMALL_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few, so that a task holds the Python objects of few rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def file_count(texts: DataFrame, column: str, least: int, limit: int = FILE_BYTES) -> int:
+    """Files that keep the bytes of a column below a limit each, ``least`` at least."""
+    return max(least, -(-(texts.agg(F.sum(F.octet_length(column))).first()[0] or 0) // limit))
+
+
 def io_parts(spark: SparkSession) -> int:
     """Partitions for rows that only name bytes to read.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shardframe.sources.files import read_ranges
+from shardframe.sources.files import read_ranges, small_batches
 
 # Array and scalar fields of the two sample kinds.
 KINDS = {
@@ -25,7 +25,7 @@ def read_npz_samples(ranges: DataFrame, kind: str) -> DataFrame:
     fields = [*[f"`{c}` {t}" for c, t in ranges.dtypes], *[f"{a} array<bigint>" for a in arrays], *[f"{s} int" for s in scalars]]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             samples = [np.load(io.BytesIO(p), allow_pickle=False) for p in batch["payload"].to_pylist()]
             columns = [batch[c] for c in keep]
             columns += [pa.array([s[a].astype(np.int64).ravel() for s in samples], pa.list_(pa.int64())) for a in arrays]

@@ -297,3 +297,14 @@ def test_many_small_json_files_are_few_tasks(spark, tmp_path):
         (f"job{k}", p, k + p, 4 - 4 * p) for k in range(300) for p in (0, 1)
     )
     assert "FileScan text" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_batches_and_file_counts(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], names=["i"])
+    parts = list(files.small_batches(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [256, 256, 88] and sum((p["i"].to_pylist() for p in parts), []) == list(range(600))
+    texts = spark.createDataFrame([("ab",), (None,), ("é" * 10,)], "t string")
+    assert [files.file_count(texts, "t", 2, limit) for limit in (100, 10, 5)] == [2, 3, 5]
+    assert files.file_count(texts.filter("false"), "t", 4) == 4
