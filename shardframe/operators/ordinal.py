@@ -128,6 +128,18 @@ def neighbour(df: DataFrame, groups: Sequence[str], position: str, columns: Mapp
     return df.join(other, on, "left").drop("_at", *[f"_g_{g}" for g in groups])
 
 
+def depth_pieces(changes: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Pieces ``(*groups, lo, hi, times)`` of a line between the places of ``changes(*groups, at, step)``; ``times`` sums the steps up to a piece.
+
+    An interval is a step of 1 at its begin and of -1 at its end, so ``times`` tells how many intervals hold a piece. The last piece of a group is open.
+    """
+    summed = changes.groupBy(*groups, "at").agg(F.sum("step").alias("step"))
+    placed = running(summed, ["at"], groups, sums={"before": F.col("step")}, position="_k")
+    return neighbour(placed, groups, "_k", {"until": "at"}, 1).select(
+        *groups, F.col("at").alias("lo"), F.col("until").alias("hi"), (F.col("before") + F.col("step")).alias("times")
+    )
+
+
 def run_lengths(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Run-length encode ``value`` along ``order`` per group: ``(*groups, run, value, count)``."""
     # Positions come from a written table, so both uses below see the same ones.

@@ -337,8 +337,7 @@ def d16_jobs(spark, sf):
     points, configs = scaled_jobs(spark, sf)
     steps = documents(spark, sf).count() // 8
     stages, _ = sharding.stage_plan(points, configs, 8, last_step=steps)
-    bad = sharding.rescale_audit(stages, order_of(spark, sf), 8)
-    return bad.groupBy("job", "times").agg(F.count(F.lit(1)).alias("samples"), F.sum("position").alias("positions"))
+    return sharding.rescale_audit(stages, order_of(spark, sf), 8, totals=True)
 
 
 # Regions of each file that the stages of every customer's job read, from one pass over the stages' samples: a bitmap for each stage and file,
