@@ -12,8 +12,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from shardframe.functions.numbers import ceil_div
 from shardframe.functions.paths import uri_base, uri_host, uri_path, uri_rest, uri_scheme
-from shardframe.operators.ordinal import running
+from shardframe.operators.ordinal import depth_pieces, following, running
 from shardframe.operators.skew import overlap_join, spread_join
+from shardframe.session import store
 
 # Ranges of one file that share a join key; a longer file uses several keys.
 BLOCK = 65536
@@ -192,6 +193,43 @@ def bitmap_regions(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.mapInArrow(unpack, StructType([*keep, StructField("region", LongType())]))
 
 
+def span_coverage(placed: DataFrame, spans: DataFrame, files: DataFrame, sets: Sequence[str], part: str) -> DataFrame:
+    """:func:`bitmap_coverage` of the regions that spans of an order name: ``(*sets, file_ord, regions, covered)``.
+
+    ``placed(position, file_ord, region)`` tells what lies at a position, ``spans(*sets, part, lo, hi)`` which positions a part of a set reads. A region at one
+    position, as in any order without repeats, is counted by running counts of its file at the ends of what the set's parts cover together: work
+    follows the ends and files, not the positions inside. Regions at several positions, which these counts would count twice, go into bitmaps.
+    """
+    placed, spans = store(placed.select("position", "file_ord", "region"), "placed"), store(spans.select(*sets, part, "lo", "hi"), "spans")
+    often = placed.groupBy("file_ord", "region").agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("position"))
+    often = store(often, "regions")
+    once = often.filter("_n = 1").select("file_ord", "position")
+    one = F.lit(1).cast("bigint")
+    changes = spans.filter("lo < hi").select(
+        *sets, F.explode(F.array(F.struct(F.col("lo").alias("at"), one.alias("step")), F.struct(F.col("hi").alias("at"), (-one).alias("step")))).alias("c")
+    ).select(*sets, "c.at", "c.step")
+    # Ends of parts that touch or overlap are none of what they cover together.
+    edges = depth_pieces(changes, sets).filter("times > 0").select(
+        *sets, F.explode(F.array(F.struct(F.col("lo").alias("position"), (-one).alias("sign")), F.struct(F.col("hi").alias("position"), one.alias("sign")))).alias("e")
+    ).groupBy(*sets, "e.position").agg(F.sum("e.sign").alias("sign")).filter("sign <> 0")
+    edges = store(edges, "edges")
+    counted = store(once.groupBy("file_ord").agg(F.count(F.lit(1)).alias("_all")), "counted")
+    ends = edges.select("position").distinct().crossJoin(counted.select("file_ord"))
+    before = running(once, ["position"], ["file_ord"], position="count")
+    found = following(ends, before, ["file_ord"], "position", ["count"]).join(counted, "file_ord")
+    counts = store(found.select("position", "file_ord", F.coalesce("next_count", "_all").alias("count")).filter("count > 0"), "counts")
+    met = spread_join(edges, counts, ["position"], list(sets))
+    single = met.groupBy(*sets, "file_ord").agg(F.sum(F.col("sign") * F.col("count")).alias("covered")).filter("covered > 0")
+    single = single.join(files.select("file_ord", F.col("n_ranges").alias("regions")), "file_ord").select(*sets, "file_ord", "regions", "covered")
+    repeated = often.filter("_n > 1").select("file_ord", "region")
+    if repeated.isEmpty():
+        return single
+    again = placed.join(repeated, ["file_ord", "region"]).withColumn("_next", F.col("position") + 1)
+    maps = region_bitmaps(overlap_join(again, spans, ("position", "_next"), ("lo", "hi"), spread_by=["position"]), [*sets, part])
+    several = bitmap_coverage(merge_bitmaps(maps, sets), files, sets)
+    return single.unionByName(several).groupBy(*sets, "file_ord", "regions").agg(F.sum("covered").alias("covered"))
+
+
 def index_shard(ranges: DataFrame, shard: int, n_shards: int) -> DataFrame:
     """Contiguous part ``shard`` of ``n_shards`` of a whole index from :func:`named_ranges`."""
     size = ranges.agg(ceil_div(F.count(F.lit(1)), n_shards)).scalar()

@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from shardframe.operators import index, sharding
 from shardframe.operators.ordinal import running
-from shardframe.operators.skew import overlap_join
 from shardframe.plans.index_queries import IDX, document_index
 from shardframe.plans.registry import query, table
-from shardframe.session import store
 
 SEED, GBS, DP, PROGRESS, MIN_SAMPLES = 1234, 23, 4, 100, 50
 
@@ -340,8 +338,8 @@ def d16_jobs(spark, sf):
     return sharding.rescale_audit(stages, order_of(spark, sf), 8, totals=True)
 
 
-# Regions of each file that the stages of every customer's job read, from one pass over the stages' samples: a bitmap for each stage and file,
-# and their unions for the jobs.
+# Regions of each file that the stages of every customer's job read together: counts at the ends of what a job's stages cover, and for regions that
+# lie at several places of the order a bitmap for each stage and file, and their unions for the jobs.
 @query(
     "i9_job_coverage",
     IDX
@@ -361,8 +359,6 @@ def i9_jobs(spark, sf):
     stages, _ = sharding.stage_plan(points, configs, 8, last_step=steps)
     idx = document_index(spark, sf)
     regions = idx.select(F.col("doc_id").alias("sample_id"), "file_ord", F.col("range_ord").alias("region"))
-    ordered = store(order_of(spark, sf).join(regions, "sample_id").select("position", (F.col("position") + 1).alias("_next"), "file_ord", "region"), "placed")
-    spans = store(stages.select("job", "stage", F.col("progress").alias("lo"), (F.col("end_step") * 8).alias("hi")), "spans")
-    read = overlap_join(ordered, spans, ("position", "_next"), ("lo", "hi"), spread_by=["position"])
-    maps = index.region_bitmaps(read, ["job", "stage"])
-    return index.bitmap_coverage(index.merge_bitmaps(maps, ["job"]), index.file_counts(idx), ["job"])
+    ordered = order_of(spark, sf).join(regions, "sample_id")
+    spans = stages.select("job", "stage", F.col("progress").alias("lo"), (F.col("end_step") * 8).alias("hi"))
+    return index.span_coverage(ordered, spans, index.file_counts(idx), ["job"], "stage")

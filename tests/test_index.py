@@ -106,3 +106,36 @@ def test_bitmaps_of_sets_and_their_unions(spark, rows):
         want.setdefault((j, f), set()).add(x)
     assert rows(index.bitmap_coverage(merged, files, ["job"])) == sorted(((j, f, 100_000 + f, len(x)) for (j, f), x in want.items()), key=repr)
     assert index.bitmap_regions(index.region_bitmaps(placed.limit(0), ["job"])).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [0, 60])
+def test_span_coverage_is_that_of_the_regions(spark, rows, repeats):
+    """Spans that touch, overlap or are empty; regions at one position and, with repeats, at several."""
+    r = random.Random(repeats)
+    regions = [(k % 3 * (k % 4 // 2), k) for k in range(300)]
+    regions += [r.choice(regions) for _ in range(repeats)]
+    r.shuffle(regions)
+    placed = [(p, f, x) for p, (f, x) in enumerate(regions)]
+    spans = []
+    for k in range(60):
+        lo = r.randrange(len(regions) + 20)
+        spans += [(f"job{k % 9}", k, lo, hi := lo + r.randrange(40)), *([(f"job{k % 9}", k + 100, hi, hi + 5)] if k % 3 else [])]
+    files = spark.createDataFrame([(f, 1000 + f) for f in range(4)], "file_ord long, n_ranges long")
+    want = {}
+    for job, _, lo, hi in spans:
+        for p, f, x in placed[lo:hi]:
+            want.setdefault((job, f), set()).add(x)
+    placed = spark.createDataFrame(placed, "position long, file_ord long, region long")
+    spans = spark.createDataFrame(spans, "job string, stage long, lo long, hi long")
+    got = index.span_coverage(placed, spans, files, ["job"], "stage")
+    assert rows(got, "job", "file_ord", "regions", "covered") == sorted(((j, f, 1000 + f, len(x)) for (j, f), x in want.items()), key=repr)
+    assert index.span_coverage(placed, spans.limit(0), files, ["job"], "stage").count() == 0
+
+
+def test_span_coverage_follows_the_ends_and_files(spark):
+    """Two thousand jobs read two hundred thousand regions each, which are never rows."""
+    placed = spark.range(200_000).selectExpr("id AS position", "id % 2 AS file_ord", "id AS region")
+    spans = spark.range(2000).selectExpr("id AS job", "0L AS stage", "0L AS lo", "200000L AS hi")
+    files = spark.createDataFrame([(0, 100_000), (1, 100_000)], "file_ord long, n_ranges long")
+    got = index.span_coverage(placed, spans, files, ["job"], "stage").groupBy("file_ord", "regions", "covered").count()
+    assert sorted(tuple(x) for x in got.collect()) == [(f, 100_000, 100_000, 2000) for f in (0, 1)]
