@@ -1,5 +1,9 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from shardframe.plans import QUERIES
+from shardframe.plans import checkpoint as ck
 from shardframe.plans import reshard_queries
 
 CHUNKS = "rank long, path string, dtype string, shape array<long>, chunk_offset array<long>, chunk_shape array<long>, data binary"
@@ -24,3 +28,14 @@ def test_line_totals_of_row_blocks_meet_in_no_shuffle(spark, rows):
     assert rows(made, "rank", "path", "line", "total") == want
     assert "Exchange" not in plan_text(made)
     assert rows(reshard_queries.line_totals(spark.createDataFrame(pieces, CHUNKS), pieces=True), "rank", "path", "line", "total") == want
+
+
+def test_carried_values_need_no_tensors(spark, rows, tmp_path, monkeypatch):
+    """Ten layers; values are carried without the tensors' bytes being made."""
+    spark.range(10).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(30).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(ck, "chunks_of", lambda *args: pytest.fail("tensors are made"))
+    got = rows(QUERIES["r9_carry_values"].run(spark, str(tmp_path)), "rank", "path", "dtype", "value")
+    groups = "optimizer/optimizer/param_groups"
+    told = [("iteration", "int", "50"), ("seed", "int", "0"), (f"{groups}/0/lr", "float", "0.1"), (f"{groups}/1/lr", "float", "0.2")]
+    assert got == sorted([(rank, *x) for rank in range(30) for x in told], key=repr)
