@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from shardframe.plans import QUERIES
 from shardframe.plans import checkpoint as ck
 from shardframe.plans import reshard_queries
+from shardframe.session import cut_lineage
 
 CHUNKS = "rank long, path string, dtype string, shape array<long>, chunk_offset array<long>, chunk_shape array<long>, data binary"
 
@@ -39,3 +42,33 @@ def test_carried_values_need_no_tensors(spark, rows, tmp_path, monkeypatch):
     groups = "optimizer/optimizer/param_groups"
     told = [("iteration", "int", "50"), ("seed", "int", "0"), (f"{groups}/0/lr", "float", "0.1"), (f"{groups}/1/lr", "float", "0.2")]
     assert got == sorted([(rank, *x) for rank in range(30) for x in told], key=repr)
+
+
+def test_chunks_meet_blocks_of_vectors(spark, tmp_path):
+    """Four layers; one vector is absent and one is there twice, and the vectors begin again several times in a block."""
+    vectors = [v for v in range(30) if v != 7] + [3]
+    spark.createDataFrame([(v,) for v in range(4)], "s_suppkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(v, [float(v + 1)] * 64) for v in vectors], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    params = cut_lineage(ck.parameters(spark, str(tmp_path), ck.SOURCE))
+    made = ck.chunks_of(spark, str(tmp_path), params, ck.SOURCE[1])
+    # Vectors are collected before they meet the chunks, and no payload is shuffled behind that.
+    assert "collect_list" not in plan_text(made)
+    got = {(r["rank"], r["path"]): np.frombuffer(r["data"], "<f4").reshape(-1, 64)[:, 5].tolist() for r in made.filter("path LIKE '%attention.weight'").collect()}
+    want = {}
+    for layer in range(4):
+        for mp in range(4):
+            ids = [(layer * 48 + mp * 12 + r) % 30 for r in range(12)]
+            rows = [x for v in ids for x in ([0.0] if v == 7 else [v + 1.0] * (2 if v == 3 else 1))]
+            want[layer // 2 * 4 + mp, f"model/language_model/encoder/layers.{layer % 2}.attention.weight"] = rows
+    assert got == want
+
+
+def test_line_sums_meet_in_blocks(spark, rows, monkeypatch):
+    """Runs of lines that overlap, with a gap, over blocks of four lines; a path is shuffled for each block, not for each line."""
+    monkeypatch.setattr(reshard_queries, "LINES", 4)
+    whole = np.arange(40).reshape(10, 4)
+    pieces = [chunk(0, "m", [20, 4], [0, 0], whole[:, :3]), chunk(0, "m", [20, 4], [2, 3], whole[2:7, 3:]), chunk(0, "m", [20, 4], [15, 0], whole[:2])]
+    sums = {r: float(whole[r, :3].sum() + (whole[r, 3] if 2 <= r < 7 else 0)) for r in range(10)} | {15 + r: float(whole[r].sum()) for r in range(2)}
+    made = reshard_queries.line_totals(spark.createDataFrame(pieces, CHUNKS), pieces=True)
+    assert rows(made, "rank", "path", "line", "total") == sorted(((0, "m", r, x) for r, x in sums.items()), key=repr)
+    assert "hashpartitioning(rank" in plan_text(made) and not re.search(r"hashpartitioning\(rank[^)]*line", plan_text(made))
