@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shardframe import streaming
 from shardframe.plans.registry import query, table
 from shardframe.session import new_shared_path, store
+from shardframe.sources import files
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Files of a micro-batch.
@@ -14,6 +15,8 @@ MAX_FILES = 64
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 # Micro-batches of the shuffled arrival.
 ARRIVALS = 6
+# Rows of a file of them, about.
+ARRIVAL_ROWS = 1_000_000
 
 
 def event_stream(spark, sf):
@@ -89,20 +92,25 @@ def t4(spark, sf):
     return gaps.select("run_id", text_of("finished").alias("finished"), F.round("gap", 3).alias("gap"))
 
 
-# The events in files by the hour of their arrival, up to 59 minutes after they happened; a micro-batch is one file, with its rows shuffled.
+# The events in files by the hour of their arrival, up to 59 minutes after they happened; a micro-batch is one part, with its rows shuffled.
 @query("t4_shuffled_arrival", T4_SQL)
 def t4_shuffled(spark, sf):
     out = new_shared_path(spark, "arrivals")
     events = table(spark, sf, "events").filter(F.col("event_type").isin("signup", "view"))
     late = F.make_dt_interval(mins=F.pmod(F.xxhash64("event_id"), F.lit(60)).cast("int"))
-    # Files are read in the order of their age, so they are written one after the other: as many as the days have quarters.
     arrived = store(events.withColumn("arrived", F.date_trunc("hour", F.col("ts") + late)), "arrivals")
-    bounds = arrived.agg(F.min("arrived").alias("lo"), F.max("arrived").alias("hi")).first()
+    bounds = arrived.agg(F.min("arrived").alias("lo"), F.max("arrived").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     cuts = [bounds.lo + (bounds.hi - bounds.lo) * k / ARRIVALS for k in range(ARRIVALS)] + [None]
-    for a, b in zip(cuts, cuts[1:]):
+    # Files are read in the order of their age, so the parts are written one after the other. Each is as many files as a micro-batch takes, and each file a task.
+    each = -(-bounds.n // (ARRIVALS * ARRIVAL_ROWS)) or 1
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
         part = arrived.filter((F.col("arrived") >= a) & (F.lit(True) if b is None else F.col("arrived") < b)).drop("arrived")
-        part.withColumn("_r", F.xxhash64("event_id")).repartition(4, "_r").sortWithinPartitions("_r").drop("_r").coalesce(1).write.mode("append").parquet(out)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out)
+        part.withColumn("_r", F.xxhash64("event_id")).repartition(each, "_r").sortWithinPartitions("_r").drop("_r").write.mode("append").parquet(out)
+        # A partition without rows is no file.
+        lacking = k * each - files.list_files(spark, out).count()
+        for _ in range(lacking):
+            spark.createDataFrame([], events.schema).coalesce(1).write.mode("append").parquet(out)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", each).parquet(out)
     gaps = marker_gaps(spark, sf, "365 days", stream)
     return gaps.select("run_id", text_of("finished").alias("finished"), F.round("gap", 3).alias("gap"))
 

@@ -16,8 +16,8 @@ OUTPUT = "run_id string, finished timestamp, started timestamp, gap double"
 
 
 FLUSH_ROWS = 50_000
-#: Slots of the watermark's delay.
-SLOTS = 8
+#: Markers of a run that lie in one page of its state.
+PAGE_MARKS = 8192
 
 
 def pair(finished: int | None, micros: np.ndarray, started: np.ndarray, timeout: int) -> tuple[list[tuple[int, int | None]], int | None]:
@@ -58,96 +58,119 @@ def pair(finished: int | None, micros: np.ndarray, started: np.ndarray, timeout:
 class GapProcessor(StatefulProcessor):
     """Pairs a run's markers in the order of their times, whatever the order of their arrival within the watermark's delay.
 
-    Markers wait in the state, by slots of ``slot_us`` microseconds, until the watermark has passed them; nothing earlier can come then. A timer
-    at the earliest marker that waits wakes the run, and the slots that are passed are paired one after the other. Repeated markers of one time
-    are one. So memory follows a slot, not the micro-batch, and what is given doesn't depend on how rows fall into batches.
+    Markers wait in the state until the watermark has passed them; nothing earlier can come then. They lie in pages of ``PAGE_MARKS`` at most, each a
+    span of time, so memory follows a page and not the micro-batch, and a run of few markers is one page: a call to the state costs more than
+    pairing hundreds of markers. A timer at the earliest marker that waits wakes the run, and the pages that are passed are paired one after the other.
+    Repeated markers of one time are one. What is given doesn't depend on how rows fall into batches.
     """
 
-    def __init__(self, timeout_ms: int, slot_us: int):
-        self.timeout_ms, self.slot_us = timeout_ms, slot_us
+    def __init__(self, timeout_ms: int, page_marks: int = PAGE_MARKS):
+        self.timeout_ms, self.page_marks = timeout_ms, page_marks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        """Declare the open time, in microseconds, and the slots: times * 2 + (1 for a start)."""
+        """Declare the run: its open time in microseconds, its timer and where its pages begin; and the pages: times * 2 + (1 for a start)."""
         self.handle = handle
-        self.open = handle.getValueState("open", "finished bigint")
-        self.slots = handle.getMapState("slots", "slot bigint", "marks binary")
+        self.run = handle.getValueState("run", "finished bigint, wake bigint, begins binary")
+        self.pages = handle.getMapState("pages", "begin bigint", "marks binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Put the markers of one run into their slots."""
+        """Put the markers of one run into their pages."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        first = None
+        known, first = None, None
         for frame in rows:
             marks = np.unique(frame["micros"].to_numpy(np.int64) * 2 + frame["started"].to_numpy(bool))
             marks = marks[marks >> 1 > passed]  # what lies behind has been paired without them
             if not len(marks):
                 continue
-            slots = (marks >> 1) // self.slot_us
-            cuts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1], True])
-            for a, b in zip(cuts, cuts[1:]):
-                self._put(int(slots[a]), np.union1d(self._marks(int(slots[a])), marks[a:b]))
-            first = min(first or int(marks[0]), int(marks[0]))
-        if first is not None:
-            self._wake((first >> 1) // 1000 - 1)
+            if known is None:
+                known = finished, wake, begins = self._load()
+            begins = self._add(begins, marks)
+            first = int(marks[0]) if first is None else min(first, int(marks[0]))
+        if known is not None:
+            at = (first >> 1) // 1000 - 1
+            if wake is None or at < wake:
+                if wake is not None:
+                    self.handle.deleteTimer(wake)
+                self.handle.registerTimer(at)
+                wake = at
+            self._save(finished, wake, begins)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Pair what the watermark has passed; a gap that it has outlasted is given without a start."""
         watermark = timerValues.getCurrentWatermarkInMs()
         passed = watermark * 1000
-        finished = self.open.get()[0] if self.open.exists() else None
-        before, wake = finished, None
-        for slot in sorted(k[0] for k in self.slots.keys()):
-            if slot * self.slot_us > passed:
-                wake = max(int(self._marks(slot)[0] >> 1) // 1000 - 1, watermark)
-                break
-            marks = self._marks(slot)
-            ready = marks[marks >> 1 <= passed]
-            found, finished = pair(finished, ready >> 1, (ready & 1).astype(bool), self.timeout_ms * 1000)
-            self._put(slot, marks[len(ready) :])
-            for at in range(0, len(found), FLUSH_ROWS):
-                yield self._rows([(key[0], f, s) for f, s in found[at : at + FLUSH_ROWS]])
-            if len(ready) < len(marks):
-                wake = max(int(marks[len(ready)] >> 1) // 1000 - 1, watermark)
+        finished, last, begins = self._load()
+        wake, done, held = None, 0, []
+        for begin in begins.tolist():
+            marks = self._marks(begin)
+            n = int(np.searchsorted(marks >> 1, passed, "right"))
+            if n:
+                found, finished = pair(finished, marks[:n] >> 1, (marks[:n] & 1).astype(bool), self.timeout_ms * 1000)
+                held += [(key[0], f, s) for f, s in found]
+                if len(held) >= FLUSH_ROWS:
+                    yield self._rows(held)
+                    held = []
+            if n < len(marks):
+                if n:
+                    self.pages.updateValue((begin,), (marks[n:].tobytes(),))
+                wake = max(int(marks[n] >> 1) // 1000 - 1, watermark)
                 break
+            self.pages.removeKey((begin,))
+            done += 1
         if finished is not None and finished // 1000 + self.timeout_ms <= watermark:
-            yield self._rows([(key[0], finished, None)])
+            held.append((key[0], finished, None))
             finished = None
-        if finished is None:
-            self.open.clear()
-        else:
-            if finished != before:
-                self.open.update((finished,))
+        if held:
+            yield self._rows(held)
+        if finished is not None:
             end = finished // 1000 + self.timeout_ms - 1
             wake = max(end if wake is None else min(wake, end), watermark)
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        if last is not None and last != expired:
+            self.handle.deleteTimer(last)
         if wake is not None:
-            self._wake(wake, expiredTimerInfo.getExpiryTimeInMs())
+            self.handle.registerTimer(wake)
+        self._save(finished, wake, begins[done:])
+
+    def _load(self) -> tuple[int | None, int | None, np.ndarray]:
+        finished, wake, begins = self.run.get() or (None, None, b"")
+        return finished, wake, np.frombuffer(begins, np.int64)
 
-    def _marks(self, slot: int) -> np.ndarray:
-        found = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+    def _save(self, finished: int | None, wake: int | None, begins: np.ndarray) -> None:
+        if finished is None and wake is None and not len(begins):
+            self.run.clear()
+        else:
+            self.run.update((finished, wake, begins.tobytes()))
+
+    def _marks(self, begin: int) -> np.ndarray:
+        found = self.pages.getValue((begin,))
         return np.frombuffer(found[0], np.int64) if found else np.zeros(0, np.int64)
 
-    def _put(self, slot: int, marks: np.ndarray) -> None:
-        if len(marks):
-            self.slots.updateValue((slot,), (marks.tobytes(),))
-        elif self.slots.containsKey((slot,)):
-            self.slots.removeKey((slot,))
-
-    def _wake(self, at: int, expired: int | None = None) -> None:
-        """Keep the earliest timer only; the one that has just expired goes by itself."""
-        known = [timer for timer in self.handle.listTimers() if timer != expired]
-        if known and min(known) <= at:
-            return
-        for timer in known:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at)
+    def _add(self, begins: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Put sorted marks into the pages, the first of which takes all that is earlier; where the pages begin then."""
+        if not len(begins):
+            begins = marks[:1].copy()
+        edges = np.r_[0, np.searchsorted(marks, begins[1:]), len(marks)]
+        new = [begins]
+        for begin, a, b in zip(begins.tolist(), edges, edges[1:]):
+            if a == b:
+                continue
+            merged = np.union1d(self._marks(begin), marks[a:b])
+            # A full page is cut; its first part keeps the name.
+            for at in range(0, len(merged), self.page_marks):
+                name = begin if at == 0 else int(merged[at])
+                self.pages.updateValue((name,), (merged[at : at + self.page_marks].tobytes(),))
+                if at:
+                    new.append(merged[at : at + 1])
+        return np.sort(np.concatenate(new))
 
     @staticmethod
     def _rows(found: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=["run_id", "finished", "started"])
-        out["gap"] = [None if s is None else (s - f) / 1e6 for _, f, s in found]
-        for column in ("finished", "started"):
-            out[column] = pd.to_datetime(out[column], unit="us")
-        return out
+        run, finished, started = zip(*found)
+        times = [np.array([np.datetime64("NaT") if t is None else np.datetime64(t, "us") for t in column], "datetime64[us]") for column in (finished, started)]
+        gap = [None if s is None else (s - f) / 1e6 for _, f, s in found]
+        return pd.DataFrame({"run_id": run, "finished": times[0], "started": times[1], "gap": gap})
 
     def close(self) -> None:
         """Nothing to release."""
@@ -164,7 +187,6 @@ def stream_marker_latency(events: DataFrame, timeout: str = "1 day", watermark:
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     rows = timed.select("run_id", "ts", F.unix_micros("ts").alias("micros"), "started")
     timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    slot_us = max(1, int(pd.Timedelta(watermark).total_seconds() * 1_000_000) // SLOTS)
     return rows.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=GapProcessor(timeout_ms, slot_us), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
+        statefulProcessor=GapProcessor(timeout_ms), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime"
     )

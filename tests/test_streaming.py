@@ -1,11 +1,15 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from shardframe import streaming
+from shardframe.plans import QUERIES, stream_queries
 from shardframe.plans.stream_queries import PROVIDER, ROCKSDB
+from shardframe.streaming.gaps import GapProcessor
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -132,3 +136,64 @@ def test_open_windows_count_in_update_mode(spark, tmp_path, rows):
     df = streaming.stream_rate(stream(spark, tmp_path, batches, "run_id string, ts timestamp, n bigint"), "1 hour")
     out = streaming.latest(streaming.run_available(df, "rate", "update"), ["run_id", "start", "end"])
     assert rows(out, "run_id", "total") == [("r", 30), ("r", 7)]
+
+
+class Told:
+    """State, timers and clock of one run in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.pages, self.timers, self.now = 0, None, {}, set(), 0
+
+    def __getattr__(self, name):
+        acts = {
+            "getValueState": lambda *_: self, "getMapState": lambda *_: self, "get": lambda: self.value, "getValue": lambda k: self.pages.get(k),
+            "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None), "updateValue": self.pages.__setitem__,
+            "removeKey": lambda k: self.pages.pop(k), "registerTimer": self.timers.add, "deleteTimer": self.timers.remove,
+        }
+
+        def call(*args):
+            self.calls += 1
+            return acts[name](*args)
+
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+@pytest.mark.parametrize("pages, most", [(4, None), (8192, 12)])
+def test_a_run_takes_few_calls(pages, most):
+    """Hours lie between the markers of a run; they are one page and a handful of calls, or many pages with the same gaps."""
+    r = random.Random(7)
+    rows = sorted((r.randint(1, 30 * 86_400) * 1_000_000, r.random() < 0.5) for _ in range(200))
+    told, day = Told(), 86_400 * 1_000
+    gaps = GapProcessor(day, pages)
+    gaps.init(told)
+    told.calls = 0
+    for cut in (rows[::2], rows[1::2]):
+        list(gaps.handleInputRows(("q",), iter([pd.DataFrame(cut, columns=["micros", "started"])]), told))
+    assert pages > 200 or len(told.pages) >= 50
+    got = []
+    for told.now in (15 * day, 40 * day):
+        if told.timers and min(told.timers) <= told.now:
+            expired = min(told.timers)
+            got += [x for frame in gaps.handleExpiredTimer(("q",), told, told) for x in frame.itertuples(index=False)]
+            told.timers.discard(expired)
+    assert told.value is None and not told.pages and not told.timers
+    want = brute_gaps([("q", dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), s) for t, s in rows])
+    assert sorted(((x.run_id, x.finished.to_pydatetime(), None if np.isnan(x.gap) else x.gap) for x in got), key=repr) == want
+    assert most is None or told.calls <= 2 * most
+
+
+def test_an_arrival_of_many_files(spark, tmp_path, monkeypatch):
+    """A part of the arrivals is several files and one micro-batch; equal ids leave some of them without rows."""
+    monkeypatch.setattr(stream_queries, "ARRIVAL_ROWS", 10)
+    r = random.Random(3)
+    events = [(k if k % 3 else 0, r.randint(0, 4), at(r.randint(0, 5_000)), r.choice(["signup", "view"])) for k in range(300)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, ts timestamp, event_type string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    want = sorted(map(tuple, QUERIES["t4_stream_marker_latency"].run(spark, str(tmp_path)).collect()))
+    assert want and sorted(map(tuple, QUERIES["t4_shuffled_arrival"].run(spark, str(tmp_path)).collect())) == want
