@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,25 +35,45 @@ BATCH_ROWS = 20_000
 JSON_PIECES = 10_000
 
 
-def _leaves(node, parts: tuple[str, ...]) -> Iterator[tuple]:
-    """Rows of one document in document order."""
-    if isinstance(node, dict) and "tensor" in node:
-        yield parts, "tensor", node["tensor"], None, None, None
+def _value(parts: tuple[str, ...], path: str, node) -> tuple:
+    return path, parts, "value", None, None, "None" if node is None else str(node), "none" if node is None else type(node).__name__
+
+
+def _leaves(root) -> Iterator[tuple]:
+    """Rows ``(path, parts, kind, shape, length, value, dtype)`` of one document in document order, the root's own only if it has no children."""
+    if isinstance(root, dict) and "tensor" in root:
+        yield "", (), "tensor", root["tensor"], None, None, None
         return
-    if isinstance(node, (dict, list)):
-        is_list = isinstance(node, list)
-        if parts:
-            yield parts, "list" if is_list else "dict", None, len(node) if is_list else None, None, None
-        for key, child in enumerate(node) if is_list else node.items():
-            yield from _leaves(child, (*parts, str(key)))
+    if not isinstance(root, (dict, list)):
+        yield _value((), "", root)
         return
-    kind = "none" if node is None else type(node).__name__
-    yield parts, "value", None, None, "None" if node is None else str(node), kind
+    # Open parents with the children that are left.
+    items = lambda node: iter(node.items()) if isinstance(node, dict) else zip(map(str, itertools.count()), node)
+    stack = [("", (), items(root))]
+    while stack:
+        above, parents, left = stack[-1]
+        for key, node in left:
+            parts = (*parents, key)
+            path = f"{above}/{key}" if parents else key
+            if isinstance(node, dict) and "tensor" in node:
+                yield path, parts, "tensor", node["tensor"], None, None, None
+            elif isinstance(node, (dict, list)):
+                is_list = isinstance(node, list)
+                yield path, parts, "list" if is_list else "dict", None, len(node) if is_list else None, None, None
+                stack.append((path, parts, items(node)))
+                break
+            else:
+                yield _value(parts, path, node)
+        else:
+            stack.pop()
 
 
 def _to_arrow(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW_TYPES)], names=NAMES)
+    columns = dict(zip(NAMES, zip(*rows)))
+    arrays = {name: pa.array(columns[name], kind) for name, kind in zip(NAMES, ARROW_TYPES) if name != "parts"}
+    offsets = np.cumsum([0, *map(len, columns["parts"])], dtype=np.int32)
+    arrays["parts"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(itertools.chain.from_iterable(columns["parts"])), pa.string()))
+    return pa.RecordBatch.from_arrays([arrays[name] for name in NAMES], names=NAMES)
 
 
 def flatten_structure(df: DataFrame) -> DataFrame:
@@ -65,8 +87,8 @@ def flatten_structure(df: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for config, rank, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for i, (parts, kind, shape, length, value, dtype) in enumerate(_leaves(json.loads(text), ())):
-                    rows.append((config, rank, "/".join(parts), parts, i, kind, shape, length, value, dtype))
+                for i, (path, parts, kind, shape, length, value, dtype) in enumerate(_leaves(json.loads(text))):
+                    rows.append((config, rank, path, parts, i, kind, shape, length, value, dtype))
                     if len(rows) >= BATCH_ROWS:
                         yield _to_arrow(rows)
                         rows = []

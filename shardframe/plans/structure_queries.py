@@ -63,7 +63,8 @@ def c1(spark, sf):
     + """SELECT config_id, rank, path, kind, value FROM flat WHERE kind IN ('tensor', 'value') AND path <> 'dir.meta'""",
 )
 def c2(spark, sf):
-    tensors, values = structure.state_leaves(flat(spark, sf))
+    # Reading the documents is nearly all of the work, so both kinds of leaves come from one reading.
+    tensors, values = structure.state_leaves(store(flat(spark, sf), "nodes"))
     cols = ["config_id", "rank", "path"]
     a = tensors.select(*cols, F.lit("tensor").alias("kind"), F.lit(None).cast("string").alias("value"))
     return a.unionByName(values.select(*cols, F.lit("value").alias("kind"), text_of(F.col("value")).alias("value")))
@@ -102,7 +103,8 @@ def c4_violations(spark, sf):
 
 def state_tables(spark, sf):
     """The documents as stored state: tensors, values and lists with ``snapshot`` for ``config_id``."""
-    rows = flat(spark, sf).withColumnRenamed("config_id", "snapshot")
+    # The documents are read once for the three tables.
+    rows = store(flat(spark, sf).drop("parts", "ord"), "nodes").withColumnRenamed("config_id", "snapshot")
     tensors = rows.filter("kind = 'tensor'").select("snapshot", "rank", "path", "shape")
     values = rows.filter("kind = 'value'").select("snapshot", "rank", "path", "dtype", "value")
     return tensors, values, rows.filter("kind = 'list'").select("snapshot", "rank", "path", "length")

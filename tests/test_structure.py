@@ -5,6 +5,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from shardframe.operators import structure
+from shardframe.plans import QUERIES
 
 DOC = """{"model": {"language_model": {"embedding": {"word_embeddings": {"weight": {"tensor": [7680, 1024]}}}}},
  "optimizer": {"optimizer": {"param_groups": [{"lr": 0.1, "params": [0, 1]}, {"lr": 0.1, "params": [0]}]}},
@@ -202,3 +203,25 @@ def test_memory_follows_the_depth():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sink.close() > 8_000_000 and peak < 4_000_000
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    """All kinds of nodes of a document come from one reading."""
+    order = [(1, 7, "O", 10.5, "5-LOW")]
+    spark.createDataFrame(order, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    for name, n in (("c2_state_leaves", 10), ("c5_summarize_state", 13)):
+        made = QUERIES[name].run(spark, str(tmp_path))
+        assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert made.count() == n
+
+
+def test_paths_of_odd_documents():
+    """Empty keys, a root that is a list, a tensor or a value, and a depth that recursion wouldn't reach."""
+    found = lambda text: [(path, parts, kind) for path, parts, kind, *_ in structure._leaves(json.loads(text))]
+    assert found('{"": {"a": [1]}}') == [("", ("",), "dict"), ("/a", ("", "a"), "list"), ("/a/0", ("", "a", "0"), "value")]
+    assert found("[null]") == [("0", ("0",), "value")]
+    assert found("3") == [("", (), "value")] and found('{"tensor": [1]}') == [("", (), "tensor")]
+    deep = 1
+    for _ in range(3_000):
+        deep = {"k": deep}
+    assert sum(1 for _ in structure._leaves(deep)) == 3_000
