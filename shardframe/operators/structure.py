@@ -33,6 +33,8 @@ ARROW_TYPES = [
 BATCH_ROWS = 20_000
 #: Pieces of JSON that are joined before they are written.
 JSON_PIECES = 10_000
+#: Keys that one task compares, about.
+TASK_KEYS = 2_000_000
 
 
 def _value(parts: tuple[str, ...], path: str, node) -> tuple:
@@ -198,7 +200,11 @@ def duplicate_keys(leaves: DataFrame, other: DataFrame | None = None, by: tuple[
     on = [*by, "path"]
     if other is None:
         return leaves.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return leaves.select(*on).distinct().join(other.select(*on).distinct(), on)
+    # One aggregate over both sets, instead of two and a join; a null is no key. Adaptive execution would join the partitions, which pack well, into few.
+    sides = [df.select(*on).dropna(subset=on).withColumn("_side", F.lit(side)) for side, df in ((1, leaves), (2, other))]
+    both = sides[0].unionByName(sides[1])
+    dealt = both.repartition(max(io_parts(leaves.sparkSession), -(-both.count() // TASK_KEYS)), *on)
+    return dealt.groupBy(*on).agg(F.bit_or("_side").alias("_side")).filter("_side = 3").drop("_side")
 
 
 def parse_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:

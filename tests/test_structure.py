@@ -205,6 +205,16 @@ def test_memory_follows_the_depth():
     assert sink.close() > 8_000_000 and peak < 4_000_000
 
 
+def test_keys_in_both_are_one_aggregate(spark, rows):
+    """Repeated and null keys; each common key is given once, and no join sorts the sets."""
+    schema = "config_id string, rank bigint, path string"
+    one = spark.createDataFrame([("c", 0, "a"), ("c", 0, "a"), ("c", 1, "a"), (None, 0, "a"), ("c", 2, None)], schema)
+    two = spark.createDataFrame([("c", 0, "a"), ("c", 1, "b"), (None, 0, "a"), ("c", 2, None)], schema)
+    both = structure.duplicate_keys(one, two)
+    assert rows(both) == [("c", 0, "a")]
+    assert "Join" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_documents_are_read_once(spark, tmp_path):
     """All kinds of nodes of a document come from one reading."""
     order = [(1, 7, "O", 10.5, "5-LOW")]
