@@ -14,6 +14,7 @@ from operator import and_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -129,18 +130,17 @@ def flatten_tensors(df: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(BinaryType())
-def _cut_bytes(data: pd.Series, size: pd.Series, shape: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def _cut_bytes(data: pa.Array, size: pa.Array, shape: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
     """Box ``[lo, hi)`` of a row-major chunk; null data stays null."""
-    return pd.Series(
-        [
-            None
-            if d is None
-            else np.frombuffer(d, f"V{n}").reshape(tuple(s))[tuple(slice(a, b) for a, b in zip(x, y))].tobytes()
-            for d, n, s, x, y in zip(data, size, shape, lo, hi)
-        ],
-        dtype=object,
-    )
+
+    def cut(i: int) -> bytes | None:
+        if not data[i].is_valid:
+            return None
+        whole = np.frombuffer(data[i].as_buffer(), f"V{size[i].as_py()}").reshape(tuple(shape[i].as_py()))
+        return whole[tuple(slice(a, b) for a, b in zip(lo[i].as_py(), hi[i].as_py()))].tobytes()
+
+    return pa.array([cut(i) for i in range(len(data))], pa.binary())
 
 
 def cut_chunks(df: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -281,13 +281,43 @@ def pad_tensors(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     return grown.unionByName(zeros), bad.withColumn("reason", F.lit("only the leading dimension can grow"))
 
 
+def _encoded(arrays: pa.Array, kind: str) -> pa.Array:
+    """Bytes of each array, made from the elements of all at once."""
+    flat = arrays.flatten()  # without those of nulls
+    simple = pa.types.is_floating(flat.type) or pa.types.is_integer(flat.type) and not flat.null_count
+    if not simple:
+        return pa.array([None if a is None else np.asarray(a).astype(kind).tobytes() for a in arrays.to_pandas()], pa.binary())
+    data = flat.to_numpy(zero_copy_only=False).astype(kind)
+    lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False).astype(np.int64) * data.itemsize
+    offsets = np.r_[0, np.cumsum(lengths)]
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a batch of tensors is larger than 2 GB")
+    made = pa.Array.from_buffers(pa.binary(), len(arrays), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(arrays.is_valid(), made, pa.scalar(None, pa.binary())) if arrays.null_count else made
+
+
+def _decoded(cells: pa.Array, kind: str, wide: type) -> pa.Array:
+    """Elements of each cell, made from the bytes of all at once."""
+    filled = pc.fill_null(cells, b"").cast(pa.large_binary())
+    _, offsets, data = filled.buffers()
+    item = np.dtype(kind).itemsize
+    ends = np.frombuffer(offsets, np.int64, len(filled) + 1, filled.offset * 8) if len(filled) else np.zeros(1, np.int64)
+    if (np.diff(ends) % item).any():
+        raise ValueError("buffer size must be a multiple of element size")
+    n = int(ends[-1] - ends[0])
+    values = np.frombuffer(data, np.uint8, n, int(ends[0])).view(kind).astype(wide) if n else np.zeros(0, wide)
+    places = pa.array(((ends - ends[0]) // item).astype(np.int32), pa.int32())
+    # A NaN is a null element, as pandas has it.
+    return pa.ListArray.from_arrays(places, pa.array(values, from_pandas=True), mask=cells.is_null() if cells.null_count else None)
+
+
 def encode_elements(values: Column, dtype: str) -> Column:
     """Little-endian bytes of an array column."""
     kind = numpy_type(dtype).str
 
-    @F.pandas_udf(BinaryType())
-    def encode(arrays: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else np.asarray(a).astype(kind).tobytes() for a in arrays], dtype=object)
+    @F.arrow_udf(BinaryType())
+    def encode(arrays: pa.Array) -> pa.Array:
+        return _encoded(arrays, kind)
 
     return encode(values)
 
@@ -296,15 +326,21 @@ def decode_array(dtype: str, data: Column | str = "data") -> Column:
     """Elements of one type as an array: integers widen to bigint (``u64`` to decimal), floats to double."""
     kind = numpy_type(dtype).str
     out = "double" if dtype[0] == "f" else ("decimal(20,0)" if dtype == "u64" else "bigint")
+    column = F.col(data) if isinstance(data, str) else data
+    if dtype == "u64":
 
-    @F.pandas_udf(f"array<{'string' if dtype == 'u64' else out}>")
-    def decode(cells: pd.Series) -> pd.Series:
-        if dtype == "u64":
+        @F.pandas_udf("array<string>")
+        def decode(cells: pd.Series) -> pd.Series:
             return pd.Series([None if c is None else [str(x) for x in np.frombuffer(c, kind)] for c in cells], dtype=object)
-        wide = np.float64 if dtype[0] == "f" else np.int64
-        return pd.Series([None if c is None else np.frombuffer(c, kind).astype(wide) for c in cells], dtype=object)
 
-    return decode(F.col(data) if isinstance(data, str) else data).cast(f"array<{out}>")
+        return decode(column).cast(f"array<{out}>")
+    wide = np.float64 if dtype[0] == "f" else np.int64
+
+    @F.arrow_udf(f"array<{out}>")
+    def decode_all(cells: pa.Array) -> pa.Array:
+        return _decoded(cells, kind, wide)
+
+    return decode_all(column)
 
 
 def decode_elements(df: DataFrame, dtype: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -182,3 +183,18 @@ def test_ranges_of_tables_that_do_not_fill_their_last_chunk(spark, tmp_path):
     assert got == sorted((f"t/{i // 20}", i % 20 - 5, b - 10, v[b]) for i, v in vectors if i % 20 >= 5 for b in range(10, 20))
     got = sorted(map(tuple, QUERIES["x2_flatten_columns"].run(spark, str(tmp_path)).select("path", "a", "value").collect()))
     assert got == sorted((f"t/{i // 20}", i % 20 * 24 + b - 16, v[b]) for i, v in vectors for b in range(16, 40))
+
+
+def test_bytes_of_a_batch_are_made_at_once():
+    """Nulls, empty cells and a slice of a batch; the elements of all cells are one array, without an object for each."""
+    arrays = pa.array([[9.0], [1.0, None], None, [], [2.5]], pa.list_(pa.float32())).slice(1)
+    data = tensors._encoded(arrays, "<f4")
+    assert [c if c is None else np.frombuffer(c, "<f4").tolist() for c in data.to_pylist()][1:] == [None, [], [2.5]]
+    assert np.isnan(np.frombuffer(data[0].as_py(), "<f4")).tolist() == [False, True]
+    assert tensors._decoded(data, "<f4", np.float64).to_pylist() == [[1.0, None], None, [], [2.5]]
+    assert tensors._decoded(data.slice(1), "<f4", np.float64).to_pylist() == [None, [], [2.5]]
+    wide = pa.array([[2**53 + 1], [1, None], []], pa.list_(pa.int64()))
+    assert tensors._encoded(wide.slice(0, 1), "<i8")[0].as_py() == (2**53 + 1).to_bytes(8, "little")
+    assert tensors._decoded(pa.array([], pa.binary()), "<i4", np.int64).to_pylist() == []
+    with pytest.raises(ValueError):
+        tensors._decoded(pa.array([b"abc"]), "<i4", np.int64)
