@@ -23,6 +23,8 @@ TASK_ENTRIES = 20_000
 #: Bytes between two ranges that are read along with them, and bytes of one request.
 GAP = 1 << 20
 REQUEST = 8 << 20
+#: Bytes of payloads after which a task hands them on; requests that bring less share a batch.
+HAND_ON_BYTES = 4 << 20
 #: Rows that are turned into Python objects at once where each may be large, and bytes of a record file that a query writes.
 SMALL_ROWS = 256
 FILE_BYTES = 128 << 20
@@ -220,11 +222,34 @@ def request_cuts(begins: np.ndarray, ends: np.ndarray, gap: int = GAP, most: int
 
 def read_vectored(handle, begins: np.ndarray, ends: np.ndarray, gap: int = GAP, most: int = REQUEST) -> Iterator[list[bytes]]:
     """Payloads of ranges of one file, for one request after the other: slices of what the request brought."""
+    for found in read_arrays(handle, begins, ends, gap, most):
+        yield found.to_pylist()
+
+
+def read_arrays(handle, begins: np.ndarray, ends: np.ndarray, gap: int = GAP, most: int = REQUEST) -> Iterator[pa.Array]:
+    """As :func:`read_vectored`, with the payloads of a request as one Arrow array; those without gaps lie in the bytes that the request brought."""
     cuts = request_cuts(begins, ends, gap, most)
     for a, b in zip(cuts, cuts[1:]):
         start = int(begins[a])
-        held = memoryview(read_at(handle, start, int(ends[a:b].max()) - start))
-        yield [bytes(held[x - start : y - start]) for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist())]
+        held = read_at(handle, start, int(ends[a:b].max()) - start)
+        yield _slices(held, begins[a:b] - start, ends[a:b] - start)
+
+
+def _slices(held: bytes, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ranges of ``held``, ordered by their begin."""
+    edges = np.minimum(np.column_stack([begins, ends]).ravel(), len(held))
+    if (edges[1:] < edges[:-1]).any():
+        # Ranges that overlap have bytes of their own.
+        return pa.array([held[x:y] for x, y in zip(begins.tolist(), ends.tolist())], pa.binary())
+    if (edges[1:-1:2] == edges[2::2]).all():
+        return _pieces(held, np.r_[edges[::2], edges[-1:]])
+    # Every second piece is a range, the others are gaps.
+    return _pieces(held, edges).take(pa.array(np.arange(0, len(edges), 2)))
+
+
+def _pieces(held: bytes, edges: np.ndarray) -> pa.Array:
+    # The conversion fails for places that don't fit the offsets of a binary array.
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.array(edges, pa.int32()).buffers()[1], pa.py_buffer(held)])
 
 
 def read_ranges(ranges: DataFrame, block: int = READ_BLOCK) -> DataFrame:
@@ -236,21 +261,22 @@ def read_ranges(ranges: DataFrame, block: int = READ_BLOCK) -> DataFrame:
         current, handle = None, None
         for batch in batches:
             paths, (begins, ends) = batch.column(at[0]).to_pylist(), (batch.column(i).to_numpy(zero_copy_only=False) for i in at[1:])
-            payloads, size, first = [], 0, 0
+            parts, rows, size, first = [], 0, 0, 0
             edges = [k for k in range(len(paths)) if k == 0 or paths[k] != paths[k - 1]]
             for a, b in zip(edges, [*edges[1:], len(paths)]):
                 if paths[a] != current:
                     if handle is not None:
                         handle.close()
                     current, handle = paths[a], open_file(paths[a])
-                for found in read_vectored(handle, begins[a:b], ends[a:b]):
-                    payloads.extend(found)
-                    size += sum(map(len, found))
-                    if size >= FLUSH_BYTES:
-                        yield _with_payload(batch.slice(first, len(payloads)), payloads)
-                        payloads, size, first = [], 0, first + len(payloads)
-            if payloads:
-                yield _with_payload(batch.slice(first), payloads)
+                for found in read_arrays(handle, begins[a:b], ends[a:b]):
+                    parts.append(found)
+                    rows += len(found)
+                    size += found.nbytes
+                    if size >= HAND_ON_BYTES:
+                        yield _with_payload(batch.slice(first, rows), parts)
+                        parts, rows, size, first = [], 0, 0, first + rows
+            if parts:
+                yield _with_payload(batch.slice(first), parts)
         if handle is not None:
             handle.close()
 
@@ -279,10 +305,9 @@ def read_texts(spark: SparkSession, paths: str | list[str], names: str = "") ->
     return listed.repartition(io_parts(spark), "path").mapInArrow(read, "file string, text string")
 
 
-def _with_payload(batch: pa.RecordBatch, payloads: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns, pa.array(payloads, pa.binary())], names=[*batch.schema.names, "payload"]
-    )
+def _with_payload(batch: pa.RecordBatch, parts: list[pa.Array]) -> pa.RecordBatch:
+    payloads = parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+    return pa.RecordBatch.from_arrays([*batch.columns, payloads], names=[*batch.schema.names, "payload"])
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], block: int = READ_BLOCK) -> DataFrame:

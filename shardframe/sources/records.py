@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 from shardframe.session import qualify, store
 from shardframe.sources.files import READ_BLOCK, filesystem, io_parts, list_files, open_file, spread_blocks
@@ -411,7 +411,8 @@ class RecordFiles(DataSource):
         return _RecordWriter(self.options["path"], overwrite)
 
 
-class _RecordWriter(DataSourceWriter):
+class _RecordWriter(DataSourceArrowWriter):
+    # Rows would be made a whole Arrow batch at once.
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.write_id = path.rstrip("/"), overwrite, uuid.uuid4().hex[:12]
 
@@ -424,7 +425,7 @@ class _RecordWriter(DataSourceWriter):
         # Attempts write under their own names; only the committed one is moved.
         part = f"{inner}/.part-{uuid.uuid4().hex}"
         with system.open_output_stream(part) as out:
-            for payloads in batches_of(bytes(row[0]) for row in iterator):
+            for payloads in batches_of(payload.as_py() for batch in iterator for payload in batch.column(0)):
                 for record in encode_records(payloads):
                     out.write(record)
         return WrittenFile(part, f"{inner}/part-{context.partitionId():05d}-{self.write_id}.rec")

@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -49,6 +50,39 @@ def test_vectored_reads(gap, most):
         assert begins[b] - ends[a:b].max() > gap or ends[a : b + 1].max() - begins[a] > most
 
 
+def test_payloads_lie_in_their_request():
+    """A request's payloads aren't copied into an object each, so a task holds what the request brought and little else."""
+    size = 1000
+    begins = np.arange(0, 6 << 20, size)
+    handle = Counting(bytes(7 << 20))
+    tracemalloc.start()
+    (found,) = files.read_arrays(handle, begins, begins + size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(begins) and found.nbytes >= 6 << 20
+    assert peak < 9 << 20  # the request, and the places of its ranges
+
+
+@pytest.mark.parametrize("begins, ends", [([0, 3, 3, 9], [3, 3, 7, 12]), ([2, 2, 5], [9, 4, 6]), ([4], [9]), ([0, 8, 14], [8, 14, 30]), ([3, 3], [3, 3])])
+def test_slices_of_a_request(begins, ends):
+    data = bytes(range(20))
+    (found,) = files.read_arrays(Counting(data), np.array(begins), np.array(ends))
+    assert found.to_pylist() == [data[a:b] for a, b in zip(begins, ends)]
+
+
+def test_requests_of_many_files_share_a_batch(spark, tmp_path):
+    r = random.Random(5)
+    ranges = []
+    for k in range(60):
+        data = r.randbytes(r.choice([0, 1, 70, 300_000]))
+        (tmp_path / f"f{k}").write_bytes(data)
+        cuts = sorted(r.randrange(len(data) + 1) for _ in range(5))
+        ranges += [(str(tmp_path / f"f{k}"), a, b, data[a:b]) for a, b in zip(cuts, cuts[1:])]
+    df = spark.createDataFrame(ranges, "path string, begin bigint, end bigint, wanted binary")
+    got = files.read_ranges(df.coalesce(1)).collect()
+    assert len(got) == len(ranges) and all(x.payload == x.wanted for x in got)
+
+
 def test_neighbours_share_a_request():
     data = bytes(range(256)) * (1 << 16)  # 16 MB
     begins = np.arange(0, 1 << 24, 4096)

@@ -53,6 +53,24 @@ def test_records(spark, tmp_path, rows):
     assert [r.reason for r in bad.collect() if r.path.endswith(names[2])] == ["truncated"]
 
 
+def test_record_sink_holds_few_objects(tmp_path, monkeypatch):
+    """The sink takes the payloads of an Arrow batch a few megabytes at a time, not all as objects at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.record_batch([pa.array([b"x" * 4096] * 16_000)], names=["payload"])
+    tracemalloc.start()
+    done = records.RecordFiles({"path": str(tmp_path)}).writer(None, False).write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert os.path.getsize(done.part) == 16_000 * (4096 + 16)
+    assert peak < 48 << 20
+
+
 def test_records_append_and_overwrite(spark, tmp_path):
     out = str(tmp_path / "r")
     payloads = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("p")).repartition(2)
