@@ -4,6 +4,7 @@ import tracemalloc
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,21 @@ def test_no_payload_is_shuffled(spark, tmp_path):
     above, _, below = plan.partition("MapInArrow")
     assert "Exchange" not in above and "data#" not in below.split("MapInArrow")[0].split("\n", 1)[1]
     assert state_source.read_step(spark, str(tmp_path)) is None
+
+
+def test_chunk_rows_leave_with_their_batch(tmp_path):
+    """A task that writes chunks keeps no row, as a row's columns hold the bytes of its whole batch."""
+    taken = []
+
+    def batches():
+        for k in range(3):
+            taken.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([k, k]), pa.array([b"ab", None])], names=["rank", "data"])
+
+    made = byref.write_chunks(batches(), str(tmp_path), ["rank"])
+    first = next(made)
+    assert taken == [0] and first.schema.names == ["rank", "file", "begin"]
+    told = [row for batch in [first, *made] for row in batch.to_pylist()]
+    assert [(r["rank"], r["begin"]) for r in told] == [(0, 0), (0, 2), (1, 2), (1, 4), (2, 4), (2, 6)]
+    (file,) = {r["file"] for r in told}
+    assert open(file, "rb").read() == b"ababab"
