@@ -72,3 +72,29 @@ def test_line_sums_meet_in_blocks(spark, rows, monkeypatch):
     made = reshard_queries.line_totals(spark.createDataFrame(pieces, CHUNKS), pieces=True)
     assert rows(made, "rank", "path", "line", "total") == sorted(((0, "m", r, x) for r, x in sums.items()), key=repr)
     assert "hashpartitioning(rank" in plan_text(made) and not re.search(r"hashpartitioning\(rank[^)]*line", plan_text(made))
+
+
+def test_chunks_are_made_by_many_tasks(spark, tmp_path):
+    """Rows that name the bytes of a chunk are few bytes, but no task makes the bytes of all of them, also where the vectors aren't broadcast."""
+    spark.range(40).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(30).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    params = cut_lineage(ck.parameters(spark, str(tmp_path), ck.SOURCE))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = ck.chunks_of(spark, str(tmp_path), params, ck.SOURCE[1]).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The table and the head are four chunks each.
+    assert sum(r["count"] for r in made) == params.count() * 3 + 2 * 4 * 3 * 3
+    assert len(made) > 4 and max(r["count"] for r in made) < params.count()
+
+
+def test_lines_are_summed_where_they_are_decoded(spark, rows):
+    """Elements don't leave the task that decodes them, only sums do; unknown elements make an unknown line, of any shape."""
+    data = [chunk(0, "m", [2, 3], [0, 0], [[1, 2, 3], [np.nan, 5, 6]]), chunk(0, "n", [3, 1], [1, 0], [[7], [8]]), chunk(0, "o", [2, 2, 2], [0, 0, 0], np.arange(8).reshape(2, 2, 2))]
+    for pieces in (False, True):
+        made = reshard_queries.line_totals(spark.createDataFrame(data, CHUNKS), pieces)
+        known = [("m", 0, 6.0), ("n", 1, 7.0), ("n", 2, 8.0), ("o", 0, 6.0), ("o", 1, 22.0)]
+        assert rows(made, "path", "line", "total") == sorted(known + [("m", 1, None)] * (not pieces), key=repr)
+        assert not re.search(r"aggregate\(slice\(_v|get\(p", plan_text(made)) and "transform(sequence" not in plan_text(made)
