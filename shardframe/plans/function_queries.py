@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shardframe.functions import (
@@ -28,9 +30,16 @@ from shardframe.plans.registry import query, table
     FROM t""",
 )
 def f1(spark, sf):
-    n = F.col("l_partkey") * F.col("l_partkey") * (F.col("l_suppkey") + 1) * (F.col("l_linenumber") * 1000 + 1)
-    sized = table(spark, sf, "lineitem").select(n.cast("bigint").alias("n"))
-    return sized.select("n", show_size("n").alias("size"), show_rate("n").alias("rate"), show_bytes("n").alias("bytes"))
+    part, supplier, line = (F.col(c).cast("decimal(20,0)") for c in ("l_partkey", "l_suppkey", "l_linenumber"))
+    # The product of large keys is beyond a bigint: there it has no number, but its texts are those of the wide product.
+    wide = reduce(lambda a, b: (a * b).cast("decimal(38,0)"), [supplier + 1, line * 1000 + 1, part, part])
+    n = F.when(F.col("_wide").between(-(1 << 63), (1 << 63) - 1), F.col("_wide").cast("bigint"))
+    sized = table(spark, sf, "lineitem").select(wide.alias("_wide")).select("_wide", n.alias("n"))
+
+    def shown(show):
+        return F.when(F.col("n").isNull(), show("_wide")).otherwise(show("n"))
+
+    return sized.select("n", shown(show_size).alias("size"), shown(show_rate).alias("rate"), shown(show_bytes).alias("bytes"))
 
 
 @query(

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from shardframe import functions as sf
 from shardframe.functions.paths import ancestors, base_name, parent_path
+from shardframe.plans import QUERIES
 
 
 def one(spark, column):
@@ -51,3 +52,17 @@ def test_peers(spark, rows):
     good, bad = sf.parse_peers(df, "p")
     assert rows(good, "rank", "host", "port") == [(0, "1.2.3.4", 8080), (1, "1.2.3.4", 8081), (2, "4.3.2.1", 8080)]
     assert rows(bad, "rank", "entry") == [(0, "x:1"), (1, "1.1.1.1:99999")]
+
+
+def test_sizes_beyond_a_bigint(spark, rows, tmp_path):
+    """Large keys: their product has texts, and a number only where a bigint holds it."""
+    keys = [(3_000_001, 59_999, 1), (20, 30, 2), (None, 3, 1)]
+    spark.createDataFrame(keys, "l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["f1_show_size"].run(spark, str(tmp_path))
+    assert dict(got.dtypes)["n"] == "bigint"
+    wide = 3_000_001**2 * 60_000 * 1001
+    assert wide > 1 << 63
+    large = (None, f"{wide / 2**40:.1f}Ti", f"{wide / 2**30:.2f} GiB/s", f"{wide / 2**30:.3f}GiB")
+    told = [r for r in rows(got, "n", "size", "rate", "bytes") if r[1] is not None]
+    assert sorted(told, key=repr) == sorted([large, (24812400, "23.7MiB", "23.66 MiB/s", "23.663MiB")], key=repr)
+    assert got.count() == 3
