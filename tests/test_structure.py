@@ -178,6 +178,15 @@ def test_json_files_equal_restored_cells(spark, tmp_path):
     assert structure.write_state_json(tensors.limit(0), values.limit(0), lists.limit(0), str(tmp_path)).count() == 0
 
 
+def test_json_leaves_are_shuffled_without_their_file_names(spark, tmp_path):
+    """Names and sort keys are several times a leaf's bytes, and they are made behind the shuffle."""
+    none = "snapshot string, rank bigint, path string"
+    tensors, values, lists = (spark.createDataFrame([], f"{none}, {rest}") for rest in ("shape array<bigint>", "dtype string, value string", "length bigint"))
+    plan = structure.write_state_json(tensors, values, lists, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    behind = plan[plan.index("RepartitionByExpression") :]
+    assert "json" in plan and "_order" not in behind and "AS file" not in behind
+
+
 def test_memory_follows_the_depth():
     """A million leaves of one rank pass through without being held."""
 
