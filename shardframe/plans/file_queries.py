@@ -15,7 +15,7 @@ from shardframe.plans.index_queries import IDX, document_index
 from shardframe.plans.registry import query, table
 from shardframe.plans.run_queries import marker_logs
 from shardframe.plans.sharding_queries import DP, GBS, JOBS, MIN_SAMPLES, PROGRESS, SEED, SHARDS, jobs
-from shardframe.session import cut_lineage, new_shared_path
+from shardframe.session import cut_lineage, new_shared_path, store
 from shardframe.sources import checksums, files, index_files, logs, npz, records, shards, state, structures
 
 
@@ -24,6 +24,9 @@ SMALL_REGION = 1 << 16
 # Bytes of text to a file of npz samples, which hold it several times as numbers.
 PACKED_BYTES = 8 << 20
 
+#: Folders that the files of jobs lie in.
+JOB_FOLDERS = 512
+
 
 def write_texts(df):
     """Write ``(path, ord, data)`` rows as files, a row after the other; returns the file count."""
@@ -346,7 +349,9 @@ def d15_json(spark, sf):
     out = new_shared_path(spark, "jobs")
     points, configs = jobs(spark, sf)
     job = F.concat(F.lit("job"), F.col("job").cast("string"))
-    name = lambda folder: F.concat(F.lit(f"{out}/{folder}/"), job, F.lit(".json")).alias("path")
+    # Tasks that make files in one folder wait for each other, and one task lists it.
+    spread = F.pmod(F.xxhash64("job"), F.lit(JOB_FOLDERS)).cast("string")
+    name = lambda folder: F.concat(F.lit(f"{out}/{folder}/"), spread, F.lit("/"), job, F.lit(".json")).alias("path")
     # A file holds one job's points; they are texts, joined in the order of their steps.
     text = F.when(F.col("job") % 2 == 0, F.format_string('{"step": %d, "size": %d}', "step", "size")).otherwise(
         F.format_string('{"time": %d, "size": %d}', F.col("step") * 10, "size")
@@ -361,7 +366,8 @@ def d15_json(spark, sf):
     )
     write_texts(schedules.unionByName(written))
     observed = points.filter("job % 2 = 1").select(job.alias("job"), (F.col("step") * 10).alias("time"), "step")
-    told = structures.read_schedule(spark, f"{out}/schedules").drop("point")
+    # The files are read once, however often the plan looks at the points.
+    told = store(structures.read_schedule(spark, f"{out}/schedules").drop("point"), "points")
     return sharding.stage_plan(told, structures.read_para_configs(spark, f"{out}/degrees"), 32, observed, last_step=100000000)[0]
 
 

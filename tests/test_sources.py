@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shardframe.plans import file_queries
 from shardframe.sources import checksums, files, index_files, logs, npz, records, state, structures
 
 
@@ -326,3 +327,18 @@ def test_small_batches_and_file_counts(spark):
     texts = spark.createDataFrame([("ab",), (None,), ("é" * 10,)], "t string")
     assert [files.file_count(texts, "t", 2, limit) for limit in (100, 10, 5)] == [2, 3, 5]
     assert files.file_count(texts.filter("false"), "t", 4) == 4
+
+
+def test_files_of_jobs_lie_in_many_folders(spark, rows, tmp_path, monkeypatch):
+    """Forty customers with two orders each; a folder has few of their files, and the stages are those of all."""
+    made = tmp_path / "made"
+    monkeypatch.setattr(file_queries, "new_shared_path", lambda spark, name: str(made))
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(k, k % 40, "2-HIGH" if k < 40 else "5-LOW") for k in range(80)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = rows(file_queries.d15_json(spark, str(tmp_path)), "job", "stage", "start_step", "end_step", "size")
+    want = [(f"job{k % 40}", k // 40, k, k + 40 if k < 40 else 100000000, 4 if k < 40 else 16) for k in range(80)]
+    assert got == sorted(want, key=repr)
+    for kind in ("schedules", "degrees"):
+        assert sorted(f.name for f in made.glob(f"{kind}/*/*.json")) == sorted(f"job{k}.json" for k in range(40))
+        assert max(len(list(f.iterdir())) for f in (made / kind).iterdir()) < 20
